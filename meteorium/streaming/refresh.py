@@ -75,8 +75,9 @@ def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: list[s
                   late: str = "15 days"):
     """Start the streaming upsert over all available input; rows older than the revision window are dropped.
 
-    The window is measured against the newest event time seen; the same rule as the batch planner's refresh days.
+    The window is measured against the newest event time seen; the same rule as the batch planner's refresh days.  The
+    deduplication of re-delivered rows is what applies the watermark: rows behind it do not pass.
     """
-    kept = rows.withWatermark(event_time, late)
+    kept = rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark([*key, "arrival"])
     return (kept.writeStream.foreachBatch(upsert_into(table_path, key, partition)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
