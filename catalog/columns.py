@@ -56,7 +56,7 @@ BOX = geo.Box(south=20, north=75, west=-15, east=65)
 
 def longitude_box(spark, d):
     """Longitudes 0..360 wrapped and cut to an open box."""
-    o = observations(spark, d).select((F.col("l_partkey") % 360 + 0.5).alias("lon"), (F.col("l_suppkey") % 180 - 90.0).alias("lat"), "value")
+    o = observations(spark, d).select((F.col("l_partkey") % 360 + 0.5).alias("lon"), (F.col("l_orderkey") % 180 - 90.0).alias("lat"), "value")
     w = o.withColumn("lon", geo.wrap_longitude("lon")).filter(geo.inside("lat", "lon", BOX))
     return w.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
@@ -150,7 +150,7 @@ QUERIES = {
     "label_split": (label_split, """SELECT p_partkey, string_split(p_type || ' ' || p_name, ' ')[1] AS prefix,
       array_to_string(string_split(p_type || ' ' || p_name, ' ')[2:], ' ') AS rest FROM part"""),
     "kelvin": (kelvin, f"WITH {OBS} SELECT entity, min(value + 273 - 273.15) AS low, max(value + 273 - 273.15) AS high FROM obs GROUP BY entity"),
-    "longitude_box": (longitude_box, f"""WITH {OBS}, o AS (SELECT l_partkey % 360 + 0.5::DOUBLE AS l0, l_suppkey % 180 - 90.0::DOUBLE AS lat, value FROM obs),
+    "longitude_box": (longitude_box, f"""WITH {OBS}, o AS (SELECT l_partkey % 360 + 0.5::DOUBLE AS l0, l_orderkey % 180 - 90.0::DOUBLE AS lat, value FROM obs),
       w AS (SELECT CASE WHEN l0 > 180 THEN l0 - 360 ELSE l0 END AS lon, lat, value FROM o)
       SELECT lon, lat, count(*) AS n, sum(value) AS value FROM w WHERE lon > -15 AND lon < 65 AND lat > 20 AND lat < 75 GROUP BY ALL"""),
     "masked_flipped_grid": (masked_flipped_grid, f"""WITH {OBS}, c AS (SELECT l_partkey % 20 AS x, l_suppkey % 10 AS y, sum(value) AS v FROM obs GROUP BY ALL)

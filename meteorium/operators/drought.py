@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numeric as num
 
-FIT = "shape double, scale double"
+FIT = T.StructType([T.StructField("shape", T.DoubleType()), T.StructField("scale", T.DoubleType())])
 
 
 def fit_log_logistic(x: np.ndarray, max_iter: int = 200) -> tuple[float, float] | None:
@@ -61,7 +62,7 @@ def fit_log_logistic(x: np.ndarray, max_iter: int = 200) -> tuple[float, float]
 
 
 @F.pandas_udf(FIT)
-def _fit(batches: Iterator[tuple[pd.Series]]) -> Iterator[pd.DataFrame]:
+def _fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for values in batches:
         rows = [fit_log_logistic(np.asarray(v, float)) if v is not None and len(v) else None for v in values]
         yield pd.DataFrame([r or (None, None) for r in rows], columns=["shape", "scale"]).astype(float)

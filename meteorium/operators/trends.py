@@ -13,14 +13,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import categories as cat
 from ..functions import numeric as num
 
 Z_95 = 1.959963984540054
 
-FIT = ("n int, x_min double, x_max double, slope double, intercept double, slope_lo double, slope_hi double, "
-       "intercept_lo double, intercept_hi double, s double, var_s double, tau double, correction double")
+FIT_COLUMNS = ["x_min", "x_max", "slope", "intercept", "slope_lo", "slope_hi", "intercept_lo", "intercept_hi", "s", "var_s",
+               "tau", "correction"]
+FIT = T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in FIT_COLUMNS]])
 
 
 def yearly_series(df: DataFrame, group: list[str], year: str, value: str) -> DataFrame:
@@ -83,7 +85,7 @@ def _fit_block(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 
 @F.pandas_udf(FIT)
 def _robust_fit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    columns = [part.split()[0] for part in FIT.split(", ")]
+    columns = ["n", *FIT_COLUMNS]
     for xs, ys in batches:
         out = pd.DataFrame(np.nan, index=range(len(xs)), columns=columns)
         lengths = np.array([len(v) for v in xs])
