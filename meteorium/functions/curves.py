@@ -59,16 +59,18 @@ def cdf_percent(curve, value) -> Column:
 def quantile(curve, percent) -> Column:
     """Value whose ``cdf_percent`` is ``percent``; null for a curve of fewer than two points."""
     segs = _segments(_c(curve))
-    target = _sum(segs, _area) * _c(percent) / 100
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("at"))
+    # the wanted area travels in the accumulator, so the total is summed once and not once per segment
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("at"),
+                     (_sum(segs, _area) * _c(percent) / 100).alias("target"))
 
     def step(acc, s):
-        left = target - acc["cum"]
+        left = acc["target"] - acc["cum"]
         slope = (s["y1"] - s["y0"]) / (s["x1"] - s["x0"])
         root = F.sqrt(F.greatest(s["y0"] * s["y0"] + 2 * slope * left, F.lit(0.0)))
         at = F.least(s["x0"] + F.when(left <= 0, F.lit(0.0)).otherwise(2 * left / (s["y0"] + root)), s["x1"])
-        hit = acc["at"].isNull() & (acc["cum"] + _area(s) >= target)
-        return F.struct((acc["cum"] + _area(s)).alias("cum"), F.when(hit, at).otherwise(acc["at"]).alias("at"))
+        hit = acc["at"].isNull() & (acc["cum"] + _area(s) >= acc["target"])
+        return F.struct((acc["cum"] + _area(s)).alias("cum"), F.when(hit, at).otherwise(acc["at"]).alias("at"),
+                        acc["target"].alias("target"))
 
     return F.aggregate(segs, start, step, lambda acc: F.coalesce(acc["at"], F.element_at(_c(curve), -1)["x"]))
 

@@ -31,7 +31,7 @@ def _as_curve(name: str, body) -> F.udf:
 
 def gaussian_points(s: np.ndarray, points: int = 200) -> tuple[np.ndarray, np.ndarray]:
     pad = max((s.max() - s.min()) * 0.05, 0.5)
-    grid = np.linspace(s.min() - pad, s.max() + pad, points)
+    grid = (s.min() - pad) + np.arange(points) * ((s.max() - s.min() + 2 * pad) / (points - 1))
     h = s.std(ddof=1) * len(s) ** -0.2 if len(s) > 1 else 0.0
     if h <= 0:
         return grid, np.zeros(points)
@@ -86,6 +86,24 @@ def with_cutoffs(df: DataFrame, cuts: dict[str, float], samples: str = "samples"
                            **{n: num.sorted_percentile(samples, p) for n, p in cuts.items()}})
 
 
+def bin_counts(df: DataFrame, curve: str, n: str, name: str = "bins") -> DataFrame:
+    """Expected days in every whole-degree bin a curve touches, as an array."""
+
+    @F.pandas_udf("array<bigint>")
+    def count(curves: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for c, k in zip(curves, sizes):
+            x = np.array([p["x"] for p in c])
+            d = np.array([p["d"] for p in c])
+            at = np.arange(np.floor(x[0]), np.floor(x[-1]) + 1) + 0.5
+            v = np.interp(at, x, d)
+            v[(at <= x[0]) | (at >= x[-1])] = 0.0
+            out.append(np.floor(v * k + 0.5).astype("int64"))
+        return pd.Series(out)
+
+    return df.withColumn(name, count(curve, F.col(n).cast("double")))
+
+
 def mixture(df: DataFrame, group: list[str], curve: str, points: int = 200, name: str = "distribution") -> DataFrame:
     """Unweighted mean of the curves of a group on the union of their ranges.
 
