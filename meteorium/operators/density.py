@@ -17,16 +17,17 @@ from pyspark.sql import types as T
 
 from ..functions import numeric as num
 
-CURVE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("d", T.DoubleType())]))
+POINTS = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("d", T.ArrayType(T.DoubleType()))])
 
 
-def _as_curve(name: str, body) -> F.udf:
-    @F.pandas_udf(CURVE)
-    def curve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for samples in batches:
-            yield pd.Series([
-                [{"x": float(x), "d": float(d)} for x, d in zip(*body(np.asarray(s, dtype=float)))] for s in samples])
-    return curve
+def _add_curve(df: DataFrame, samples: str, name: str, body) -> DataFrame:
+    @F.pandas_udf(POINTS)
+    def curve(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            made = [body(np.asarray(s, dtype=float)) for s in values]
+            yield pd.DataFrame({"x": [m[0] for m in made], "d": [m[1] for m in made]})
+    return (df.withColumn("_p", curve(F.col(samples)))
+            .withColumn(name, F.arrays_zip(F.col("_p")["x"].alias("x"), F.col("_p")["d"].alias("d"))).drop("_p"))
 
 
 def gaussian_points(s: np.ndarray, points: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +66,19 @@ def histogram_points(s: np.ndarray, step: float = 0.1, pad: float = 2.0,
 
 def gaussian_curve(df: DataFrame, samples: str = "samples", name: str = "distribution", points: int = 200) -> DataFrame:
     """Gaussian kernel curve: bandwidth sd * n^(-1/5), grid padded by max(5 % of the range, 0.5)."""
-    return df.withColumn(name, _as_curve(name, lambda s: gaussian_points(s, points))(F.col(samples)))
+    return _add_curve(df, samples, name, lambda s: gaussian_points(s, points))
 
 
 def epanechnikov_curve(df: DataFrame, samples: str = "samples", name: str = "distribution",
                        points: int = 100) -> DataFrame:
     """Epanechnikov curve: bandwidth 1.06 sd n^(-1/5), grid padded by 10 % of the range."""
-    return df.withColumn(name, _as_curve(name, lambda s: epanechnikov_points(s, points))(F.col(samples)))
+    return _add_curve(df, samples, name, lambda s: epanechnikov_points(s, points))
 
 
 def histogram_curve(df: DataFrame, samples: str = "samples", name: str = "distribution", step: float = 0.1,
                     pad: float = 2.0, bounds: tuple[float, float] = (0.2, 2.5)) -> DataFrame:
     """Epanechnikov curve with bandwidth 2 IQR / n^(1/3) held inside ``bounds``, scaled to counts."""
-    return df.withColumn(name, _as_curve(name, lambda s: histogram_points(s, step, pad, bounds))(F.col(samples)))
+    return _add_curve(df, samples, name, lambda s: histogram_points(s, step, pad, bounds))
 
 
 def with_cutoffs(df: DataFrame, cuts: dict[str, float], samples: str = "samples") -> DataFrame:
@@ -90,18 +91,16 @@ def bin_counts(df: DataFrame, curve: str, n: str, name: str = "bins") -> DataFra
     """Expected days in every whole-degree bin a curve touches, as an array."""
 
     @F.pandas_udf("array<bigint>")
-    def count(curves: pd.Series, sizes: pd.Series) -> pd.Series:
+    def count(xs: pd.Series, ds: pd.Series, sizes: pd.Series) -> pd.Series:
         out = []
-        for c, k in zip(curves, sizes):
-            x = np.array([p["x"] for p in c])
-            d = np.array([p["d"] for p in c])
+        for x, d, k in zip(xs, ds, sizes):
             at = np.arange(np.floor(x[0]), np.floor(x[-1]) + 1) + 0.5
             v = np.interp(at, x, d)
             v[(at <= x[0]) | (at >= x[-1])] = 0.0
             out.append(np.floor(v * k + 0.5).astype("int64"))
         return pd.Series(out)
 
-    return df.withColumn(name, count(curve, F.col(n).cast("double")))
+    return df.withColumn(name, count(F.col(curve)["x"], F.col(curve)["d"], F.col(n).cast("double")))
 
 
 def mixture(df: DataFrame, group: list[str], curve: str, points: int = 200, name: str = "distribution") -> DataFrame:
@@ -115,11 +114,9 @@ def mixture(df: DataFrame, group: list[str], curve: str, points: int = 200, name
                                       F.max(F.element_at(curve, -1)["x"]).alias("_hi"))
 
     @F.pandas_udf("array<double>")
-    def resample(curves: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    def resample(xs: pd.Series, ds: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
         out = []
-        for c, a, b in zip(curves, lo, hi):
-            x = np.array([p["x"] for p in c])
-            d = np.array([p["d"] for p in c])
+        for x, d, a, b in zip(xs, ds, lo, hi):
             grid = a + (b - a) * np.arange(points) / (points - 1)
             vals = np.interp(grid, x, d)
             vals[(grid <= x[0]) | (grid >= x[-1])] = 0.0
@@ -127,7 +124,7 @@ def mixture(df: DataFrame, group: list[str], curve: str, points: int = 200, name
         return pd.Series(out)
 
     sampled = (usable.join(ends, group)
-               .select(*group, "_lo", "_hi", F.posexplode(resample(curve, "_lo", "_hi")).alias("_i", "_d")))
+               .select(*group, "_lo", "_hi", F.posexplode(resample(F.col(curve)["x"], F.col(curve)["d"], "_lo", "_hi")).alias("_i", "_d")))
     mean = (sampled.groupBy(*group, "_i").agg(F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
                                               F.avg("_d").alias("d"))
             .withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / (points - 1)))
