@@ -26,7 +26,7 @@ def normal_cdf(spark, d):
 def normal_quantile(spark, d):
     p = ((F.col("l_partkey") % 9999) + 0.5) / 10000
     o = observations(spark, d).select(p.alias("p")).distinct()
-    return o.select("p", num.norm_ppf("p").alias("z"), num.norm_cdf(num.norm_ppf("p")).alias("back"))
+    return o.withColumn("z", num.norm_ppf("p")).withColumn("back", num.norm_cdf("z"))
 
 
 def season_categories(spark, d):

@@ -81,10 +81,10 @@ def fit_series(balances: DataFrame, group: list[str], value: str, baseline: Colu
             .select(*group, "shift", "_f.*"))
 
 
-def index_value(balance: Column, shift: Column, shape: Column, scale: Column) -> Column:
+def probability(balance: Column, shift: Column, shape: Column, scale: Column) -> Column:
+    """Clipped log-logistic distribution function of a balance."""
     x = F.greatest(balance - shift, F.lit(1e-9))
-    p = num.clamp(1 / (1 + F.pow(x / scale, -shape)), 1e-6, 1 - 1e-6)
-    return num.clamp(num.norm_ppf(p), -3.0, 3.0)
+    return num.clamp(1 / (1 + F.pow(x / scale, -shape)), 1e-6, 1 - 1e-6)
 
 
 def standardise(balances: DataFrame, group: list[str], value: str, baseline: Column, name: str = "spei",
@@ -92,6 +92,7 @@ def standardise(balances: DataFrame, group: list[str], value: str, baseline: Col
     """Add the index to every balance; series whose fit failed are left out."""
     fits = fit_series(balances, group, value, baseline, min_baseline)
     good = fits.filter(F.col("shape").isNotNull() & ~F.isnan("shape"))
+    # the probability is its own column: the quantile polynomial reads it many times
     return (balances.join(good, group)
-            .withColumn(name, index_value(F.col(value), F.col("shift"), F.col("shape"), F.col("scale")))
-            .drop("shift", "shape", "scale"))
+            .withColumn("_p", probability(F.col(value), F.col("shift"), F.col("shape"), F.col("scale")))
+            .withColumn(name, num.clamp(num.norm_ppf("_p"), -3.0, 3.0)).drop("shift", "shape", "scale", "_p"))
