@@ -56,9 +56,9 @@ def span_rules(spark, d):
 
 
 def color_rules(spark, d):
-    """Category and colour must agree; the colours of hot seasons are swapped on purpose."""
+    """Category and colour must agree; the colours of some normal seasons are swapped on purpose."""
     r = seasons.with_season_category(seasons.rank_seasons(_seasons(spark, d), ["entity", "x"], "avg", F.col("y").between(1996, 1999)))
-    r = r.withColumn("color", F.when((F.col("cat") == "hot") & (F.col("y") % 2 == 0), F.lit("#ffffff")).otherwise(F.col("color")))
+    r = r.withColumn("color", F.when((F.col("cat") == "normal") & (F.col("y") % 2 == 0), F.lit("#ffffff")).otherwise(F.col("color")))
     return q.row_violations(r, "season", ["entity", "x", "y"], [q.maps_to("cat", "color", cat.SEASON_COLORS)]).select("rule", "key", "value")
 
 
@@ -158,7 +158,7 @@ QUERIES = {
     "span_rules": (span_rules, f"""WITH {OBS}, y AS (SELECT min(year(day)) AS a, max(year(day)) AS b, count(DISTINCT year(day)) AS n, count(*) AS s FROM obs GROUP BY l_suppkey, entity, l_linenumber), v AS (
       SELECT 'year_order' AS rule, 'year_min' AS "column" FROM y WHERE a >= b UNION ALL SELECT 'year_span', 'n_years' FROM y WHERE n <> b - a + 1
       UNION ALL SELECT 'at_least', 'n_samples' FROM y WHERE s < 30 UNION ALL SELECT 'rank_total', 'rank' FROM y WHERE s % 9 > n) SELECT rule, "column", count(*) AS n FROM v GROUP BY ALL"""),
-    "color_rules": (color_rules, RANKED + """ SELECT 'maps_to' AS rule, entity || '/' || x || '/' || y AS key, '#ffffff' AS value FROM r3 WHERE cat = 'hot' AND y % 2 = 0"""),
+    "color_rules": (color_rules, RANKED + """ SELECT 'maps_to' AS rule, entity || '/' || x || '/' || y AS key, '#ffffff' AS value FROM r3 WHERE cat = 'normal' AND y % 2 = 0"""),
     "implied_ranges": (implied_ranges, """SELECT CASE WHEN l_returnflag = 'A' THEN 'days' ELSE 'nights' END AS key, count(*) AS n FROM lineitem
       WHERE (l_returnflag = 'A' AND l_quantity NOT BETWEEN 25 AND 35) OR (l_returnflag <> 'A' AND l_quantity NOT BETWEEN 15 AND 25) GROUP BY ALL"""),
     "count_matches": (count_matches, """SELECT 'positive_count_matches' AS rule, l_suppkey::VARCHAR AS key, (count(DISTINCT year(l_shipdate)) - 1)::VARCHAR AS value FROM lineitem

@@ -56,19 +56,26 @@ def two_sided_p(z: str | Column) -> Column:
     return 2 * norm_cdf(-F.abs(_c(z)))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once inside an expression that reads it many times (keeps generated code small)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_ppf(p: str | Column) -> Column:
     """Standard normal quantile; null outside (0, 1)."""
-    v = _c(p).cast("double")
-    q = v - 0.5
-    r1 = F.lit(0.180625) - q * q
-    center = q * _horner(PPF_A[::-1], r1) / _horner(PPF_B[::-1], r1)
-    r2 = F.sqrt(-F.log(F.when(q < 0, v).otherwise(1 - v)))
-    near, far = r2 - 1.6, r2 - 5.0
-    side = F.when(r2 <= 5, _horner(PPF_C[::-1], near) / _horner(PPF_D[::-1], near)).otherwise(
-        _horner(PPF_E[::-1], far) / _horner(PPF_F[::-1], far))
-    return (F.when((v <= 0) | (v >= 1), F.lit(None).cast("double"))
-            .when(F.abs(q) <= 0.425, center)
-            .otherwise(F.when(q < 0, -side).otherwise(side)))
+    def tail(r: Column) -> Column:
+        near, far = r - 1.6, r - 5.0
+        return F.when(r <= 5, _horner(PPF_C[::-1], near) / _horner(PPF_D[::-1], near)).otherwise(
+            _horner(PPF_E[::-1], far) / _horner(PPF_F[::-1], far))
+
+    def value(v: Column) -> Column:
+        q = v - 0.5
+        center = _let(F.lit(0.180625) - q * q, lambda r: q * _horner(PPF_A[::-1], r) / _horner(PPF_B[::-1], r))
+        side = _let(F.sqrt(-F.log(F.when(q < 0, v).otherwise(1 - v))), tail)
+        return (F.when((v <= 0) | (v >= 1), F.lit(None).cast("double")).when(F.abs(q) <= 0.425, center)
+                .otherwise(F.when(q < 0, -side).otherwise(side)))
+
+    return _let(_c(p).cast("double"), value)
 
 
 def clamp(x: str | Column, low: float, high: float) -> Column:
