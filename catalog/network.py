@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meteorium.plans import climatology
 from meteorium.plans.climatology import Settings
 from meteorium.sources import readers
 
 from .inputs import OBS, observations, table
 
+# A lapse rate that is a binary fraction keeps the readings exact, so sums do not depend on their order and published
+# roundings agree between engines even on ties.
+RATE = 1 / 128
 SETTINGS = Settings(baseline=(1996, 1999), drought_baseline=(1995, 1999), trend_start=1995, projection_end=2050, min_years_percentiles=5,
                     min_samples_window=50, min_years_trend=5, min_series_years=5)
 
@@ -34,9 +38,13 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def data(spark: SparkSession, d: str) -> DataFrame:
-    return readers.station_rows(raw(spark, d), ["era5", "era5t"], F.to_date(F.lit("2030-01-01")))
+    return readers.station_rows(raw(spark, d), ["era5", "era5t"], F.to_date(F.lit("2030-01-01")), rate=RATE)
+
+
+def days(spark: SparkSession, d: str) -> DataFrame:
+    return climatology.days(data(spark, d))
 
 
 NETWORK = OBS + """, net AS (SELECT n_name AS location, n_nationkey * 4.0::DOUBLE AS diff, n_nationkey AS nk, day, max(value) AS mx, min(value) AS mn, avg(value) AS me,
    sum(qty) / 64 AS p, sum(disc) / 16 AS e FROM obs JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
- stn AS (SELECT location, CASE WHEN nk % 3 <> 0 THEN nk END AS station_id, day, mx + diff * 0.0065 AS tmax, mn + diff * 0.0065 AS tmin, me + diff * 0.0065 AS tmean, p, e FROM net)"""
+ stn AS (SELECT location, CASE WHEN nk % 3 <> 0 THEN nk END AS station_id, day, mx + diff * 0.0078125::DOUBLE AS tmax, mn + diff * 0.0078125::DOUBLE AS tmin, me + diff * 0.0078125::DOUBLE AS tmean, p, e FROM net)"""

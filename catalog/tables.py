@@ -21,11 +21,11 @@ def station_daily(spark, d):
 
 
 def station_percentiles(spark, d):
-    return plan.daily_percentiles(network.data(spark, d), network.stations(spark, d), SETTINGS)
+    return plan.daily_percentiles(network.days(spark, d), network.stations(spark, d), SETTINGS)
 
 
 def station_windows(spark, d):
-    w = plan.daily_window(network.data(spark, d), network.stations(spark, d), SETTINGS)
+    w = plan.daily_window(network.days(spark, d), network.stations(spark, d), SETTINGS)
     return w.withColumns({"points": F.size("distribution"), "x_first": F.element_at("distribution", 1)["x"],
                           "x_last": F.element_at("distribution", -1)["x"]}).drop("distribution")
 
@@ -35,45 +35,46 @@ TREND_COLUMNS = ["era5_name", "station_id", "variable", "month", "day", "day_lab
 
 
 def station_trends(spark, d):
-    return plan.annual_trend(network.data(spark, d), network.stations(spark, d), SETTINGS).select(*TREND_COLUMNS)
+    return plan.annual_trend(network.days(spark, d), network.stations(spark, d), SETTINGS).select(*TREND_COLUMNS)
 
 
 def station_trend_windows(spark, d):
-    t = plan.annual_trend_windows(network.data(spark, d), network.stations(spark, d), SETTINGS)
+    t = plan.annual_trend_windows(network.days(spark, d), network.stations(spark, d), SETTINGS)
     return t.select("era5_name", "variable", "month", "day", "window", "slope", "p_val", "n_years")
 
 
 def station_seasons(spark, d):
-    return plan.season_heatmap(network.data(spark, d), network.stations(spark, d), SETTINGS)
+    return plan.season_heatmap(network.days(spark, d), network.stations(spark, d), SETTINGS)
 
 
 def station_threshold_days(spark, d):
-    t = plan.tropical(network.data(spark, d), network.stations(spark, d), SETTINGS, 2001)
+    t = plan.tropical(network.days(spark, d), network.stations(spark, d), SETTINGS, 2001)
     return t.select("era5_name", "kind", "threshold", "streak", "nonzero_count", F.posexplode(F.arrays_zip("years", "counts")).alias("i", "z")).select(
         "era5_name", "kind", "threshold", "streak", "nonzero_count", F.col("z")["years"].alias("year"), F.col("z")["counts"].alias("count"))
 
 
 def station_threshold_trends(spark, d):
-    t = plan.tropical(network.data(spark, d), network.stations(spark, d), SETTINGS, 2001)
+    t = plan.tropical(network.days(spark, d), network.stations(spark, d), SETTINGS, 2001)
     return t.select("era5_name", "station_id", "kind", "threshold", "streak", "nonzero_count", "fit_ok", F.to_json("trend").alias("trend"))
 
 
 def network_drought(spark, d):
-    return plan.drought_heatmap(network.data(spark, d), SETTINGS)
+    return plan.drought_heatmap(network.days(spark, d), SETTINGS)
 
 
 def network_drought_balance(spark, d):
-    return plan.drought_heatmap(network.data(spark, d), SETTINGS).select("x", "y", "balance", "rank", "total", "season", "n_days")
+    return plan.drought_heatmap(network.days(spark, d), SETTINGS).select("x", "y", "balance", "rank", "total", "season", "n_days")
 
 
 def station_drought(spark, d):
-    return plan.drought_series(network.data(spark, d), network.stations(spark, d), SETTINGS)
+    return plan.drought_series(network.days(spark, d), network.stations(spark, d), SETTINGS)
 
 
 def published_tables(spark, d):
     """Derived tables written after a clean report and counted from the written files."""
     data, st = network.data(spark, d), network.stations(spark, d)
-    made = {"daily": plan.daily(data, st), "daily_percentiles": plan.daily_percentiles(data, st, SETTINGS), "season_heatmap": plan.season_heatmap(data, st, SETTINGS)}
+    per_day = network.days(spark, d)
+    made = {"daily": plan.daily(data, st), "daily_percentiles": plan.daily_percentiles(per_day, st, SETTINGS), "season_heatmap": plan.season_heatmap(per_day, st, SETTINGS)}
     root = session.scratch_path(spark, "published")
     sinks.publish(made, quality.unique_key(made["season_heatmap"], "season_heatmap", ["era5_name", "x", "y"]), root)
     return sinks.inventory({n: spark.read.parquet(f"{root}/{n}") for n in made})
@@ -91,7 +92,7 @@ def raw_report(spark, d):
 def table_report(spark, d):
     """All rules of three derived tables, counted."""
     data, st = network.data(spark, d), network.stations(spark, d)
-    tables = {"stations": st, "daily": plan.daily(data, st), "season_heatmap": plan.season_heatmap(data, st, SETTINGS)}
+    tables = {"stations": st, "daily": plan.daily(data, st), "season_heatmap": plan.season_heatmap(network.days(spark, d), st, SETTINGS)}
     names = [f"NATION_{i}" for i in range(25)]
     config = st.select("era5_name", "lat", "lon", "elevation", "elevation_era5_m")
     return quality.summary(validation.table_violations(tables, config, names, (1995, 2001)))

@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def runs(daily: DataFrame, entity: list[str], date: str, values: dict[str, tuple[str, list[float]]]) -> DataFrame:
+def runs(daily: DataFrame, entity: list[str], date: str, values: dict[str, tuple[str, list[float]]],
+         mark_years: bool = False) -> DataFrame:
     """Days above each threshold with the length of the run of consecutive rows they belong to.
 
     ``values`` maps a kind to (column, thresholds).  Only days above a threshold leave the entity's ordered scan; the
     run of a day is the difference between its row number among all days and among the qualifying days.
     Output per run and year: entity, kind, threshold, year, days (of the run in that year), run_length.
+    ``mark_years`` adds one row with a null kind for every entity and year that has any day.
     """
     line = Window.partitionBy(*entity).orderBy(date)
-    numbered = daily.withColumn("_rn", F.row_number().over(line))
-    cells = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(float(t)).alias("threshold"),
-                               F.col(column).cast("double").alias("v"))
-                      for kind, (column, thresholds) in values.items() for t in thresholds])
-    hot = (numbered.select(*entity, F.year(date).alias("year"), "_rn",
-                           F.explode(F.filter(cells, lambda c: c["v"] > c["threshold"])).alias("_c"))
+    numbered = daily.withColumn("_rn", F.row_number().over(line)).withColumn("_y", F.year(date))
+    numbered = numbered.withColumn("_new", ~F.lag("_y").over(line).eqNullSafe(F.col("_y")))
+    cells = [F.when(F.col(column) > t, F.struct(F.lit(kind).alias("kind"), F.lit(float(t)).alias("threshold")))
+             for kind, (column, thresholds) in values.items() for t in thresholds]
+    if mark_years:
+        cells.append(F.when(F.col("_new"), F.struct(F.lit(None).cast("string").alias("kind"),
+                                                    F.lit(None).cast("double").alias("threshold"))))
+    hot = (numbered.select(*entity, F.col("_y").alias("year"), "_rn",
+                           F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("_c"))
            .select(*entity, "year", "_rn", F.col("_c")["kind"].alias("kind"), F.col("_c")["threshold"].alias("threshold")))
     group = [*entity, "kind", "threshold"]
     place = F.row_number().over(Window.partitionBy(*group).orderBy("_rn"))
@@ -35,23 +40,31 @@ def runs(daily: DataFrame, entity: list[str], date: str, values: dict[str, tuple
 
 def threshold_counts(daily: DataFrame, entity: list[str], date: str, values: dict[str, tuple[str, list[float]]],
                      streaks: list[int]) -> DataFrame:
-    """Days per year above each threshold in runs of at least each streak, zero-filled over the entity's years."""
-    found = runs(daily, entity, date, values)
-    group = [*entity, "kind", "threshold", "year"]
-    per = found.groupBy(*group).agg(*[
-        F.sum(F.when(F.col("run_length") >= k, F.col("days")).otherwise(0)).alias(f"_k{k}") for k in streaks])
+    """Days per year above each threshold in runs of at least each streak, zero-filled over the entity's years.
+
+    The daily rows are read once: the year markers travel with the runs, and years without any day are filled in from
+    the marker before them.
+    """
+    found = runs(daily, entity, date, values, mark_years=True)
+    per = found.groupBy(*entity, "year", "kind", "threshold").agg(*[
+        F.sum(F.when(F.col("run_length") >= k, F.col("days")).otherwise(0)).alias(f"k{k}") for k in streaks])
+    # at most one entry per threshold and year
+    packed = per.groupBy(*entity, "year").agg(F.collect_list(
+        F.when(F.col("kind").isNotNull(), F.struct("kind", "threshold", *[f"k{k}" for k in streaks]))).alias("_h"))
+    after = F.lead("year").over(Window.partitionBy(*entity).orderBy("year"))
+    filled = packed.withColumn("_next", F.coalesce(after - 1, F.col("year"))).withColumn(
+        "_y", F.explode(F.sequence("year", "_next")))
     grid = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(float(t)).alias("threshold"))
                      for kind, (_, ts) in values.items() for t in ts])
-    span = daily.groupBy(*entity).agg(F.min(F.year(date)).alias("_lo"), F.max(F.year(date)).alias("_hi"))
-    spine = (span.select(*entity, F.explode(F.sequence("_lo", "_hi")).alias("year"), F.lit(1).alias("_one"))
-             .select(*entity, "year", F.explode(grid).alias("_g"))
-             .select(*entity, F.col("_g")["kind"].alias("kind"), F.col("_g")["threshold"].alias("threshold"), "year"))
-    full = spine.join(per, group, "left")
-    cells = F.array(*[F.struct(F.lit(k).alias("streak"), F.coalesce(f"_k{k}", F.lit(0)).cast("bigint").alias("count"))
-                      for k in streaks])
-    return (full.select(*group, F.explode(cells).alias("_s"))
-            .select(*entity, "kind", "threshold", F.col("_s")["streak"].alias("streak"), "year",
-                    F.col("_s")["count"].alias("count")))
+    own = F.when(F.col("_y") == F.col("year"), F.col("_h"))
+    cells = filled.select(*entity, F.col("_y").alias("year"), own.alias("_h"), F.explode(grid).alias("_g"))
+    hit = F.get(F.filter("_h", lambda h: (h["kind"] == F.col("_g")["kind"]) & (h["threshold"] == F.col("_g")["threshold"])), F.lit(0))
+    with_hit = cells.withColumn("_hit", hit)
+    counts = F.array(*[F.struct(F.lit(k).alias("streak"), F.coalesce(F.col("_hit")[f"k{k}"], F.lit(0)).cast("bigint").alias("count"))
+                       for k in streaks])
+    return (with_hit.select(*entity, F.col("_g")["kind"].alias("kind"), F.col("_g")["threshold"].alias("threshold"), "year",
+                            F.explode(counts).alias("_s"))
+            .select(*entity, "kind", "threshold", F.col("_s")["streak"].alias("streak"), "year", F.col("_s")["count"].alias("count")))
 
 
 def streak_days(daily: DataFrame, entity: list[str], date: str, value: str, threshold: float, streak: int) -> DataFrame:

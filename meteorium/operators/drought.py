@@ -69,16 +69,19 @@ def _fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def fit_series(balances: DataFrame, group: list[str], value: str, baseline: Column, min_baseline: int = 5) -> DataFrame:
-    """Shift, shape and scale per series; calibrated on the baseline years when there are at least ``min_baseline``.
+    """One row per series: its rows as an array, and shift, shape and scale of the fit.
 
-    A series holds one balance per year, so its array is bounded by the calendar.
+    The fit uses the baseline years when there are at least ``min_baseline`` of them, else all years.  A series holds
+    one balance per year, so the array is bounded by the calendar.
     """
-    sets = balances.groupBy(*group).agg(F.collect_list(F.when(baseline, F.col(value))).alias("_b"),
-                                        F.collect_list(value).alias("_a"))
-    used = sets.withColumn("_u", F.sort_array(F.when(F.size("_b") >= min_baseline, F.col("_b")).otherwise(F.col("_a"))))
+    rest = [c for c in balances.columns if c not in group]
+    sets = balances.groupBy(*group).agg(F.collect_list(F.struct(*rest)).alias("_rows"),
+                                        F.collect_list(F.when(baseline, F.col(value))).alias("_b"))
+    everything = F.transform("_rows", lambda r: r[value])
+    used = sets.withColumn("_u", F.sort_array(F.when(F.size("_b") >= min_baseline, F.col("_b")).otherwise(everything)))
     shifted = used.withColumn("shift", F.array_min("_u") - 1e-6)
     return (shifted.withColumn("_f", _fit(F.transform("_u", lambda x: x - F.col("shift"))))
-            .select(*group, "shift", "_f.*"))
+            .select(*group, "_rows", "shift", "_f.*"))
 
 
 def probability(balance: Column, shift: Column, shape: Column, scale: Column) -> Column:
@@ -92,7 +95,8 @@ def standardise(balances: DataFrame, group: list[str], value: str, baseline: Col
     """Add the index to every balance; series whose fit failed are left out."""
     fits = fit_series(balances, group, value, baseline, min_baseline)
     good = fits.filter(F.col("shape").isNotNull() & ~F.isnan("shape"))
+    rows = good.select(*group, "shift", "shape", "scale", F.inline("_rows"))
     # the probability is its own column: the quantile polynomial reads it many times
-    return (balances.join(good, group)
-            .withColumn("_p", probability(F.col(value), F.col("shift"), F.col("shape"), F.col("scale")))
-            .withColumn(name, num.clamp(num.norm_ppf("_p"), -3.0, 3.0)).drop("shift", "shape", "scale", "_p"))
+    indexed = (rows.withColumn("_p", probability(F.col(value), F.col("shift"), F.col("shape"), F.col("scale")))
+               .withColumn(name, num.clamp(num.norm_ppf("_p"), -3.0, 3.0)))
+    return indexed.select(*balances.columns, name)

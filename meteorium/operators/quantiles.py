@@ -35,13 +35,12 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, cuts: dict[st
     4. running counts inside those buckets only give the two order statistics to interpolate.
     """
     v = F.col(value).cast("double")
-    counted = (df.filter(v.isNotNull()).groupBy(*group, v.alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
+    counted = materialize(df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     inner = [i / buckets for i in range(1, buckets)]
-    splits = counted.groupBy(*group).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in inner]), 4 * buckets).alias("_s"))
-    joined = counted.join(splits, group)
-    bucketed = materialize(joined.withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s"))
+    # sketches merge in any order, so the splitters are fixed once before several plans read them
+    splits = materialize(counted.groupBy(*group).agg(
+        F.percentile_approx("_v", F.array(*[F.lit(p) for p in inner]), 4 * buckets).alias("_s")))
+    bucketed = counted.join(splits, group).withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
 
     sums = bucketed.groupBy(*group, "_b").agg(F.sum("_n").alias("_t"))
     by_bucket = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

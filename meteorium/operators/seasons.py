@@ -11,10 +11,13 @@ from . import quantiles
 
 
 def _complete(agg: DataFrame, scope: list[str], end: Column) -> DataFrame:
-    """Periods whose last day is not after the last data day of their scope ([] is the whole table)."""
+    """Periods whose last day is not after the last data day of their scope ([] is the whole table).
+
+    A scope holds a few rows per year, so the window that finds its last day is small and needs no second pass.
+    """
     if not scope:
         return agg.filter(end <= agg.agg(F.max("_max")).scalar())
-    return agg.join(agg.groupBy(*scope).agg(F.max("_max").alias("_last")), scope).filter(end <= F.col("_last"))
+    return agg.withColumn("_last", F.max("_max").over(Window.partitionBy(*scope))).filter(end <= F.col("_last"))
 
 
 def season_aggregate(daily: DataFrame, entity: list[str], date: str, value: Column, name: str,

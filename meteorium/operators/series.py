@@ -26,14 +26,6 @@ def with_calendar(df: DataFrame, date: str) -> DataFrame:
     return df.withColumns({"year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d)})
 
 
-def yearly_counts(df: DataFrame, entity: list[str], year: str, counts: dict[str, Column]) -> DataFrame:
-    """Counts per entity and year with a zero row for every year inside the entity's span."""
-    have = df.groupBy(*entity, year).agg(*[c.alias(n) for n, c in counts.items()])
-    span = have.groupBy(*entity).agg(F.min(year).alias("_lo"), F.max(year).alias("_hi"))
-    spine = span.select(*entity, F.explode(F.sequence("_lo", "_hi")).alias(year))
-    return spine.join(have, [*entity, year], "left").na.fill(0, list(counts))
-
-
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The row that arrived last per key.
 

@@ -109,18 +109,21 @@ def _score(s: Column, variance: Column) -> Column:
     return F.when(variance > 0, shifted / F.sqrt(variance))
 
 
-def robust_trend(series: DataFrame, min_points: int = 10) -> DataFrame:
+def robust_trend(series: DataFrame, min_points: int = 10, drop_short: bool = True) -> DataFrame:
     """Add line, interval, Mann-Kendall (``z_mk``, ``p_mk``) and Yue-Wang (``z_yw``, ``p_yw``) columns.
 
-    Groups with fewer points are dropped.  A corrected variance that is not positive gives a null score.
+    Groups with fewer points are dropped, or kept with null columns.  A corrected variance that is not positive gives a
+    null score.
     """
-    fit = series.filter(F.size("xs") >= max(min_points, 2)).withColumn("_f", _robust_fit("xs", "ys"))
-    keep = [c for c in series.columns]
-    wide = fit.select(*keep, "_f.*")
+    enough = F.size("xs") >= max(min_points, 2)
+    rows = series.filter(enough) if drop_short else series
+    fit = rows.withColumn("_f", _robust_fit("xs", "ys"))
+    wide = fit.select(*series.columns, F.col("_f")["n"].alias("n"),
+                      *[F.when(enough, F.nanvl(F.col("_f")[c], F.lit(None))).alias(c) for c in FIT_COLUMNS])
     wide = wide.withColumns({"z_mk": _score(F.col("s"), F.col("var_s")),
-                             "z_yw": _score(F.col("s"), F.col("var_s") * F.nanvl("correction", F.lit(None)))})
-    return wide.withColumns({"p_mk": num.two_sided_p("z_mk"), "p_yw": num.two_sided_p("z_yw"),
-                             "verdict": cat.trend_verdict("z_mk", num.two_sided_p("z_mk"))})
+                             "z_yw": _score(F.col("s"), F.col("var_s") * F.col("correction"))})
+    wide = wide.withColumns({"p_mk": num.two_sided_p("z_mk"), "p_yw": num.two_sided_p("z_yw")})
+    return wide.withColumn("verdict", F.when(enough, cat.trend_verdict("z_mk", "p_mk")))
 
 
 def least_squares(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

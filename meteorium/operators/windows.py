@@ -8,12 +8,25 @@ frames over it: one shuffle of the unmultiplied daily table serves all half-widt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 
 
+def _fill(df: DataFrame, entity: list[str], at: str, line, first: Column, last: Column, values: list[str]) -> DataFrame:
+    """Insert the missing integer positions of each entity between ``first`` and ``last``, with null values.
+
+    Every row stretches to the position before the next row (the first and last one also to the ends), so the gaps are
+    filled without building a second table of positions and joining it.
+    """
+    before, after = F.lag(at).over(line), F.lead(at).over(line)
+    begin = F.when(before.isNull(), first).otherwise(F.col(at))
+    end = F.when(after.isNull(), last).otherwise(after - 1)
+    spread = df.withColumns({"_begin": begin, "_end": end}).withColumn("_at", F.explode(F.sequence("_begin", "_end")))
+    return spread.select(*entity, F.col("_at").alias(at), *[F.when(F.col("_at") == F.col(at), F.col(v)).alias(v) for v in values])
+
+
 def window_years(daily: DataFrame, entity: list[str], date: str, measures: dict[str, str],
                  halves: list[int]) -> DataFrame:
     """Mean or sum of each measure per (entity, half-width, slot, window year).
@@ -29,10 +42,9 @@ def window_years(daily: DataFrame, entity: list[str], date: str, measures: dict[
                 *[F.sum(F.col(m).cast("double")).alias(f"_s_{m}") for m in names],
                 *[F.count(m).alias(f"_c_{m}") for m in names]))
     reach = max(halves)
-    span = per.groupBy(*entity).agg((F.min("_a") - reach).alias("_lo"), (F.max("_a") + reach).alias("_hi"))
-    dense = (span.select(*entity, F.explode(F.sequence("_lo", "_hi")).alias("_a"))
-             .join(per, [*entity, "_a"], "left"))
     line = Window.partitionBy(*entity).orderBy("_a")
+    sums = [c for c in per.columns if c not in (*entity, "_a")]
+    dense = _fill(per, entity, "_a", line, F.col("_a") - reach, F.col("_a") + reach, sums)
     blocks = []
     for h in halves:
         w = line.rowsBetween(-h, h)
@@ -57,10 +69,9 @@ def pooled_samples(daily: DataFrame, entity: list[str], date: str, value: str, h
     array length is bounded by (2 * half + 1) * years because ``daily`` holds one row per entity and day.
     """
     per = daily.groupBy(*entity, cal.slot(date).alias("slot")).agg(F.collect_list(value).alias("_v"))
-    empty = F.array().cast("array<double>")
-    spine = (per.select(*entity).distinct()
-             .select(*entity, cal.all_slots().alias("slot")))
-    full = spine.join(per, [*entity, "slot"], "left").withColumn("_v", F.coalesce("_v", empty))
+    line = Window.partitionBy(*entity).orderBy("slot")
+    full = _fill(per, entity, "slot", line, F.lit(1), F.lit(cal.SLOTS), ["_v"]).withColumn(
+        "_v", F.coalesce("_v", F.array().cast("array<double>")))
     shifts = F.array(F.lit(0), F.when(F.col("slot") <= half, 365), F.when(F.col("slot") > 365 - half, -365))
     ring = (full.withColumn("_k", F.explode(F.filter(shifts, lambda k: k.isNotNull())))
             .withColumn("_p", F.col("slot") + F.col("_k")))

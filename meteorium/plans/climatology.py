@@ -1,7 +1,8 @@
 """The derived tables of a station network, from lapse-corrected daily rows.
 
-``data`` is the output of ``sources.readers.station_rows``: one row per station and day.  Each builder starts with the
-daily roll-up, so repeated rows of a day or a hot station are combined before anything is ordered.  Station lookups
+``data`` is the output of ``sources.readers.station_rows``.  ``days(data)`` reduces it to one row per station and day, so
+repeated rows of a day or a hot station are combined before anything is ordered; the builders start from that small table.
+``all_tables`` writes it to the shared checkpoint folder once, so the raw rows are read once for all tables.  Station lookups
 join against the station dimension; Spark broadcasts it while its measured size is below the session's threshold and
 shuffles otherwise.
 """
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import categories as cat
 from ..functions import numeric as num
 from ..functions import text as txt
+from ..session import materialize
 from ..operators import counts, density, drought, quantiles, seasons, series, trends, windows
 
 # Measured variables, how each one accumulates over a window, and the percentile cut-offs.
@@ -67,7 +69,7 @@ def _ids(stations: DataFrame) -> DataFrame:
     return stations.select(F.col("era5_name").alias("location"), "station_id")
 
 
-def _daily(data: DataFrame) -> DataFrame:
+def days(data: DataFrame) -> DataFrame:
     """One row per station and day; duplicates of a day are averaged (maximum for the window table's sample)."""
     return series.daily_rollup(data, ["location"], "date", {
         "temperature_mean": F.avg("temperature_mean_corr"), "temperature_max": F.avg("temperature_max_corr"),
@@ -84,19 +86,17 @@ def daily(data: DataFrame, stations: DataFrame) -> DataFrame:
         r("max").alias("temperature_max_2m"), r("mean").alias("temperature_average_2m"), r("min").alias("temperature_min_2m"))
 
 
-def daily_percentiles(data: DataFrame, stations: DataFrame, s: Settings = Settings(), label_year: int = 2025) -> DataFrame:
+def daily_percentiles(per_day: DataFrame, stations: DataFrame, s: Settings = Settings(), label_year: int = 2025) -> DataFrame:
     """Percentiles over years of the window mean, per mapped station and slot."""
     mapped = _ids(stations).filter(F.col("station_id").isNotNull())
-    per_day = _daily(data).join(mapped, "location")
-    years = windows.window_years(per_day, ["station_id"], "date", {"temperature_mean": "avg"}, [s.window_half])
+    years = windows.window_years(per_day.join(mapped, "location"), ["station_id"], "date", {"temperature_mean": "avg"}, [s.window_half])
     cut = quantiles.yearly_percentiles(years, ["station_id", "slot"], "temperature_mean", MEAN_CUTS, s.min_years_percentiles)
     return cut.select(F.date_format(cal.slot_date("slot", label_year), "yyyy-MM-dd").alias("date"), "station_id",
                       *[num.round_to(c, 2).alias(c) for c in MEAN_CUTS])
 
 
-def daily_window(data: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
+def daily_window(per_day: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Percentiles and density curve of the pooled daily maxima around each slot."""
-    per_day = _daily(data)
     pooled = windows.pooled_samples(per_day.filter(F.col("temperature_top").isNotNull()), ["location"], "date",
                                     "temperature_top", s.window_half)
     kept = pooled.filter(F.size("samples") >= s.min_samples_window)
@@ -109,12 +109,12 @@ def daily_window(data: DataFrame, stations: DataFrame, s: Settings = Settings())
                     "n_samples", "year_min", "year_max", rounded.alias("distribution")))
 
 
-def annual_trends(data: DataFrame, stations: DataFrame, halves: list[int], s: Settings = Settings()) -> DataFrame:
+def annual_trends(per_day: DataFrame, stations: DataFrame, halves: list[int], s: Settings = Settings()) -> DataFrame:
     """Robust trend of the yearly window value, per station, variable, half-width and slot.
 
     All variables and half-widths come from one windowed pass over the daily rows.
     """
-    years = windows.window_years(_daily(data), ["location"], "date", VARIABLES, halves)
+    years = windows.window_years(per_day, ["location"], "date", VARIABLES, halves)
     recent = years.filter(F.col("window_year") >= s.trend_start)
     long = recent.unpivot(["location", "half", "slot", "window_year"], list(VARIABLES), "variable", "value")
     group = ["location", "variable", "half", "slot"]
@@ -133,16 +133,16 @@ def annual_trends(data: DataFrame, stations: DataFrame, halves: list[int], s: Se
                     r("intercept_lo", 4).alias("intercept_lo"), scatter.alias("scatter"), F.col("half").alias("window")))
 
 
-def annual_trend(data: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
-    return annual_trends(data, stations, [s.window_half], s).drop("window")
+def annual_trend(per_day: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
+    return annual_trends(per_day, stations, [s.window_half], s).drop("window")
 
 
-def annual_trend_windows(data: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
-    return annual_trends(data, stations, list(s.exploration_halves), s)
+def annual_trend_windows(per_day: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
+    return annual_trends(per_day, stations, list(s.exploration_halves), s)
 
 
-def season_heatmap(data: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
-    per = seasons.season_aggregate(_daily(data), ["location"], "date", F.avg("temperature_max"), "avg", s.min_season_days)
+def season_heatmap(per_day: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
+    per = seasons.season_aggregate(per_day, ["location"], "date", F.avg("temperature_max"), "avg", s.min_season_days)
     ranked = seasons.rank_seasons(per.withColumn("avg", num.round_to("avg", 2)), ["location", "x"], "avg",
                                   F.col("y").between(*s.baseline))
     return (seasons.with_season_category(ranked).join(_ids(stations), "location", "left")
@@ -150,10 +150,10 @@ def season_heatmap(data: DataFrame, stations: DataFrame, s: Settings = Settings(
                     num.round_to("percentile", 1).alias("percentile"), "cat", "rank", "total", "color", "n_days"))
 
 
-def tropical(data: DataFrame, stations: DataFrame, s: Settings = Settings(), exclude_year: int | None = None) -> DataFrame:
+def tropical(per_day: DataFrame, stations: DataFrame, s: Settings = Settings(), exclude_year: int | None = None) -> DataFrame:
     """Threshold days and nights per year with their count regression."""
     kinds = {"days": ("temperature_max", DAY_THRESHOLDS), "nights": ("temperature_min", NIGHT_THRESHOLDS)}
-    per_year = counts.threshold_counts(_daily(data), ["location"], "date", kinds, STREAKS)
+    per_year = counts.threshold_counts(per_day, ["location"], "date", kinds, STREAKS)
     group = ["location", "kind", "threshold", "streak"]
     packed = (per_year.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("year", "count"))).alias("_s"))
               .select(*group, F.transform("_s", lambda p: p["year"]).alias("years"),
@@ -165,11 +165,10 @@ def tropical(data: DataFrame, stations: DataFrame, s: Settings = Settings(), exc
                     "trend", "fit_ok"))
 
 
-def drought_heatmap(data: DataFrame, s: Settings = Settings()) -> DataFrame:
+def drought_heatmap(per_day: DataFrame, s: Settings = Settings()) -> DataFrame:
     """National seasonal drought index of the mean water balance over all stations."""
-    per_day = _daily(data).groupBy("date").agg(
-        (F.avg("precipitation_sum") - F.avg("et0_evapotranspiration")).alias("balance"))
-    per = seasons.season_aggregate(per_day, [], "date", F.sum("balance"), "balance", s.min_season_days)
+    national = per_day.groupBy("date").agg((F.avg("precipitation_sum") - F.avg("et0_evapotranspiration")).alias("balance"))
+    per = seasons.season_aggregate(national, [], "date", F.sum("balance"), "balance", s.min_season_days)
     rounded = per.withColumn("balance", num.round_to("balance", 1))
     base = F.col("y").between(*s.drought_baseline)
     indexed = drought.standardise(rounded, ["x"], "balance", base)
@@ -178,34 +177,48 @@ def drought_heatmap(data: DataFrame, s: Settings = Settings()) -> DataFrame:
             .select("x", "y", num.round_to("spei", 2).alias("spei"), "balance", "cat", "rank", "total", "color", "season", "n_days"))
 
 
-def drought_series(data: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
+def drought_series(per_day: DataFrame, stations: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per station: four seasonal, one annual and twelve monthly index series with their trend."""
-    per_day = _daily(data).withColumn("balance", F.col("precipitation_sum") - F.col("et0_evapotranspiration"))
-    total = F.coalesce(F.sum("balance"), F.lit(0.0))
-    by_season = seasons.season_aggregate(per_day, ["location"], "date", total, "balance", s.min_season_days, last_per=[])
-    by_month = seasons.month_aggregate(per_day, ["location"], "date", total, "balance", s.min_month_days, last_per=[])
-    rows = by_season.unionByName(by_month).withColumnRenamed("season", "series")
+    balance = F.col("precipitation_sum") - F.col("et0_evapotranspiration")
+    months = per_day.groupBy("location", F.year("date").alias("_y"), F.month("date").alias("_m")).agg(
+        F.coalesce(F.sum(balance), F.lit(0.0)).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.max("date").alias("_max"))
+    last = months.agg(F.max("_max")).scalar()
+    # every month belongs to its own series and to a season; seasons add up three of these rows
+    month_name = F.element_at(F.array(*[F.lit(m) for m in cal.MONTHS]), F.col("_m"))
+    season = cal.season_index("_m")
+    season_year = (F.col("_y") + F.when(F.col("_m") == 12, 1).otherwise(0)).cast("int")
+    kinds = F.explode(F.array(
+        F.struct(month_name.alias("series"), F.col("_y").alias("y"), cal.month_end("_y", "_m").alias("end"), F.lit(s.min_month_days).alias("least")),
+        F.struct(cal.season_name(season).alias("series"), season_year.alias("y"), cal.season_end(season_year, season).alias("end"),
+                 F.lit(s.min_season_days).alias("least"))))
     group = ["location", "series"]
-    enough = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= s.min_series_years).drop("_n")
-    indexed = drought.standardise(rows.join(enough, group, "left_semi"), group, "balance", F.col("y").between(*s.drought_baseline))
-    values = indexed.select(*group, "y", num.round_to("spei", 2).alias("spei"))
-    annual = (values.filter(F.col("series").isin(cal.SEASONS)).groupBy("location", "y")
-              .agg(F.avg("spei").alias("_m"), F.count("spei").alias("_n")).filter("_n >= 2")
-              .select("location", F.lit("Annual").alias("series"), "y", num.round_to("_m", 2).alias("spei")))
-    packed = trends.yearly_series(values.unionByName(annual), group, "y", "spei")
-    fitted = trends.robust_trend(packed, s.min_series_years)
-    trend = F.struct(num.round_to(F.col("slope") * 10, 3).alias("slope_per_decade"), num.round_to("p_mk", 3).alias("p_value"),
-                     F.col("verdict").alias("mk_trend"), num.round_to("intercept", 3).alias("intercept"))
-    lines = fitted.select(*group, trend.alias("trend"))
-    return (packed.join(lines, group, "left").join(_ids(stations), "location", "left")
+    rows = (months.withColumn("_k", kinds).select("location", "_k.*", "_sum", "_n")
+            .groupBy(*group, "y", "end", "least").agg(F.sum("_sum").alias("balance"), F.sum("_n").alias("n_days"))
+            .filter((F.col("n_days") >= F.col("least")) & (F.col("end") <= last))
+            .withColumn("_years", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+            .filter(F.col("_years") >= s.min_series_years).select(*group, "y", "balance"))
+    indexed = drought.standardise(rows, group, "balance", F.col("y").between(*s.drought_baseline))
+    rounded = indexed.select("location", "y", "series", num.round_to("spei", 2).alias("spei"))
+    # a seasonal value also counts for the year's mean; every other series has one value per year
+    both = F.explode(F.when(F.col("series").isin(cal.SEASONS), F.array(F.col("series"), F.lit("Annual"))).otherwise(F.array("series")))
+    values = (rounded.select("location", "y", both.alias("series"), "spei").groupBy(*group, "y")
+              .agg(F.avg("spei").alias("_m"), F.count("spei").alias("_n"))
+              .filter((F.col("series") != "Annual") | (F.col("_n") >= 2))
+              .select(*group, "y", F.when(F.col("series") == "Annual", num.round_to("_m", 2)).otherwise(F.col("_m")).alias("spei")))
+    fitted = trends.robust_trend(trends.yearly_series(values, group, "y", "spei"), s.min_series_years, drop_short=False)
+    trend = F.when(F.col("slope").isNotNull(), F.struct(
+        num.round_to(F.col("slope") * 10, 3).alias("slope_per_decade"), num.round_to("p_mk", 3).alias("p_value"),
+        F.col("verdict").alias("mk_trend"), num.round_to("intercept", 3).alias("intercept")))
+    return (fitted.join(_ids(stations), "location", "left")
             .select(F.col("location").alias("era5_name"), "station_id", "series",
-                    F.transform("xs", lambda x: x.cast("int")).alias("years"), F.col("ys").alias("spei"), "trend"))
+                    F.transform("xs", lambda x: x.cast("int")).alias("years"), F.col("ys").alias("spei"), trend.alias("trend")))
 
 
 def all_tables(data: DataFrame, stations: DataFrame, s: Settings = Settings(), exclude_year: int | None = None) -> dict[str, DataFrame]:
-    """All derived tables by name; nothing runs until they are written."""
-    return {"stations": stations, "daily": daily(data, stations), "daily_percentiles": daily_percentiles(data, stations, s),
-            "daily_window": daily_window(data, stations, s), "annual_trend": annual_trend(data, stations, s),
-            "annual_trend_windows": annual_trend_windows(data, stations, s), "season_heatmap": season_heatmap(data, stations, s),
-            "tropical": tropical(data, stations, s, exclude_year), "spei": drought_heatmap(data, s),
-            "spei_station": drought_series(data, stations, s)}
+    """All derived tables by name, from one reading of the raw rows."""
+    per_day = materialize(days(data))
+    return {"stations": stations, "daily": daily(data, stations), "daily_percentiles": daily_percentiles(per_day, stations, s),
+            "daily_window": daily_window(per_day, stations, s), "annual_trend": annual_trend(per_day, stations, s),
+            "annual_trend_windows": annual_trend_windows(per_day, stations, s), "season_heatmap": season_heatmap(per_day, stations, s),
+            "tropical": tropical(per_day, stations, s, exclude_year), "spei": drought_heatmap(per_day, s),
+            "spei_station": drought_series(per_day, stations, s)}
