@@ -52,7 +52,7 @@ def bicubic_grid(spark, d):
 
 
 def _connected(spark, d):
-    return flood.connect_levels(elevation_cells(spark, d), size=128)
+    return flood.connect_levels(elevation_cells(spark, d))
 
 
 def flood_extent(spark, d):
@@ -74,7 +74,7 @@ def newly_flooded(spark, d):
 def flood_statistics(spark, d):
     """Cells, hectares and buildings per level; orders stand for buildings."""
     pts = table(spark, d, "orders").select((F.col("o_orderkey") % 64).alias("x"), (F.col("o_custkey") % 500).alias("y"))
-    return plans.flood_statistics(elevation_cells(spark, d), pts, [5, 10, 20, 30], HECTARES, 128).select("level_cm", "px", "buildings", "ha")
+    return plans.flood_statistics(elevation_cells(spark, d), pts, [5, 10, 20, 30], HECTARES).select("level_cm", "px", "buildings", "ha")
 
 
 def _reach(levels: list[int], base: bool = False) -> str:

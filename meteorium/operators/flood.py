@@ -52,8 +52,11 @@ def _tiles(cells: DataFrame, x: str, y: str, elevation: str, seed: Column, size:
     """One row per tile: cell positions, elevations and own seed flags (at most size * size cells)."""
     local = F.struct((F.pmod(F.col(y), F.lit(size)) * size + F.pmod(F.col(x), F.lit(size))).cast("int").alias("p"),
                      F.col(elevation).cast("double").alias("e"), seed.alias("s"))
+    c = F.col("_c")
     return (cells.groupBy(F.floor(F.col(x) / size).alias("tx"), F.floor(F.col(y) / size).alias("ty"))
-            .agg(F.collect_list(local).alias("cells")))
+            .agg(F.collect_list(local).alias("_c"))
+            .select("tx", "ty", c["p"].alias("places"), c["e"].alias("elevations"),
+                    F.transform(F.filter(c, lambda v: v["s"]), lambda v: v["p"]).alias("seeds")))
 
 
 def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str = "elevation",
@@ -74,16 +77,13 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    elev = np.full((size, size), np.nan)
-                    entry = {}
-                    for c in row.cells:
-                        r, k = divmod(c["p"], size)
-                        elev[r, k] = c["e"]
-                        if c["s"]:
-                            entry[(r, k)] = c["e"]
-                    for m in (row.inflow if row.inflow is not None else []):
-                        rc = divmod(m["p"], size)
-                        entry[rc] = min(entry.get(rc, np.inf), m["v"])
+                    flat = np.full(size * size, np.nan)
+                    flat[row.places] = row.elevations
+                    entry = {divmod(int(p), size): flat[p] for p in row.seeds}
+                    for p, v in zip(row.at, row.levels):
+                        rc = divmod(int(p), size)
+                        entry[rc] = min(entry.get(rc, np.inf), v)
+                    elev = flat.reshape(size, size)
                     level = solve_tile(elev, entry)
                     reach = np.isfinite(level)
                     if not edges_only:
@@ -104,11 +104,19 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
                     yield pd.concat(out, ignore_index=True)
         return run
 
+    # a tile is little data and much work, so the tiles are spread over all cores and not merged into few tasks
+    context = cells.sparkSession.sparkContext
+    spread = max(context.defaultParallelism, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def with_inflow(part: DataFrame, inflow: DataFrame | None) -> DataFrame:
         if inflow is None:
-            return part.withColumn("inflow", F.lit(None).cast("array<struct<p:int,v:double>>"))
-        packed = inflow.groupBy("tx", "ty").agg(F.collect_list(F.struct("p", "v")).alias("inflow"))
-        return part.join(packed, ["tx", "ty"], "left")
+            full = part.withColumns({"at": F.array().cast("array<int>"), "levels": F.array().cast("array<double>")})
+        else:
+            packed = inflow.groupBy("tx", "ty").agg(F.collect_list(F.struct("p", "v")).alias("_m"))
+            full = part.join(packed, ["tx", "ty"], "left").withColumns({
+                "at": F.coalesce(F.col("_m")["p"], F.array().cast("array<int>")),
+                "levels": F.coalesce(F.col("_m")["v"], F.array().cast("array<double>"))}).drop("_m")
+        return full.repartition(spread, "tx", "ty")
 
     inflow, active = None, tiles
     for _ in range(max_rounds):

@@ -25,22 +25,27 @@ def yearly_percentiles(df: DataFrame, group: list[str], value: str, cuts: dict[s
 
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, cuts: dict[str, float],
-                      buckets: int = 256) -> DataFrame:
+                      levels: int = 8) -> DataFrame:
     """Exact linear-interpolated percentiles, safe for groups that hold a large share of all rows.
 
     1. count rows per (group, value), combined on the map side;
-    2. per group, ``buckets`` splitters from a mergeable sketch (any splitters give the right answer, good ones give
+    2. per group, ``2 ** levels - 1`` splitters from a mergeable sketch (any splitters give the right answer, good ones give
        even buckets);
-    3. running totals over at most ``buckets + 1`` bucket sums per group locate the bucket of every wanted rank;
+    3. running totals over at most ``2 ** levels`` bucket sums per group locate the bucket of every wanted rank;
     4. running counts inside those buckets only give the two order statistics to interpolate.
     """
     v = F.col(value).cast("double")
     counted = materialize(df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    buckets = 2 ** levels
     inner = [i / buckets for i in range(1, buckets)]
+    halvings = [2 ** k for k in range(levels - 1, -1, -1)]
     # sketches merge in any order, so the splitters are fixed once before several plans read them
     splits = materialize(counted.groupBy(*group).agg(
         F.percentile_approx("_v", F.array(*[F.lit(p) for p in inner]), 4 * buckets).alias("_s")))
-    bucketed = counted.join(splits, group).withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
+    bucketed = counted.join(splits, group).withColumn("_b", F.lit(0))
+    for step in halvings:  # binary search for the number of splitters below the value
+        bucketed = bucketed.withColumn("_b", F.col("_b") + F.when(F.get("_s", F.col("_b") + step - 1) < F.col("_v"), step).otherwise(0))
+    bucketed = bucketed.drop("_s")
 
     sums = bucketed.groupBy(*group, "_b").agg(F.sum("_n").alias("_t"))
     by_bucket = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
