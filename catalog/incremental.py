@@ -63,7 +63,7 @@ def source_freshness(spark, d):
 
 QUERIES = {
     "fetch_plan": (fetch_plan, """WITH l AS (SELECT o_custkey AS k, CAST(max(o_orderdate) AS DATE) AS m FROM orders GROUP BY ALL),
-      p AS (SELECT c_custkey AS k, m, coalesce(least(m + 1, DATE '2001-07-25' - 15), DATE '1950-01-01') AS f FROM customer LEFT JOIN l ON l.k = c_custkey)
+      p AS (SELECT c_custkey AS k, m, CASE WHEN m IS NULL THEN DATE '1950-01-01' ELSE least(m + 1, DATE '2001-07-25' - 15) END AS f FROM customer LEFT JOIN l ON l.k = c_custkey)
       SELECT k, strftime(m, '%Y-%m-%d') AS last_day, strftime(f, '%Y-%m-%d') AS fetch_from, CASE WHEN m IS NULL THEN 'full' WHEN f <= DATE '2001-07-20' THEN 'refresh' ELSE 'skip' END AS action FROM p"""),
     "upsert": (upsert, """WITH o AS (SELECT o_orderpriority AS entity, CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS v FROM orders GROUP BY ALL)
       SELECT entity, year(day)::INTEGER AS year, count(*) AS n, sum(CASE WHEN year(day) >= 1999 THEN v ELSE -v END)::BIGINT AS v FROM o GROUP BY ALL"""),

@@ -52,7 +52,7 @@ def position_slot(pos: str | Column) -> Column:
 
 def slot_date(slot_col: str | Column, year: int = 2001) -> Column:
     """Date of a slot in a (non-leap) label year."""
-    return F.date_add(F.lit(dt.date(year, 1, 1)), _c(slot_col) - 1)
+    return F.date_add(F.lit(dt.date(year, 1, 1)), (_c(slot_col) - 1).cast("int"))
 
 
 def slot_month(slot_col: str | Column) -> Column:

@@ -92,7 +92,7 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def ascii_grid_cells(df: DataFrame, text: str, key: list[str], header: int = 6) -> DataFrame:
     """Whole-file ASCII grids to cells (x, y from the top, value); the header lines are skipped."""
-    lines = F.slice(F.split(F.rtrim(F.col(text)), r"\r?\n"), header + 1, 2_000_000_000)
+    lines = F.slice(F.split(F.regexp_replace(F.col(text), r"\s+$", ""), r"\r?\n"), header + 1, 2_000_000_000)
     rows = df.select(*key, F.posexplode(lines).alias("y", "_line"))
     cells = F.split(F.trim(F.col("_line")), r"\s+")
     return (rows.select(*key, "y", F.posexplode(cells).alias("x", "_v"))

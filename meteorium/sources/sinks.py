@@ -38,7 +38,7 @@ def publish(tables: dict[str, DataFrame], violations: DataFrame, root: str) -> N
 def fixed_decimals(df: DataFrame, digits: int) -> DataFrame:
     """Floating columns as text with a fixed number of decimals."""
     real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.format_string(f"%.{digits}f", F.col(c)) for c in real})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) for c in real})
 
 
 def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:

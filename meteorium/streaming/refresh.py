@@ -13,7 +13,9 @@ def fetch_plan(existing: DataFrame, entities: DataFrame, entity: str, date: str,
     """Date range to fetch per entity: everything new plus the revision window; up-to-date entities are marked."""
     last = existing.groupBy(entity).agg(F.max(F.to_date(date)).alias("last_day"))
     plan = entities.select(entity).distinct().join(last, entity, "left")
-    begin = F.coalesce(F.least(F.date_add("last_day", 1), F.date_sub(today, refresh_days)), F.to_date(F.lit(start)))
+    # least() skips nulls, so entities without data are told apart first
+    begin = F.when(F.col("last_day").isNull(), F.to_date(F.lit(start))).otherwise(
+        F.least(F.date_add("last_day", 1), F.date_sub(today, refresh_days)))
     return plan.withColumns({"fetch_from": begin, "fetch_to": end}).withColumn(
         "action", F.when(F.col("last_day").isNull(), "full").when(F.col("fetch_from") <= F.col("fetch_to"), "refresh").otherwise("skip"))
 
