@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meteorium.functions import numeric as num
@@ -85,8 +86,8 @@ def water_balance(spark, d):
     s = seasons.season_aggregate(daily(spark, d), ["entity"], "day", bal, "balance", 30)
     m = seasons.month_aggregate(daily(spark, d), ["entity"], "day", bal, "balance", 20)
     rows = s.unionByName(m).withColumn("balance", num.round_to("balance", 1))
-    enough = rows.groupBy("entity", "season").agg(F.count(F.lit(1)).alias("n")).filter("n >= 6").drop("n")
-    return rows.join(enough, ["entity", "season"], "left_semi").select("entity", "season", "y", "balance", "n_days")
+    years = F.count(F.lit(1)).over(Window.partitionBy("entity", "season"))
+    return rows.withColumn("years", years).filter("years >= 6").select("entity", "season", "y", "balance", "n_days")
 
 
 def network_balance(spark, d):

@@ -83,4 +83,5 @@ def inside(lat, lon, box: Box, open_bounds: bool = True) -> Column:
 
 def snap_level(cm, step: int = 10, low: int = 10, high: int = 250) -> Column:
     """Nearest published water level."""
-    return F.least(F.greatest((F.floor(_c(cm) / float(step) + 0.5) * step).cast("int"), F.lit(low)), F.lit(high))
+    nearest = (F.floor(_c(cm) / float(step) + 0.5) * step).cast("int")
+    return F.when(nearest.isNotNull(), F.least(F.greatest(nearest, F.lit(low)), F.lit(high)))

@@ -79,7 +79,8 @@ def norm_ppf(p: str | Column) -> Column:
 
 
 def clamp(x: str | Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(_c(x), F.lit(low)), F.lit(high))
+    """Value held inside [low, high]; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(_c(x).isNotNull(), F.least(F.greatest(_c(x), F.lit(low)), F.lit(high)))
 
 
 def round_to(x: str | Column, digits: int = 0) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import numeric as num
+from ..session import spread
+
 
 def runs(daily: DataFrame, entity: list[str], date: str, values: dict[str, tuple[str, list[float]]],
          mark_years: bool = False) -> DataFrame:
@@ -184,7 +187,8 @@ def count_trend(series: DataFrame, exclude_year: int | None = None, min_years: i
     """
     pairs = F.zip_with("years", "counts", lambda y, c: F.struct(y.alias("y"), c.alias("c")))
     used = F.filter(pairs, lambda p: p["y"] != exclude_year) if exclude_year is not None else pairs
-    prepared = series.withColumn("_u", used)
+    keys = [f.name for f in series.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    prepared = (spread(series, keys) if keys else series).withColumn("_u", used)
     enough = (F.size("_u") >= min_years) & (F.size(F.filter("_u", lambda p: p["c"] > 0)) >= min_nonzero)
     empty = F.array().cast("array<double>")
     fx = F.when(enough, F.transform("_u", lambda p: p["y"].cast("double"))).otherwise(empty)
@@ -210,10 +214,9 @@ def count_trend(series: DataFrame, exclude_year: int | None = None, min_years: i
     def half(t):
         return 1.959963984540054 * F.sqrt(f["v00"] + 2 * t * f["v01"] + t * t * f["v11"])
 
-    def spread(t):
+    def band(t):
         return 1.96 * F.sqrt(mu(t) + mu(t) * mu(t) * r(f["alpha"], 3))
 
-    from ..functions import numeric as num
     p = num.two_sided_p(f["slope"] / F.sqrt(f["v11"]))
     trend = F.struct(
         F.lit("nb").alias("model_used"),
@@ -224,8 +227,8 @@ def count_trend(series: DataFrame, exclude_year: int | None = None, min_years: i
         F.element_at("_u", -1)["y"].cast("int").alias("fit_year_max"),
         F.transform("years", lambda y: y.cast("double")).alias("x_line"), curve(mu).alias("y_line"),
         curve(lambda t: mu(t) * F.exp(-half(t))).alias("ci_low"), curve(lambda t: mu(t) * F.exp(half(t))).alias("ci_high"),
-        curve(lambda t: F.greatest(F.lit(0.0), mu(t) - spread(t))).alias("pi_low"),
-        curve(lambda t: mu(t) + spread(t)).alias("pi_high"))
+        curve(lambda t: F.greatest(F.lit(0.0), mu(t) - band(t))).alias("pi_low"),
+        curve(lambda t: mu(t) + band(t)).alias("pi_high"))
     finite = F.forall(trend["ci_high"], lambda v: v.isNotNull() & ~F.isnan(v) & (v < float("inf")))
     publish = enough & f["fit_ok"] & finite
     return (fitted.withColumn("trend", F.when(publish, trend)).withColumn("fit_ok", f["fit_ok"]).drop("_u", "_f"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric as num
+from ..session import spread
 
 POINTS = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("d", T.ArrayType(T.DoubleType()))])
 
@@ -26,7 +27,9 @@ def _add_curve(df: DataFrame, samples: str, name: str, body) -> DataFrame:
         for values in batches:
             made = [body(np.asarray(s, dtype=float)) for s in values]
             yield pd.DataFrame({"x": [m[0] for m in made], "d": [m[1] for m in made]})
-    return (df.withColumn("_p", curve(F.col(samples)))
+    keys = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    even = spread(df, keys) if keys else df
+    return (even.withColumn("_p", curve(F.col(samples)))
             .withColumn(name, F.arrays_zip(F.col("_p")["x"].alias("x"), F.col("_p")["d"].alias("d"))).drop("_p"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric as num
+from ..session import spread
 
 FIT = T.StructType([T.StructField("shape", T.DoubleType()), T.StructField("scale", T.DoubleType())])
 
@@ -75,7 +76,7 @@ def fit_series(balances: DataFrame, group: list[str], value: str, baseline: Colu
     one balance per year, so the array is bounded by the calendar.
     """
     rest = [c for c in balances.columns if c not in group]
-    sets = balances.groupBy(*group).agg(F.collect_list(F.struct(*rest)).alias("_rows"),
+    sets = spread(balances.filter(F.col(value).isNotNull()), group).groupBy(*group).agg(F.collect_list(F.struct(*rest)).alias("_rows"),
                                         F.collect_list(F.when(baseline, F.col(value))).alias("_b"))
     everything = F.transform("_rows", lambda r: r[value])
     used = sets.withColumn("_u", F.sort_array(F.when(F.size("_b") >= min_baseline, F.col("_b")).otherwise(everything)))
@@ -87,7 +88,8 @@ def fit_series(balances: DataFrame, group: list[str], value: str, baseline: Colu
 def probability(balance: Column, shift: Column, shape: Column, scale: Column) -> Column:
     """Clipped log-logistic distribution function of a balance."""
     x = F.greatest(balance - shift, F.lit(1e-9))
-    return num.clamp(1 / (1 + F.pow(x / scale, -shape)), 1e-6, 1 - 1e-6)
+    p = 1 / (1 + F.pow(x / scale, -shape))
+    return F.when(balance.isNotNull(), num.clamp(p, 1e-6, 1 - 1e-6))
 
 
 def standardise(balances: DataFrame, group: list[str], value: str, baseline: Column, name: str = "spei",

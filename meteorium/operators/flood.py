@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 
 def solve_tile(elev: np.ndarray, inflow: dict[tuple[int, int], float]) -> np.ndarray:
@@ -104,10 +104,6 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
                     yield pd.concat(out, ignore_index=True)
         return run
 
-    # a tile is little data and much work, so the tiles are spread over all cores and not merged into few tasks
-    context = cells.sparkSession.sparkContext
-    spread = max(context.defaultParallelism, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
     def with_inflow(part: DataFrame, inflow: DataFrame | None) -> DataFrame:
         if inflow is None:
             full = part.withColumns({"at": F.array().cast("array<int>"), "levels": F.array().cast("array<double>")})
@@ -116,7 +112,7 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
             full = part.join(packed, ["tx", "ty"], "left").withColumns({
                 "at": F.coalesce(F.col("_m")["p"], F.array().cast("array<int>")),
                 "levels": F.coalesce(F.col("_m")["v"], F.array().cast("array<double>"))}).drop("_m")
-        return full.repartition(spread, "tx", "ty")
+        return spread(full, ["tx", "ty"])
 
     inflow, active = None, tiles
     for _ in range(max_rounds):

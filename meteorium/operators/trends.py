@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import categories as cat
 from ..functions import numeric as num
+from ..session import spread
 
 Z_95 = 1.959963984540054
 
@@ -27,7 +28,8 @@ FIT = T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(c, T.Do
 
 def yearly_series(df: DataFrame, group: list[str], year: str, value: str) -> DataFrame:
     """Arrays ``xs`` and ``ys`` ascending in year; the input holds one row per group and year."""
-    packed = (df.filter(F.col(value).isNotNull()).groupBy(*group)
+    # collecting reduces nothing on the map side, so the rows are sent to their group's task directly
+    packed = (spread(df.filter(F.col(value).isNotNull()), group).groupBy(*group)
               .agg(F.sort_array(F.collect_list(F.struct(F.col(year).cast("double").alias("x"),
                                                         F.col(value).cast("double").alias("y")))).alias("_s")))
     return packed.select(*group, F.transform("_s", lambda p: p["x"]).alias("xs"),
@@ -52,15 +54,14 @@ def _fit_block(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     i, j = np.triu_indices(n, 1)
     dy = y[:, j] - y[:, i]
     dx = x[:, j] - x[:, i]
-    slopes = np.sort(dy / dx, axis=1)
+    slopes = dy / dx
     pairs = slopes.shape[1]
 
-    def middle(v):
+    def median(v):
         k = v.shape[1]
-        return (v[:, (k - 1) // 2] + v[:, k // 2]) / 2
+        return np.median(v, axis=1) if k else np.full(m, np.nan)
 
-    slope = middle(slopes)
-    x_med, y_med = middle(x), middle(np.sort(y, axis=1))
+    x_med, y_med = median(x), median(y)
     base = n * (n - 1.0) * (2 * n + 5)
     ties = _tie_term(y)
     var_s = (base - ties) / 18
@@ -68,10 +69,15 @@ def _fit_block(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     upper = np.minimum(np.round((pairs + Z_95 * sigma) / 2).astype(int), pairs - 1)
     lower = np.maximum(np.round((pairs - Z_95 * sigma) / 2).astype(int) - 1, 0)
     rows = np.arange(m)
-    hi, lo = slopes[rows, upper], slopes[rows, lower]
+    # only the order statistics that are read are put in place
+    mid = [(pairs - 1) // 2, pairs // 2]
+    ordered = np.partition(slopes, np.unique(np.concatenate([mid, lower, upper])), axis=1)
+    slope = (ordered[:, mid[0]] + ordered[:, mid[1]]) / 2
+    hi, lo = ordered[rows, upper], ordered[rows, lower]
     s = np.sign(dy).sum(axis=1)
-    steps = np.sort(dy / (j - i), axis=1)
-    d = y - middle(steps)[:, None] * np.arange(1, n + 1)
+    gap_free = bool(np.all(x[:, -1] - x[:, 0] == n - 1))  # then the place in the series is the year
+    step = slope if gap_free else median(dy / (j - i))
+    d = y - step[:, None] * np.arange(1, n + 1)
     d = d - d.mean(axis=1, keepdims=True)
     power = (d * d).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):

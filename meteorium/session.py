@@ -56,3 +56,14 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows over at least as many tasks as the cluster has cores.
+
+    For steps whose work per byte is high (fits, density curves, tile solving).  A shuffle with a given number of
+    partitions is not merged by adaptive execution, which judges partitions by their bytes only.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

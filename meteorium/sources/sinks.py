@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality
+from ..session import materialize
 
 # The key columns each derived table is read by.
 READ_KEYS = {
@@ -21,9 +22,10 @@ def write_for_reads(df: DataFrame, path: str, keys: list[str]) -> None:
     """Parquet laid out for point reads: range-partitioned and sorted by the read keys.
 
     Each file then covers a narrow key range and its row-group statistics skip almost everything on a lookup.  Range
-    partitioning on all keys splits a hot first key over several files.
+    partitioning on all keys splits a hot first key over several files.  The result is staged first, because finding the
+    ranges reads the rows once more and would otherwise compute them twice.
     """
-    df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    materialize(df).repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def publish(tables: dict[str, DataFrame], violations: DataFrame, root: str) -> None:
