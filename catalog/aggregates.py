@@ -9,7 +9,7 @@ from meteorium.functions import numeric as num
 from meteorium.operators import counts, grids, quantiles, seasons, series, windows
 from meteorium.operators import quality
 
-from .inputs import DAILY, OBS, PRIORITY, daily, day_text, observations, priority_daily, slot_sql, table, window_sql
+from .inputs import DAILY, OBS, PRIORITY, daily, day_text, observations, priority_daily, table, window_sql
 
 CUTS = {"p05": 0.05, "p20": 0.2, "p40": 0.4, "p60": 0.6, "p80": 0.8, "p95": 0.95}
 

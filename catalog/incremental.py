@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meteorium.functions import numeric as num
 from meteorium.streaming import refresh, rollup
 
 from .inputs import day_text, table
@@ -28,6 +27,16 @@ def upsert(spark, d):
     return m.groupBy("entity", F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
 
 
+def refreshed_rows(spark, d):
+    """A whole refresh: plan, trim, tag and merge; old rows end in 2000, arrivals cover everything."""
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("entity"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_orderkey").alias("v"))
+    old = o.filter("day < date'2000-03-05'").withColumns({"v": -F.col("v"), "source": F.lit("era5")})
+    today, end = F.to_date(F.lit("2000-04-10")), F.to_date(F.lit("2000-04-08"))
+    plan = refresh.fetch_plan(old, o.select("entity").distinct(), "entity", "day", today, end, "1995-01-01")
+    return refresh.apply_arrivals(old, o, plan, "entity", "day", today).groupBy("entity", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), day_text(F.max("day")).alias("last_day"))
+
+
 def daily_extremes(spark, d):
     """Minimum, mean and maximum per entity and local day of the sub-hourly events."""
     e = table(spark, d, "events").select("event_type", "ts", F.round(F.col("value") * 64) .alias("value"))
@@ -67,6 +76,11 @@ QUERIES = {
       SELECT k, strftime(m, '%Y-%m-%d') AS last_day, strftime(f, '%Y-%m-%d') AS fetch_from, CASE WHEN m IS NULL THEN 'full' WHEN f <= DATE '2001-07-20' THEN 'refresh' ELSE 'skip' END AS action FROM p"""),
     "upsert": (upsert, """WITH o AS (SELECT o_orderpriority AS entity, CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS v FROM orders GROUP BY ALL)
       SELECT entity, year(day)::INTEGER AS year, count(*) AS n, sum(CASE WHEN year(day) >= 1999 THEN v ELSE -v END)::BIGINT AS v FROM o GROUP BY ALL"""),
+    "refreshed_rows": (refreshed_rows, """WITH o AS (SELECT o_orderpriority AS entity, CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS v FROM orders GROUP BY ALL),
+      l AS (SELECT entity, least(max(day) + 1, DATE '2000-04-10' - 15) AS f FROM o WHERE day < DATE '2000-03-05' GROUP BY entity),
+      m AS (SELECT entity, day, CASE WHEN day >= f AND day <= DATE '2000-04-08' THEN v ELSE -v END AS v, CASE WHEN day >= f AND day >= DATE '2000-04-10' - 7 THEN 'era5t' ELSE 'era5' END AS source
+        FROM o JOIN l USING (entity) WHERE day < DATE '2000-03-05' OR (day >= f AND day <= DATE '2000-04-08'))
+      SELECT entity, source, count(*) AS n, sum(v)::BIGINT AS v, strftime(max(day), '%Y-%m-%d') AS last_day FROM m GROUP BY entity, source"""),
     "daily_extremes": (daily_extremes, """WITH e AS (SELECT event_type, CAST(ts + INTERVAL 1 HOUR AS DATE) AS d, round(value * 64) / 64 AS v FROM events)
       SELECT event_type, strftime(d, '%Y-%m-%d') AS date, min(v) AS value_min, avg(v) AS value_mean, max(v) AS value_max, count(*) AS n FROM e GROUP BY event_type, d"""),
     "live_classification": (live_classification, """WITH e AS (SELECT event_id, event_type, strftime(ts, '%m-%d') AS md, value FROM events),

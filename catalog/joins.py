@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meteorium.functions import geo
-from meteorium.functions import numeric as num
 from meteorium.operators import quality, series
 from meteorium.plans import climatology
 from meteorium.streaming import refresh

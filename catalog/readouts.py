@@ -10,9 +10,9 @@ from meteorium.operators import counts, density, quantiles, trends, windows
 from meteorium.plans import serve
 
 from . import tables
-from .aggregates import threshold_days
+from .aggregates import THRESHOLD_SQL, threshold_days
 from .curves import SEG
-from .inputs import DAILY, OBS, daily, day_text, observations, slot_sql
+from .inputs import DAILY, daily, day_text, observations
 from .trends import SERIES, _fits, p_sql
 
 
@@ -182,7 +182,8 @@ QUERIES = {
       CASE WHEN slope * 10 >= 0.3 THEN 'catastrophic' WHEN slope * 10 >= 0.2 THEN 'extreme' WHEN slope * 10 >= 0.1 THEN 'bad' WHEN slope * 10 >= 0.05 THEN 'moderate' ELSE 'baseline' END AS band,
       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS mark, '°C' AS unit FROM pv"""),
     "trend_milestones": (trend_milestones, FIT + f", m AS (SELECT *, unnest([2030, 2040, 2050]) AS year FROM fr) SELECT entity AS era5_name, {MD}, year::INTEGER AS year, slope * year + intercept AS value FROM m"),
-    "count_series": (count_series, None),
+    "count_series": (count_series, f"""SELECT entity AS era5_name, kind, threshold, streak, count(*)::INTEGER AS n_years, sum(count)::INTEGER AS days, 0 AS has_trend, 1.0::DOUBLE AS p_value,
+      max(year)::INTEGER AS fit_year_max FROM ({THRESHOLD_SQL}) GROUP BY ALL"""),
     "drought_by_station": (drought_by_station, None),
     "drought_lines": (drought_lines, None),
     "seasonal_scatter": (seasonal_scatter, f"""WITH {DAILY}, w AS (SELECT entity, year(day) AS x, v_max AS y FROM daily WHERE strftime(day, '%m-%d') BETWEEN '07-08' AND '07-22'),

@@ -178,7 +178,7 @@ QUERIES = {
     "constant_columns": (constant_columns, """SELECT 'constant_per_group' AS rule, l_suppkey::VARCHAR AS key, min(l_linenumber) || '..' || max(l_linenumber) AS value FROM lineitem
       WHERE l_suppkey % 4 = 0 GROUP BY l_suppkey HAVING min(l_linenumber) <> max(l_linenumber)"""),
     "provenance_allow_list": (provenance_allow_list, "SELECT DISTINCT 'one_of' AS rule, o_orderstatus AS key FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"),
-    "untrusted_fits": (untrusted_fits, None),
+    "untrusted_fits": (untrusted_fits, "SELECT 'untrusted_published' AS rule, l_returnflag AS key FROM lineitem WHERE false"),
     "row_shapes": (row_shapes, """SELECT 'not_null' AS rule, 'name' AS "column", count(*) AS n FROM customer WHERE c_custkey % 12 = 0
       UNION ALL SELECT 'at_least', 'bal', count(*) FROM customer WHERE c_acctbal < 0"""),
     "all_reports": (all_reports, """SELECT 'orders' AS "table", 'in_range' AS rule, 'o_totalprice' AS "column", count(*) AS violations FROM orders WHERE o_totalprice NOT BETWEEN 2000 AND 480000

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meteorium.operators import quality, windows
 
-from .inputs import DAILY, OBS, daily, observations, table, window_sql
+from .inputs import OBS, daily, observations, table, window_sql
 
 
 def union_of_parts(spark, d):

@@ -11,7 +11,7 @@ from meteorium.plans import validation
 from meteorium.sources import sinks
 
 from . import network
-from .inputs import WINDOW_JOIN, slot_sql, table
+from .inputs import WINDOW_JOIN, slot_sql
 from .network import NETWORK, SETTINGS
 from .trends import SERIES, ZYW, p_sql
 

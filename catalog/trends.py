@@ -8,8 +8,8 @@ from meteorium.functions import categories as cat
 from meteorium.functions import numeric as num
 from meteorium.operators import counts, drought, seasons, trends, windows
 
-from .aggregates import SEASON_SQL, THRESHOLD_SQL, threshold_days
-from .inputs import DAILY, OBS, daily, observations, window_sql
+from .aggregates import threshold_days
+from .inputs import OBS, daily, observations, window_sql
 
 
 def _series(spark, d, half=7):

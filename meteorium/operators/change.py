@@ -6,7 +6,7 @@ the hashes of a column are added up, which combines on the map side and needs no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,16 @@ def fingerprints(df: DataFrame, table: str, key: list[str], columns: list[str] |
                     F.col("_c")["hash"].alias("hash")))
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One row per published column, so the manifest is a small text table in table and column order."""
+    manifest.select("table", "column", "hash").orderBy("table", "column").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    schema = "table string, column string, hash string"
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def compare_manifests(actual: DataFrame, expected: DataFrame, excluded: list[tuple[str, str]] = ()) -> DataFrame:
     """Status per table and column: ok, moved, informational (moved but excluded), missing or unknown."""
     a = actual.select("table", "column", F.col("hash").alias("actual"))

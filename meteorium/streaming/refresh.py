@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..operators import series
 
 
@@ -37,6 +38,19 @@ def upsert(existing: DataFrame, arriving: DataFrame, key: list[str]) -> DataFram
     return merged.drop("_gen") if "arrival" in existing.columns else merged.drop("_gen", "arrival")
 
 
+def apply_arrivals(existing: DataFrame, arriving: DataFrame, plan: DataFrame, entity: str, date: str, today: Column,
+                   preliminary_days: int = 7) -> DataFrame:
+    """One refresh: trim arrivals to the planned range, tag their provenance by age, and merge them over the old rows.
+
+    ``arriving`` are payload rows (see ``sources.readers.read_payload``); ``plan`` comes from ``fetch_plan``.  Entities
+    the plan skips keep their rows untouched.
+    """
+    ranges = plan.filter(F.col("action") != "skip").select(entity, "fetch_from", "fetch_to")
+    inside = arriving.join(ranges, entity).filter(F.col(date).between(F.col("fetch_from"), F.col("fetch_to")))
+    tagged = inside.drop("fetch_from", "fetch_to").withColumn("source", cal.provenance_tag(date, today, preliminary_days))
+    return upsert(existing, tagged, [entity, date])
+
+
 def late_entities(updated: DataFrame, expected: DataFrame, entity: str) -> DataFrame:
     """Expected entities that were not updated."""
     return expected.select(entity).distinct().join(updated.select(entity).distinct(), entity, "left_anti")

@@ -1,10 +1,14 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from meteorium.operators import quality as q
 from meteorium.plans import climatology, validation
+from meteorium.session import materialize
+from meteorium.sources import readers
 
 RAW = ("location string, latitude double, longitude double, elevation_station_m int, elevation_era5_m double, elevation_diff_m double, date string, "
        "temperature_max double, temperature_min double, temperature_mean double, precipitation_sum double, et0_evapotranspiration double, source string, sequence long")
@@ -61,21 +65,19 @@ def test_column_set_names_every_column(spark, config):
 @pytest.fixture(scope="module")
 def network(spark):
     """Two years of two stations through every builder."""
-    rows, rng = [], __import__("random").Random(1)
+    rows, rng = [], random.Random(1)
     for name, el in (("Koper", 0.0), ("Celje", 8.0)):
         day = dt.date(2000, 1, 1)
         while day <= dt.date(2011, 12, 31):
-            base = 12 + 14 * __import__("math").sin(2 * 3.14159 * (day.timetuple().tm_yday - 105) / 365) + rng.gauss(0, 3)
+            base = 12 + 14 * math.sin(2 * 3.14159 * (day.timetuple().tm_yday - 105) / 365) + rng.gauss(0, 3)
             rows.append((name, day, base + 5, base - 5, base, max(0.0, rng.gauss(3, 3)), max(0.0, rng.gauss(2, 1)), el, "era5"))
             day += dt.timedelta(days=1)
     raw = spark.createDataFrame(rows, "location string, date date, temperature_max double, temperature_min double, temperature_mean double, precipitation_sum double, "
                                       "et0_evapotranspiration double, elevation_diff_m double, source string")
-    from meteorium.sources import readers
     data = readers.station_rows(raw, ["era5", "era5t"], F.to_date(F.lit("2030-01-01")))
     stations = spark.createDataFrame([("Koper", "Koper", "Koper", "v Kopru", None, None, 46.0, 14.0, 10, 18), ("Celje", "Celje", "Celje Medlog", "v Celju", 1025, "CELJE", 46.0, 14.0, 240, 248)],
                                      "era5_name string, name string, official_name string, name_locative string, station_id int, xml_id string, lat double, lon double, elevation int, elevation_era5_m int")
     s = climatology.Settings(baseline=(2001, 2008), drought_baseline=(2000, 2006), trend_start=2000, min_years_percentiles=8)
-    from meteorium.session import materialize
     return {n: materialize(t) for n, t in climatology.all_tables(data, stations, s, 2011).items()}
 
 

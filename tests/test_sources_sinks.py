@@ -125,6 +125,12 @@ def test_manifest_gate(spark):
         change.manifest_gate(change.compare_manifests(change.fingerprints(df.withColumn("a", F.lit(9)), "tropical", ["k"]), old))
 
 
+def test_manifest_round_trip(spark, tmp_path):
+    made = change.fingerprints(spark.createDataFrame([(1, 2), (2, 3)], "k int, a int"), "daily", ["k"])
+    change.write_manifest(made, str(tmp_path / "m"))
+    assert {r.status for r in change.compare_manifests(made, change.read_manifest(spark, str(tmp_path / "m"))).collect()} == {"ok"}
+
+
 def test_first_json_difference(spark):
     df = spark.createDataFrame([('{"a":1,"b":2}', '{"b":3,"a":1}'), ('{"a":1}', '{"a":1}'), ('{"a":1}', '{"a":1,"c":2}')], "x string, y string")
     assert [r.difference for r in change.first_json_difference(df, "x", "y").collect()] == ["b: 2 vs 3", None, "c: null vs 2"]

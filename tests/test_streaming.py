@@ -1,6 +1,6 @@
 import datetime as dt
 
-import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meteorium.streaming import refresh, rollup
@@ -10,7 +10,7 @@ EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 def _files(spark, df, path, n):
     """Split rows into files that arrive in order of time."""
-    cut = df.withColumn("_f", F.ntile(n).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ts")))
+    cut = df.withColumn("_f", F.ntile(n).over(Window.orderBy("ts")))
     for k in range(1, n + 1):
         cut.filter(F.col("_f") == k).drop("_f").coalesce(1).write.mode("append").parquet(path)
 
