@@ -24,52 +24,63 @@ def yearly_percentiles(df: DataFrame, group: list[str], value: str, cuts: dict[s
             .select(*group, "n_samples", *[F.col("_p")[i].alias(n) for i, n in enumerate(cuts)]))
 
 
-def exact_percentiles(df: DataFrame, group: list[str], value: str, cuts: dict[str, float],
-                      levels: int = 8) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: list[str], value: str, cuts: dict[str, float], levels: int = 8,
+                      task_rows: int = 1_000_000) -> DataFrame:
     """Exact linear-interpolated percentiles, safe for groups that hold a large share of all rows.
 
-    1. count rows per (group, value), combined on the map side;
-    2. per group, ``2 ** levels - 1`` splitters from a mergeable sketch (any splitters give the right answer, good ones give
-       even buckets);
-    3. running totals over at most ``2 ** levels`` bucket sums per group locate the bucket of every wanted rank;
-    4. running counts inside those buckets only give the two order statistics to interpolate.
+    Rows are counted per (group, value) on the map side.  Then rounds narrow the values down: a mergeable sketch gives
+    ``2 ** levels - 1`` splitters per group, running totals over the bucket sums (a few hundred rows) find the buckets
+    that hold the wanted ranks, and only these buckets go on.  A round divides the values by about ``2 ** levels``; when
+    no bucket has more than ``task_rows`` values, running counts inside the buckets give the order statistics.
+    Any splitters give the right answer, good ones only make the buckets even.
     """
     v = F.col(value).cast("double")
-    counted = materialize(df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    buckets = 2 ** levels
-    inner = [i / buckets for i in range(1, buckets)]
-    halvings = [2 ** k for k in range(levels - 1, -1, -1)]
-    # sketches merge in any order, so the splitters are fixed once before several plans read them
-    splits = materialize(counted.groupBy(*group).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in inner]), 4 * buckets).alias("_s")))
-    bucketed = counted.join(splits, group).withColumn("_b", F.lit(0))
-    for step in halvings:  # binary search for the number of splitters below the value
-        bucketed = bucketed.withColumn("_b", F.col("_b") + F.when(F.get("_s", F.col("_b") + step - 1) < F.col("_v"), step).otherwise(0))
-    bucketed = bucketed.drop("_s")
-
-    sums = bucketed.groupBy(*group, "_b").agg(F.sum("_n").alias("_t"))
-    by_bucket = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    located = (sums.withColumn("_end", F.sum("_t").over(by_bucket)).withColumn("_total", F.sum("_t").over(whole))
-               .withColumn("_start", F.col("_end") - F.col("_t")))
+    counted = materialize(df.filter(v.isNotNull()).groupBy(*group, v.alias("_v"))
+                          .agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0).cast("bigint")))
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("cut"), F.lit(float(p)).alias("p")) for n, p in cuts.items()]))
-    ranks = (located.withColumn("_c", wanted)
+    ranks = (counted.groupBy(*group).agg(F.sum("_n").alias("_total")).withColumn("_c", wanted)
              .withColumn("_pos", (F.col("_total") - 1) * F.col("_c")["p"])
              .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-             .filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-             .select(*group, "_b", "_start", "_total", F.col("_c")["cut"].alias("cut"), "_pos", "_rank"))
-    chosen = bucketed.join(ranks.select(*group, "_b", "_start").distinct(), [*group, "_b"])
-    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    spans = (chosen.withColumn("_hi", F.col("_start") + F.sum("_n").over(inside))
-             .withColumn("_lo", F.col("_hi") - F.col("_n")).select(*group, "_b", "_v", "_lo", "_hi"))
-    hits = (ranks.join(spans, [*group, "_b"])
-            .filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))))
-    low, high = F.min("_v"), F.max("_v")
-    solved = (hits.groupBy(*group, "cut", "_pos", "_total").agg(low.alias("_l"), high.alias("_h"))
+             .select(*group, F.lit(0).cast("bigint").alias("_k"), F.col("_c")["cut"].alias("cut"), "_pos", "_total", "_rank"))
+    part = [*group, "_k"]
+
+    def largest(rows: DataFrame) -> int:
+        return rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+
+    while largest(counted) > task_rows:
+        counted, ranks = _narrow(counted, ranks, part, levels)
+
+    inside = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    spans = (counted.withColumn("_hi", F.sum("_n").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+             .select(*part, "_v", "_lo", "_hi"))
+    hits = ranks.join(spans, part).filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+    solved = (hits.groupBy(*group, "cut", "_pos", "_total").agg(F.min("_v").alias("_l"), F.max("_v").alias("_h"))
               .withColumn("value", F.col("_l") + (F.col("_h") - F.col("_l")) * (F.col("_pos") - F.floor("_pos"))))
-    return (solved.groupBy(*group).agg(
-        F.max("_total").alias("n_samples"),
-        *[F.max(F.when(F.col("cut") == n, F.col("value"))).alias(n) for n in cuts]))
+    return solved.groupBy(*group).agg(F.max("_total").alias("n_samples"),
+                                      *[F.max(F.when(F.col("cut") == n, F.col("value"))).alias(n) for n in cuts])
+
+
+def _narrow(counted: DataFrame, ranks: DataFrame, part: list[str], levels: int) -> tuple[DataFrame, DataFrame]:
+    """One round: keep the buckets that hold a wanted rank; ranks become relative to their bucket."""
+    buckets = 2 ** levels
+    inner = [i / buckets for i in range(1, buckets)]
+    # sketches merge in any order, so the splitters are fixed before several plans read them
+    splits = materialize(counted.groupBy(*part).agg(
+        F.percentile_approx("_v", F.array(*[F.lit(p) for p in inner]), 4 * buckets).alias("_s")))
+    cut = counted.join(splits, part).withColumn("_b", F.lit(0))
+    for step in (2 ** k for k in range(levels - 1, -1, -1)):  # binary search for the splitters below the value
+        cut = cut.withColumn("_b", F.col("_b") + F.when(F.get("_s", F.col("_b") + step - 1) < F.col("_v"), step).otherwise(0))
+    cut = cut.drop("_s")
+    order = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (cut.groupBy(*part, "_b").agg(F.sum("_n").alias("_t")).withColumn("_end", F.sum("_t").over(order))
+            .withColumn("_start", F.col("_end") - F.col("_t")).drop("_t"))
+    located = materialize(ranks.join(sums, part).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
+                          .withColumn("_rank", F.col("_rank") - F.col("_start")).drop("_start", "_end"))
+    chosen = located.select(*part, "_b").distinct()
+    deeper = (F.col("_k") * buckets + F.col("_b")).alias("_k")
+    rest = [c for c in ranks.columns if c != "_k"]
+    kept = cut.join(chosen, [*part, "_b"], "left_semi").select(*[c for c in part if c != "_k"], deeper, "_v", "_n")
+    return materialize(kept), located.select(*rest, deeper)
 
 
 def strict_percent_rank(df: DataFrame, group: list[str], value: str, name: str, reference=None) -> DataFrame:

@@ -66,12 +66,13 @@ def test_window_half_is_limited(daily):
         windows.window_years(daily[1], ["e"], "d", {"v": "avg"}, [183])
 
 
-def test_exact_percentiles_with_hot_group_and_ties(spark):
+@pytest.mark.parametrize("levels,task_rows", [(8, 1_000_000), (4, 300), (2, 40)])
+def test_exact_percentiles_with_hot_group_and_ties(spark, levels, task_rows):
     rng = np.random.default_rng(0)
     hot = np.concatenate([rng.lognormal(size=20000), np.full(9000, 1.5)])
     pdf = pd.DataFrame({"g": ["hot"] * len(hot) + ["small"] * 3 + ["one"], "v": list(hot) + [3.0, 1.0, 2.0, 5.0]})
     cuts = {"p0": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.g: r for r in quantiles.exact_percentiles(spark.createDataFrame(pdf).repartition(6), ["g"], "v", cuts).collect()}
+    got = {r.g: r for r in quantiles.exact_percentiles(spark.createDataFrame(pdf).repartition(6), ["g"], "v", cuts, levels, task_rows).collect()}
     for g, part in pdf.groupby("g"):
         want = np.percentile(part.v, [0, 5, 50, 95, 100])
         assert [got[g][c] for c in cuts] == pytest.approx(list(want)), g
