@@ -69,6 +69,7 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
     marked = cells.withColumn("_edge", (F.col(x) == west) | (F.col(y) == south))
     seed = F.col("_edge") & (F.col(elevation) <= seed_level)
     tiles = materialize(_tiles(marked, x, y, elevation, seed, size))
+    n_tiles = tiles.count()
 
     edge_schema = "tx bigint, ty bigint, p int, v double"
     cell_schema = f"tx bigint, ty bigint, p int, {name} double"
@@ -112,7 +113,7 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
             full = part.join(packed, ["tx", "ty"], "left").withColumns({
                 "at": F.coalesce(F.col("_m")["p"], F.array().cast("array<int>")),
                 "levels": F.coalesce(F.col("_m")["v"], F.array().cast("array<double>"))}).drop("_m")
-        return spread(full, ["tx", "ty"])
+        return spread(full, ["tx", "ty"], 4 * n_tiles)  # more tasks than tiles, so few tiles share one
 
     inflow, active = None, tiles
     for _ in range(max_rounds):

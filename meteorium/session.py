@@ -58,12 +58,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+def spread(df: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
     """Hash rows over at least as many tasks as the cluster has cores.
 
     For steps whose work per byte is high (fits, density curves, tile solving).  A shuffle with a given number of
-    partitions is not merged by adaptive execution, which judges partitions by their bytes only.
+    partitions is not merged by adaptive execution, which judges partitions by their bytes only.  ``at_most`` is the
+    number of keys where it is known to be small.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return df.repartition(max(1, min(n, at_most)) if at_most is not None else n, *keys)
