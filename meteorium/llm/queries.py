@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module each; a module holds QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES = ["q_dedup"]
+MODULES = ["q_dedup", "q_decontamination", "q_models"]
 
 QUERIES = {}
 for _name in MODULES:
