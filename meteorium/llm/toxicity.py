@@ -1,15 +1,18 @@
 """Toxicity of a text: averaged subword embeddings under a linear softmax, trained together in numpy.
 
 A word is the mean of the vectors of its character n-grams and of itself, so unseen misspellings share most of their vectors with
-the word they come from.  A bag is a run of ``BAG`` words; its mean vector goes through a linear softmax.  A document is as toxic as
-its worst bag: in training a document without the label teaches all of its bags, one with the label only its worst one (all of
-them in the first rounds).  Last, two numbers that map the worst bag to a probability are fitted on documents.
-
-Training takes at most ``max_each`` documents of each label (an even hash sample where there are more).  Every text is scored whole.
-
-Edge cases: null, empty and wordless texts count as one bag without words and get the score that the fit has for no evidence; where one
-of the two labels is missing the score is the share of label 1 (0 without labels); labels that are null or neither 0 nor 1 are not
-learned from; other columns are not looked at.
+the word they come from; the softmax (of two labels: one linear form) sits on such means.  Embeddings and softmax are trained
+together on the distinct words of the labelled documents, each with the label of its document: a word that the two labels share
+ends near their common share, one that a single document has is held back by the penalty.  A text is judged by the mean vector of its
+``WORST`` most telling distinct words, and a logistic curve, fitted on documents that the embeddings have not seen, maps that to a
+probability.
+
+Training takes at most about ``max_each`` documents of each label (an even hash sample where there are more).  Every text is
+scored whole.
+
+Edge cases: null, empty and wordless texts are scored as a text whose words say nothing; where one of the two labels is missing the
+score is the share of label 1 (0 without labels); labels that are null or neither 0 nor 1 are not learned from; a document that
+has both labels teaches both; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,22 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .language import even_sample
 from .words import TOKEN_BYTES, WordRows, by_size, grams, lowered
 
-ORDERS = range(3, 6)
+ORDERS = range(3, 7)
 BUCKETS = 1 << 17
-BAG = 12
-DIM = 6
+DIM = 4
+WORST = 3
 RUN_CHARS = 2_000_000
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the subwords of all words, and the word of each; a word is a subword of itself."""
     owners, buckets = [np.arange(len(words))], []
-    from xxhash import xxh3_64_intdigest
-
     own = np.fromiter((xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
     buckets.append(own % np.uint64(BUCKETS))
     for _, owner, _, h in grams(words, ORDERS):
@@ -44,39 +46,32 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
-def bags(numbers: np.ndarray) -> np.ndarray:
-    """First words of the bags of a document; the last bag is not left shorter than half where there are more."""
-    firsts = np.arange(0, max(1, len(numbers)), BAG)
-    return firsts[:-1] if len(firsts) > 1 and len(numbers) - firsts[-1] < BAG // 2 else firsts
-
-
-def bag_sums(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    firsts = bags(scores)
-    if not len(scores):
-        return np.zeros(1), np.ones(1)
-    return np.add.reduceat(scores, firsts), np.diff(np.append(firsts, len(scores)))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
+def _means(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(owner, weights=values, minlength=n) / np.maximum(1, np.bincount(owner, minlength=n))
+
+
 class Model:
-    """Embeddings folded with the softmax into one number a bucket, the bias, and the two numbers of the last step."""
+    """Embeddings under the softmax, folded into one number a bucket, and the curve from a text's worst words to a probability."""
 
-    def __init__(self, weights: np.ndarray, bias: float, scale: tuple[float, float]):
-        self.weights, self.bias, self.scale = weights, bias, scale
+    def __init__(self, weights: np.ndarray, bias: float, curve: tuple[float, float] = (1.0, 0.0)):
+        self.weights, self.bias, self.curve = weights, bias, curve
 
     def unseen(self, words: list[bytes]) -> np.ndarray:
         buckets, owner = subwords(words)
-        return np.bincount(owner, weights=self.weights[buckets], minlength=len(words)) / np.bincount(owner, minlength=len(words))
+        return _means(owner, self.weights[buckets], len(words)) + self.bias
 
     def worst(self, scores: np.ndarray) -> float:
-        sums, sizes = bag_sums(scores)
-        return float((sums / sizes).max() + self.bias)
+        """Of the scores of the distinct words of a text."""
+        if not len(scores):
+            return self.bias
+        return float(np.sort(scores)[-WORST:].mean())
 
     def probability(self, worst: float) -> float:
-        return float(_sigmoid(np.float64(self.scale[0] * worst + self.scale[1])))
+        return float(_sigmoid(np.float64(self.curve[0] * worst + self.curve[1])))
 
 
 class _Adam:
@@ -89,65 +84,60 @@ class _Adam:
         return value - self.rate * (self.first / (1 - 0.9 ** self.t)) / (np.sqrt(self.second / (1 - 0.999 ** self.t)) + 1e-8)
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 40, warm: int = 12, rate: float = 0.3, decay: float = 1e-6) -> Model:
-    """Fit the embeddings, the softmax and the last step to whole texts."""
-    labels = np.asarray(labels, dtype=np.int64)
-    share = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < share < 1:
-        return Model(np.zeros(BUCKETS), 0.0, (0.0, -50.0 if share == 0 else 50.0))
+def _embed(texts: list[list[bytes]], labels: np.ndarray, rounds: int = 40, rate: float = 0.3, penalty: float = 0.3) -> Model:
     rows = WordRows({}, np.zeros((0, 1)), lambda new: np.zeros((len(new), 1)), room=1 << 60)
-    numbers = rows.numbers([lowered(t, TOKEN_BYTES) for t in texts])
-    words = list(rows)
-    buckets, owner = subwords(words)
-    parts = np.bincount(owner, minlength=len(words)).astype(float)
-    firsts = [bags(n) for n in numbers]
-    counts = np.array([len(f) for f in firsts])
-    doc = np.repeat(np.arange(len(numbers)), counts)
-    sizes = np.concatenate([np.diff(np.append(f, len(n))) for f, n in zip(firsts, numbers)])
-    flat, bag = np.concatenate(numbers), np.repeat(np.arange(len(sizes)), sizes)
-    inverse = 1 / np.maximum(sizes, 1)
-    first_bag = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    target = labels[doc]
-    # each label weighs the same, each document of a label too, however many bags it has
-    balance = (0.5 / np.where(labels == 1, labels.sum(), (1 - labels).sum()))[doc]
-
+    numbers = [np.unique(n) for n in rows.numbers(texts)]
+    n, flat = len(rows), np.concatenate(numbers)
+    label = np.repeat(labels, [len(x) for x in numbers])
+    buckets, owner = subwords(list(rows))
+    parts = np.bincount(owner, minlength=n)
+    # a label 1 counts as much more as it is rarer
+    toxic = np.bincount(flat[label == 1], minlength=n) * ((labels == 0).sum() / (labels == 1).sum())
+    clean = np.bincount(flat[label == 0], minlength=n)
     random = np.random.default_rng(7)
     table, soft, bias = random.normal(0, 0.05, (DIM, BUCKETS)), random.normal(0, 0.5, DIM), 0.0
     steps = [_Adam(rate), _Adam(rate / 10), _Adam(rate / 3)]
-    for k in range(rounds):
-        word = np.stack([np.bincount(owner, weights=row[buckets], minlength=len(words)) / parts for row in table])
-        mean = np.stack([np.bincount(bag, weights=row[flat], minlength=len(sizes)) * inverse for row in word])
-        said = soft @ mean + bias
-        if k < warm:
-            taught = balance / counts[doc]
-        else:
-            top = np.maximum.reduceat(said, first_bag)
-            worst = said >= top[doc]
-            taught = balance * np.where(target == 1, worst / np.maximum(1, np.bincount(doc[worst], minlength=len(counts)))[doc], 1 / counts[doc] + worst)
-        slope = (_sigmoid(said) - target) * taught
-        back = slope * inverse
-        for_word = np.bincount(flat, weights=back[bag], minlength=len(words)) / parts
-        per_bucket = np.bincount(buckets, weights=for_word[owner], minlength=BUCKETS)
-        # the softmax is linear in the embeddings, so all rows of the table share one slope per bucket
-        soft_slope, table_slope = mean @ slope, soft[:, None] * per_bucket[None, :] + decay * table
-        table, soft, bias = steps[0].step(table, table_slope), steps[1].step(soft, soft_slope), steps[2].step(bias, slope.sum())
-    weights = soft @ table
-    word = np.bincount(owner, weights=weights[buckets], minlength=len(words)) / parts
-    said = np.bincount(bag, weights=word[flat], minlength=len(sizes)) * inverse + bias
-    return Model(weights, float(bias), _last_step(np.maximum.reduceat(said, first_bag), labels))
-
-
-def _last_step(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    for _ in range(rounds):
+        word = np.stack([_means(owner, row[buckets], n) for row in table])
+        p = _sigmoid(soft @ word + bias)
+        slope = toxic * (p - 1) + clean * p
+        per_bucket = np.bincount(buckets, weights=(slope / parts)[owner], minlength=BUCKETS)
+        turns = soft[:, None] * per_bucket[None, :] + penalty * table, word @ slope + penalty * soft, slope.sum()
+        table, soft, bias = (step.step(value, turn) for step, value, turn in zip(steps, (table, soft, bias), turns))
+    return Model(soft @ table, float(bias))
+
+
+def _curve(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve by Newton steps, held back a little so that clean separation stays finite."""
-    x = np.stack([worst, np.ones(len(worst))], axis=1)
-    aim = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
-    w = np.zeros(2)
-    for _ in range(50):
+    x, w = np.stack([worst, np.ones(len(worst))], axis=1), np.zeros(2)
+    for _ in range(30):
         p = _sigmoid(x @ w)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - aim) + 1e-3 * w)
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (p - labels) + 0.05 * w)
     return float(w[0]), float(w[1])
 
 
+def _worst_of(model: Model, texts: list[list[bytes]]) -> np.ndarray:
+    return np.array([model.worst(model.unseen(list(set(t)))) if t else model.bias for t in texts])
+
+
+def train(texts: list[str | None], labels: np.ndarray) -> Model:
+    """Fit embeddings and softmax to whole texts; the curve on the third that a first fit has not seen."""
+    labels = np.asarray(labels, dtype=np.int64)
+    share = float(labels.mean()) if len(labels) else 0.0
+    if not 0 < share < 1:
+        return Model(np.zeros(BUCKETS), 0.0, (0.0, -50.0 if share == 0 else 50.0))
+    split = [lowered(t, TOKEN_BYTES) for t in texts]
+    # every third document of each label, in the order given
+    rank = np.empty(len(labels), dtype=np.int64)
+    for k in (0, 1):
+        rank[labels == k] = np.arange((labels == k).sum())
+    away, model = rank % 3 == 2, _embed(split, labels)
+    first = _embed([t for t, out in zip(split, away) if not out], labels[~away]) if labels[away].any() else model
+    seen = away if labels[away].any() else np.ones(len(labels), dtype=bool)
+    model.curve = _curve(_worst_of(first, [t for t, out in zip(split, seen) if out]), labels[seen])
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 2_500) -> Model:
     """Learn from the labelled documents; the chosen ids are at most a few thousand, so documents are filtered where they stand."""
     named = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_label"))
@@ -171,7 +161,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Colu
             said = []
             for run in by_size(iter(batch.column(width).to_pylist()), lambda t: len(t or ""), RUN_CHARS):
                 for numbers in rows.numbers([lowered(t, TOKEN_BYTES) for t in run]):
-                    said.append(m.probability(m.worst(rows.matrix[numbers])))
+                    said.append(m.probability(m.worst(rows.matrix[np.unique(numbers)])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(said, pa.float64())], names=out.names)
 
     return kept.mapInArrow(judge, out)

@@ -8,7 +8,7 @@ import numpy as np
 
 #: Bytes that belong to words of a lower-cased UTF-8 text; the others become blanks.
 LETTER_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-TOKEN_BYTES = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b in b"*@$" or b >= 128 else 32 for b in range(256))
+TOKEN_BYTES = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
 def lowered(text: str | None, table: bytes) -> list[bytes]:
