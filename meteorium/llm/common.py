@@ -25,3 +25,11 @@ def shard_count(rows: int, per_shard: int) -> int:
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; an id that is null counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

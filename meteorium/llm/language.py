@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .words import LETTER_BYTES, WordRows, by_size, grams, lowered
 
 ORDERS = range(1, 6)
@@ -108,11 +109,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """The kept columns (all, if none are named) with ``lang_pred`` and ``score``, the share of the predicted language."""
-    spark = docs.sparkSession
-    kept = docs.select(*(keep if keep is not None else ["*"]), F.col(text_col).alias("_text"), F.col(text_col).rlike(r"\p{L}").alias("_letters"))
-    out = kept.drop("_text", "_letters").schema.add("lang_pred", "string").add("score", "double")
-    width, sent = len(out) - 2, spark.sparkContext.broadcast(model)
+    """The kept columns (all, if none are named) with ``lang_pred`` and ``score``, the share of the predicted language.
+
+    Columns that already have one of these two names are replaced.
+    """
+    named = keep if keep is not None else [F.col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    out = docs.select(*named).schema.add("lang_pred", "string").add("score", "double")
+    width, sent = len(named), docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*named, F.col(text_col).alias(free_name(docs, "whole_text")), F.col(text_col).rlike(r"\p{L}").alias(free_name(docs, "has_letters")))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

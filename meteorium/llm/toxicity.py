@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from .common import free_name
 from .language import even_sample
 from .words import TOKEN_BYTES, WordRows, by_size, grams, lowered
 
@@ -149,10 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """The kept columns (all, if none are named) with ``score``, the probability of label 1."""
-    kept = docs.select(*(keep if keep is not None else ["*"]), F.col(text_col).alias("_text"))
-    out = kept.drop("_text").schema.add("score", "double")
-    width, sent = len(out) - 1, docs.sparkSession.sparkContext.broadcast(model)
+    """The kept columns (all, if none are named) with ``score``, the probability of label 1; it replaces a column of that name."""
+    named = keep if keep is not None else [F.col(c) for c in docs.columns if c.lower() != "score"]
+    out = docs.select(*named).schema.add("score", "double")
+    width, sent = len(named), docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*named, F.col(text_col).alias(free_name(docs, "whole_text")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
