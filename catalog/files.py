@@ -24,13 +24,20 @@ def csv_station_files(spark, d):
     tagged = o.filter("l_linenumber <= 2").drop("l_linenumber").withColumn("source", F.lit("era5t"))
     sinks.write_csv(plain, f"{root}/plain")
     sinks.write_csv(tagged, f"{root}/tagged")
-    short = T.StructType(STATION.fields[:-1])
-    a = spark.read.schema(short).option("header", True).option("mode", "FAILFAST").csv(f"{root}/plain")
-    b = readers.read_station_files(spark, f"{root}/tagged", STATION).drop("file_name")
-    both = readers.read_union([a, b], {"source": "era5"})
+    both = readers.read_station_files(spark, f"{root}/*", STATION)
     return both.groupBy("entity", "source", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
+def swapped_station_files(spark, d):
+    """Daily CSV files whose columns stand in different orders, read by the names in their headers."""
+    o = observations(spark, d).select("entity", F.col("day").alias("date"), "value", "qty", "l_linenumber")
+    root = session.scratch_path(spark, "swapped")
+    sinks.write_csv(o.filter("l_linenumber > 3").drop("l_linenumber"), f"{root}/plain")
+    sinks.write_csv(o.filter("l_linenumber <= 3").select("qty", F.lit("era5t").alias("source"), "value", "entity", "date"), f"{root}/swapped")
+    both = readers.read_station_files(spark, f"{root}/*", STATION)
+    return both.groupBy("entity", "source", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.sum("qty").alias("qty"))
+
+
 def strict_dates(spark, d):
     """Text dates in three spellings; only yyyy-MM-dd counts."""
     s = observations(spark, d).select("l_linenumber", F.when(F.col("l_linenumber") == 1, F.date_format("day", "yyyy/MM/dd")).when(
@@ -191,6 +198,8 @@ def published_lookup(spark, d):
 QUERIES = {
     "csv_station_files": (csv_station_files, f"""WITH {OBS} SELECT entity, CASE WHEN l_linenumber <= 2 THEN 'era5t' ELSE 'era5' END AS source,
       year(day)::INTEGER AS year, count(*) AS n, sum(value) AS value FROM obs GROUP BY ALL"""),
+    "swapped_station_files": (swapped_station_files, f"""WITH {OBS} SELECT entity, CASE WHEN l_linenumber <= 3 THEN 'era5t' ELSE 'era5' END AS source,
+      year(day)::INTEGER AS year, count(*) AS n, sum(value) AS value, sum(qty)::DOUBLE AS qty FROM obs GROUP BY ALL"""),
     "strict_dates": (strict_dates, f"""WITH {OBS} SELECT l_linenumber, count(*) AS n, count(*) FILTER (WHERE l_linenumber > 2) AS parsed,
       strftime(max(day) FILTER (WHERE l_linenumber > 2), '%Y-%m-%d') AS last FROM obs GROUP BY l_linenumber"""),
     "payload_rows": (payload_rows, """WITH c AS (SELECT unnest(range(0, len(embedding))) AS step, unnest(embedding) AS v FROM embeddings)

@@ -63,7 +63,7 @@ def source_priority(spark, d):
 def merged_variables(spark, d):
     """Long variables to one wide row per key."""
     o = observations(spark, d).select("entity", F.year("day").alias("year"), F.col("l_linenumber").alias("var"), "value")
-    return o.groupBy("entity", "year").agg(*[F.avg(F.when(F.col("var") == k, F.col("value"))).alias(f"v{k}") for k in range(1, 5)])
+    return o.groupBy("entity", "year").agg(*[F.avg(F.when(F.col("var") == k, F.col("value"))).alias(f"v{k}") for k in range(1, 8)])
 
 
 BOX = geo.Box(south=0, north=100, west=0, east=2000)
@@ -157,7 +157,7 @@ QUERIES = {
       SELECT entity, strftime(day, '%Y-%m-%d') AS day, coalesce(v_max, v_mean) AS value, (v_max IS NULL)::INTEGER AS preliminary
       FROM a FULL JOIN b USING (entity, day)"""),
     "merged_variables": (merged_variables, f"""WITH {OBS} SELECT entity, year(day)::INTEGER AS year,
-      {", ".join(f"avg(value) FILTER (WHERE l_linenumber = {k}) AS v{k}" for k in range(1, 5))} FROM obs GROUP BY ALL"""),
+      {", ".join(f"avg(value) FILTER (WHERE l_linenumber = {k}) AS v{k}" for k in range(1, 8))} FROM obs GROUP BY ALL"""),
     "points_on_cells": (points_on_cells, f"""WITH {OBS}, {PRIORITY}, p AS (SELECT trunc((100 - l_suppkey) / 100 * 16)::INTEGER AS row,
         trunc(l_partkey / 2000 * 32)::INTEGER AS col, count(*) AS points FROM obs GROUP BY ALL),
       c AS (SELECT (o_custkey % 16)::INTEGER AS row, (o_orderkey % 29)::INTEGER AS col, max(round(o_totalprice * 100) / 131072.0) AS elevation FROM orders GROUP BY ALL)

@@ -76,7 +76,7 @@ def published_tables(spark, d):
     per_day = network.days(spark, d)
     made = {"daily": plan.daily(data, st), "daily_percentiles": plan.daily_percentiles(per_day, st, SETTINGS), "season_heatmap": plan.season_heatmap(per_day, st, SETTINGS)}
     root = session.scratch_path(spark, "published")
-    sinks.publish(made, quality.unique_key(made["season_heatmap"], "season_heatmap", ["era5_name", "x", "y"]), root)
+    sinks.publish(made, lambda staged: quality.unique_key(staged["season_heatmap"], "season_heatmap", ["era5_name", "x", "y"]), root)
     return sinks.inventory({n: spark.read.parquet(f"{root}/{n}") for n in made})
 
 

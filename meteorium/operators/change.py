@@ -54,9 +54,10 @@ def compare_manifests(actual: DataFrame, expected: DataFrame, excluded: list[tup
 
 def manifest_gate(compared: DataFrame) -> None:
     """Raise when a gated column moved or the column sets differ."""
-    bad = compared.filter(F.col("status").isin("moved", "missing", "unknown")).select("table", "column", "status").take(100)
+    all_bad = compared.filter(F.col("status").isin("moved", "missing", "unknown")).select("table", "column", "status")
+    bad = all_bad.take(100)
     if bad:
-        raise ValueError("manifest mismatch: " + ", ".join(f"{r['table']}#{r['column']} {r['status']}" for r in bad))
+        raise ValueError(f"manifest mismatch in {all_bad.count()} column(s), first: " + ", ".join(f"{r['table']}#{r['column']} {r['status']}" for r in bad))
 
 
 def row_diff(current: DataFrame, reference: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

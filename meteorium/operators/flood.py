@@ -60,7 +60,7 @@ def _tiles(cells: DataFrame, x: str, y: str, elevation: str, seed: Column, size:
 
 
 def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str = "elevation",
-                   seed_level: float = 0.0, size: int = 256, name: str = "connect", max_rounds: int = 10_000) -> DataFrame:
+                   seed_level: float = 0.0, size: int = 256, name: str = "connect") -> DataFrame:
     """Add the connect level of every cell; cells the sea cannot reach are left out.
 
     Seeds are the cells of the westernmost column and the southernmost row (largest y) at or below ``seed_level``.
@@ -116,7 +116,7 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
         return spread(full, ["tx", "ty"], 4 * n_tiles)  # more tasks than tiles, so few tiles share one
 
     inflow, active = None, tiles
-    for _ in range(max_rounds):
+    while True:  # ends: levels only fall, and each is the elevation of some cell
         sent = with_inflow(active, inflow).mapInPandas(solver(True), edge_schema).join(
             tiles.select("tx", "ty"), ["tx", "ty"])
         if inflow is None:
@@ -132,8 +132,6 @@ def connect_levels(cells: DataFrame, x: str = "x", y: str = "y", elevation: str
         if news.isEmpty():
             break
         active = tiles.join(news.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
-    else:
-        raise RuntimeError("flood levels did not settle")
     solved = with_inflow(tiles, inflow).mapInPandas(solver(False), cell_schema)
     keyed = solved.select((F.col("tx") * size + F.pmod("p", F.lit(size))).alias(x),
                           (F.col("ty") * size + F.floor(F.col("p") / size)).alias(y), name)

@@ -116,6 +116,9 @@ def _spline_axis(df: DataFrame, keep: list[str], along: str, value: str, factor:
             yield pd.Series([not_a_knot_spline(np.asarray(v, float), np.arange((len(v) - 1) * factor + 1) / factor)
                              for v in values])
 
+    whole = F.element_at("_l", -1)[along] - F.element_at("_l", 1)[along] == F.size("_l") - 1
+    whole = whole & ~F.exists("_l", lambda c: c[value].isNull())
+    lines = lines.withColumn("_l", F.when(whole, F.col("_l")).otherwise(F.raise_error(F.lit(f"incomplete grid line along {along}"))))
     fine = lines.withColumn("_first", F.element_at("_l", 1)[along]).withColumn(
         "_v", refine(F.transform("_l", lambda c: c[value])))
     return (fine.select(*keep, "_first", F.posexplode("_v").alias("_p", value))

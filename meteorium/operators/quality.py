@@ -18,11 +18,18 @@ from . import series as ser
 
 @dataclass(frozen=True)
 class RowRule:
-    """``bad`` is true for a violating row; ``column`` names the reported value."""
+    """``bad`` is true for a violating row; ``column`` names the reported value, ``needs`` further columns that ``bad`` reads."""
 
     name: str
     column: str
     bad: Column
+    needs: tuple[str, ...] = ()
+
+    def columns(self) -> list[str]:
+        return [*self.column.split(","), *self.needs]
+
+
+REPORT = "table string, rule string, key string, column string, value string"
 
 
 class QualityError(Exception):
@@ -85,26 +92,37 @@ def maps_to(key: str, column: str, mapping: dict[str, str]) -> RowRule:
     """``column`` must hold the mapped value of ``key``."""
     expected = reduce(lambda acc, kv: acc.when(F.col(key) == kv[0], F.lit(kv[1])), list(mapping.items())[1:],
                       F.when(F.col(key) == next(iter(mapping)), F.lit(mapping[next(iter(mapping))])))
-    return RowRule("maps_to", column, ~F.col(column).eqNullSafe(expected))
+    return RowRule("maps_to", column, ~F.col(column).eqNullSafe(expected), (key,))
 
 
-def implies_range(when: Column, column: str, low: float, high: float) -> RowRule:
-    return RowRule("implies_range", column, when & ~F.col(column).between(low, high))
+def implies_range(when: Column, column: str, low: float, high: float, needs: tuple[str, ...] = ()) -> RowRule:
+    return RowRule("implies_range", column, when & ~F.col(column).between(low, high), needs)
 
 
-def holds(name: str, column: str, good: Column) -> RowRule:
-    """Any row predicate that must hold (null counts as holding)."""
-    return RowRule(name, column, ~good)
+def holds(name: str, column: str, good: Column, needs: tuple[str, ...] = ()) -> RowRule:
+    """Any row predicate that must hold (null counts as holding; ``not_null`` reports nulls)."""
+    return RowRule(name, column, ~good, needs)
 
 
 def positive_count_matches(column: str, array_json: str) -> RowRule:
     """The count column equals the number of positive entries of a JSON integer array."""
     n = F.size(F.filter(F.from_json(F.col(array_json), "array<int>"), lambda v: v > 0))
-    return RowRule("positive_count_matches", column, F.col(column) != n)
+    return RowRule("positive_count_matches", column, F.col(column) != n, (array_json,))
 
 
 def row_violations(df: DataFrame, table: str, key: list[str], rules: list[RowRule]) -> DataFrame:
-    """All row rules in one scan."""
+    """All row rules in one scan.
+
+    A rule whose columns are not all there can't run; each such column is reported as missing, and the other rules run.
+    """
+    have = set(df.columns)
+    lost = sorted({c for r in rules for c in r.columns()} - have | set(key) - have)
+    if lost:
+        runnable = [r for r in rules if have.issuperset(r.columns())]
+        absent = df.sparkSession.createDataFrame([(table, "missing_column", c, c, None) for c in lost], REPORT)
+        kept = [c for c in key if c in have]
+        return absent.unionByName(row_violations(df, table, kept, runnable)) if runnable else absent
+
     def value(rule):
         names = rule.column.split(",")
         return F.concat_ws(",", *[F.coalesce(_text(c), F.lit("null")) for c in names])
@@ -222,12 +240,12 @@ def column_set(df: DataFrame, table: str, declared: list[str]) -> DataFrame:
     """Exact column set: one row per missing or undeclared column (schema only, no data is read)."""
     rows = [(table, "missing_column", c, c, None) for c in declared if c not in df.columns]
     rows += [(table, "undeclared_column", c, c, None) for c in df.columns if c not in declared]
-    return df.sparkSession.createDataFrame(rows, "table string, rule string, key string, column string, value string")
+    return df.sparkSession.createDataFrame(rows, REPORT)
 
 
 def missing_tables(spark, have: list[str], expected: list[str]) -> DataFrame:
     rows = [(t, "missing_table", t, None, None) for t in expected if t not in have]
-    return spark.createDataFrame(rows, "table string, rule string, key string, column string, value string")
+    return spark.createDataFrame(rows, REPORT)
 
 
 def all_of(reports: list[DataFrame]) -> DataFrame:
@@ -239,13 +257,12 @@ def summary(violations: DataFrame) -> DataFrame:
 
 
 def gate(violations: DataFrame, sample: int = 50) -> None:
-    """Raise when there is any violation.  The driver receives counts per rule and at most ``sample`` rows."""
+    """Raise when there is any violation.  The totals cover all violations; the driver receives at most ``sample`` rows."""
     first = violations.take(sample)
     if first:
-        counts = summary(violations).orderBy(F.desc("violations")).take(sample)
-        total = sum(r["violations"] for r in counts)
+        total, rules = summary(violations).agg(F.sum("violations"), F.count(F.lit(1))).first()
         lines = [f"{r['table']}: {r['rule']} [{r['column']}] key={r['key']} value={r['value']}" for r in first]
-        raise QualityError(f"{total} violation(s) in {len(counts)} rule(s)\n  - " + "\n  - ".join(lines))
+        raise QualityError(f"{total} violation(s) in {rules} rule(s)\n  - " + "\n  - ".join(lines))
 
 
 def all_or_nothing(df: DataFrame, group: list[str], dimension: DataFrame, n_name: str = "n_entities") -> DataFrame:

@@ -15,15 +15,22 @@ TEMPERATURE = (-50.0, 45.0)
 LATITUDE, LONGITUDE, ELEVATION = (45.0, 47.0), (13.0, 17.0), (0.0, 3000.0)
 PRECIPITATION, EVAPORATION = (0.0, 500.0), (0.0, 25.0)
 SOURCES = ["era5", "era5t"]
+# The columns of a raw station file, none of which may be null, and the derived columns that may be.
+RAW_COLUMNS = ["location", "latitude", "longitude", "elevation_station_m", "elevation_era5_m", "elevation_diff_m", "date", "temperature_max",
+               "temperature_min", "temperature_mean", "precipitation_sum", "et0_evapotranspiration", "source"]
+NULLABLE = {"station_id", "xml_id", "trend"}
 TABLES = ["stations", "daily", "daily_percentiles", "daily_window", "annual_trend", "annual_trend_windows",
           "season_heatmap", "tropical", "spei", "spei_station"]
 
 
 def raw_violations(raw: DataFrame, config: DataFrame, declared: list[str] | None = None) -> DataFrame:
-    """Every rule of the raw station rows.  ``raw`` has one ``sequence`` number per row in file order."""
+    """Every rule of the raw station rows.  ``raw`` has one ``sequence`` number per row in file order.
+
+    Where ``raw`` has a ``file_name``, its stem must be the location of every row of the file.
+    """
     t = "raw"
     temps = ["temperature_max", "temperature_min", "temperature_mean"]
-    rules = [*[q.not_null(c) for c in ("location", "elevation_diff_m", *temps)], q.parseable_date("date"),
+    rules = [*[q.not_null(c) for c in RAW_COLUMNS if c != "date"], q.parseable_date("date"),
              q.in_range("latitude", *LATITUDE), q.in_range("longitude", *LONGITUDE),
              q.in_range("elevation_station_m", *ELEVATION), q.in_range("elevation_era5_m", *ELEVATION),
              *[q.in_range(c, *TEMPERATURE) for c in temps], q.in_range("precipitation_sum", *PRECIPITATION),
@@ -32,17 +39,20 @@ def raw_violations(raw: DataFrame, config: DataFrame, declared: list[str] | None
     dated = raw.withColumn("date", F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")))).filter("date is not null")
     want = config.select(F.col("era5_name").alias("location"),
                          (F.col("elevation_era5_m") - F.col("elevation")).cast("double").alias("elevation_diff_m"))
-    have = raw.groupBy("location").agg(F.first("elevation_diff_m").alias("elevation_diff_m"))
+    have = raw.groupBy("location").agg(F.min("elevation_diff_m").alias("elevation_diff_m"), F.max("elevation_diff_m").alias("_high"))
     off = have.join(want.withColumnRenamed("elevation_diff_m", "_w"), "location").filter(
-        F.abs(F.col("elevation_diff_m") - F.col("_w")) > 1e-6)
+        (F.abs(F.col("elevation_diff_m") - F.col("_w")) > 1e-6) | (F.abs(F.col("_high") - F.col("_w")) > 1e-6))
     reports = [q.row_violations(raw, t, ["location", "date"], rules),
                q.expected_entities(raw, t, "location", want, "location"),
                q.daily_continuity(dated, t, ["location"], "date"),
                q.increasing_dates(dated, t, ["location"], "sequence", "date"),
                q.constant_per_group(raw, t, ["location"], "elevation_diff_m"),
                q.report(off, t, "elevation_matches_config", F.col("location"), "elevation_diff_m", F.col("elevation_diff_m"))]
-    if declared is not None:
-        reports.append(q.column_set(raw.drop("sequence"), t, declared))
+    if "file_name" in raw.columns:
+        stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+        reports.append(q.row_violations(raw, t, ["file_name", "sequence"], [
+            q.RowRule("location_is_file", "location", ~F.col("location").eqNullSafe(stem), ("file_name",))]))
+    reports.append(q.column_set(raw.drop("sequence", "file_name"), t, RAW_COLUMNS if declared is None else declared))
     return q.all_of(reports)
 
 
@@ -54,10 +64,10 @@ def _rules(names: list[str], years: tuple[int, int]) -> dict[str, list[q.RowRule
     mean_cuts = ["p05", "p20", "p40", "p60", "p80", "p95"]
     trend = [q.one_of("era5_name", names), q.one_of("variable", list(VARIABLES)), *month_day, year("year_min"), year("year_max"),
              q.in_range("p_val", 0, 1), q.in_range("tau", -1, 1), q.at_least("n_years", 10),
-             q.holds("year_order", "year_min", F.col("year_min") <= F.col("year_max")),
-             q.holds("year_span", "n_years", F.col("n_years") == F.col("year_max") - F.col("year_min") + 1)]
+             q.holds("year_order", "year_min", F.col("year_min") <= F.col("year_max"), ("year_max",)),
+             q.holds("year_span", "n_years", F.col("n_years") == F.col("year_max") - F.col("year_min") + 1, ("year_min", "year_max"))]
     heat = [q.in_range("x", 0, 3), year("y"), q.one_of("season", cal.SEASONS), q.at_least("rank", 1),
-            q.holds("rank_total", "rank", F.col("rank") <= F.col("total")), q.at_least("n_days", 30)]
+            q.holds("rank_total", "rank", F.col("rank") <= F.col("total"), ("total",)), q.at_least("n_days", 30)]
     return {
         "stations": [q.one_of("era5_name", names), q.in_range("lat", *LATITUDE), q.in_range("lon", *LONGITUDE),
                      q.in_range("elevation", *ELEVATION), q.in_range("elevation_era5_m", *ELEVATION)],
@@ -67,17 +77,17 @@ def _rules(names: list[str], years: tuple[int, int]) -> dict[str, list[q.RowRule
         "daily_percentiles": [q.not_null("station_id"), *temps(mean_cuts), q.non_decreasing(mean_cuts)],
         "daily_window": [q.one_of("era5_name", names), *month_day, *temps(window_cuts), q.non_decreasing(window_cuts),
                          q.at_least("n_samples", 50), year("year_min"), year("year_max"),
-                         q.holds("year_order", "year_min", F.col("year_min") <= F.col("year_max"))],
+                         q.holds("year_order", "year_min", F.col("year_min") <= F.col("year_max"), ("year_max",))],
         "annual_trend": trend,
         "annual_trend_windows": [*trend, q.one_of("window", [3, 15, 45])],
         "season_heatmap": [q.one_of("era5_name", names), *heat, *temps(["avg"]), q.in_range("percentile", 0, 100),
                            q.one_of("cat", list(cat.SEASON_COLORS)), q.maps_to("cat", "color", cat.SEASON_COLORS)],
         "tropical": [q.one_of("era5_name", names), q.one_of("kind", ["days", "nights"]), q.in_range("threshold", 15, 35),
                      q.one_of("streak", [1, 2, 3]), q.at_least("nonzero_count", 0),
-                     q.implies_range(F.col("kind") == "days", "threshold", 25, 35),
-                     q.implies_range(F.col("kind") == "nights", "threshold", 15, 25),
+                     q.implies_range(F.col("kind") == "days", "threshold", 25, 35, ("kind",)),
+                     q.implies_range(F.col("kind") == "nights", "threshold", 15, 25, ("kind",)),
                      q.holds("nonzero_count", "nonzero_count",
-                             F.col("nonzero_count") == F.size(F.filter("counts", lambda c: c > 0)))],
+                             F.col("nonzero_count") == F.size(F.filter("counts", lambda c: c > 0)), ("counts",))],
         "spei": [*heat, q.in_range("spei", -3, 3), q.one_of("cat", list(cat.DROUGHT_COLORS)),
                  q.maps_to("cat", "color", cat.DROUGHT_COLORS)],
         "spei_station": [q.one_of("era5_name", names)],
@@ -98,31 +108,32 @@ def table_violations(tables: dict[str, DataFrame], config: DataFrame, names: lis
     reports = [q.missing_tables(spark, list(tables), TABLES)]
     rules = _rules(names, years)
     for name, df in tables.items():
+        filled = [q.not_null(c) for c in df.columns if c not in NULLABLE and not any(r.name == "not_null" and r.column == c for r in rules[name])]
+        reports.append(q.row_violations(df, name, KEYS[name], [*rules[name], *filled]))
         if declared is not None:
             reports.append(q.column_set(df, name, declared[name]))
-        if all(c in df.columns for r in rules[name] for c in r.column.split(",")):
-            reports.append(q.row_violations(df, name, KEYS[name], rules[name]))
-        if name in UNIQUE:
+        if name in UNIQUE and set(KEYS[name]) <= set(df.columns):
             reports.append(q.unique_key(df, name, KEYS[name]))
+    has = lambda name, *columns: name in tables and set(columns) <= set(tables[name].columns)  # noqa: E731  a lost column is reported above
     t = tables
-    if "stations" in t:
+    if has("stations", "era5_name", "lat", "lon", "elevation", "elevation_era5_m"):
         reports.append(q.equals_config(t["stations"], "stations", "era5_name", config,
                                        ["lat", "lon", "elevation", "elevation_era5_m"]))
-    if "daily" in t:
+    if has("daily", "era5_name", "date"):
         dated = t["daily"].withColumn("date", F.to_date("date"))
         reports += [q.entity_count(dated, "daily", "era5_name", len(names)), q.daily_continuity(dated, "daily", ["era5_name"], "date")]
-    if "daily_window" in t:
+    if has("daily_window", "era5_name"):
         reports.append(q.group_size(t["daily_window"], "daily_window", ["era5_name"], 365))
-    if "daily_percentiles" in t:
+    if has("daily_percentiles", "station_id"):
         reports.append(q.group_size(t["daily_percentiles"], "daily_percentiles", ["station_id"], 365))
-    if "daily" in t and "daily_window" in t:
+    if has("daily", "era5_name", "year") and has("daily_window", "era5_name", "year_min", "year_max"):
         reports.append(q.same_bounds(t["daily_window"], "daily_window", "era5_name", "year_min", "year_max", t["daily"], "year"))
-    if "daily_percentiles" in t and "stations" in t:
+    if has("daily_percentiles", "station_id") and has("stations", "station_id"):
         reports.append(q.subset_of(t["daily_percentiles"], "daily_percentiles", "station_id", t["stations"], "station_id"))
-    if "spei" in t:
+    if has("spei", "x", "balance", "spei"):
         reports += [q.monotone(t["spei"], "spei", ["x"], "balance", "spei"), q.not_collapsed(t["spei"], "spei", ["x"], "spei")]
-    if "spei_station" in t:
+    if has("spei_station", *KEYS["spei_station"], "years", "spei"):
         reports.append(q.array_series(t["spei_station"], "spei_station", KEYS["spei_station"], "years", "spei"))
-    if "tropical" in t and "fit_ok" in t["tropical"].columns:
+    if has("tropical", *KEYS["tropical"], "trend", "fit_ok"):
         reports.append(q.untrusted_published(t["tropical"], "tropical", KEYS["tropical"]))
     return q.all_of(reports)

@@ -18,6 +18,9 @@ RECOMMENDED = {
 }
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def apply_recommended(spark: SparkSession) -> SparkSession:
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
@@ -50,11 +53,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and continue from the files.
 
     This cuts the lineage and survives the loss of an executor.  Compared with ``checkpoint`` the plan runs once (an eager
-    checkpoint runs it a second time to save it), and the files give the planner true sizes and column pruning.
+    checkpoint runs it a second time to save it), and the files give the planner true sizes and column pruning.  The shuffle
+    files of the written plan are of no more use and are removed when the write ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,16 +28,38 @@ def schema_from_descriptor(text: str) -> dict[str, T.StructType]:
 
 def read_station_files(spark: SparkSession, path: str, schema: T.StructType, default_source: str = "era5",
                        strict: bool = True) -> DataFrame:
-    """Union of daily CSV files with their file name; a file without the ``source`` column gets the default.
+    """Union of daily CSV files with their file name; columns are found by the names in each file's header line.
 
-    Spark matches CSV columns by position, so the optional last column is simply null where a file does not have it.
+    Files may order their columns differently; a column that a file lacks is null (``source``: the default), and one that the schema does
+    not have is left out.  Files with equal headers are read together.  A malformed value fails the job if ``strict``; else it is null
+    and the whole line stands in ``corrupt``, for ``corrupt_rows``.
     """
-    mode = "FAILFAST" if strict else "PERMISSIVE"
     names = schema.fieldNames()
-    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", mode)
-          .option("dateFormat", "yyyy-MM-dd").csv(path))
-    return df.select(*names, F.col("_metadata.file_name").alias("file_name")).withColumn(
-        "source", F.coalesce("source", F.lit(default_source)))
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    frames = []
+    for r in heads:
+        columns = [c.strip().strip('"').removeprefix("\ufeff") for c in (r["head"] or "").split(",")]
+        declared = T.StructType([T.StructField(c, schema[c].dataType if c in names else T.StringType()) for c in columns])
+        read = spark.read.option("header", True).option("enforceSchema", False).option("dateFormat", "yyyy-MM-dd")
+        if strict:
+            df = read.schema(declared).option("mode", "FAILFAST").csv(r["files"])
+        else:
+            df = read.schema(declared.add("corrupt", T.StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").csv(r["files"])
+            # the mark names every column, so that none is skipped when only the mark is asked for
+            every = F.substring(F.concat_ws("", *[F.col(c).cast("string") for c in columns]), 1, 0)
+            df = df.withColumn("corrupt", F.when(F.col("corrupt").isNotNull(), F.concat("corrupt", every)))
+        have = [F.col(c) if c in columns else F.lit(None).cast(schema[c].dataType).alias(c) for c in names]
+        frames.append(df.select(*have, F.col("_metadata.file_name").alias("file_name"), *([] if strict else ["corrupt"])))
+    if not frames:
+        empty = schema.add("file_name", T.StringType()) if strict else schema.add("file_name", T.StringType()).add("corrupt", T.StringType())
+        return spark.createDataFrame([], empty)
+    return read_union(frames, {"source": default_source})
+
+
+def corrupt_rows(rows: DataFrame) -> DataFrame:
+    """file_name and line of every row that ``read_station_files`` could not read completely."""
+    return rows.filter("corrupt IS NOT NULL").select("file_name", F.col("corrupt").alias("line"))
 
 
 def read_union(frames: list[DataFrame], defaults: dict[str, str]) -> DataFrame:

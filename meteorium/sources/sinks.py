@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,25 @@ def write_for_reads(df: DataFrame, path: str, keys: list[str]) -> None:
     materialize(df).repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def publish(tables: dict[str, DataFrame], violations: DataFrame, root: str) -> None:
-    """Replace all derived tables, only after every rule passed."""
-    quality.gate(violations)
-    for name, df in tables.items():
+def stage(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each table computed once, into the shared folder, and read from there."""
+    return {name: materialize(df) for name, df in tables.items()}
+
+
+def publish(tables: dict[str, DataFrame], violations: Callable[[dict[str, DataFrame]], DataFrame], root: str) -> None:
+    """Replace all derived tables, only after every rule passed on the very rows that are written.
+
+    Tables are staged first; ``violations`` gets the staged ones.  A failed rule leaves every old table in place.
+    """
+    staged = stage(tables)
+    quality.gate(materialize(violations(staged)))
+    for name, df in staged.items():
         keys = READ_KEYS.get(name, [])
         target = f"{root.rstrip('/')}/{name}"
-        write_for_reads(df, target, keys) if keys else df.write.mode("overwrite").parquet(target)
+        if keys:
+            df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(target)
+        else:
+            df.write.mode("overwrite").parquet(target)
 
 
 def fixed_decimals(df: DataFrame, digits: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -62,38 +63,69 @@ def freshness(rows: DataFrame, entity: str, date: str, today: Column) -> DataFra
         "age_days", F.datediff(today, "last_day"))
 
 
-def upsert_into(table_path: str, key: list[str], partition: str, order: str = "arrival"):
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _replace(df: DataFrame, path: str, partition: str) -> None:
+    """Write the partitions that the rows lie in; running it twice gives the same files."""
+    df.write.mode("overwrite").partitionBy(partition).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def touched_rows(table: DataFrame, partition: str, batch: DataFrame) -> DataFrame:
+    """Rows of the table's partitions that a batch touches; the values stand in the plan, so no other partition is read."""
+    return table.filter(F.col(partition).isin([r[0] for r in batch.select(F.col(partition).cast("string")).distinct().collect()]))
+
+
+def upsert_into(table_path: str, key: list[str], partition: str, event_time: str, late: str = "15 days", order: str = "arrival"):
     """``foreachBatch`` function that merges a micro-batch into a Parquet table, one partition value at a time.
 
-    Only the partitions the batch touches are read and rewritten (dynamic overwrite).  Rows that are younger in arrival
-    win, so running a batch twice gives the same table.
+    Only the partitions the batch touches are read and rewritten.  Rows that are younger in arrival win.  A row that lies more than
+    ``late`` behind the newest row its own entity (``key[0]``) had before the batch is refused: it goes to ``<table>.refused`` instead.  A new
+    entity, or one that lags behind the others, is never refused.  ``<table>.newest`` keeps the newest event time per entity and batch.  Both
+    are filed by batch, so running a batch twice gives the same tables.
     """
     from ..session import materialize
 
-    def merge(batch: DataFrame, _: int) -> None:
+    entity, newest_path, refused_path = key[0], f"{table_path}.newest", f"{table_path}.refused"
+
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = materialize(series.keep_last(batch, key, [order]))
-        touched = batch.select(partition).distinct()
-        try:
-            have = spark.read.parquet(table_path)
-        except Exception as missing:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            have = None
+        batch = materialize(batch)
+        newest = _read_or_none(spark, newest_path)
+        if newest is not None:
+            last = newest.filter(F.col("batch") < number).groupBy(entity).agg(F.max("newest").alias("_last"))
+            dated = batch.join(last, entity, "left").withColumn("_late", F.coalesce(F.col(event_time) < F.col("_last") - F.expr(f"INTERVAL {late}"), F.lit(False)))
+            dated = materialize(dated)
+            refused = dated.filter("_late").drop("_late", "_last").withColumn("batch", F.lit(number))
+            if not refused.isEmpty():
+                _replace(refused, refused_path, "batch")
+            batch = dated.filter("NOT _late").drop("_late", "_last")
+        fresh = batch.groupBy(entity).agg(F.max(event_time).alias("newest")).withColumn("batch", F.lit(number))
+        rows = series.keep_last(batch, key, [order])
+        have = _read_or_none(spark, table_path)
         if have is not None:
-            old = have.join(touched, partition, "left_semi").select(*batch.columns)
-            batch = materialize(series.keep_last(old.unionByName(batch), key, [order]))
-        (batch.write.mode("overwrite").partitionBy(partition).option("partitionOverwriteMode", "dynamic").parquet(table_path))
+            rows = series.keep_last(touched_rows(have, partition, batch).select(*batch.columns).unionByName(rows), key, [order])
+        _replace(materialize(rows), table_path, partition)
+        _replace(fresh, newest_path, "batch")
     return merge
 
 
+def refused_rows(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """Rows that came too late, with their batch; None if there were none."""
+    return _read_or_none(spark, f"{table_path}.refused")
+
+
 def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: list[str], event_time: str, partition: str,
                   late: str = "15 days"):
-    """Start the streaming upsert over all available input; rows older than the revision window are dropped.
+    """Start the streaming upsert over all available input; see ``upsert_into`` for rows that come too late.
 
-    The window is measured against the newest event time seen; the same rule as the batch planner's refresh days.  The
-    deduplication of re-delivered rows is what applies the watermark: rows behind it do not pass.
+    Re-delivered rows need no state of their own: merging a row twice changes nothing.
     """
-    kept = rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark([*key, "arrival"])
-    return (kept.writeStream.foreachBatch(upsert_into(table_path, key, partition)).option("checkpointLocation", checkpoint)
+    return (rows.writeStream.foreachBatch(upsert_into(table_path, key, partition, event_time, late)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -47,7 +47,8 @@ def test_valid_raw_rows_pass(spark, config):
     (_change("date", "2000-01-03"), "duplicate_days", "date"), (_change("date", "2000-01-03"), "missing_days", "date"), (_change("date", "2000-01-20"), "increasing_dates", "date"),
     (_change("date", "2000/01/04"), "parseable_date", "date"), (_change("elevation_diff_m", 9.0), "constant_per_group", "elevation_diff_m"), (_change("source", "forecast"), "one_of", "source"),
     (_change("location", "Paris"), "unexpected_entity", "location"), (lambda r: r[:10], "missing_entity", "location"), (_change("temperature_min", None), "not_null", "temperature_min"),
-    (lambda r: [[*x[:5], 9.0, *x[6:]] for x in r], "elevation_matches_config", "elevation_diff_m"), (_change("precipitation_sum", -1.0), "in_range", "precipitation_sum")])
+    (lambda r: [[*x[:5], 9.0, *x[6:]] for x in r], "elevation_matches_config", "elevation_diff_m"), (_change("precipitation_sum", -1.0), "in_range", "precipitation_sum"),
+    (_change("et0_evapotranspiration", None), "not_null", "et0_evapotranspiration")])
 def test_each_raw_rule_fires(spark, config, mutate, rule, column):
     df = spark.createDataFrame([tuple(r) for r in mutate(_raw())], RAW)
     found = {(r.rule, r.column) for r in validation.raw_violations(df, config).collect()}
@@ -83,7 +84,19 @@ def network(spark):
 
 def test_valid_tables_pass(network, config):
     v = validation.table_violations(network, config, ["Koper", "Celje"], (1950, 2031))
-    assert [(r.table, r.rule, r.column, r.value) for r in v.collect() if r.rule != "year_span"] == []
+    assert sorted({(r.table, r.rule, r.column) for r in v.collect()}) == []
+
+
+def test_a_lost_column_does_not_silence_the_other_rules(network, config):
+    broken = network["season_heatmap"].limit(1).drop("n_days").withColumns({"percentile": F.lit(None).cast("double"), "rank": F.lit(99), "color": F.lit("#000000"), "season": F.lit("monsoon")})
+    found = {(r.rule, r.column) for r in validation.table_violations({"season_heatmap": broken}, config, ["Koper", "Celje"], (1950, 2031)).filter("table = 'season_heatmap'").collect()}
+    assert {("missing_column", "n_days"), ("not_null", "percentile"), ("rank_total", "rank"), ("maps_to", "color"), ("one_of", "season")} <= found
+
+
+def test_totals_cover_all_violations(spark):
+    rows = spark.createDataFrame([(f"t{k % 120}", "r", str(k), "c", None) for k in range(600)], q.REPORT)
+    with pytest.raises(q.QualityError, match=r"600 violation\(s\) in 120 rule"):
+        q.gate(rows)
 
 
 def test_table_shapes(network):
@@ -112,6 +125,12 @@ def test_each_table_rule_fires(network, config, table, column, value, rule):
     assert "missing_table" in found or len(part) == 10
 
 
+def test_location_must_be_its_file(spark, config):
+    df = spark.createDataFrame([tuple(r) for r in _raw()], RAW).withColumn("file_name", F.when((F.col("location") == "Celje") & (F.col("sequence") == 4), "Koper.csv").otherwise(F.concat("location", F.lit(".csv"))))
+    found = [(r.rule, r.key, r.value) for r in validation.raw_violations(df, config).collect()]
+    assert found == [("location_is_file", "Koper.csv/4", "Celje")]
+
+
 def test_national_pool_is_all_or_nothing(spark):
     dim = spark.createDataFrame([(k,) for k in range(18)], "s int")
     pools = spark.createDataFrame([("full", 18, 20682), ("part", 5, 5745)], "d string, n_entities int, n int")

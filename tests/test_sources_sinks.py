@@ -38,6 +38,22 @@ def test_station_files_and_default_source(spark, tmp_path):
     assert [(r.location, r.date, r.source, r.file_name) for r in rows] == [("A", dt.date(2000, 1, 1), "era5t", "a.csv"), ("B", dt.date(2000, 1, 2), "era5", "b.csv")]
 
 
+def test_short_and_reordered_station_files(spark, tmp_path):
+    schema = readers.schema_from_descriptor(DESCRIPTOR)["daily"]
+    (tmp_path / "a.csv").write_text("location,date,value\nA,2001-02-03,1.5\nA,2001-02-04,1.75\n")
+    (tmp_path / "b.csv").write_text("value,location,extra,date,source\n2.5,B,x,2001-02-03,era5t\n")
+    (tmp_path / "c.csv").write_text("source,value,date,location\n,3.5,2001-02-03,C\n")
+    rows = readers.read_station_files(spark, str(tmp_path), schema).orderBy("location", "date").collect()
+    assert [(r.location, str(r.date), r.value, r.source, r.file_name) for r in rows] == [
+        ("A", "2001-02-03", 1.5, "era5", "a.csv"), ("A", "2001-02-04", 1.75, "era5", "a.csv"), ("B", "2001-02-03", 2.5, "era5t", "b.csv"), ("C", "2001-02-03", 3.5, "era5", "c.csv")]
+
+
+def test_malformed_lines_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("location,date,value\nA,2001-02-03,warm\nA,2001-02-04,1.0\n")
+    df = readers.read_station_files(spark, str(tmp_path), readers.schema_from_descriptor(DESCRIPTOR)["daily"], strict=False)
+    assert [tuple(r) for r in readers.corrupt_rows(df).collect()] == [("a.csv", "A,2001-02-03,warm")] and df.count() == 2
+
+
 def test_bad_value_fails_strict_reading(spark, tmp_path):
     (tmp_path / "a.csv").write_text("location,date,value,source\nA,2000-01-01,warm,era5\n")
     schema = readers.schema_from_descriptor(DESCRIPTOR)["daily"]
@@ -85,11 +101,11 @@ def test_csv_export_writes_empty_nulls_and_json(spark, tmp_path):
 def test_publish_is_gated(spark, tmp_path):
     df = spark.createDataFrame([("A", f"2000-01-{d:02d}", float(d)) for d in range(1, 29)], "era5_name string, date string, v double")
     clean = quality.unique_key(df, "daily", ["era5_name", "date"])
-    sinks.publish({"daily": df}, clean, str(tmp_path))
+    sinks.publish({"daily": df}, lambda staged: clean, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "daily")).filter("date = '2000-01-05'").first().v == 5.0
     twice = df.unionByName(df)
     with pytest.raises(quality.QualityError, match="28 violation"):
-        sinks.publish({"daily": twice}, quality.unique_key(twice, "daily", ["era5_name", "date"]), str(tmp_path))
+        sinks.publish({"daily": twice}, lambda staged: quality.unique_key(staged["daily"], "daily", ["era5_name", "date"]), str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "daily")).count() == 28
 
 

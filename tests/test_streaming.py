@@ -40,20 +40,31 @@ def test_stream_classification_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_stream_upsert_equals_batch_and_drops_late_rows(spark, tmp_path):
-    d = lambda m, k: dt.datetime(2024, m, k)
+def test_stream_upsert_keeps_new_histories_and_files_late_rows(spark, tmp_path):
+    d = lambda m, k: dt.datetime(2023, m, k)
     schema = "entity string, ts timestamp, day string, value double, arrival long"
-    batches = [[("a", d(1, 1), "2024-01-01", 1.0, 1), ("a", d(1, 20), "2024-01-20", 2.0, 2), ("b", d(1, 20), "2024-01-20", 5.0, 3)],
-               [("a", d(1, 20), "2024-01-20", 9.0, 4), ("b", d(2, 20), "2024-02-20", 7.0, 5)],
-               [("a", d(1, 1), "2024-01-01", 99.0, 6), ("b", d(2, 20), "2024-02-20", 8.0, 7), ("b", d(2, 20), "2024-02-20", 8.5, 8)]]
+    batches = [[("a", d(3, 1), "2023-03-01", 1.0, 1), ("a", d(3, 20), "2023-03-20", 2.0, 2), ("b", d(3, 20), "2023-03-20", 5.0, 3)],
+               [("a", d(3, 20), "2023-03-20", 9.0, 4), ("b", d(4, 20), "2023-04-20", 7.0, 5), ("a", d(3, 6), "2023-03-06", 6.0, 9)],
+               [("b", d(3, 20), "2023-03-20", 99.0, 6), ("b", d(4, 20), "2023-04-20", 8.0, 7), ("b", d(4, 20), "2023-04-20", 8.5, 8),
+                ("new", d(1, 1), "2023-01-01", 10.0, 10), ("new", d(4, 20), "2023-04-20", 11.0, 11)]]
     table, ck = str(tmp_path / "table"), str(tmp_path / "ck")
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         refresh.upsert_stream(stream, table, ck, ["entity", "day"], "ts", "day").awaitTermination()
     got = {(r.entity, str(r.day)): r.value for r in spark.read.parquet(table).collect()}
-    # the revision of 1 January arrives when the newest row is from 20 February: behind the 15-day window
-    assert got == {("a", "2024-01-01"): 1.0, ("a", "2024-01-20"): 9.0, ("b", "2024-01-20"): 5.0, ("b", "2024-02-20"): 8.5}
+    assert got == {("a", "2023-03-01"): 1.0, ("a", "2023-03-06"): 6.0, ("a", "2023-03-20"): 9.0, ("b", "2023-03-20"): 5.0, ("b", "2023-04-20"): 8.5,
+                   ("new", "2023-01-01"): 10.0, ("new", "2023-04-20"): 11.0}
+    assert [(r.entity, r.value, r.batch) for r in refresh.refused_rows(spark, table).collect()] == [("b", 99.0, 2)]
+
+
+def test_a_batch_reads_only_the_partitions_it_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(k, f"2023-05-{k:02d}") for k in range(1, 29)], "v int, day string").write.partitionBy("day").parquet(path)
+    read = refresh.touched_rows(spark.read.parquet(path), "day", spark.createDataFrame([("2023-05-03",), ("2023-05-04",)], "day string"))
+    assert len(read.inputFiles()) > 0 and sorted(r.v for r in read.collect()) == [3, 4]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2023-05-03" in plan.split("PartitionFilters: [")[1]
 
 
 def test_batch_upsert(spark):
