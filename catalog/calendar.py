@@ -36,9 +36,10 @@ def slot_spine(spark, d):
 
 
 def circular_window_pairs(spark, d):
-    """Signed distance and window year of every date against three targets around the year end."""
-    t = F.explode(F.array(F.lit(1), F.lit(59), F.lit(365)))
-    x = _days(spark, d).withColumn("target", t).withColumn("slot", cal.slot("day"))
+    """Signed distance and window year of every date against every slot within seven days."""
+    offset = F.explode(F.sequence(F.lit(-7), F.lit(7)))
+    x = _days(spark, d).withColumn("slot", cal.slot("day")).withColumn("offset", offset)
+    x = x.withColumn("target", (F.pmod(F.col("slot") - 1 + F.col("offset"), F.lit(365)) + 1).cast("int"))
     near = x.withColumn("distance", cal.circular_distance("slot", "target").cast("int")).filter("abs(distance) <= 7")
     return near.select(day_text("day").alias("date"), "target", "distance",
                        cal.window_year(F.year("day"), "slot", "target").alias("window_year"))
@@ -117,7 +118,7 @@ QUERIES = {
       SELECT e.entity, t.slot::INTEGER AS slot, coalesce(s.n, 0)::BIGINT AS n FROM (SELECT DISTINCT entity FROM obs) e
       CROSS JOIN (SELECT unnest(range(1, 366)) AS slot) t LEFT JOIN s ON s.entity = e.entity AND s.slot = t.slot"""),
     "circular_window_pairs": (circular_window_pairs, f"""WITH x AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d, {slot_sql("l_shipdate")} AS slot FROM lineitem),
-      y AS (SELECT *, unnest([1, 59, 365]) AS target FROM x), z AS (SELECT *, ((slot - target + 182 + 365) % 365) - 182 AS distance FROM y)
+      y AS (SELECT *, unnest(range(1, 366)) AS target FROM x), z AS (SELECT *, ((slot - target + 182 + 365) % 365) - 182 AS distance FROM y)
       SELECT strftime(d, '%Y-%m-%d') AS date, target::INTEGER AS target, distance::INTEGER AS distance,
       (year(d) + CASE WHEN slot - target > 182 THEN 1 WHEN slot - target < -182 THEN -1 ELSE 0 END)::INTEGER AS window_year
       FROM z WHERE abs(distance) <= 7"""),

@@ -128,7 +128,7 @@ def legacy_levels(spark, d):
     o = table(spark, d, "orders")
     key = [F.col("o_orderstatus").alias("scenario"), F.col("o_orderpriority").alias("probability"), F.year("o_orderdate").alias("year")]
     t = o.groupBy(*key).agg((F.sum("o_custkey") / 64).alias("cm"))
-    req = o.filter("o_orderkey % 3 = 0").select(*key)
+    req = o.select(*key)
     return emissions.legacy_level(req, t, -200.0).groupBy("scenario", "probability", "year").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("level"))
 
 
@@ -199,7 +199,7 @@ QUERIES = {
       CASE WHEN x1 IS NULL THEN m ELSE m + (at_year - x) / (x1 - x) * (m1 - m) END + cm AS total
       FROM r JOIN s ON s.scenario = r.scenario AND x <= at_year AND (at_year < x1 OR x1 IS NULL) JOIN sur ON sur.probability = r.probability"""),
     "legacy_levels": (legacy_levels, """WITH t AS (SELECT o_orderstatus AS scenario, o_orderpriority AS probability, year(o_orderdate) AS year, sum(o_custkey) / 64 AS cm FROM orders GROUP BY ALL),
-      r AS (SELECT o_orderstatus AS scenario, o_orderpriority AS probability, year(o_orderdate) AS year FROM orders WHERE o_orderkey % 3 = 0)
+      r AS (SELECT o_orderstatus AS scenario, o_orderpriority AS probability, year(o_orderdate) AS year FROM orders)
       SELECT scenario, probability, year::INTEGER AS year, count(*) AS n, max(cm - 200) AS level FROM r JOIN t USING (scenario, probability, year) GROUP BY ALL"""),
     "milestone_values": (milestone_values, f"""WITH {OBS}, f AS (SELECT entity, month(day)::INTEGER AS month, regr_slope(value, year(day)) AS b, regr_intercept(value, year(day)) AS a, max(year(day)) AS hi FROM obs GROUP BY ALL),
       m AS (SELECT *, unnest([1999, 2030, 2050]) AS year FROM f) SELECT entity, month, year::INTEGER AS year, b * year + a AS value FROM m WHERE year > hi"""),

@@ -134,6 +134,20 @@ TREND_WINDOW_SQL = " UNION ALL ".join(f"""SELECT * FROM ({_trend_rows(h)} SELECT
   CASE WHEN z_yw IS NOT NULL THEN {r(p_sql('z_yw'), 5)} END AS p_val, n::INTEGER AS n_years FROM z)""" for h in (3, 15, 45))
 KEYED = NETWORK + """, k AS (SELECT *, floor((month(day) % 12) / 3)::INTEGER AS x, (year(day) + CASE WHEN month(day) = 12 THEN 1 ELSE 0 END)::INTEGER AS y FROM stn)"""
 
+def _outside(source, columns):
+    return " UNION ALL ".join(f"SELECT 'in_range' AS rule, '{name}' AS c FROM {source} WHERE {value} NOT BETWEEN {low} AND {high}" for name, value, low, high in columns)
+
+
+GAPS = "SELECT 'missing_days', 'date' FROM {0} GROUP BY location HAVING count(DISTINCT day) < date_diff('day', min(day), max(day)) + 1"
+RAW_REPORT = f"""WITH {NETWORK}, v AS ({_outside("net", [("temperature_max", "mx", -50, 45), ("temperature_min", "mn", -50, 45), ("temperature_mean", "me", -50, 45),
+      ("precipitation_sum", "p", 0, 500), ("et0_evapotranspiration", "e", 0, 25)])} UNION ALL {GAPS.format("net")})
+      SELECT 'raw' AS "table", rule, c AS "column", count(*) AS violations FROM v GROUP BY ALL"""
+TABLE_REPORT = f"""WITH {NETWORK}, dly AS (SELECT {r('tmax', 3)} AS a, {r('tmin', 3)} AS b, {r('tmean', 3)} AS c FROM stn),
+      v AS ({_outside("dly", [("temperature_max_2m", "a", -50, 45), ("temperature_min_2m", "b", -50, 45), ("temperature_average_2m", "c", -50, 45)])}
+      UNION ALL {GAPS.format("stn")} UNION ALL SELECT 'entity_count', 'era5_name' FROM stn HAVING count(DISTINCT location) <> 25)
+      SELECT 'daily' AS "table", rule, c AS "column", count(*) AS violations FROM v GROUP BY ALL
+      UNION ALL SELECT unnest(['daily_percentiles', 'daily_window', 'annual_trend', 'annual_trend_windows', 'tropical', 'spei', 'spei_station']), 'missing_table', NULL, 1"""
+
 QUERIES = {
     "station_daily": (station_daily, f"""WITH {NETWORK} SELECT station_id, location AS era5_name, strftime(day, '%Y-%m-%d') AS date, year(day)::INTEGER AS year, month(day)::INTEGER AS month, day(day)::INTEGER AS day,
       {r('tmax', 3)} AS temperature_max_2m, {r('tmean', 3)} AS temperature_average_2m, {r('tmin', 3)} AS temperature_min_2m FROM stn"""),
@@ -179,6 +193,7 @@ QUERIES = {
       last AS (SELECT location, max(day) AS l FROM stn GROUP BY ALL), s AS (SELECT location, x, y FROM k GROUP BY ALL HAVING count(*) >= 30)
       SELECT 'daily' AS "table", count(*) AS n_rows FROM stn UNION ALL SELECT 'daily_percentiles', count(*) FROM y
       UNION ALL SELECT 'season_heatmap', count(*) FROM s JOIN last USING (location) WHERE last_day(make_date(y, x * 3 + 2, 1)) <= l"""),
-    "raw_report": (raw_report, None),
-    "table_report": (table_report, None),
+    "raw_report": (raw_report, RAW_REPORT),
 }
+QUERIES["table_report"] = (table_report, f"""{TABLE_REPORT} UNION ALL SELECT 'season_heatmap', 'in_range', 'avg', count(*) FROM ({QUERIES["station_seasons"][1]})
+      WHERE "avg" NOT BETWEEN -50 AND 45 HAVING count(*) > 0""")

@@ -66,13 +66,13 @@ def wide_table(cells: DataFrame, key: list[str], code: str, value: str, columns:
     """Select coded rows as named columns, one output row per key.
 
     One conditional sum per column in a single aggregation: a pivot whose column list is fixed, with map-side partial sums
-    and without a first pass to find the codes.  A sum is null where one of its parts is there without a number.
+    and without a first pass to find the codes.
     """
     wanted = sorted({*columns.values(), *(c for cs in (sums or {}).values() for c in cs)})
     pick = lambda codes: F.sum(F.when(F.col(code).isin(codes), F.col(value)))
     return cells.filter(F.col(code).isin(wanted)).groupBy(*key).agg(
         *[pick([c]).alias(n) for n, c in columns.items()],
-        *[F.when(F.count_if(F.col(code).isin(cs) & F.col(value).isNull()) == 0, pick(cs)).alias(n) for n, cs in (sums or {}).items()])
+        *[pick(cs).alias(n) for n, cs in (sums or {}).items()])
 
 
 def historical(cells: DataFrame, year: str = "year", code: str = "code", raw: str = "raw") -> dict[str, DataFrame]:
