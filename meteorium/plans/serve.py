@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import categories as cat
 from ..functions import curves
 from ..functions import numeric as num
-from ..operators import density, quality, series
+from ..operators import density, quality
 
 CUTS = ["p5", "p10", "p20", "p50", "p80", "p95"]
 
@@ -40,11 +40,21 @@ def today_status(requests: DataFrame, daily: DataFrame, climatology: DataFrame,
 
 
 def last_days(requests: DataFrame, daily: DataFrame, climatology: DataFrame, n: int = 7) -> DataFrame:
-    """The last ``n`` archived days up to each request date, classified."""
-    wanted = requests.select("era5_name", F.col("date").alias("request_date"))
-    rows = daily.select("era5_name", "date", "temperature_max_2m", "month", "day").join(wanted, "era5_name").filter(
-        F.col("date") <= F.col("request_date"))
-    last = series.latest_rows(rows, ["era5_name", "request_date"], "date", n).filter(F.col("temperature_max_2m").isNotNull())
+    """The last ``n`` archived days up to each request date, classified; ``recency`` 1 is the newest.
+
+    Archived days are numbered per station and each request is placed on that numbering, so a request meets ``n`` days, not the
+    station's whole history.
+    """
+    days = daily.select("era5_name", "date", "temperature_max_2m", "month", "day").withColumn(
+        "_pos", F.row_number().over(Window.partitionBy("era5_name").orderBy("date")))
+    wanted = requests.select("era5_name", "date", F.col("date").alias("request_date")).distinct()
+    marks = days.select("era5_name", "date", "_pos").unionByName(wanted, allowMissingColumns=True)
+    newest = F.last("_pos", ignorenulls=True).over(Window.partitionBy("era5_name").orderBy("date", F.col("request_date").isNotNull())
+                                                   .rowsBetween(Window.unboundedPreceding, 0))
+    placed = marks.withColumn("_newest", newest).filter(F.col("request_date").isNotNull() & F.col("_newest").isNotNull())
+    asked = placed.select("era5_name", "request_date", "_newest", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_newest") - n + 1), "_newest")).alias("_pos"))
+    last = (asked.join(days, ["era5_name", "_pos"]).withColumn("recency", F.col("_newest") - F.col("_pos") + 1).drop("_pos", "_newest")
+            .filter(F.col("temperature_max_2m").isNotNull()))
     return _classify(last.join(climatology, ["era5_name", "month", "day"]), "temperature_max_2m")
 
 
