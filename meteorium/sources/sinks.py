@@ -52,7 +52,7 @@ def publish(tables: dict[str, DataFrame], violations: Callable[[dict[str, DataFr
 
 
 def fixed_decimals(df: DataFrame, digits: int) -> DataFrame:
-    """Floating columns as text with a fixed number of decimals."""
+    """Floating columns as text with a fixed number of decimals; the number's shortest decimal text is rounded half up (1.005 -> 1.01)."""
     real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) for c in real})
 
