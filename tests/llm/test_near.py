@@ -63,8 +63,8 @@ def test_components_match_brute_force(spark, seed, k, percent):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _, c in got if i == c}
 
 
-def test_later_rounds_find_links_that_hubs_miss(spark, monkeypatch):
-    monkeypatch.setattr(join, "SMALL_BLOCK", 2)
+def test_tiles_find_links_that_hubs_miss(spark, monkeypatch):
+    monkeypatch.setattr(join, "TILE_SETS", 10)
     table = corpus(random.Random(7), hot=80)
     got = sorted(rows(join.near_components(spark.createDataFrame(table, "doc_id long, text string")).select("id", "n_shingles", "component_id")))
     assert got == brute(table, 3, 90)
