@@ -33,3 +33,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Rows of an Arrow batch where rows hold whole texts.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch for tables with whole texts, so that a Python worker holds a few megabytes at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))

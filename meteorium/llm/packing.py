@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import shard_count
+from .common import shard_count, text_batches
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 8
@@ -65,6 +65,7 @@ def cut(text: str | None, most: int, ends: Callable[[str], np.ndarray] = word_en
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LENGTHS[-1], ends: Callable[[str], np.ndarray] = word_ends) -> DataFrame:
     """id, piece, tokens, char_start, char_end of every piece of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "piece", "tokens", "char_start", "char_end"]

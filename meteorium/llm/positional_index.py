@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import scratch_path
+from .common import text_batches
 
 CHUNK_WORDS = 400_000
 #: Bytes of test items that are sent to the executors at once.
@@ -72,6 +73,7 @@ def _chunk(number: int, ids: list, counts: list[int], words: list[bytes], schema
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Write the index of all words of all documents and give it back as read from the files."""
+    text_batches(docs.sparkSession)
     kinds = {"chunk": T.LongType(), "term": T.BinaryType(), "n": T.LongType(), "steps": T.BinaryType(), "ids": T.ArrayType(docs.schema[id_col].dataType),
              "starts": T.ArrayType(T.LongType()), "sizes": T.ArrayType(T.LongType())}
     declared = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
@@ -108,11 +110,12 @@ def windows_of(items: list[tuple], width: int = WINDOW) -> dict[tuple[bytes, ...
 
 
 def _places(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last places where the terms stand in a row, each at most ``slop`` places away from its own."""
+    """First and last places of the terms, for every start from which each term stands at most ``slop`` places away from its own."""
     rank = sorted(range(len(lists)), key=lambda k: len(lists[k]))
-    at = lists[rank[0]] - rank[0]
-    low, high = at + rank[0], at + rank[0]
-    for k in rank[1:]:
+    rarest = lists[rank[0]] - rank[0]
+    at = np.unique(rarest[:, None] + np.arange(-slop, slop + 1)) if slop else rarest
+    low, high = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), -1)
+    for k in rank if slop else rank[1:]:
         if not len(at):
             break
         held, want = lists[k], at + k
@@ -121,7 +124,7 @@ def _places(lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]
         near = np.where(np.abs(after - want) <= np.abs(before - want), after, before)
         ok = np.abs(near - want) <= slop
         at, low, high = at[ok], np.minimum(low, near)[ok], np.maximum(high, near)[ok]
-    return low, high + 1
+    return (low, high + 1) if slop else (at, at + len(lists))
 
 
 def _merged(found: list[tuple]) -> list[tuple]:
@@ -140,7 +143,7 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     """chunk, doc_no, item_id, start, stop: spans of words (end exclusive, from the document's first) that hold windows of an item.
 
     ``slop`` 0 finds exact phrases.  A larger one also finds windows whose words all stand at most that many places from where
-    the phrase would have them.
+    they would stand in the phrase at some start.
     """
     spark, kind = index.sparkSession, items.schema[id_col].dataType.simpleString()
     asked = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("binary").alias("text"))

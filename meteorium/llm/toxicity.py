@@ -4,7 +4,7 @@ A word is the mean of the vectors of its character n-grams and of itself, so uns
 the word they come from; the softmax (of two labels: one linear form) sits on such means.  Embeddings and softmax are trained
 together on the distinct words of the labelled documents, each with the label of its document: a word that the two labels share
 ends near their common share, one that a single document has is held back by the penalty.  A text is judged by the mean vector of its
-``WORST`` most telling distinct words, and a logistic curve, fitted on documents that the embeddings have not seen, maps that to a
+``WORST`` most telling distinct words (words that speak against toxicity count as saying nothing), and a logistic curve, fitted on documents that the embeddings have not seen, maps that to a
 probability.
 
 Training takes at most about ``max_each`` documents of each label (an even hash sample where there are more).  Every text is
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import free_name
+from .common import free_name, text_batches
 from .language import even_sample
 from .words import TOKEN_BYTES, WordRows, by_size, grams, lowered
 
@@ -33,7 +33,7 @@ ORDERS = range(3, 7)
 BUCKETS = 1 << 17
 DIM = 4
 WORST = 3
-RUN_CHARS = 2_000_000
+RUN_CHARS = 500_000
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +66,9 @@ class Model:
         return _means(owner, self.weights[buckets], len(words)) + self.bias
 
     def worst(self, scores: np.ndarray) -> float:
-        """Of the scores of the distinct words of a text."""
-        if not len(scores):
-            return self.bias
-        return float(np.sort(scores)[-WORST:].mean())
+        """Of the scores of the distinct words of a text; words that speak against the label, and missing ones, count as the bias."""
+        top = np.maximum(np.sort(scores)[-WORST:], self.bias)
+        return float((top.sum() + (WORST - len(top)) * self.bias) / WORST)
 
     def probability(self, worst: float) -> float:
         return float(_sigmoid(np.float64(self.curve[0] * worst + self.curve[1])))
@@ -151,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """The kept columns (all, if none are named) with ``score``, the probability of label 1; it replaces a column of that name."""
+    text_batches(docs.sparkSession)
     named = keep if keep is not None else [F.col(c) for c in docs.columns if c.lower() != "score"]
     out = docs.select(*named).schema.add("score", "double")
     width, sent = len(named), docs.sparkSession.sparkContext.broadcast(model)

@@ -44,7 +44,7 @@ class WordRows(dict):
     At most ``room`` unseen words are remembered between two calls.
     """
 
-    def __init__(self, known: dict[bytes, int], matrix: np.ndarray, unseen: Callable[[list[bytes]], np.ndarray], room: int = 300_000):
+    def __init__(self, known: dict[bytes, int], matrix: np.ndarray, unseen: Callable[[list[bytes]], np.ndarray], room: int = 150_000):
         super().__init__(known)
         self.known, self.base, self.matrix, self.unseen, self.room, self.new = known, matrix, matrix, unseen, room, []
 
