@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, text_batches
 from .words import LETTER_BYTES, WordRows, by_size, grams, lowered
 
 ORDERS = range(1, 6)
 #: Letters (in words) that are scored together.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 500_000
 
 
 def even_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -37,6 +37,8 @@ def even_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
 
 def word_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """label, word and number over all given documents."""
+    text_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for batch in batches:
@@ -113,21 +115,24 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Co
 
     Columns that already have one of these two names are replaced.
     """
+    text_batches(docs.sparkSession)
     named = keep if keep is not None else [F.col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     out = docs.select(*named).schema.add("lang_pred", "string").add("score", "double")
     width, sent = len(named), docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*named, F.col(text_col).alias(free_name(docs, "whole_text")), F.col(text_col).rlike(r"\p{L}").alias(free_name(docs, "has_letters")))
+    inside = keep is None and text_col.lower() not in ("lang_pred", "score")  # then the text travels once, as one of the kept columns
+    kept = docs.select(*named) if inside else docs.select(*named, F.col(text_col).alias(free_name(docs, "whole_text")))
+    place = kept.columns.index(text_col) if inside else width
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         rows = WordRows(m.known, m.words, m.unseen)
         for batch in batches:
             said, sure = [], []
-            pairs = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())
-            for run in by_size(pairs, lambda p: len(p[0] or ""), RUN_CHARS):
-                found = rows.numbers([lowered(text, LETTER_BYTES) if letters and m.languages else [] for text, letters in run])
-                for numbers, (_, letters) in zip(found, run):
-                    if not letters or not m.languages:
+            for run in by_size(iter(batch.column(place).to_pylist()), lambda t: len(t or ""), RUN_CHARS):
+                letters = [bool(m.languages) and any(map(str.isalpha, text or "")) for text in run]
+                found = rows.numbers([lowered(text, LETTER_BYTES) if some else [] for text, some in zip(run, letters)])
+                for numbers, some in zip(found, letters):
+                    if not some:
                         said.append("und")
                         sure.append(0.0)
                         continue
