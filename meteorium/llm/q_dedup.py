@@ -7,7 +7,7 @@ from .common import table
 
 
 def op10_exact_dedup(spark, sf_dir):
-    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), every_row=True)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
