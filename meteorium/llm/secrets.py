@@ -1,13 +1,15 @@
 """Secrets in texts: known forms, and strings that a battery of randomness tests can't tell from random ones.
 
-A candidate of the battery is a run of 20 or more ASCII letters, digits and ``+/_=-`` that holds a digit and a letter and doesn't overlap a known form.  Its
-encoding is the smallest alphabet that holds it.  Under the hypothesis of even independent characters three scores are standard
+A candidate of the battery is a longest run of 20 or more characters of one alphabet, with ``=`` only as padding at its end, that holds a digit and a
+letter and doesn't overlap a known form.  So ``NAME=value`` has a name and a value, and a token behind a path or a prefix is tested with them and without.
+Its encoding is the smallest alphabet that holds it.  A candidate inside a longer one that is reported is not reported again.  Under the hypothesis of even independent characters three scores are standard
 normal, nearly: chi-squared of the character counts, number of runs above and below the middle of the alphabet, and serial correlation of
 neighbours.  The sum of their squares gives a p-value, evenly spread for random strings and near 0 for written ones.
 
 False discoveries are held down per encoding and length class (powers of two), since short strings tell little: the p-values above one half
 say how many random strings there are; of the strings above a bound, those beyond the random ones' share are false.  The
-lowest bound with at most ``rate`` of them false is used; a class without such a bound reports nothing.
+lowest bound with at most ``rate`` of them false is used; a class without such a bound reports nothing.  The counts of a class of fewer than ``FEW``
+strings say little, so there the bound is at most ``rate`` itself, which all but that share of random strings pass.
 
 Only Column expressions run here.  Edge cases: a null text counts as empty; no match gives no spans; nulls in other columns do not
 matter; rows that repeat are judged each on its own but all count in the bounds; a very long text is one row, worked through whole.
@@ -36,8 +38,12 @@ ALPHABETS = [("hex", "0123456789abcdef", "[0-9a-f]+"), ("HEX", "0123456789ABCDEF
              ("base64", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", "[A-Za-z0-9+/]+=*"),
              ("base64url", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_", "[A-Za-z0-9_-]+=*")]
 LEAST = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST
+#: Longest runs of each alphabet inside a candidate run.
+RUNS = [pattern.replace("]+", "]{%d,}" % LEAST).replace("=*", "(?:=+$)?") for _, _, pattern in ALPHABETS]
 BINS = 20
+#: Strings of a class from which its own counts give the bound.
+FEW = 20
 
 _SPAN = "array<struct<start:int,end:int,kind:int>>"
 
@@ -62,10 +68,15 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Runs that may be encoded bytes, outside the known forms, as start, end and value."""
+    """Strings that may be encoded bytes, outside the known forms, as start, end and value: an array for each run of all alphabets."""
     def usable(m: Column) -> Column:
         return m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    return F.when(text.rlike(CANDIDATE), F.filter(matches(text, CANDIDATE), usable)).otherwise(F.array().cast(MATCHES))
+
+    def inside(run: Column) -> Column:
+        moved = lambda m: F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"), m["value"].alias("value"), m["part"].alias("part"))
+        return F.array_distinct(F.flatten(F.array(*(F.transform(matches(run["value"], p), moved).cast(MATCHES) for p in RUNS))))
+    found = F.transform(matches(text, CANDIDATE), lambda run: F.filter(inside(run), usable))
+    return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(f"array<{MATCHES}>"))
 
 
 def _erfc(x: Column) -> Column:
@@ -114,12 +125,13 @@ def judged(found: Column) -> Column:
 def bounds(tested: DataFrame, rate: float = 0.05) -> DataFrame:
     """encoding, size_class and the lowest p-value bin that is reported there; a few hundred rows at most."""
     level = F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = tested.select(F.explode("tested").alias("t")).groupBy("t.encoding", "t.size_class", level.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy("encoding", "size_class").agg(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("high"))
+    counts = tested.select(F.explode(F.flatten("tested")).alias("t")).groupBy("t.encoding", "t.size_class", level.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("encoding", "size_class").agg(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("high"), F.sum("n").alias("strings"))
     grid = whole.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1)))).join(counts, ["encoding", "size_class", "bin"], "left")
     above = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("encoding", "size_class").orderBy(F.desc("bin")))
     random = F.col("high") * 2 * (1 - F.col("bin") / BINS)
-    return (grid.withColumn("passed", above).filter((F.col("passed") > 0) & (F.greatest(F.lit(0.0), F.col("passed") - random) <= rate * F.col("passed")))
+    few = (F.col("strings") < FEW) & (F.col("bin") >= math.ceil(rate * BINS))
+    return (grid.withColumn("passed", above).filter(few | (F.col("passed") > 0) & (F.greatest(F.lit(0.0), F.col("passed") - random) <= rate * F.col("passed")))
             .groupBy("encoding", "size_class").agg(F.min("bin").alias("least_bin")))
 
 
@@ -127,11 +139,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """id, base and spans of every row: arrays of start, end and kind (a place in ``KINDS``), by start, then kind."""
     text = F.coalesce(F.col("body"), F.lit(""))
     first = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("base", base_spans(text))
-    tested = materialize(first.select("id", "base", judged(candidates(text, F.col("base"))).alias("tested")))
+    tested = materialize(first.select("id", "base", F.transform(candidates(text, F.col("base")), judged).alias("tested")))
     # at most encodings x length classes rows, so they can stand in the plan as a literal map
     least = F.create_map(*(F.lit(v) for r in bounds(tested, rate).collect() for v in (f"{r['encoding']}:{r['size_class']}", r["least_bin"]))).cast("map<string,int>")
     level = lambda m: F.least(F.floor(m["p"] * BINS), F.lit(BINS - 1))
-    passed = F.filter("tested", lambda m: F.coalesce(level(m) >= least[F.concat_ws(":", m["encoding"], m["size_class"].cast("string"))], F.lit(False)))
+    high = lambda run: F.filter(run, lambda m: F.coalesce(level(m) >= least[F.concat_ws(":", m["encoding"], m["size_class"].cast("string"))], F.lit(False)))
+    holds = lambda o, m: (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & (o["end"] - o["start"] > m["end"] - m["start"])
+    passed = F.flatten(F.transform("tested", lambda run: let(high(run), lambda one: F.filter(one, lambda m: ~F.exists(one, lambda o: holds(o, m))))))
     random = F.transform(passed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(3).alias("kind"))).cast(_SPAN)
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(0)
     return tested.select("id", "base", F.array_sort(F.concat("base", random), order).alias("spans"))

@@ -54,6 +54,35 @@ def test_battery_tells_random_from_written_strings(spark):
     assert len(hit & set(range(60))) >= 50 and len(hit - set(range(60))) <= 8
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_values_behind_names_paths_and_prefixes(spark):
+    rng = random.Random(11)
+    forms = ["DB_PASS={}", "https://a.b/c?sig={}&x=1", "AccountKey={}==;", "AWS_SECRET_ACCESS_KEY={}", "/etc/some_service/credential-files/{}", "live_key-for/deploy_{}", "x {} y"]
+    made = [(f, "".join(rng.choice(BASE62) for _ in range(40))) for f in forms for _ in range(30)]
+    table = spark.createDataFrame([(i, f.format(v)) for i, (f, v) in enumerate(made)], "doc_id long, text string")
+    found = {r["id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(table).collect()}
+    for k, form in enumerate(forms):
+        ids = range(30 * k, 30 * k + 30)
+        at = {i: form.index("{}") for i in ids}
+        hit = [i for i in ids if any(a <= at[i] and at[i] + 40 <= z for a, z in found[i])]
+        assert len(hit) >= 24, form
+    spans = [s for v in found.values() for s in v]
+    assert all(not (a != b and a[0] <= b[0] and b[1] <= a[1]) for v in found.values() for a in v for b in v) and len(spans) < 1.5 * len(made)
+
+
+def test_a_lone_secret_needs_no_others(spark):
+    rng = random.Random(4)
+    for _ in range(200):
+        value = "".join(rng.choice(BASE62) for _ in range(40))
+        p = spark.range(1).select(secrets.randomness(F.lit(value), F.lit(BASE62)).alias("p")).first()["p"]
+        if 0.1 < p < 0.4 and any(c.isdigit() for c in value):
+            break
+    table = spark.createDataFrame([(1, f"x {value} y"), (2, "x user_name1_user_name1_user_name1_user_name1 y")], "doc_id long, text string")
+    assert {r["id"] for r in secrets.scan(table).filter("size(spans) > 0").collect()} == {1}
+
+
 def test_p_value_against_plain_python(spark):
     value, alphabet = "3f9a0c17be5522d4e8a1", "0123456789abcdef"
     got = spark.range(1).select(secrets.randomness(F.lit(value), F.lit(alphabet)).alias("p")).first()["p"]
