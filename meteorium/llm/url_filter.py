@@ -3,7 +3,9 @@
 Rules label the URLs that they fit.  The method judges the others:
 
 * Paths become templates.  Segments lose their numbers and hexadecimal ids; then, level by level and per host, a branch with very many
-  children that hardly repeat is variable, and its children become one wildcard.
+  children is variable, whatever the number of pages below them.  Its children without labels become one wildcard.  Those with labels join it if at
+  least half of all children have labels, so that a few labelled ones do not speak for the rest; one that differs from the
+  labelled others stays by itself.
 * Children of one branch whose shares of blocked labels don't differ from those of their labelled siblings by more than chance (a
   two-proportion test) are merged into one.
 * A template is rejected if its share of blocked labels, smoothed towards the share of all labels, is above one half.  A template
@@ -12,7 +14,7 @@ Rules label the URLs that they fit.  The method judges the others:
 All steps are joins and combined counts over distinct templates, of which there are far fewer than pages; pages only meet the result.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and is allowed; an empty path has an empty template; segments below
-``DEPTH`` are one; rows that repeat count as often as they stand and are judged alike; without any label nothing is rejected; an empty table gives
+``DEPTH`` are one; a path counts once, however many rows have it, and all are judged alike; without any label nothing is rejected; an empty table gives
 an empty result; other columns are not looked at.
 """
 
@@ -26,9 +28,8 @@ from .common import lower_ascii
 
 #: Levels of a tree; what lies deeper is one segment.
 DEPTH = 8
-#: A branch is variable with more children than this, of which each has on average fewer than ``REPEATS`` pages.
+#: A branch is variable with more children than this.
 CHILDREN = 20
-REPEATS = 3.0
 #: Two shares differ if they are this many standard errors apart.
 APART = 1.96
 #: Weight, in labels, of the share of all labels.
@@ -80,15 +81,17 @@ def template_table(pages: DataFrame) -> DataFrame:
 
 def _level(table: DataFrame, level: int) -> DataFrame:
     """The table with the segments of one level made wildcards or merged where that holds."""
-    here = table.filter(F.size("kept") > level).select("host", F.slice("kept", 1, level).alias("branch"), F.col("kept")[level].alias("child"), "n", "labelled", "blocked")
-    child = here.groupBy("host", "branch", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-    whole = child.groupBy("host", "branch").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")))
+    here = table.filter(F.size("kept") > level).select("host", F.slice("kept", 1, level).alias("branch"), F.col("kept")[level].alias("child"), "labelled", "blocked")
+    child = here.groupBy("host", "branch", "child").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
+    whole = child.groupBy("host", "branch").agg(F.count(F.lit(1)).alias("children"), F.count_if(F.col("labelled") > 0).alias("with_labels"),
+                                                 *(F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")))
     rest, rest_blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
     pooled = F.col("all_blocked") / F.col("all_labelled")
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-    alike = (F.col("labelled") > 0) & (rest > 0) & (F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest) <= APART * error)
-    variable = (F.col("children") > CHILDREN) & (F.col("all_n") < REPEATS * F.col("children"))
-    new = F.when(variable, F.lit("{*}")).when(alike, F.lit("{~}"))
+    compared = (F.col("labelled") > 0) & (rest > 0)
+    alike = compared & (F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest) <= APART * error)
+    joins = (F.col("labelled") == 0) | ((2 * F.col("with_labels") >= F.col("children")) & (~compared | alike))
+    new = F.when((F.col("children") > CHILDREN) & joins, F.lit("{*}")).when(alike, F.lit("{~}"))
     change = child.join(whole, ["host", "branch"]).withColumn("new", new).filter("new IS NOT NULL").select("host", "branch", "child", "new")
     keyed = table.withColumn("branch", F.slice("kept", 1, level)).withColumn("child", F.when(F.size("kept") > level, F.col("kept")[level]))
     swapped = F.concat("branch", F.array("new"), F.slice("kept", F.lit(level + 2), F.greatest(F.size("kept") - level - 1, F.lit(0))))
@@ -112,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
             .withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
             .select("id", "host", "path", "found.rule", F.col("found.verdict").alias("said"), segments(F.col("path")).alias("raw")))
     label = F.when(F.col("said").isNotNull(), (F.col("said") == "block").cast("int"))
-    table = purities(template_table(seen.select("host", "path", label.alias("label"))))
+    table = purities(template_table(seen.select("host", "path", label.alias("label")).distinct()))
     judged = seen.join(table, ["host", "raw"], "left")
     method = F.when(F.col("purity") > 0.5, "block").otherwise("allow")
     return judged.select("id", "host", "path", "rule", F.array_join("kept", "/").alias("template"), "purity", F.coalesce("said", method).alias("verdict"))

@@ -61,6 +61,41 @@ def test_slugs_become_wildcards_and_keep_their_branch(spark):
     assert got["h", "other/new"] == ("other/new", 0, None) and got["g", "spam/new"] == ("spam/new", 0, None)
 
 
+def names(n):
+    return ["n" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(n)]
+
+
+def test_volume_does_not_switch_wildcards_off(spark):
+    kept = lambda df: {(r["host"], *r["raw"]): tuple(r["kept"]) for r in url_filter.template_table(df).collect()}
+    once = kept(tables(spark))
+    assert once == kept(tables(spark).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3)))))
+    shops = [("h", f"/shop/{name}/{page}", 1 if name != "nak" else None) for name in names(60) for page in ("about", "cart", "faq", "home", "items")]
+    got = kept(spark.createDataFrame(shops, "host string, path string, label int"))
+    assert got["h", "shop", "nak", "cart"][:2] == got["h", "shop", "nbk", "cart"][:2] == ("shop", "{*}")
+
+
+def test_few_labelled_branches_do_not_speak_for_the_rest(spark):
+    urls = [f"http://a.net/{branch}/x{k}" for branch in ["es", "fr", *names(30)] for k in "ab"]
+    for repeats in (1, 4):
+        df = spark.createDataFrame(list(enumerate(urls * repeats)), "page_id long, url string")
+        got = {(r["path"].split("/")[1], r["verdict"]) for r in url_filter.judge(df, q_urls.RULES).collect()}
+        assert got == {("es", "block"), ("fr", "block"), *((n, "allow") for n in names(30))}
+
+
+def test_a_branch_that_differs_stays_out_of_the_wildcard(spark):
+    data = [("h", f"/{name}/{k}", 0) for name in names(40) for k in "abcdefgh"] + [("h", f"/bad/{k}", 1) for k in "abcdefgh"] + [("h", "/new/a", None)]
+    got = {r["raw"][0]: r["kept"][0] for r in url_filter.template_table(spark.createDataFrame(data, "host string, path string, label int")).collect()}
+    assert got == {**{n: "{*}" for n in names(40)}, "bad": "bad", "new": "{*}"}
+
+
+def test_repeated_rows_do_not_change_verdicts(spark):
+    rules = [("block", "h.x/s/" + n) for n in names(12)] + [("allow", "h.x/s/" + n) for n in names(30)[12:]]
+    urls = [f"http://h.x/s/{n}" for n in names(35)]
+    said = [{(r["path"], r["template"], r["purity"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(u)), "page_id long, url string"), rules).collect()}
+            for u in (urls, urls * 3, urls + urls[:12] * 9)]
+    assert said[0] == said[1] == said[2]
+
+
 def test_branches_that_look_alike_are_merged(spark):
     data = [("h", f"/{branch}/x", label) for branch, shares in {"a": (9, 1), "b": (8, 2), "c": (0, 40)}.items() for label, n in zip((1, 0), shares) for _ in range(n)]
     table = url_filter.template_table(spark.createDataFrame(data, "host string, path string, label int"))
