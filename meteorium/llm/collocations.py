@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import string
 from bisect import bisect_left
+from collections import _count_elements
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +26,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .runs import quantile_fences
 
-#: Words of the longest phrase.
-WORDS = 4
+#: Words of the longest phrase; the key of a window's words after the first has room for three numbers of these bits.
+WORDS, BITS = 4, 21
 #: Entries of a container beyond which it bursts, and of all containers of a task beyond which subtrees are spilled.
-BURST, ROOM = 4096, 700_000
-#: Words of a text that are counted before the room is looked at again.
-STEP = 100_000
-#: Words that a task remembers by number before it starts anew.
-VOCABULARY = 1_500_000
-#: Bytes of text behind one prefix range, and the most ranges (beyond, ranges grow: they are merged as streams).
+BURST, ROOM = 4096, 900_000
+#: Words that a task counts at once, and that it remembers by number before it starts anew (below 2 ** BITS).
+STEP, VOCABULARY = 250_000, 1_500_000
+#: Bytes of text behind one prefix range, and the most ranges (beyond, ranges grow: they are merged in steps).
 RANGE_BYTES, RANGES = 6_000_000, 20_000
-#: Windows that a merge holds before it gives away those that no later run can add to.
-HELD = 400_000
+#: Windows that a merge step takes in before it gives away those that no later run can add to.
+HELD = 800_000
 
 #: A-Z lower-cased, the marks between pieces as line ends, the tabulator as a blank.
 _TEXT = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\x0d\x09", string.ascii_lowercase.encode() + b"\n" * 9 + b" ")
-_RUN = pa.schema([("lang", pa.string()), ("range_no", pa.int32()), ("first", pa.binary()), ("windows", pa.int64()), ("phrases", pa.binary()),
-                  ("phrase_bytes", pa.int64()), ("counts", pa.binary())])
+_RUN = pa.schema([("lang", pa.string()), ("range_no", pa.int32()), ("first", pa.binary()), ("windows", pa.int64()), ("words", pa.binary()),
+                  ("word_bytes", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
+_RUN_DDL = "lang string, range_no int, first binary, windows long, words binary, word_bytes long, places binary, counts binary"
 _COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("f", pa.int64())])
+_END = (b"",) * (WORDS - 1)
+_MASK = (1 << BITS) - 1
 
 
 class _Node(dict):
@@ -49,114 +54,182 @@ class _Node(dict):
 
 
 class _Ids(dict):
-    """Numbers of words as they come, from 1; ``spaced`` has each word with a blank behind it."""
+    """Numbers of words as they come, from 1; the empty word, which ends a piece, is 0."""
 
     def __init__(self):
-        super().__init__()
-        self.spaced = [b""]
+        super().__init__({b"": 0})
+        self.words = [b""]
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.spaced)
-        self.spaced.append(word + b" ")
+        self[word] = number = len(self.words)
+        self.words.append(word)
         return number
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text; empty words end each piece, so that no window leaves it."""
+    found: list[bytes] = []
+    for piece in text.translate(_TEXT).split(b"\n"):
+        words = piece.split()
+        if words:
+            found += words
+            found += _END
+    return found
+
+
 class HatTrie:
-    """Counts of phrase windows under their first words."""
+    """Counts of phrase windows: first word id -> hash container of the other words, or a node of containers where one has burst."""
 
     def __init__(self, burst: int = BURST):
         self.ids, self.top, self.held, self.burst = _Ids(), {}, 0, burst
 
-    def numbered(self, text: bytes) -> list[int]:
-        """The words of a text by number; three zeros end each piece, so that no window leaves it."""
-        number, ids = self.ids.__getitem__, []
-        for piece in text.translate(_TEXT).split(b"\n"):
-            words = piece.split()
-            if words:
-                ids += map(number, words)
-                ids += (0, 0, 0)
-        return ids
-
-    def add(self, ids: list[int]) -> None:
-        """Count the windows at all places of a list of numbers but the last three."""
-        top, held, burst = self.top, self.held, self.burst
-        for a, b, c, d in zip(ids, ids[1:], ids[2:], ids[3:]):
-            if not a:
-                continue
-            box, key, over, at = top.get(a), (b, c, d), top, a
+    def add(self, words: list[bytes]) -> None:
+        """Count the windows at all places of a list of words but the last three."""
+        ids = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+        first, rest = ids[:-3], (ids[1:-2] << 2 * BITS) | (ids[2:-1] << BITS) | ids[3:]
+        places = np.flatnonzero(first)
+        places = places[np.argsort(first[places], kind="stable")]
+        self._deal(self.top, first[places], rest[places], WORDS - 1)
+
+    def _deal(self, node: dict, first: np.ndarray, rest: np.ndarray, left: int) -> None:
+        """Count windows, sorted by their first word, in the containers below a node."""
+        starts = np.flatnonzero(np.diff(first, prepend=-1))
+        keys, ends = rest.tolist(), [*starts[1:].tolist(), len(first)]
+        for word, start, end in zip(first[starts].tolist(), starts.tolist(), ends):
+            box = node.get(word)
             if box is None:
-                box = top[a] = {}
-            while box.__class__ is _Node:
-                over, at, key = box, key[0], key[1:]
-                box = over.get(at)
-                if box is None:
-                    box = over[at] = {}
-            if key in box:
-                box[key] += 1
-            else:
-                box[key] = 1
-                held += 1
-                if len(box) > burst and len(key) > 1:
-                    over[at] = _burst(box)
-        self.held = held
+                box = node[word] = {}
+            if box.__class__ is _Node:
+                inner = np.sort(rest[start:end])
+                self._deal(box, inner >> (left - 1) * BITS, inner & ((1 << (left - 1) * BITS) - 1), left - 1)
+                continue
+            before = len(box)
+            _count_elements(box, keys[start:end])
+            self.held += len(box) - before
+            if len(box) > self.burst and left > 1:
+                node[word] = self._split(box, left)
+
+    @staticmethod
+    def _split(box: dict, left: int) -> _Node:
+        node, shift = _Node(), (left - 1) * BITS
+        for key, n in box.items():
+            node.setdefault(key >> shift, {})[key & ((1 << shift) - 1)] = n
+        return node
 
     def subtrees(self) -> list[tuple[int, int]]:
         """Entries and first word of each subtree, the largest first."""
         return sorted(((_size(box), a) for a, box in self.top.items()), reverse=True)
 
-    def take(self, firsts: list[int]) -> tuple[list[bytes], list[int]]:
-        """Remove subtrees; their windows in order, a blank behind each word, and the counts."""
-        spaced, found = self.ids.spaced, {}
+    def take(self, firsts: list[int]) -> Run:
+        """Remove subtrees; their windows as one sorted run."""
+        heads: list[int] = []
+        keys: list[int] = []
+        counts: list[int] = []
         for a in firsts:
-            _walk(self.top.pop(a), spaced[a], spaced, found)
-        self.held -= len(found)
-        phrases = sorted(found)
-        return phrases, [found[p] for p in phrases]
-
-
-def _burst(box: dict) -> _Node:
-    node = _Node()
-    for key, n in box.items():
-        node.setdefault(key[0], {})[key[1:]] = n
-    return node
+            before = len(keys)
+            _walk(self.top.pop(a), 0, WORDS - 1, keys, counts)
+            heads += [a] * (len(keys) - before)
+        self.held -= len(keys)
+        rest = np.array(keys, dtype=np.int64)
+        ids = np.stack([np.array(heads, dtype=np.int64), rest >> 2 * BITS, (rest >> BITS) & _MASK, rest & _MASK])
+        used, at = np.unique(ids, return_inverse=True)
+        return in_order([self.ids.words[k] for k in used.tolist()], at.reshape(ids.shape), np.array(counts, dtype=np.int64))
 
 
 def _size(box: dict) -> int:
     return sum(map(_size, box.values())) if box.__class__ is _Node else len(box)
 
 
-def _walk(box: dict, before: bytes, spaced: list[bytes], found: dict[bytes, int]) -> None:
+def _walk(box: dict, before: int, left: int, keys: list[int], counts: list[int]) -> None:
     if box.__class__ is _Node:
         for word, below in box.items():
-            _walk(below, before + spaced[word], spaced, found)
+            _walk(below, before | word << (left - 1) * BITS, left - 1, keys, counts)
+    elif before:
+        keys += [before | k for k in box]
+        counts += box.values()
     else:
-        for key, n in box.items():
-            phrase = before
-            for word in key:
-                phrase += spaced[word]
-            found[phrase] = n
-
-
-def _packed(lang: str, range_no: int, phrases: list[bytes], counts: list[int]) -> dict:
-    body, codec = b"\n".join(phrases), pa.Codec("zstd", 1)
-    return {"lang": lang, "range_no": range_no, "first": phrases[0], "windows": len(phrases), "phrases": codec.compress(body, asbytes=True),
-            "phrase_bytes": len(body), "counts": codec.compress(np.asarray(counts, dtype=np.int64).tobytes(), asbytes=True)}
-
-
-def _unpacked(run: dict) -> tuple[list[bytes], list[int]]:
-    codec = pa.Codec("zstd", 1)
-    body = codec.decompress(run["phrases"], run["phrase_bytes"], asbytes=True)
-    return body.split(b"\n"), np.frombuffer(codec.decompress(run["counts"], run["windows"] * 8, asbytes=True), dtype=np.int64).tolist()
-
-
-def _cut(lang: str, phrases: list[bytes], counts: list[int], fences: list[bytes]) -> Iterator[dict]:
-    """A sorted run cut at the fences of its language; range k lies before fence k."""
-    at = 0
-    for k in range(len(fences) + 1):
-        end = bisect_left(phrases, fences[k], at) if k < len(fences) else len(phrases)
-        if end > at:
-            yield _packed(lang, k, phrases[at:end], counts[at:end])
-        at = end
+        keys += box
+        counts += box.values()
+
+
+class Run(NamedTuple):
+    """Sorted windows: their words in order (a blank behind each, the empty word first), the place of each window's words, and the counts."""
+
+    words: list[bytes]
+    places: np.ndarray
+    counts: np.ndarray
+
+    def phrase(self, row: int, size: int = WORDS) -> bytes:
+        return b"".join([self.words[k] for k in self.places[:size, row].tolist()])
+
+    def below(self, phrase: bytes) -> int:
+        """Number of windows before a phrase."""
+        wanted = []
+        for word in phrase.split(b" ")[:-1]:
+            at = bisect_left(self.words, word + b" ")
+            wanted.append(at)
+            if at == len(self.words) or self.words[at] != word + b" ":
+                break
+        low, high = 0, self.places.shape[1]
+        for column, at in zip(self.places, wanted + [0] * (WORDS - len(wanted))):
+            part = column[low:high]
+            low, high = low + int(np.searchsorted(part, at, "left")), low + int(np.searchsorted(part, at, "right"))
+        return low
+
+    def part(self, start: int, end: int) -> Run:
+        """Some of the windows, with their words only."""
+        used, at = np.unique(self.places[:, start:end], return_inverse=True)
+        words = [self.words[k] for k in used.tolist()]
+        if not words or words[0]:
+            words, at = [b"", *words], at + 1
+        return Run(words, at.reshape(WORDS, -1), self.counts[start:end])
+
+
+def in_order(words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> Run:
+    """A run from different words and windows in any order; equal windows are added up."""
+    spaced = [w + b" " if w and w[-1] != 32 else w for w in words]
+    order = sorted(range(len(spaced)), key=spaced.__getitem__)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    if not order or spaced[order[0]]:
+        order, rank, spaced = [len(spaced), *order], rank + 1, [*spaced, b""]
+    a, b, c, d = rank[ids] if ids.size else np.zeros((WORDS, 0), dtype=np.int64)
+    high, low = a << 32 | b, c << 32 | d
+    at = np.lexsort((low, high))
+    high, low, counts = high[at], low[at], counts[at]
+    starts = np.flatnonzero((np.diff(high, prepend=-1) != 0) | (np.diff(low, prepend=-1) != 0))
+    high, low = high[starts], low[starts]
+    whole = np.add.reduceat(counts, starts) if len(starts) else counts
+    return Run([spaced[k] for k in order], np.stack([high >> 32, high & 0xFFFFFFFF, low >> 32, low & 0xFFFFFFFF]), whole)
+
+
+def joined(runs: list[Run]) -> Run:
+    """Several runs merged into one."""
+    words = sorted(set().union(*(r.words for r in runs)))
+    number = {w: k for k, w in enumerate(words)}
+    ids = [np.fromiter(map(number.__getitem__, r.words), dtype=np.int64, count=len(r.words))[r.places] for r in runs]
+    return in_order(words, np.concatenate(ids, axis=1), np.concatenate([r.counts for r in runs]))
+
+
+def _packed(lang: str, range_no: int, run: Run) -> dict:
+    codec, words = pa.Codec("zstd", 1), b"\n".join(run.words)
+    return {"lang": lang, "range_no": range_no, "first": run.phrase(0), "windows": len(run.counts), "words": codec.compress(words, asbytes=True), "word_bytes": len(words),
+            "places": codec.compress(run.places.astype(np.uint32).tobytes(), asbytes=True), "counts": codec.compress(run.counts.tobytes(), asbytes=True)}
+
+
+def _unpacked(row: dict) -> Run:
+    codec, n = pa.Codec("zstd", 1), row["windows"]
+    places = np.frombuffer(codec.decompress(row["places"], n * 4 * WORDS, asbytes=True), dtype=np.uint32).astype(np.int64)
+    return Run(codec.decompress(row["words"], row["word_bytes"], asbytes=True).split(b"\n"), places.reshape(WORDS, n),
+               np.frombuffer(codec.decompress(row["counts"], n * 8, asbytes=True), dtype=np.int64))
+
+
+def _cut(lang: str, run: Run, fences: list[bytes]) -> Iterator[dict]:
+    """A run cut at the fences of its language; range k lies before fence k."""
+    ends = [run.below(f) for f in fences] + [len(run.counts)]
+    for k, (start, end) in enumerate(zip([0, *ends], ends)):
+        if end > start:
+            yield _packed(lang, k, run.part(start, end))
 
 
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -164,7 +237,7 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def _lang_fences(texts: DataFrame, range_bytes: int) -> dict[str, list[bytes]]:
-    """Sorted windows that cut each language's windows into ranges of about equal work, from a bounded sample."""
+    """Windows in order that cut each language's windows into ranges of about equal work, from a bounded sample."""
     total = texts.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     ranges = min(RANGES, -(-total // range_bytes))
     if ranges < 2:
@@ -175,31 +248,27 @@ def _lang_fences(texts: DataFrame, range_bytes: int) -> dict[str, list[bytes]]:
         for batch in batches:
             langs, phrases = [], []
             for lang, body in zip(batch["lang"].to_pylist(), batch["body"].to_pylist()):
-                trie = HatTrie()
-                trie.add(trie.numbered(body))
-                windows, counts = trie.take(list(trie.top))
-                taken = [p for p, n in zip(windows, counts) for _ in range(n)][::10]
-                langs += [lang] * len(taken)
-                phrases += taken
+                words = words_of(body)
+                for k in range(0, len(words) - 3, 10):
+                    if words[k]:
+                        langs.append(lang)
+                        phrases.append(b"".join(w + b" " for w in words[k:k + WORDS] if w))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary())], names=["lang", "phrase"])
 
     drawn = texts.filter(F.rand(11) < min(1.0, 10 * share)).mapInArrow(sample, "lang string, phrase binary").collect()
-    points = sorted((r["lang"], bytes(r["phrase"])) for r in drawn)
     fences: dict[str, list[bytes]] = {}
-    for k in range(1, ranges):
-        if points:
-            lang, phrase = points[k * len(points) // ranges]
-            held = fences.setdefault(lang, [])
-            if not held or held[-1] < phrase:
-                held.append(phrase)
+    for lang, phrase in quantile_fences([(r["lang"], bytes(r["phrase"])) for r in drawn], ranges):
+        fences.setdefault(lang, []).append(phrase)
     return fences
 
 
 def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], room: int = ROOM) -> DataFrame:
-    """Spilled subtrees of all tasks: lang, range_no, the first window and the packed windows and counts of each run."""
+    """Spilled subtrees of all tasks: lang, range_no, the first window, and the packed words, windows and counts of each run."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
+        waiting: dict[str, list[bytes]] = {}
+        n_waiting = 0
 
         def spill(down_to: int) -> Iterator[pa.RecordBatch]:
             sizes = sorted(((size, lang, a) for lang, trie in tries.items() for size, a in trie.subtrees()), reverse=True)
@@ -210,67 +279,70 @@ def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], room: int = RO
                 go.setdefault(lang, []).append(a)
                 held -= size
             for lang, firsts in go.items():
-                rows = list(_cut(lang, *tries[lang].take(firsts), fences.get(lang, [])))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_RUN)
+                for row in _cut(lang, tries[lang].take(firsts), fences.get(lang, [])):
+                    yield pa.RecordBatch.from_pylist([row], schema=_RUN)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, words in waiting.items():
+                for start in range(0, len(words), STEP):
+                    if sum(len(t.ids) for t in tries.values()) > VOCABULARY:
+                        yield from spill(0)
+                        tries.clear()
+                    trie = tries.get(lang) or tries.setdefault(lang, HatTrie())
+                    trie.add(words[start:start + STEP + 3])
+                    if sum(t.held for t in tries.values()) > room:
+                        yield from spill(room // 2)
+            waiting.clear()
 
         for batch in batches:
             for lang, body in zip(batch["lang"], batch["body"]):
-                lang = lang.as_py()
-                trie = tries.get(lang) or tries.setdefault(lang, HatTrie())
-                ids = trie.numbered(body.as_py())
-                for start in range(0, len(ids), STEP):
-                    trie.add(ids[start:start + STEP + 3])
-                    if sum(t.held for t in tries.values()) > room:
-                        yield from spill(room // 2)
-                if sum(len(t.ids) for t in tries.values()) > VOCABULARY:
-                    yield from spill(0)
-                    tries.clear()
+                words = words_of(body.as_py())
+                waiting.setdefault(lang.as_py(), []).extend(words)
+                n_waiting += len(words)
+                if n_waiting > STEP:
+                    yield from counted()
+                    n_waiting = 0
+        yield from counted()
         yield from spill(0)
 
-    return texts.mapInArrow(count, "lang string, range_no int, first binary, windows long, phrases binary, phrase_bytes long, counts binary")
-
-
-def _in_order(runs: Iterator[dict], most: int) -> Iterator[tuple[bytes, int]]:
-    """Windows and their summed counts in order, from runs in the order of their first windows."""
-    held: dict[bytes, int] = {}
-    for run in runs:
-        if len(held) > most:
-            windows = sorted(held)
-            for p in windows[:bisect_left(windows, run["first"])]:
-                yield p, held.pop(p)
-        for p, n in zip(*_unpacked(run)):
-            held[p] = held.get(p, 0) + n
-    for p in sorted(held):
-        yield p, held[p]
-
-
-def _prefix_counts(windows: Iterator[tuple[bytes, int]], edges: tuple[bytes, ...], least: int) -> Iterator[tuple[bytes, int, int]]:
-    """Phrase, words and count of all prefixes seen ``least`` times or more, of those cut by an edge in any case, and last the number of windows."""
-    open_, sums, total = [], [], 0
-
-    def closed(down_to: int) -> Iterator[tuple[bytes, int, int]]:
-        while len(open_) > down_to:
-            phrase, n = open_.pop(), sums.pop()
-            if n >= least or any(e.startswith(phrase) for e in edges):
-                yield phrase[:-1], phrase.count(b" "), n
-
-    for window, n in windows:
-        total += n
-        depth = len(open_)
-        while depth and not window.startswith(open_[depth - 1]):
-            depth -= 1
-        if depth < len(open_):
-            yield from closed(depth)
-        for k in range(depth):
-            sums[k] += n
-        at = len(open_[-1]) if open_ else 0
-        while at < len(window):
-            at = window.index(b" ", at) + 1
-            open_.append(window[:at])
-            sums.append(n)
-    yield from closed(0)
-    yield b"", 0, total
+    return texts.mapInArrow(count, _RUN_DDL)
+
+
+def _merged(rows: Iterator[dict], most: int) -> Iterator[Run]:
+    """Parts in order of the merged runs, which come in the order of their first windows."""
+    held: list[Run] = []
+    n = 0
+    for row in rows:
+        if n > most:
+            run = joined(held)
+            whole = run.below(row["first"])
+            if whole:
+                yield run.part(0, whole)
+            held = [run.part(whole, len(run.counts))] if whole < len(run.counts) else []
+            n = len(run.counts) - whole
+            most = max(most, 2 * n)  # runs that all overlap: take in more of them before the next step
+        held.append(_unpacked(row))
+        n += row["windows"]
+    if held:
+        yield joined(held)
+
+
+def prefix_counts(run: Run, least: int) -> Iterator[tuple[bytes, int, int]]:
+    """Phrase, words and count of the prefixes seen ``least`` times or more, of all that may go on before or after, and the number of windows."""
+    n = len(run.counts)
+    changed = np.zeros(n, dtype=bool)
+    changed[0] = True
+    for size in range(1, WORDS + 1):
+        column = run.places[size - 1]
+        changed[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(changed)
+        sums = np.add.reduceat(run.counts, starts)
+        wanted = sums >= least
+        wanted[[0, -1]] = True
+        wanted &= column[starts] > 0
+        for k in np.flatnonzero(wanted).tolist():
+            yield run.phrase(starts[k], size)[:-1], size, int(sums[k])
+    yield b"", 0, int(run.counts.sum())
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", range_bytes: int = RANGE_BYTES,
@@ -283,38 +355,17 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist())
-        row = next(rows, None)
-        while row is not None:
-            at, start = (row["lang"], row["range_no"]), row
-
-            def of_range() -> Iterator[dict]:
-                nonlocal row
-                row = start
-                while row is not None and (row["lang"], row["range_no"]) == at:
-                    yield row
-                    row = next(rows, None)
-            cuts = fences.get(at[0], [])
-            edges = tuple(cuts[k] for k in (at[1] - 1, at[1]) if 0 <= k < len(cuts))
-            out: tuple[list, list, list] = ([], [], [])
-            for found in _prefix_counts(_in_order(of_range(), held), edges, least):
-                for column, value in zip(out, found):
-                    column.append(value)
-                if len(out[0]) >= 50_000:
-                    yield _batch(at[0], out)
-                    out = ([], [], [])
-            yield _batch(at[0], out)
+        for (lang, _), group in groupby(rows, lambda row: (row["lang"], row["range_no"])):
+            for run in _merged(group, held):
+                phrases, words, counts = zip(*prefix_counts(run, least))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(words, pa.int32()),
+                                                  pa.array(counts, pa.int64())], schema=_COUNT)
 
     parts = runs.mapInArrow(merge, "lang string, phrase binary, words int, f long")
     whole = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
     return whole.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f")
 
 
-def _batch(lang: str, columns: tuple[list, list, list]) -> pa.RecordBatch:
-    phrases, words, counts = columns
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(words, pa.int32()),
-                                       pa.array(counts, pa.int64())], schema=_COUNT)
-
-
 def scored(counts: DataFrame, factor: int = 2_000_000) -> DataFrame:
     """lang, phrase, words, a, l, r and score of each phrase of two words or more, by its lowest-scoring cut (ties: the first)."""
     words = F.split("phrase", " ")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ from . import runs
 BLANK = "\r\n\r\n"
 #: Most records of one file; runs merged at once; captures of one range of the last merge, and the most ranges.
 FILE_RECORDS, FAN_IN, RANGE_ROWS, RANGES = 20_000, 128, 200_000, 20_000
+#: Captures of a sampled block for which one key is drawn to place the fences.
+SAMPLED = 256
 #: Equal rows that are written out at once.
 STEP = 10_000
 #: Fixed values of the format.
@@ -265,8 +268,16 @@ def histories(found: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_RO
         blocks = materialize(merged_runs(blocks, fan_in))
     size = blocks.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("blocks")).first()
     ranges = max(1, min(RANGES, (size["rows"] or 0) // range_rows + 1))
-    share = min(1.0, 50 * ranges / max(1, size["blocks"]))  # a sample of first keys only balances the ranges
-    points = blocks.filter(F.rand(5) <= share).select(*KEY).collect() if ranges > 1 else []
+    share = min(1.0, 50 * ranges / max(1, size["blocks"]))  # the sample only balances the ranges
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch["body"]:
+                rows = runs.unpack(body.as_py())
+                at = random.Random(rows.num_rows).choices(range(rows.num_rows), k=1 + rows.num_rows // SAMPLED)
+                yield rows.select(KEY).take(pa.array(at))
+
+    points = blocks.filter(F.rand(5) <= share).mapInArrow(draw, _FIRST).collect() if ranges > 1 else []
     fences = runs.quantile_fences([tuple(p) for p in points], ranges)
     ddl = f"range_no int, {_FIRST}, rows long, body binary"
     schema, out_ddl = _arrow(ddl), f"range_no int, place long, {_INDEX}"
