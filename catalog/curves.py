@@ -8,6 +8,7 @@ from meteorium.functions import calendar as cal
 from meteorium.functions import categories as cat
 from meteorium.functions import curves
 from meteorium.operators import density, quality, windows
+from meteorium.session import materialize
 
 from .inputs import DAILY, daily, slot_sql, window_sql
 
@@ -20,6 +21,11 @@ def _gauss(spark, d):
     return density.gaussian_curve(_samples(spark, d))
 
 
+def _stored(spark, d):
+    """The curves as a stored table, each prepared for read-outs."""
+    return materialize(_gauss(spark, d).withColumns({"n": F.size("samples"), "curve": curves.prepared("distribution")}).drop("samples", "distribution"))
+
+
 def _month_samples(spark, d):
     """All daily maxima of a month as one sample: (entity, month), bounded by days x years."""
     return daily(spark, d).groupBy("entity", F.month("day").alias("month")).agg(F.sort_array(F.collect_list("v_max")).alias("samples"))
@@ -56,28 +62,27 @@ def mixture_density(spark, d):
 def cdf_of_observations(spark, d):
     """Percentile of each daily maximum on its slot's curve."""
     obs = daily(spark, d).select("entity", cal.slot("day").alias("slot"), "day", "v_max")
-    x = obs.join(_gauss(spark, d), ["entity", "slot"]).withColumn("pct", curves.cdf_percent("distribution", "v_max"))
+    x = obs.join(_stored(spark, d), ["entity", "slot"]).withColumn("pct", curves.cdf_percent("curve", "v_max"))
     return x.groupBy("entity", "slot").agg(F.avg("pct").alias("mean_pct"), F.min("pct").alias("low"), F.max("pct").alias("high"))
 
 
 def curve_cutoffs(spark, d):
     """Cut-offs read off the curve and the percentile of each cut-off, which must be the cut-off's own percent."""
-    q = _gauss(spark, d)
-    out = q.select("entity", "slot", *[curves.quantile("distribution", float(p)).alias(f"q{p}") for p in (5, 50, 95)], "distribution")
-    return out.select("entity", "slot", "q5", "q50", "q95", *[F.round(curves.cdf_percent("distribution", f"q{p}"), 6).alias(f"back{p}") for p in (5, 50, 95)])
+    out = _stored(spark, d).select("entity", "slot", *[curves.quantile("curve", float(p)).alias(f"q{p}") for p in (5, 50, 95)], "curve")
+    return out.select("entity", "slot", "q5", "q50", "q95", *[F.round(curves.cdf_percent("curve", f"q{p}"), 6).alias(f"back{p}") for p in (5, 50, 95)])
 
 
 def density_at_values(spark, d):
     """Density at the daily mean by linear interpolation, zero outside."""
     obs = daily(spark, d).select("entity", cal.slot("day").alias("slot"), (F.col("v_max") * 2 - 40).alias("v"))
-    x = obs.join(_gauss(spark, d), ["entity", "slot"]).withColumn("den", curves.density_at("distribution", "v"))
+    x = obs.join(_stored(spark, d), ["entity", "slot"]).withColumn("den", curves.density_at("curve", "v"))
     return x.groupBy("entity", "slot").agg(F.sum("den").alias("total"), F.count_if(F.col("den") == 0).alias("outside"))
 
 
 def bin_day_counts(spark, d):
     """Expected days per whole-degree bin of each observation."""
     obs = daily(spark, d).select("entity", cal.slot("day").alias("slot"), "v_max")
-    x = obs.join(_gauss(spark, d), ["entity", "slot"]).withColumn("days", curves.bin_days("distribution", "v_max", F.size("samples")))
+    x = obs.join(_stored(spark, d), ["entity", "slot"]).withColumn("days", curves.bin_days("curve", "v_max", "n"))
     return x.groupBy("entity", "slot").agg(F.sum("days").alias("days"), F.max("days").alias("top"))
 
 

@@ -14,11 +14,13 @@ from ..operators import density, quality
 CUTS = ["p5", "p10", "p20", "p50", "p80", "p95"]
 
 
-def _classify(df: DataFrame, temp: str) -> DataFrame:
-    return df.withColumns({
-        "percentile": curves.cdf_percent("distribution", temp),
+def _classify(df: DataFrame, temp: str, climatology: DataFrame, slot: list[str]) -> DataFrame:
+    """Rows with their climatology, percentile and category; each climatology row's curve is prepared once, below the join."""
+    ready = climatology.withColumn("_curve", curves.prepared("distribution"))
+    return df.join(ready, slot).withColumns({
+        "percentile": curves.cdf_percent("_curve", temp),
         "category_key": cat.temperature_category(temp, "p95", "p80", "p20", "p10"),
-        "day_label": cal.day_label("month", "day")})
+        "day_label": cal.day_label("month", "day")}).drop("_curve")
 
 
 def today_status(requests: DataFrame, daily: DataFrame, climatology: DataFrame, live: DataFrame | None = None) -> DataFrame:
@@ -36,7 +38,7 @@ def today_status(requests: DataFrame, daily: DataFrame, climatology: DataFrame,
     valued = base.select("era5_name", "date", F.coalesce("temperature_max_2m", "_live").alias("today_temp"),
                          F.col("temperature_max_2m").isNull().alias("is_preliminary"),
                          F.month(d).alias("month"), F.dayofmonth(d).alias("day")).filter(F.col("today_temp").isNotNull())
-    return _classify(valued.join(climatology, ["era5_name", "month", "day"]), "today_temp")
+    return _classify(valued, "today_temp", climatology, ["era5_name", "month", "day"])
 
 
 def last_days(requests: DataFrame, daily: DataFrame, climatology: DataFrame, n: int = 7) -> DataFrame:
@@ -55,7 +57,7 @@ def last_days(requests: DataFrame, daily: DataFrame, climatology: DataFrame, n:
     asked = placed.select("era5_name", "request_date", "_newest", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_newest") - n + 1), "_newest")).alias("_pos"))
     last = (asked.join(days, ["era5_name", "_pos"]).withColumn("recency", F.col("_newest") - F.col("_pos") + 1).drop("_pos", "_newest")
             .filter(F.col("temperature_max_2m").isNotNull()))
-    return _classify(last.join(climatology, ["era5_name", "month", "day"]), "temperature_max_2m")
+    return _classify(last, "temperature_max_2m", climatology, ["era5_name", "month", "day"])
 
 
 def national_window(climatology: DataFrame, stations: DataFrame) -> DataFrame:
@@ -66,8 +68,8 @@ def national_window(climatology: DataFrame, stations: DataFrame) -> DataFrame:
         F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"))
     marked = quality.all_or_nothing(pooled, slot, stations)
     curve = density.mixture(climatology, slot, "distribution")
-    cuts = {c: curves.quantile("distribution", float(c[1:])) for c in CUTS}
-    return marked.join(curve, slot).withColumns(cuts)
+    cuts = {c: curves.quantile("_curve", float(c[1:])) for c in CUTS}
+    return marked.join(curve.withColumn("_curve", curves.prepared("distribution")), slot).withColumns(cuts).drop("_curve")
 
 
 def national_daily(daily: DataFrame, stations: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def national_status(requests: DataFrame, daily: DataFrame, climatology: DataFram
     d = F.to_date("date")
     mean = quality.require_complete_pool(national_daily(daily.join(requests.select("date").distinct(), "date", "left_semi"), stations))
     valued = mean.select("date", "today_temp", F.month(d).alias("month"), F.dayofmonth(d).alias("day"))
-    return _classify(valued.join(quality.require_complete_pool(national_window(climatology, stations)), ["month", "day"]), "today_temp")
+    return _classify(valued, "today_temp", quality.require_complete_pool(national_window(climatology, stations)), ["month", "day"])
 
 
 def regression_points(trends: DataFrame, baseline: tuple[int, int], key: list[str], more_than: int = 5) -> DataFrame:

@@ -40,9 +40,10 @@ def classify_live(rows: DataFrame, climatology: DataFrame, entity: list[str], ts
     ``climatology``: entity, month_day, p10, p20, p80, p95 and optionally ``distribution``.
     """
     local = rows.withColumn("month_day", cal.month_day_no_leap(cal.date_in_zone(ts, zone)))
-    joined = local.join(climatology, [*entity, "month_day"])
-    out = joined.withColumn("category_key", cat.temperature_category(value, "p95", "p80", "p20", "p10"))
-    return out.withColumn("percentile", curves.cdf_percent("distribution", value)) if "distribution" in climatology.columns else out
+    with_curve = "distribution" in climatology.columns
+    known = climatology.withColumn("_curve", curves.prepared("distribution")) if with_curve else climatology
+    out = local.join(known, [*entity, "month_day"]).withColumn("category_key", cat.temperature_category(value, "p95", "p80", "p20", "p10"))
+    return out.withColumn("percentile", curves.cdf_percent("_curve", value)).drop("_curve") if with_curve else out
 
 
 def valid_measurements(rows: DataFrame, ts: str, value: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_curve_round_trip(spark):
               "uneven": sorted((rng.uniform(0, 30), rng.random()) for _ in range(40))}
     rows = [(n, [(float(x), float(d)) for x, d in c], float(p)) for n, c in shapes.items() for p in (1, 5, 20, 50, 80, 95, 99)]
     df = spark.createDataFrame(rows, "n string, c array<struct<x:double,d:double>>, p double")
-    got = df.withColumn("q", curves.quantile("c", "p")).withColumn("back", curves.cdf_percent("c", "q")).collect()
+    got = df.withColumn("c", curves.prepared("c")).withColumn("q", curves.quantile("c", "p")).withColumn("back", curves.cdf_percent("c", "q")).collect()
     assert max(abs(r.back - r.p) for r in got) < 1e-9
     assert next(r.q for r in got if r.n == "triangle" and r.p == 50) == pytest.approx(10.0)
 
@@ -91,9 +91,34 @@ def test_curve_round_trip(spark):
 def test_curve_edges(spark):
     df = spark.createDataFrame([([(0.0, 1.0), (1.0, 1.0)], -1.0), ([(0.0, 1.0), (1.0, 1.0)], 2.0), ([(0.0, 1.0)], 0.0), ([(0.0, 0.0), (1.0, 0.0)], 0.5)],
                                "c array<struct<x:double,d:double>>, v double")
+    short = df.filter("size(c) = 1").select(curves.quantile(curves.prepared("c"), F.lit(50.0)).alias("x"))
+    df = df.withColumn("c", curves.prepared("c"))
     assert [r.x for r in df.select(curves.cdf_percent("c", "v").alias("x")).collect()] == [0.0, 100.0, 0.0, 0.0]
     assert [r.x for r in df.select(curves.density_at("c", "v").alias("x")).collect()] == [0.0] * 4
-    assert df.filter("size(c) = 1").select(curves.quantile("c", F.lit(50.0)).alias("x")).first().x is None
+    assert short.first().x is None
+    odd = spark.createDataFrame([(None, 1.0), ([(0.0, 1.0), (1.0, 1.0)], None), ([(0.0, 1.0), (1.0, 1.0)], float("nan"))], "c array<struct<x:double,d:double>>, v double")
+    odd = odd.withColumn("c", curves.prepared("c"))
+    assert [tuple(r) for r in odd.select(curves.cdf_percent("c", "v"), curves.density_at("c", "v"), curves.quantile("c", "v")).collect()] == [(0.0, 0.0, None)] * 3
+
+
+def test_curve_readouts_match_a_fine_sum(spark):
+    """Percent, density and quantile against trapezoids over a fine grid; curves of many sizes, with steps and gaps."""
+    rng = random.Random(8)
+    rows = []
+    for n in (2, 3, 4, 7, 8, 9, 100, 200, 257):
+        xs = sorted(rng.choice([rng.uniform(-5, 5), float(rng.randrange(-5, 5))]) for _ in range(n))
+        points = [(x, rng.choice([0.0, rng.random()])) for x in xs]
+        if sum((b[1] + a[1]) * (b[0] - a[0]) for a, b in zip(points, points[1:])) > 0:
+            rows += [(n, points, v) for v in [*xs[:5], xs[-1], *(rng.uniform(-6, 6) for _ in range(12))]]
+    df = spark.createDataFrame(rows, "n int, points array<struct<x:double,d:double>>, v double").withColumn("c", curves.prepared("points"))
+    got = df.select("points", "v", curves.cdf_percent("c", "v").alias("pct"), curves.density_at("c", "v").alias("den"),
+                    curves.quantile("c", F.lit(30.0)).alias("q")).collect()
+    for r in got:
+        at = lambda v: next((a.d + (v - a.x) / (b.x - a.x) * (b.d - a.d) for a, b in zip(r.points, r.points[1:]) if a.x <= v < b.x), 0.0)
+        whole = lambda to: sum((a.d + (b.d if b.x <= to else at(to))) / 2 * (min(b.x, to) - a.x) for a, b in zip(r.points, r.points[1:]) if a.x < to and b.x > a.x)
+        assert r.den == pytest.approx(at(r.v) if r.points[0].x < r.v else 0.0)
+        assert r.pct == pytest.approx(whole(r.v) / whole(1e9) * 100)
+        assert whole(r.q) / whole(1e9) == pytest.approx(0.3)
 
 
 def test_tiles(spark):
