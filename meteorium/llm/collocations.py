@@ -13,6 +13,7 @@ whole; repeated rows count each time; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import math
 import string
 from bisect import bisect_left
 from collections import _count_elements
@@ -31,13 +32,13 @@ from .runs import quantile_fences
 #: Words of the longest phrase; the key of a window's words after the first has room for three numbers of these bits.
 WORDS, BITS = 4, 21
 #: Entries of a container beyond which it bursts, and of all containers of a task beyond which subtrees are spilled.
-BURST, ROOM = 4096, 900_000
+BURST, ROOM = 4096, 600_000
 #: Words that a task counts at once, and that it remembers by number before it starts anew (below 2 ** BITS).
-STEP, VOCABULARY = 250_000, 1_500_000
+STEP, VOCABULARY = 200_000, 800_000
 #: Bytes of text behind one prefix range, and the most ranges (beyond, ranges grow: they are merged in steps).
 RANGE_BYTES, RANGES = 6_000_000, 20_000
 #: Windows that a merge step takes in before it gives away those that no later run can add to.
-HELD = 800_000
+HELD = 600_000
 
 #: A-Z lower-cased, the marks between pieces as line ends, the tabulator as a blank.
 _TEXT = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\x0d\x09", string.ascii_lowercase.encode() + b"\n" * 9 + b" ")
@@ -81,19 +82,19 @@ class HatTrie:
     """Counts of phrase windows: first word id -> hash container of the other words, or a node of containers where one has burst."""
 
     def __init__(self, burst: int = BURST):
-        self.ids, self.top, self.held, self.burst = _Ids(), {}, 0, burst
+        self.ids, self.top, self.sizes, self.held, self.burst = _Ids(), {}, {}, 0, burst
 
     def add(self, words: list[bytes]) -> None:
         """Count the windows at all places of a list of words but the last three."""
         ids = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
         first, rest = ids[:-3], (ids[1:-2] << 2 * BITS) | (ids[2:-1] << BITS) | ids[3:]
         places = np.flatnonzero(first)
-        places = places[np.argsort(first[places], kind="stable")]
-        self._deal(self.top, first[places], rest[places], WORDS - 1)
+        places = places[np.argsort(first[places])]
+        self.held += self._deal(self.top, first[places], rest[places], WORDS - 1, self.sizes)
 
-    def _deal(self, node: dict, first: np.ndarray, rest: np.ndarray, left: int) -> None:
-        """Count windows, sorted by their first word, in the containers below a node."""
-        starts = np.flatnonzero(np.diff(first, prepend=-1))
+    def _deal(self, node: dict, first: np.ndarray, rest: np.ndarray, left: int, sizes: dict[int, int] | None = None) -> int:
+        """Count windows, sorted by their first word, in the containers below a node; the number of new entries."""
+        new, starts = 0, np.flatnonzero(np.diff(first, prepend=-1))
         keys, ends = rest.tolist(), [*starts[1:].tolist(), len(first)]
         for word, start, end in zip(first[starts].tolist(), starts.tolist(), ends):
             box = node.get(word)
@@ -101,13 +102,17 @@ class HatTrie:
                 box = node[word] = {}
             if box.__class__ is _Node:
                 inner = np.sort(rest[start:end])
-                self._deal(box, inner >> (left - 1) * BITS, inner & ((1 << (left - 1) * BITS) - 1), left - 1)
-                continue
-            before = len(box)
-            _count_elements(box, keys[start:end])
-            self.held += len(box) - before
-            if len(box) > self.burst and left > 1:
-                node[word] = self._split(box, left)
+                more = self._deal(box, inner >> (left - 1) * BITS, inner & ((1 << (left - 1) * BITS) - 1), left - 1)
+            else:
+                more = -len(box)
+                _count_elements(box, keys[start:end])
+                more += len(box)
+                if len(box) > self.burst and left > 1:
+                    node[word] = self._split(box, left)
+            new += more
+            if sizes is not None:
+                sizes[word] = sizes.get(word, 0) + more
+        return new
 
     @staticmethod
     def _split(box: dict, left: int) -> _Node:
@@ -116,9 +121,11 @@ class HatTrie:
             node.setdefault(key >> shift, {})[key & ((1 << shift) - 1)] = n
         return node
 
-    def subtrees(self) -> list[tuple[int, int]]:
-        """Entries and first word of each subtree, the largest first."""
-        return sorted(((_size(box), a) for a, box in self.top.items()), reverse=True)
+    def largest(self, entries: int) -> list[int]:
+        """First words of the largest subtrees that hold that many entries together."""
+        words, sizes = np.array(list(self.sizes), dtype=np.int64), np.array(list(self.sizes.values()), dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        return words[order[:np.searchsorted(np.cumsum(sizes[order]), entries) + 1]].tolist()
 
     def take(self, firsts: list[int]) -> Run:
         """Remove subtrees; their windows as one sorted run."""
@@ -127,6 +134,7 @@ class HatTrie:
         counts: list[int] = []
         for a in firsts:
             before = len(keys)
+            del self.sizes[a]
             _walk(self.top.pop(a), 0, WORDS - 1, keys, counts)
             heads += [a] * (len(keys) - before)
         self.held -= len(keys)
@@ -136,10 +144,6 @@ class HatTrie:
         return in_order([self.ids.words[k] for k in used.tolist()], at.reshape(ids.shape), np.array(counts, dtype=np.int64))
 
 
-def _size(box: dict) -> int:
-    return sum(map(_size, box.values())) if box.__class__ is _Node else len(box)
-
-
 def _walk(box: dict, before: int, left: int, keys: list[int], counts: list[int]) -> None:
     if box.__class__ is _Node:
         for word, below in box.items():
@@ -270,28 +274,22 @@ def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], room: int = RO
         waiting: dict[str, list[bytes]] = {}
         n_waiting = 0
 
-        def spill(down_to: int) -> Iterator[pa.RecordBatch]:
-            sizes = sorted(((size, lang, a) for lang, trie in tries.items() for size, a in trie.subtrees()), reverse=True)
-            held, go = sum(size for size, _, _ in sizes), {}
-            for size, lang, a in sizes:
-                if held <= down_to:
-                    break
-                go.setdefault(lang, []).append(a)
-                held -= size
-            for lang, firsts in go.items():
-                for row in _cut(lang, tries[lang].take(firsts), fences.get(lang, [])):
-                    yield pa.RecordBatch.from_pylist([row], schema=_RUN)
+        def spill(share: float) -> Iterator[pa.RecordBatch]:
+            for lang, trie in tries.items():
+                if trie.held:
+                    for row in _cut(lang, trie.take(trie.largest(math.ceil(trie.held * share))), fences.get(lang, [])):
+                        yield pa.RecordBatch.from_pylist([row], schema=_RUN)
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, words in waiting.items():
                 for start in range(0, len(words), STEP):
                     if sum(len(t.ids) for t in tries.values()) > VOCABULARY:
-                        yield from spill(0)
+                        yield from spill(1)
                         tries.clear()
                     trie = tries.get(lang) or tries.setdefault(lang, HatTrie())
                     trie.add(words[start:start + STEP + 3])
                     if sum(t.held for t in tries.values()) > room:
-                        yield from spill(room // 2)
+                        yield from spill(0.5)
             waiting.clear()
 
         for batch in batches:
@@ -303,7 +301,7 @@ def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], room: int = RO
                     yield from counted()
                     n_waiting = 0
         yield from counted()
-        yield from spill(0)
+        yield from spill(1)
 
     return texts.mapInArrow(count, _RUN_DDL)
 

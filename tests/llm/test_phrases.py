@@ -70,7 +70,9 @@ def test_trie_bursts_and_gives_back_every_window():
     assert any(inner.__class__ is collocations._Node for box in nodes for inner in box.values())
     want = Counter(b"".join(w + b" " for w in words[i:i + 4] if w) for i in range(len(words) - 3))
     assert trie.held == len(want)
-    half = trie.take([a for _, a in trie.subtrees()[:3]])
+    assert sum(trie.sizes.values()) == trie.held and len(trie.largest(trie.held)) == len(trie.top)
+    half = trie.take(trie.largest(trie.held // 2))
+    assert trie.held <= len(want) // 2
     rest = trie.take(list(trie.top))
     for run in (half, rest, collocations.joined([half, rest, half.part(2, 9)])):
         phrases = [run.phrase(k) for k in range(len(run.counts))]
