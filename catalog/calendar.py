@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from meteorium.functions import calendar as cal
 from meteorium.operators import series, windows
+from meteorium.session import materialize
 from meteorium.streaming import refresh
 
 from .inputs import OBS, day_text, observations, slot_sql, table
@@ -93,9 +95,12 @@ def future_cut(spark, d):
 
 
 def range_trim(spark, d):
-    o = observations(spark, d)
-    return refresh.trim_range(o, "day", F.to_date(F.lit("1997-02-27")), F.to_date(F.lit("1997-03-15"))).groupBy(
-        "entity", day_text("day").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    """Rows inside a range; the rows kept and dropped are counted while the rows are written, in one reading."""
+    counts = Observation()
+    inside = materialize(refresh.trim_range(observations(spark, d), "day", F.to_date(F.lit("1997-02-27")), F.to_date(F.lit("1997-03-15")), counts))
+    seen = counts.get
+    return inside.groupBy("entity", day_text("day").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).withColumns(
+        {"kept": F.lit(seen["kept"]).cast("bigint"), "dropped": F.lit(seen["dropped"]).cast("bigint")})
 
 
 def month_day_window(spark, d):
@@ -141,7 +146,9 @@ QUERIES = {
       THEN 'era5t' ELSE 'era5' END AS source, count(*) AS n FROM orders GROUP BY ALL"""),
     "future_cut": (future_cut, f"""WITH {OBS} SELECT entity, count(*) FILTER (WHERE day <= DATE '2000-06-15') AS kept,
       count(*) FILTER (WHERE day > DATE '2000-06-15') AS dropped FROM obs GROUP BY entity"""),
-    "range_trim": (range_trim, f"""WITH {OBS} SELECT entity, strftime(day, '%Y-%m-%d') AS date, count(*) AS n, sum(value) AS value FROM obs
+    "range_trim": (range_trim, f"""WITH {OBS}, c AS (SELECT count(*) FILTER (WHERE day BETWEEN DATE '1997-02-27' AND DATE '1997-03-15') AS kept,
+        count(*) FILTER (WHERE NOT day BETWEEN DATE '1997-02-27' AND DATE '1997-03-15') AS dropped FROM obs)
+      SELECT entity, strftime(day, '%Y-%m-%d') AS date, count(*) AS n, sum(value) AS value, any_value(kept) AS kept, any_value(dropped) AS dropped FROM obs CROSS JOIN c
       WHERE day BETWEEN DATE '1997-02-27' AND DATE '1997-03-15' GROUP BY entity, obs.day"""),
     "month_day_window": (month_day_window, f"""WITH {OBS} SELECT strftime(day, '%m-%d') AS month_day, year(day)::INTEGER AS year, count(*) AS n,
       avg(value) AS value FROM obs WHERE strftime(day, '%m-%d') IN ({NEAR}) GROUP BY ALL"""),

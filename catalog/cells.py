@@ -93,7 +93,17 @@ def model_map(spark, d):
                                       (F.year("day") * 12 + F.month("day")).alias("year"), (F.col("l_partkey") % 8).alias("x"),
                                       (F.col("l_suppkey") % 4).alias("y"), (F.col("value") + 273).alias("value"))
     c = o.groupBy("variable", "year", "x", "y").agg(F.avg("value").alias("value"))
-    return plans.model_map(c, 1850, geo.Box(-1, 3.2, 0.2, 6.9), 2, ["ensmean", "perc90"])
+    return plans.model_map(c, 1850, geo.Box(-1, 3.2, 0.2, 6.9), 2, ["ensmean", "perc90"], method="bilinear")
+
+
+def model_map_bicubic(spark, d):
+    """The published map: slices that are cubic along each axis, which the spline must give back; a closed circle of eight cells."""
+    level = observations(spark, d).groupBy(F.when(F.col("l_linenumber") % 2 == 0, "ensmean").otherwise("perc90").alias("variable"),
+                                           (F.year("day") * 12 + F.month("day")).alias("year")).agg(F.avg("value").alias("a"))
+    x, y = F.col("x"), F.col("y")
+    cells = level.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    cells = cells.select("variable", "year", "x", "y", (273.15 + F.col("a") * (1 + x * x * x / 64) + y * y * x / 16 - y * y * y / 32).alias("value"))
+    return plans.model_map(cells, 1850, geo.Box(-70, 70, -100, 100), 3, ["ensmean", "perc90"], around=8, step=45.0, south=-90.0)
 
 
 def historical_country(spark, d):
@@ -149,6 +159,15 @@ QUERIES = {
       SELECT (1850 + i - 6)::INTEGER AS year_start, (1859 + i - 6)::INTEGER AS year_end, fy / 2 AS latitude, fx / 2 AS longitude,
       round(avg(v) FILTER (WHERE variable = 'ensmean'), 2) AS ensmean, round(avg(v) FILTER (WHERE variable = 'perc90'), 2) AS perc90
       FROM f WHERE fx / 2 > 0.2 AND fx / 2 < 6.9 AND fy / 2 > -1 AND fy / 2 < 3.2 GROUP BY ALL"""),
+    "model_map_bicubic": (model_map_bicubic, f"""WITH {OBS}, o AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'ensmean' ELSE 'perc90' END AS variable, year(day) * 12 + month(day) AS step, avg(value) AS a
+        FROM obs GROUP BY ALL),
+      r AS (SELECT variable, avg(a) OVER (PARTITION BY variable ORDER BY step ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS m, row_number() OVER (PARTITION BY variable ORDER BY step) - 1 AS i FROM o),
+      f AS (SELECT variable, i, m, unnest(range(0, 22)) / 3 AS x FROM r WHERE i >= 6 AND (i - 6) % 10 = 0),
+      g AS (SELECT *, unnest(range(0, 13)) / 3 AS y FROM f),
+      v AS (SELECT variable, i, CASE WHEN x * 45 > 180 THEN x * 45 - 360 ELSE x * 45 END AS longitude, y * 45 - 90 AS latitude, m * (1 + x * x * x / 64) + y * y * x / 16 - y * y * y / 32 AS v FROM g)
+      SELECT (1850 + i - 6)::INTEGER AS year_start, (1859 + i - 6)::INTEGER AS year_end, latitude, longitude,
+      round(avg(v) FILTER (WHERE variable = 'ensmean'), 2) AS ensmean, round(avg(v) FILTER (WHERE variable = 'perc90'), 2) AS perc90
+      FROM v WHERE longitude > -100 AND longitude < 100 AND latitude > -70 AND latitude < 70 GROUP BY ALL"""),
     "historical_country": (historical_country, COUNTRY + """ SELECT 'running ' || year AS row, avg(running) AS temperature_average FROM rc WHERE n = 3 GROUP BY year
       UNION ALL SELECT 'special 1998', avg(a) FROM country WHERE year BETWEEN 1995 AND 1998 UNION ALL SELECT 'special 2001', avg(a) FROM country
       UNION ALL SELECT 'year ' || year, a FROM country"""),

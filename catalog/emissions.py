@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from meteorium.plans import emissions
@@ -33,8 +31,9 @@ def _detail(name):
 
 def _wide_sql(columns, sums=None):
     parts = [f'sum(v) FILTER (WHERE code = {c}) AS "{n}"' for n, c in columns.items()]
-    parts += [f'sum(v) FILTER (WHERE code IN ({", ".join(map(str, cs))})) AS "{n}"' for n, cs in (sums or {}).items()]
-    return f"{CELLS} SELECT year, {', '.join(parts)} FROM c GROUP BY year"
+    parts += [" + ".join(f"sum(v) FILTER (WHERE code = {c})" for c in cs) + f' AS "{n}"' for n, cs in (sums or {}).items()]
+    wanted = sorted({*columns.values(), *(c for cs in (sums or {}).values() for c in cs)})
+    return f"{CELLS} SELECT year, {', '.join(parts)} FROM c WHERE code IN ({', '.join(map(str, wanted))}) GROUP BY year"
 
 
 def transport_breakdown(spark, d):
@@ -66,8 +65,7 @@ def _sheet(spark, d):
 
 def projections(spark, d):
     """Six interpolated scenarios in one long table."""
-    made = emissions.projections(_sheet(spark, d))
-    return reduce(lambda a, b: a.unionByName(b), [t.select(F.lit(n).alias("scenario"), "*") for n, t in made.items()])
+    return emissions.projections(_sheet(spark, d))
 
 
 def _projection_sql():
@@ -78,7 +76,7 @@ def _projection_sql():
       g AS (SELECT *, lead(x) OVER w AS x1, lead(v) OVER w AS v1 FROM k WINDOW w AS (PARTITION BY scenario, row ORDER BY x)),
       e AS (SELECT scenario, row, x, v AS v0, x1, v1, unnest(range(x, coalesce(x1, x + 1))) AS t FROM g),
       y AS (SELECT scenario, row, t::INTEGER AS year, CASE WHEN t = x THEN v0 ELSE v0 + (t - x) / (x1 - x) * (v1 - v0) END AS v FROM e)
-      SELECT scenario, year, {cols}, sum(v) FILTER (WHERE row IN (6, 7)) AS others FROM y WHERE row IN (19, 2, 3, 4, 8, 5, 9, 18, 10, 6, 7) GROUP BY scenario, year"""
+      SELECT scenario, year, {cols}, sum(v) FILTER (WHERE row = 6) + sum(v) FILTER (WHERE row = 7) AS others FROM y WHERE row IN (19, 2, 3, 4, 8, 5, 9, 18, 10, 6, 7) GROUP BY scenario, year"""
 
 
 def reduction_paths(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meteorium.functions import geo
 from meteorium.operators import quality, series
+from meteorium.operators import zones as zone_ops
 from meteorium.plans import climatology
 from meteorium.streaming import refresh
 
@@ -87,6 +88,16 @@ def zone_membership(spark, d):
     return o.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
+def zone_table(spark, d):
+    """Points inside the boxes of a zone table: boxes of the suppliers, of very different shapes, some of them empty or one line."""
+    wide, high = F.pow(F.lit(3.0), F.col("s_suppkey") % 7), F.col("s_nationkey") % 6 * F.when(F.col("s_suppkey") % 11 == 0, -1).otherwise(1)
+    zones = table(spark, d, "supplier").select(
+        "s_suppkey", (F.col("s_suppkey") * 37 % 2000 - wide).alias("west"), (F.col("s_suppkey") * 37 % 2000 + wide).alias("east"),
+        (F.col("s_suppkey") - high).alias("south"), (F.col("s_suppkey") + high).alias("north"))
+    o = observations(spark, d).select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), "value")
+    return zone_ops.zone_join(o, zones, "x", "y").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+
+
 def snapped_levels(spark, d):
     """Levels snapped to the published steps and looked up."""
     lev = table(spark, d, "orders").groupBy((F.col("o_custkey") % 25 * 10 + 10).cast("int").alias("level_cm")).agg(F.count(F.lit(1)).alias("ha"))
@@ -98,7 +109,7 @@ def piecewise_lookup(spark, d):
     """Piecewise-linear value with constant ends from yearly knots per entity."""
     knots = observations(spark, d).filter("year(day) % 2 = 0").groupBy("entity", F.year("day").alias("year")).agg(F.avg("value").alias("y"))
     req = observations(spark, d).groupBy("entity", (F.year("day") + (F.month("day") - 1) / 16).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    return series.lookup_piecewise(req, knots, ["entity"], "year", "y", "at", "value")
+    return series.lookup_piecewise(req, knots, ["entity"], "year", "at", {"value": "y"})
 
 
 def yearly_interpolation(spark, d):
@@ -164,6 +175,8 @@ QUERIES = {
       SELECT row, col, points, elevation FROM p JOIN c USING (row, col)"""),
     "zone_membership": (zone_membership, f"""WITH {OBS}, z(zone, s, n, w, e) AS (VALUES ('old port', 10, 39.5, 100, 636), ('bay', 38, 52, 500, 1752))
       SELECT zone, count(*) AS n, sum(value) AS value FROM obs JOIN z ON l_suppkey BETWEEN z.s AND z.n AND l_partkey BETWEEN z.w AND z.e GROUP BY zone"""),
+    "zone_table": (zone_table, f"""WITH {OBS}, z AS (SELECT s_suppkey, s_suppkey * 37 % 2000 AS c, 3 ** (s_suppkey % 7) AS w, s_nationkey % 6 * CASE WHEN s_suppkey % 11 = 0 THEN -1 ELSE 1 END AS h FROM supplier)
+      SELECT s_suppkey, count(*) AS n, sum(value) AS value FROM obs JOIN z ON l_partkey BETWEEN c - w AND c + w AND l_suppkey BETWEEN s_suppkey - h AND s_suppkey + h GROUP BY s_suppkey"""),
     "snapped_levels": (snapped_levels, f"""WITH {OBS}, lev AS (SELECT (o_custkey % 25 * 10 + 10)::INTEGER AS level_cm, count(*) AS ha FROM orders GROUP BY ALL),
       r AS (SELECT least(greatest((floor(value * 4 / 10 + 0.5) * 10)::INTEGER, 10), 250) AS level_cm FROM obs)
       SELECT level_cm, ha, count(*) AS requests FROM r JOIN lev USING (level_cm) GROUP BY ALL"""),

@@ -64,9 +64,9 @@ def mask_below(df: DataFrame, value: str, bound: float = -1000.0) -> DataFrame:
     return df.filter(F.col(value) >= bound)
 
 
-def close_longitude(df: DataFrame, lon: str) -> DataFrame:
-    """Repeat the cells at 0 degrees at 360 degrees."""
-    return df.withColumn(lon, F.explode(F.when(F.col(lon) == 0, F.array(F.lit(0.0), F.lit(360.0)))
+def close_longitude(df: DataFrame, lon: str, full: float = 360.0) -> DataFrame:
+    """Repeat the cells at 0 degrees at 360 degrees (at ``full`` in other units)."""
+    return df.withColumn(lon, F.explode(F.when(F.col(lon) == 0, F.array(F.lit(0.0), F.lit(full)))
                                         .otherwise(F.array(F.col(lon).cast("double")))))
 
 
@@ -86,20 +86,34 @@ def regrid_bilinear(df: DataFrame, group: list[str], x: str, y: str, value: str,
             .filter(F.abs(F.col("_weight") - 1) < 1e-9).drop("_weight"))
 
 
-def not_a_knot_spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Interpolating cubic spline (not-a-knot ends) through columns of ``y`` at 0, 1, 2, ... evaluated at ``at``."""
+def second_derivatives(y: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of not-a-knot splines through the columns of ``y`` (four rows or more).
+
+    On an even grid the end conditions make the second and the last but one derivative known at once; those between
+    solve a system of ones beside fours, whose elimination factors depend on the number of knots only.
+    """
     n = len(y)
+    bend = np.zeros_like(y)
+    bend[1:-1] = 6 * (y[2:] - 2 * y[1:-1] + y[:-2])
+    m = np.zeros_like(y)
+    m[1], m[-2] = bend[1] / 6, bend[-2] / 6
+    factors = np.zeros(n)
+    for k in range(2, n - 2):
+        factors[k] = 1 / (4 - (factors[k - 1] if k > 2 else 0))
+        m[k] = (bend[k] - m[k - 1]) * factors[k]
+    for k in range(n - 3, 1, -1):
+        m[k] -= factors[k] * m[k + 1]
+    m[0], m[-1] = 2 * m[1] - m[2], 2 * m[-2] - m[-3]
+    return m
+
+
+def not_a_knot_spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Interpolating cubic splines (not-a-knot ends) through the columns of ``y`` at 0, 1, 2, ... evaluated at ``at``."""
+    n, y = len(y), np.asarray(y, dtype=float)
     if n < 4:
         coef = np.polynomial.polynomial.polyfit(np.arange(n), y, n - 1)
         return np.polynomial.polynomial.polyval(at, coef).T if y.ndim > 1 else np.polynomial.polynomial.polyval(at, coef)
-    m = np.zeros((n, n))
-    rhs = np.zeros_like(y, dtype=float)
-    for k in range(1, n - 1):
-        m[k, k - 1:k + 2] = [1, 4, 1]
-        rhs[k] = 6 * (y[k + 1] - 2 * y[k] + y[k - 1])
-    m[0, :3] = [1, -2, 1]
-    m[-1, -3:] = [1, -2, 1]
-    second = np.linalg.solve(m, rhs)
+    second = second_derivatives(y)
     i = np.clip(np.floor(at).astype(int), 0, n - 2)
     t = (at - i).reshape(-1, *([1] * (y.ndim - 1)))
     return (y[i] * (1 - t) + y[i + 1] * t
@@ -113,8 +127,14 @@ def _spline_axis(df: DataFrame, keep: list[str], along: str, value: str, factor:
     @F.pandas_udf("array<double>")
     def refine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
-            yield pd.Series([not_a_knot_spline(np.asarray(v, float), np.arange((len(v) - 1) * factor + 1) / factor)
-                             for v in values])
+            fine: list = [None] * len(values)
+            sizes = np.array([len(v) for v in values])
+            for n in np.unique(sizes):  # lines of a length are solved side by side
+                rows = np.flatnonzero(sizes == n)
+                made = not_a_knot_spline(np.stack([values.iloc[r] for r in rows], axis=1), np.arange((n - 1) * factor + 1) / factor)
+                for r, column in zip(rows, made.T):
+                    fine[r] = column
+            yield pd.Series(fine)
 
     whole = F.element_at("_l", -1)[along] - F.element_at("_l", 1)[along] == F.size("_l") - 1
     whole = whole & ~F.exists("_l", lambda c: c[value].isNull())

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..session import materialize
 
 
 def daily_rollup(df: DataFrame, entity: list[str], date: str, measures: dict[str, Column]) -> DataFrame:
@@ -65,18 +66,40 @@ def interpolate_yearly(knots: DataFrame, group: list[str], x: str, values: list[
     return grid.select(*group, F.col("_x").alias(x), *out)
 
 
-def lookup_piecewise(requests: DataFrame, knots: DataFrame, group: list[str], x: str, y: str,
-                     at: str, name: str) -> DataFrame:
-    """Piecewise-linear value at ``at`` with constant ends, by an equi join on the group's knot array."""
-    series = knots.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"),
-                                                                            F.col(y).cast("double").alias("y")))).alias("_k"))
-    v = F.col(at).cast("double")
-    first, last = F.element_at("_k", 1), F.element_at("_k", -1)
-    before = F.element_at(F.filter("_k", lambda p: p["x"] <= v), -1)
-    after = F.element_at(F.filter("_k", lambda p: p["x"] > v), 1)
-    value = (F.when(v <= first["x"], first["y"]).when(v >= last["x"], last["y"])
-             .otherwise(before["y"] + (v - before["x"]) / (after["x"] - before["x"]) * (after["y"] - before["y"])))
-    return requests.join(series, group, "left").withColumn(name, value).drop("_k")
+def lookup_piecewise(requests: DataFrame, knots: DataFrame, group: list[str], x: str, at: str, values: dict[str, str]) -> DataFrame:
+    """Piecewise-linear values at ``at`` with constant ends; ``values`` maps an output name to a knot column.
+
+    Requests are placed among the knots: both are sorted together by group and place, cut into ranges whatever the group, and each
+    different place takes the last knot at or before it and the first one after it, inside its range or from the nearest range that
+    has one.  So neither a group of very many knots nor one of very many requests comes together, and one pass serves all values.
+    A request without a place, or whose group has no knots, gets nulls; of several knots at one place the last by value counts.
+    """
+    ys = list(dict.fromkeys(values.values()))
+    pos = F.col(at).cast("double")
+    knot = F.struct(F.col(x).cast("double").alias("x"), *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(ys)])
+    known = knots.filter(F.col(x).isNotNull()).select(*group, F.col(x).cast("double").alias("_pos"), knot.alias("_knot"))
+    asked = requests.filter(pos.isNotNull()).select(*group, pos.alias("_pos")).distinct()
+    rows = known.unionByName(asked, allowMissingColumns=True).withColumn("_asked", F.col("_knot").isNull())
+    order = [*group, "_pos", "_asked", "_knot"]
+    placed = materialize(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = [F.col(c).desc() for c in ("_pos", "_asked", "_knot")]
+    near = placed.withColumns({"_before": F.last("_knot", ignorenulls=True).over(inside.orderBy("_pos", "_asked", "_knot")),
+                               "_after": F.last(F.when(~F.col("_asked"), F.col("_knot")), ignorenulls=True).over(inside.orderBy(*falling))}).filter("_asked")
+    # the last knot of earlier ranges and the first one of later ranges, by range and group: a table of few rows
+    ends = placed.groupBy("_range", *group).agg(F.min("_knot").alias("_first"), F.max("_knot").alias("_last"))
+    over = Window.partitionBy(*group)
+    ends = ends.withColumns({"_earlier": F.last("_last", ignorenulls=True).over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+                             "_later": F.last("_first", ignorenulls=True).over(over.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1))})
+    found = near.join(ends.select("_range", *group, "_earlier", "_later"), ["_range", *group])
+    a, b = F.coalesce("_before", "_earlier"), F.coalesce("_after", "_later")
+    share = (F.col("_pos") - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
+
+    def value(y: str) -> Column:
+        return F.when(F.col("_a").isNull(), F.col(f"_b.{y}")).when(F.col("_b").isNull() | (F.col("_a.x") == F.col("_pos")), F.col(f"_a.{y}")).otherwise(
+            F.col(f"_a.{y}") + share * (F.col(f"_b.{y}") - F.col(f"_a.{y}")))
+    answers = found.select(*group, "_pos", a.alias("_a"), b.alias("_b")).select(*group, "_pos", *[value(f"y{ys.index(c)}").alias(n) for n, c in values.items()])
+    return requests.withColumn("_pos", pos).join(answers, [*group, "_pos"], "left").select(*requests.columns, *values)
 
 
 def date_gaps(df: DataFrame, entity: list[str], date: str) -> DataFrame:

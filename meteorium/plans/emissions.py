@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import series
-from ..sources import readers
+from ..session import materialize
 
 # Global warming potentials and the row numbers of the published categories.
 GWP = {"co2": 1.0, "ch4": 25.0, "n2o": 298.0}
@@ -66,20 +67,26 @@ def wide_table(cells: DataFrame, key: list[str], code: str, value: str, columns:
     """Select coded rows as named columns, one output row per key.
 
     One conditional sum per column in a single aggregation: a pivot whose column list is fixed, with map-side partial sums
-    and without a first pass to find the codes.
+    and without a first pass to find the codes.  A column of ``sums`` is null where one of its codes has no number.
     """
     wanted = sorted({*columns.values(), *(c for cs in (sums or {}).values() for c in cs)})
-    pick = lambda codes: F.sum(F.when(F.col(code).isin(codes), F.col(value)))
+    pick = lambda c: F.sum(F.when(F.col(code) == c, F.col(value)))
     return cells.filter(F.col(code).isin(wanted)).groupBy(*key).agg(
-        *[pick([c]).alias(n) for n, c in columns.items()],
-        *[pick(cs).alias(n) for n, cs in (sums or {}).items()])
+        *[pick(c).alias(n) for n, c in columns.items()],
+        *[reduce(add, map(pick, cs)).alias(n) for n, cs in (sums or {}).items()])
 
 
 def historical(cells: DataFrame, year: str = "year", code: str = "code", raw: str = "raw") -> dict[str, DataFrame]:
-    """All seven historical tables; notation keys become null."""
-    numbers = cells.withColumn("_v", F.col(raw).try_cast("double"))
-    out = {"historical": wide_table(numbers, [year], code, "_v", HISTORICAL, {"others": HISTORICAL_OTHERS})}
-    return {**out, **{n: wide_table(numbers, [year], code, "_v", c) for n, c in HISTORICAL_TABLES.items()}}
+    """All seven historical tables from one aggregation; notation keys become null."""
+    tables = {"historical": HISTORICAL, **HISTORICAL_TABLES}
+    codes = {t: sorted({*c.values(), *(HISTORICAL_OTHERS if t == "historical" else [])}) for t, c in tables.items()}
+    numbers = cells.withColumn("_v", F.col(raw).try_cast("double")).filter(F.col(code).isin(sorted({c for cs in codes.values() for c in cs})))
+    sums = {c: F.sum(F.when(F.col(code) == c, F.col("_v"))).alias(f"c{c}") for cs in codes.values() for c in cs}
+    there = [F.max(F.col(code).isin(cs)).alias(f"in_{t}") for t, cs in codes.items()]
+    wide = materialize(numbers.groupBy(year).agg(*sums.values(), *there))
+    out = {t: wide.filter(f"in_{t}").select(year, *[F.col(f"c{c}").alias(n) for n, c in columns.items()]) for t, columns in tables.items()}
+    others = reduce(add, (F.col(f"c{c}") for c in HISTORICAL_OTHERS)).alias("others")
+    return out | {"historical": wide.filter("in_historical").select(year, *[F.col(f"c{c}").alias(n) for n, c in HISTORICAL.items()], others)}
 
 
 def transport(cells: DataFrame, bunkers: DataFrame, vehicles: DataFrame, year: str = "year") -> DataFrame:
@@ -95,14 +102,14 @@ def transport(cells: DataFrame, bunkers: DataFrame, vehicles: DataFrame, year: s
     return main.join(sea_air, year, "left").join(v, year, "left")
 
 
-def projections(sheet: DataFrame, first_year: int = 2020, step: int = 5, rows: tuple[int, int] = (23, 44)) -> dict[str, DataFrame]:
-    """The projection scenarios interpolated to every year.  ``sheet``: long cells (row, col, raw)."""
-    out = {}
-    for name, (c0, c1) in PROJECTION_BLOCKS.items():
-        cells = readers.block(sheet, *rows, c0, c1).withColumn("year", F.lit(first_year) + F.col("col") * step)
-        yearly = series.interpolate_yearly(cells.select("row", "year", "value"), ["row"], "year", ["value"])
-        out[name] = wide_table(yearly, ["year"], "row", "value", PROJECTION, {"others": PROJECTION_OTHERS})
-    return out
+def projections(sheet: DataFrame, first_year: int = 2020, step: int = 5, rows: tuple[int, int] = (23, 44)) -> DataFrame:
+    """All projection scenarios interpolated to every year, in one pass.  ``sheet``: long cells (row, col, raw)."""
+    blocks = [F.when(F.col("col").between(c0, c1 - 1), F.struct(F.lit(name).alias("scenario"), F.lit(c0).alias("first"))) for name, (c0, c1) in PROJECTION_BLOCKS.items()]
+    cells = sheet.withColumn("_b", F.coalesce(*blocks)).filter(F.col("_b").isNotNull() & F.col("row").between(rows[0], rows[1] - 1))
+    placed = cells.select("_b.scenario", (F.col("row") - rows[0]).alias("row"), (F.lit(first_year) + (F.col("col") - F.col("_b.first")) * step).alias("year"),
+                          F.col("raw").try_cast("double").alias("value"))
+    yearly = series.interpolate_yearly(placed, ["scenario", "row"], "year", ["value"])
+    return wide_table(yearly, ["scenario", "year"], "row", "value", PROJECTION, {"others": PROJECTION_OTHERS})
 
 
 def paris(sheet: DataFrame, first_year: int = 2020, n_years: int = 11) -> DataFrame:
@@ -117,10 +124,8 @@ def sea_level(requests: DataFrame, projections_table: DataFrame, surcharge: Data
 
     ``projections_table``: (scenario, year, median, low, high); ``surcharge``: (probability, cm).
     """
-    out = requests
-    for c in ("median", "low", "high"):
-        out = series.lookup_piecewise(out, projections_table, ["scenario"], "year", c, "at_year", f"rise_{c}")
-    return out.join(surcharge, "probability", "left").withColumn("total", F.col("rise_median") + F.col("cm"))
+    found = series.lookup_piecewise(requests, projections_table, ["scenario"], "year", "at_year", {f"rise_{c}": c for c in ("median", "low", "high")})
+    return found.join(surcharge, "probability", "left").withColumn("total", F.col("rise_median") + F.col("cm"))
 
 
 def legacy_level(requests: DataFrame, table: DataFrame, offset: float) -> DataFrame:

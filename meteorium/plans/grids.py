@@ -37,10 +37,12 @@ def historical_grids(cells: DataFrame, period: tuple[int, int] = (1961, 1990), s
 
 
 def model_map(cells: DataFrame, first_year: int, box: geo.Box, factor: int, variables: list[str],
-              method: str = "bilinear") -> DataFrame:
+              method: str = "bicubic", around: int | None = None, step: float = 1.0, south: float = 0.0) -> DataFrame:
     """Decade means of model grids on a finer grid, one column per variable.
 
-    ``cells``: (variable, year, x, y, value) in kelvin on a regular grid whose index times the step is degrees.
+    ``cells``: (variable, year, x, y, value) in kelvin on a grid of ``step`` degrees; x counts from 0 degrees east, y from ``south``.
+    The published map refines each slice by the interpolating bicubic spline.  ``around`` is the number of cells of a full circle:
+    the refined column at 0 degrees is then repeated at 360 degrees, and the two fall together where longitudes are wrapped.
     """
     celsius = cells.withColumn("value", F.col("value") - 273.15)
     running = grids.centred_mean(celsius, ["variable", "x", "y"], "year", "value", "mean")
@@ -48,7 +50,9 @@ def model_map(cells: DataFrame, first_year: int, box: geo.Box, factor: int, vari
     slim = decades.select("variable", "year_start", "year_end", "x", "y", F.col("mean").alias("value"))
     regrid = grids.regrid_bilinear if method == "bilinear" else grids.regrid_bicubic
     fine = regrid(slim, ["variable", "year_start", "year_end"], "x", "y", "value", factor)
-    placed = fine.withColumns({"longitude": geo.wrap_longitude(F.col("fx") / factor), "latitude": F.col("fy") / factor})
+    if around is not None:
+        fine = grids.close_longitude(fine, "fx", float(around * factor))
+    placed = fine.withColumns({"longitude": geo.wrap_longitude(F.col("fx") * step / factor), "latitude": F.col("fy") * step / factor + south})
     inside = placed.filter(geo.inside("latitude", "longitude", box))
     return inside.groupBy("year_start", "year_end", "latitude", "longitude").agg(
         *[F.round(F.avg(F.when(F.col("variable") == v, F.col("value"))), 2).alias(v) for v in variables])

@@ -67,6 +67,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark reads it with."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(df: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
     """Hash rows over at least as many tasks as the cluster has cores.
 

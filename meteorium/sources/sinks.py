@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import quality
-from ..session import materialize
+from ..session import materialize, remove
 
 # The key columns each derived table is read by.
 READ_KEYS = {
@@ -35,20 +37,55 @@ def stage(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: materialize(df) for name, df in tables.items()}
 
 
-def publish(tables: dict[str, DataFrame], violations: Callable[[dict[str, DataFrame]], DataFrame], root: str) -> None:
-    """Replace all derived tables, only after every rule passed on the very rows that are written.
+_POINTER = "number bigint, folder string, tables array<string>"
 
-    Tables are staged first; ``violations`` gets the staged ones.  A failed rule leaves every old table in place.
+
+def publish(tables: dict[str, DataFrame], violations: Callable[[dict[str, DataFrame]], DataFrame], root: str) -> int:
+    """Replace all derived tables at once, only after every rule passed on the very rows that are written; the new version's number.
+
+    Tables are staged first; ``violations`` gets the staged ones.  Each version has a folder of its own, and a row that names the folder is
+    added to the pointer table after the last table is written.  Readers follow the newest row, so they see all old or all new tables:
+    a failed rule, or a write that fails half way, leaves the old version as it is.  Old versions stay until ``retire``.
     """
     staged = stage(tables)
     quality.gate(materialize(violations(staged)))
+    spark, root = next(iter(staged.values())).sparkSession, root.rstrip("/")
+    newest = versions(spark, root).agg(F.max("number")).first()[0]
+    number = 1 if newest is None else newest + 1
+    folder = f"versions/{number:08d}-{uuid.uuid4().hex[:8]}"
     for name, df in staged.items():
         keys = READ_KEYS.get(name, [])
-        target = f"{root.rstrip('/')}/{name}"
-        if keys:
-            df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(target)
-        else:
-            df.write.mode("overwrite").parquet(target)
+        laid = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys) if keys else df
+        laid.write.parquet(f"{root}/{folder}/{name}")
+    spark.createDataFrame([(number, folder, sorted(staged))], _POINTER).coalesce(1).write.mode("append").parquet(f"{root}/published")
+    return number
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """number, folder and tables of every version that was published whole."""
+    try:
+        return spark.read.schema(_POINTER).parquet(f"{root.rstrip('/')}/published")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _POINTER)
+
+
+def published(spark: SparkSession, root: str, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest version, or of a given one; two writers that took the same number are told apart by folder."""
+    rows = versions(spark, root)
+    row = (rows if number is None else rows.filter(F.col("number") == number)).orderBy(F.desc("number"), "folder").first()
+    if row is None:
+        raise LookupError(f"nothing is published at {root}" if number is None else f"no version {number} at {root}")
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{row['folder']}/{name}") for name in row["tables"]}
+
+
+def retire(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove the tables of all but the newest versions; their folders.  Their pointer rows stay, as a history."""
+    old = [r["folder"] for r in versions(spark, root).orderBy(F.desc("number"), "folder").collect()[keep:]]
+    for folder in old:
+        remove(spark, f"{root.rstrip('/')}/{folder}")
+    return old
 
 
 def fixed_decimals(df: DataFrame, digits: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -22,8 +22,15 @@ def fetch_plan(existing: DataFrame, entities: DataFrame, entity: str, date: str,
         "action", F.when(F.col("last_day").isNull(), "full").when(F.col("fetch_from") <= F.col("fetch_to"), "refresh").otherwise("skip"))
 
 
-def trim_range(rows: DataFrame, date: str, start: Column, end: Column) -> DataFrame:
-    return rows.filter((F.col(date) >= start) & (F.col(date) <= end))
+def trim_range(rows: DataFrame, date: str, start: Column, end: Column, counts: Observation | None = None) -> DataFrame:
+    """Rows inside a date range, ends included; rows without a date go.
+
+    ``counts`` gets ``kept`` and ``dropped`` while the rows pass, without a second reading: ask it after the rows are written.
+    """
+    inside = F.coalesce((F.col(date) >= start) & (F.col(date) <= end), F.lit(False))
+    if counts is not None:
+        rows = rows.observe(counts, F.count_if(inside).alias("kept"), F.count_if(~inside).alias("dropped"))
+    return rows.filter(inside)
 
 
 def upsert(existing: DataFrame, arriving: DataFrame, key: list[str]) -> DataFrame:

@@ -308,7 +308,7 @@ def test_interpolation(spark):
     got = {r.y: r.v for r in series.interpolate_yearly(df, ["g"], "y", ["v"]).collect()}
     assert len(got) == 11 and got[2022] == 14 and got[2027] == 12 and got[2030] == 0
     req = spark.createDataFrame([("a", 2010.0), ("a", 2022.5), ("a", 2040.0), ("a", 2025.0)], "g string, at double")
-    assert {r.at: r.o for r in series.lookup_piecewise(req, df, ["g"], "y", "v", "at", "o").collect()} == {2010.0: 10, 2022.5: 15, 2040.0: 0, 2025.0: 20}
+    assert {r.at: r.o for r in series.lookup_piecewise(req, df, ["g"], "y", "at", {"o": "v"}).collect()} == {2010.0: 10, 2022.5: 15, 2040.0: 0, 2025.0: 20}
 
 
 def test_gaps_and_order(spark):
