@@ -70,14 +70,18 @@ def station_drought(spark, d):
     return plan.drought_series(network.days(spark, d), network.stations(spark, d), SETTINGS)
 
 
+def _ten(spark, d):
+    return plan.all_tables(network.data(spark, d), network.stations(spark, d), SETTINGS, 2001)
+
+
 def published_tables(spark, d):
-    """Derived tables written after a clean report and counted from the written files."""
-    data, st = network.data(spark, d), network.stations(spark, d)
-    per_day = network.days(spark, d)
-    made = {"daily": plan.daily(data, st), "daily_percentiles": plan.daily_percentiles(per_day, st, SETTINGS), "season_heatmap": plan.season_heatmap(per_day, st, SETTINGS)}
+    """All ten tables published twice after a clean report; the readers' version, counted from its files."""
     root = session.scratch_path(spark, "published")
-    sinks.publish(made, lambda staged: quality.unique_key(staged["season_heatmap"], "season_heatmap", ["era5_name", "x", "y"]), root)
-    return sinks.inventory({n: spark.read.parquet(f"{root}/{n}") for n in made})
+    made = sinks.stage(_ten(spark, d))
+    unique = lambda staged: quality.all_of([quality.unique_key(staged[t], t, validation.KEYS[t]) for t in validation.UNIQUE])
+    sinks.publish({n: df.limit(0) for n, df in made.items()}, unique, root)
+    number = sinks.publish(made, unique, root)
+    return sinks.inventory(sinks.published(spark, root)).withColumn("version", F.lit(number).cast("bigint"))
 
 
 def raw_report(spark, d):
@@ -90,12 +94,11 @@ def raw_report(spark, d):
 
 
 def table_report(spark, d):
-    """All rules of three derived tables, counted."""
-    data, st = network.data(spark, d), network.stations(spark, d)
-    tables = {"stations": st, "daily": plan.daily(data, st), "season_heatmap": plan.season_heatmap(network.days(spark, d), st, SETTINGS)}
+    """All rules of all ten derived tables, counted."""
+    st = network.stations(spark, d)
     names = [f"NATION_{i}" for i in range(25)]
     config = st.select("era5_name", "lat", "lon", "elevation", "elevation_era5_m")
-    return quality.summary(validation.table_violations(tables, config, names, (1995, 2001)))
+    return quality.summary(validation.table_violations(sinks.stage(_ten(spark, d)), config, names, (1995, 2001)))
 
 
 def r(x, n):
@@ -142,11 +145,31 @@ GAPS = "SELECT 'missing_days', 'date' FROM {0} GROUP BY location HAVING count(DI
 RAW_REPORT = f"""WITH {NETWORK}, v AS ({_outside("net", [("temperature_max", "mx", -50, 45), ("temperature_min", "mn", -50, 45), ("temperature_mean", "me", -50, 45),
       ("precipitation_sum", "p", 0, 500), ("et0_evapotranspiration", "e", 0, 25)])} UNION ALL {GAPS.format("net")})
       SELECT 'raw' AS "table", rule, c AS "column", count(*) AS violations FROM v GROUP BY ALL"""
-TABLE_REPORT = f"""WITH {NETWORK}, dly AS (SELECT {r('tmax', 3)} AS a, {r('tmin', 3)} AS b, {r('tmean', 3)} AS c FROM stn),
+# Per half-width: the series behind the trend rows, one per station, variable and slot.
+SPANS = """, sp AS (SELECT half, location, target, count(DISTINCT wy) AS n, min(wy) AS lo, max(wy) AS hi FROM (SELECT *, abs(((slot - target + 547) % 365) - 182) AS off FROM win)
+    JOIN (SELECT unnest([7, 3, 15, 45]) AS half) h ON off <= half WHERE wy >= 1995 GROUP BY ALL HAVING count(DISTINCT wy) >= 5),
+  span AS (SELECT CASE half WHEN 7 THEN 'annual_trend' ELSE 'annual_trend_windows' END AS t, sp.* FROM sp CROSS JOIN range(5))"""
+TABLE_REPORT = f"""WITH {_win(45)} {SPANS}, dly AS (SELECT {r('tmax', 3)} AS a, {r('tmin', 3)} AS b, {r('tmean', 3)} AS c FROM stn),
       v AS ({_outside("dly", [("temperature_max_2m", "a", -50, 45), ("temperature_min_2m", "b", -50, 45), ("temperature_average_2m", "c", -50, 45)])}
       UNION ALL {GAPS.format("stn")} UNION ALL SELECT 'entity_count', 'era5_name' FROM stn HAVING count(DISTINCT location) <> 25)
       SELECT 'daily' AS "table", rule, c AS "column", count(*) AS violations FROM v GROUP BY ALL
-      UNION ALL SELECT unnest(['daily_percentiles', 'daily_window', 'annual_trend', 'annual_trend_windows', 'tropical', 'spei', 'spei_station']), 'missing_table', NULL, 1"""
+      UNION ALL SELECT t, 'at_least', 'n_years', count(*) FROM span WHERE n < 10 GROUP BY t
+      UNION ALL SELECT t, 'year_span', 'n_years', count(*) FROM span WHERE n <> hi - lo + 1 GROUP BY t"""
+
+
+def _cut_report(name, sql, key, cuts):
+    outside = " UNION ALL ".join(f"""SELECT '{name}', 'in_range', '{c}', count(*) FROM ({sql}) WHERE {c} NOT BETWEEN -50 AND 45 HAVING count(*) > 0""" for c in cuts)
+    return f"""{outside} UNION ALL SELECT '{name}', 'group_size', '{key}', count(*) FROM (SELECT {key} FROM ({sql}) GROUP BY {key} HAVING count(*) <> 365) HAVING count(*) > 0"""
+
+
+# The index series of a station: months, seasons and the year that have enough years.
+SERIES_SQL = """mo AS (SELECT location, year(day) AS yr, month(day) AS m, count(*) AS n FROM stn GROUP BY ALL), fin AS (SELECT max(day) AS l FROM stn),
+  one AS (SELECT location, strftime(make_date(2001, m, 1), '%b') AS series, yr AS y, n, 20 AS least, last_day(make_date(yr, m, 1)) AS fin_day FROM mo
+    UNION ALL SELECT location, list_value('Winter','Spring','Summer','Autumn')[floor((m % 12) / 3)::INTEGER + 1], yr + CASE WHEN m = 12 THEN 1 ELSE 0 END, n, 30,
+      last_day(make_date(yr + CASE WHEN m = 12 THEN 1 ELSE 0 END, floor((m % 12) / 3)::INTEGER * 3 + 2, 1)) FROM mo),
+  yrs AS (SELECT location, series, y FROM one GROUP BY location, series, y, least, fin_day HAVING sum(n) >= least AND fin_day <= (SELECT l FROM fin)),
+  kept AS (SELECT location, series, count(*) AS n FROM yrs GROUP BY ALL HAVING count(*) >= 5),
+  ann AS (SELECT location, y FROM yrs JOIN kept USING (location, series) WHERE series IN ('Winter', 'Spring', 'Summer', 'Autumn') GROUP BY location, y HAVING count(*) >= 2)"""
 
 QUERIES = {
     "station_daily": (station_daily, f"""WITH {NETWORK} SELECT station_id, location AS era5_name, strftime(day, '%Y-%m-%d') AS date, year(day)::INTEGER AS year, month(day)::INTEGER AS month, day(day)::INTEGER AS day,
@@ -188,12 +211,19 @@ QUERIES = {
       SELECT x, y, balance, rank() OVER (PARTITION BY x ORDER BY balance)::INTEGER AS rank, count(*) OVER (PARTITION BY x) AS total, list_value('Winter','Spring','Summer','Autumn')[x + 1] AS season, n_days FROM c"""),
     "network_drought": (network_drought, None),
     "station_drought": (station_drought, None),
-    "published_tables": (published_tables, f"""WITH {_win(7)}, y AS (SELECT station_id, target, count(DISTINCT wy) AS n FROM win WHERE station_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT wy) >= 5),
+    "published_tables": (published_tables, f"""WITH {_win(45)} {SPANS}, y AS (SELECT station_id, target FROM win WHERE station_id IS NOT NULL AND abs(((slot - target + 547) % 365) - 182) <= 7 GROUP BY ALL HAVING count(DISTINCT wy) >= 5),
+      w AS (SELECT location, target FROM win WHERE abs(((slot - target + 547) % 365) - 182) <= 7 GROUP BY ALL HAVING count(*) >= 50),
       k AS (SELECT *, floor((month(day) % 12) / 3)::INTEGER AS x, (year(day) + CASE WHEN month(day) = 12 THEN 1 ELSE 0 END)::INTEGER AS y FROM stn),
-      last AS (SELECT location, max(day) AS l FROM stn GROUP BY ALL), s AS (SELECT location, x, y FROM k GROUP BY ALL HAVING count(*) >= 30)
-      SELECT 'daily' AS "table", count(*) AS n_rows FROM stn UNION ALL SELECT 'daily_percentiles', count(*) FROM y
-      UNION ALL SELECT 'season_heatmap', count(*) FROM s JOIN last USING (location) WHERE last_day(make_date(y, x * 3 + 2, 1)) <= l"""),
+      last AS (SELECT location, max(day) AS l FROM stn GROUP BY ALL), s AS (SELECT location, x, y FROM k GROUP BY ALL HAVING count(*) >= 30),
+      nat AS (SELECT x, y FROM (SELECT DISTINCT x, y, day FROM k) GROUP BY ALL HAVING count(*) >= 30), {SERIES_SQL},
+      c AS (SELECT 'daily' AS "table", count(*) AS n_rows FROM stn UNION ALL SELECT 'daily_percentiles', count(*) FROM y UNION ALL SELECT 'daily_window', count(*) FROM w
+      UNION ALL SELECT t, count(*) FROM span GROUP BY t UNION ALL SELECT 'stations', count(DISTINCT s_nationkey) FROM supplier
+      UNION ALL SELECT 'tropical', count(DISTINCT location) * 66 FROM stn UNION ALL SELECT 'spei', count(*) FROM nat WHERE last_day(make_date(y, x * 3 + 2, 1)) <= (SELECT max(day) FROM stn)
+      UNION ALL SELECT 'spei_station', (SELECT count(*) FROM kept) + (SELECT count(DISTINCT location) FROM ann)
+      UNION ALL SELECT 'season_heatmap', count(*) FROM s JOIN last USING (location) WHERE last_day(make_date(y, x * 3 + 2, 1)) <= l) SELECT *, 2::BIGINT AS version FROM c"""),
     "raw_report": (raw_report, RAW_REPORT),
 }
 QUERIES["table_report"] = (table_report, f"""{TABLE_REPORT} UNION ALL SELECT 'season_heatmap', 'in_range', 'avg', count(*) FROM ({QUERIES["station_seasons"][1]})
-      WHERE "avg" NOT BETWEEN -50 AND 45 HAVING count(*) > 0""")
+      WHERE "avg" NOT BETWEEN -50 AND 45 HAVING count(*) > 0
+      UNION ALL {_cut_report("daily_percentiles", QUERIES["station_percentiles"][1], "station_id", plan.MEAN_CUTS)}
+      UNION ALL {_cut_report("daily_window", QUERIES["station_windows"][1], "era5_name", plan.WINDOW_CUTS)}""")
