@@ -113,6 +113,20 @@ def json_differences(spark, d):
     return change.first_json_difference(e, "x", "y").filter("difference is not null").select("event_id", "difference")
 
 
+def nested_json_differences(spark, d):
+    """First difference of two nested documents: numbers as text, list items, list lengths, and keys in another order, which count as equal."""
+    k = F.col("event_id")
+    pair = lambda tags, level, n: F.concat(F.lit('{"id": '), k.cast("string"), F.lit(', "data": {"tags": ['), tags, F.lit('], "level": '), level, F.lit(', "n": '), n, F.lit("}}"))
+    left = pair(F.concat(F.lit('"x", "'), F.col("event_type"), F.lit('"')), F.lit("1"), F.col("user_id").cast("string"))
+    right = F.when(k % 7 == 0, pair(F.concat(F.lit('"x", "'), F.col("event_type"), F.lit('", 3')), F.lit("1"), F.col("user_id").cast("string"))).when(
+        k % 7 == 1, pair(F.lit('"x", "other"'), F.lit("1"), F.lit("-1"))).when(
+        k % 7 == 2, pair(F.concat(F.lit('"x", "'), F.col("event_type"), F.lit('"')), F.lit('"1"'), F.col("user_id").cast("string"))).when(
+        k % 7 == 3, F.concat(F.lit('{"data": {"n": '), F.col("user_id").cast("string"), F.lit(', "level": 1, "tags": ["x", "'), F.col("event_type"), F.lit('"]}, "id": '), k.cast("string"), F.lit("}"))).when(
+        k % 7 == 4, F.lit("no JSON")).otherwise(F.regexp_replace(left, '"id": ', '"id": 9'))
+    e = table(spark, d, "events").select("event_id", left.alias("x"), right.alias("y"))
+    return change.first_json_difference(e, "x", "y").select("event_id", "difference")
+
+
 def sea_levels(spark, d):
     """Rise at (scenario, year, probability) with its range; knots and surcharges come from the orders."""
     o = table(spark, d, "orders")
@@ -187,8 +201,10 @@ QUERIES = {
     "page_text": (page_text, """WITH p AS (SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS t FROM pages)
       SELECT page_id, length(t)::INTEGER AS chars, length(regexp_replace(t, '[\\[\\]\\s]', '', 'g'))::INTEGER AS dense FROM p"""),
     "compact_dates": (compact_dates, """SELECT CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y%m%d') END AS date, count(*) AS n FROM orders GROUP BY ALL"""),
-    "json_differences": (json_differences, """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'a: ' || user_id || ' vs ' || (user_id + 1) ELSE 'b: ' || event_type || ' vs z' END AS difference
+    "json_differences": (json_differences, """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'a: ' || user_id || ' vs ' || (user_id + 1) ELSE 'b: "' || event_type || '" vs "z"' END AS difference
       FROM events WHERE event_id % 5 = 0 OR event_id % 3 = 0"""),
+    "nested_json_differences": (nested_json_differences, """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'data.tags: length 2 vs 3' WHEN 1 THEN 'data.n: ' || user_id || ' vs -1' WHEN 2 THEN 'data.level: 1 vs "1"'
+      WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'id: ' || event_id || ' vs 9' || event_id END AS difference FROM events"""),
     "sea_levels": (sea_levels, """WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'low' ELSE 'high' END AS scenario FROM orders),
       k AS (SELECT scenario, (year(o_orderdate) // 2 * 2)::DOUBLE AS x, sum(o_custkey)::DOUBLE AS m, min(o_custkey)::DOUBLE AS l, max(o_custkey)::DOUBLE AS h FROM o GROUP BY ALL),
       s AS (SELECT *, lead(x) OVER w AS x1, lead(m) OVER w AS m1, lead(l) OVER w AS l1, lead(h) OVER w AS h1 FROM k WINDOW w AS (PARTITION BY scenario ORDER BY x)),

@@ -30,6 +30,17 @@ def json_ok(text) -> Column:
     return F.try_parse_json(_c(text)).isNotNull()
 
 
+def json_column(column: str, ddl: str) -> Column:
+    """A column's JSON text as a value of a type; text that is no JSON, or not of that type, fails the query and names the column."""
+    text = F.col(column)
+
+    def failed(why: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"column {column}: {why}: "), F.substring(text, 1, 80))).cast(ddl)
+    value = F.try_variant_get(F.try_parse_json(text), "$", ddl)
+    return (F.when(text.isNull(), F.lit(None).cast(ddl)).when(~json_ok(text), failed("no JSON"))
+            .when(value.isNull() & (F.trim(text) != "null"), failed(f"not {ddl}")).otherwise(value))
+
+
 def label_parts(label, separator: str = " ") -> tuple[Column, Column]:
     """First word and the rest of a label."""
     parts = F.split(_c(label), separator)

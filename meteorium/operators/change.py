@@ -6,6 +6,8 @@ the hashes of a column are added up, which combines on the map side and needs no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +89,58 @@ def first_diffs(diff: DataFrame, key: list[str], n: int) -> DataFrame:
     return top.join(diff.groupBy("column").agg(F.count(F.lit(1)).alias("differing")), "column")
 
 
-def first_json_difference(df: DataFrame, left: str, right: str, name: str = "difference") -> DataFrame:
-    """First differing key (alphabetical) of two flat JSON objects as ``key: a vs b``; null when equal."""
-    a, b = F.from_json(left, "map<string,string>"), F.from_json(right, "map<string,string>")
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    diff = F.filter(keys, lambda k: ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k)))
-    k = F.get(diff, F.lit(0))
-    show = lambda m: F.coalesce(F.try_element_at(m, k), F.lit("null"))
-    return df.withColumn(name, F.when(k.isNotNull(), F.concat(k, F.lit(": "), show(a), F.lit(" vs "), show(b))))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _show(value: Column) -> Column:
+    """Canonical JSON text of a VARIANT: keys in order, no blanks; what is not there shows as null."""
+    return F.coalesce(F.to_json(value), F.lit("null"))
+
+
+def _parts(value: Column) -> Column:
+    """``struct<kind, size, at>`` of a VARIANT: object, list or scalar, and its members by key or by padded place."""
+    members, items = F.try_variant_get(value, "$", "map<string,variant>"), F.try_variant_get(value, "$", "array<variant>")
+    placed = F.map_from_entries(F.transform(items, lambda x, i: F.struct(F.format_string("%010d", i), x)))
+    kind = F.when(members.isNotNull(), "object").when(items.isNotNull(), "list").otherwise("scalar")
+    return F.struct(kind.alias("kind"), F.size(items).alias("size"), F.coalesce(members, placed).alias("at"))
+
+
+def _difference(left: Column, right: Column, depth: int) -> Column:
+    """``struct<path, text>`` of the first difference of two VARIANT values that differ."""
+    here = F.struct(F.lit("").alias("path"), F.concat(_show(left), F.lit(" vs "), _show(right)).alias("text"))
+    if depth == 0:
+        return here
+
+    def walk(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        keys = F.array_sort(F.array_union(F.map_keys(a["at"]), F.map_keys(b["at"])))
+        first = F.get(F.filter(keys, lambda k: _show(F.try_element_at(a["at"], k)) != _show(F.try_element_at(b["at"], k))), F.lit(0))
+        label = lambda k: F.when(a["kind"] == "list", F.concat(F.lit("["), k.cast("int").cast("string"), F.lit("]"))).otherwise(k)
+
+        def below(k: Column) -> Column:
+            inner = _difference(F.try_element_at(a["at"], k), F.try_element_at(b["at"], k), depth - 1)
+            joint = lambda d: F.when((d["path"] == "") | d["path"].startswith("["), "").otherwise(".")
+            return _let(inner, lambda d: F.struct(F.concat(label(k), joint(d), d["path"]).alias("path"), d["text"].alias("text")))
+        lengths = F.struct(F.lit("").alias("path"), F.concat(F.lit("length "), a["size"].cast("string"), F.lit(" vs "), b["size"].cast("string")).alias("text"))
+        return (F.when((a["kind"] != b["kind"]) | (a["kind"] == "scalar"), here)
+                .when((a["kind"] == "list") & (a["size"] != b["size"]), lengths).otherwise(_let(first, below)))
+
+    return _let(F.struct(_parts(left).alias("a"), _parts(right).alias("b")), walk)
+
+
+def first_json_difference(df: DataFrame, left: str, right: str, name: str = "difference", depth: int = 4) -> DataFrame:
+    """First difference of two JSON texts as ``path: a vs b``: keys in order, then list places, down to ``depth`` levels.
+
+    Values are compared typed and as a whole (1 is not "1"; the order of keys and blanks do not count), and a missing key equals null.
+    Lists of different length differ by it.  Null when the two are equal, when one of them is no JSON, or when they are not
+    both objects or both lists.
+    """
+    a, b = F.try_parse_json(left), F.try_parse_json(right)
+    both = lambda p: (p["a"]["kind"] == p["b"]["kind"]) & (p["a"]["kind"] != "scalar")
+    comparable = _let(F.struct(_parts(a).alias("a"), _parts(b).alias("b")), both)
+    text = _let(_difference(a, b, depth), lambda d: F.concat(d["path"], F.when(d["path"] == "", "").otherwise(": "), d["text"]))
+    return df.withColumn(name, F.when(a.isNotNull() & b.isNotNull() & (_show(a) != _show(b)) & comparable, text))
 
 
 def changed_inputs(files: DataFrame, manifest: DataFrame, name: str = "name", digest: str = "sha1") -> DataFrame:

@@ -10,6 +10,10 @@ from ..functions import calendar as cal
 from ..operators import series
 
 
+#: Buckets of the table of newest event times.
+BUCKETS = 64
+
+
 def fetch_plan(existing: DataFrame, entities: DataFrame, entity: str, date: str, today: Column, end: Column,
                start: str, refresh_days: int = 15) -> DataFrame:
     """Date range to fetch per entity: everything new plus the revision window; up-to-date entities are marked."""
@@ -94,32 +98,44 @@ def upsert_into(table_path: str, key: list[str], partition: str, event_time: str
 
     Only the partitions the batch touches are read and rewritten.  Rows that are younger in arrival win.  A row that lies more than
     ``late`` behind the newest row its own entity (``key[0]``) had before the batch is refused: it goes to ``<table>.refused`` instead.  A new
-    entity, or one that lags behind the others, is never refused.  ``<table>.newest`` keeps the newest event time per entity and batch.  Both
-    are filed by batch, so running a batch twice gives the same tables.
+    entity, or one that lags behind the others, is never refused.  ``<table>.newest`` holds one row per entity, in ``BUCKETS`` buckets of which
+    a batch rewrites those it touches: the newest event time, the batch that brought it, and the newest before that batch.  So a batch that
+    runs twice sees what it saw the first time, and the table grows with the entities, not with the batches.
     """
     from ..session import materialize
 
     entity, newest_path, refused_path = key[0], f"{table_path}.newest", f"{table_path}.refused"
+    bucket = F.pmod(F.xxhash64(entity), F.lit(BUCKETS)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = materialize(batch)
         newest = _read_or_none(spark, newest_path)
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+        known = None
         if newest is not None:
-            last = newest.filter(F.col("batch") < number).groupBy(entity).agg(F.max("newest").alias("_last"))
-            dated = batch.join(last, entity, "left").withColumn("_late", F.coalesce(F.col(event_time) < F.col("_last") - F.expr(f"INTERVAL {late}"), F.lit(False)))
+            earlier = F.when(F.col("batch") < number, F.col("newest")).otherwise(F.col("before"))
+            known = newest.filter(F.col("bucket").isin(touched)).withColumn("_last", earlier)
+            dated = batch.join(known.select(entity, "_last"), entity, "left").withColumn(
+                "_late", F.coalesce(F.col(event_time) < F.col("_last") - F.expr(f"INTERVAL {late}"), F.lit(False)))
             dated = materialize(dated)
             refused = dated.filter("_late").drop("_late", "_last").withColumn("batch", F.lit(number))
             if not refused.isEmpty():
                 _replace(refused, refused_path, "batch")
             batch = dated.filter("NOT _late").drop("_late", "_last")
-        fresh = batch.groupBy(entity).agg(F.max(event_time).alias("newest")).withColumn("batch", F.lit(number))
+        fresh = batch.groupBy(entity).agg(F.max(event_time).alias("_fresh"))
         rows = series.keep_last(batch, key, [order])
         have = _read_or_none(spark, table_path)
         if have is not None:
             rows = series.keep_last(touched_rows(have, partition, batch).select(*batch.columns).unionByName(rows), key, [order])
         _replace(materialize(rows), table_path, partition)
-        _replace(fresh, newest_path, "batch")
+        if known is None:
+            state = fresh.select(entity, F.col("_fresh").alias("newest"), F.lit(None).cast(fresh.schema["_fresh"].dataType).alias("before"), F.lit(number).cast("long").alias("batch"))
+        else:
+            both, there = known.join(fresh, entity, "full_outer"), F.col("_fresh").isNotNull()
+            state = both.select(entity, F.when(there, F.greatest("_last", "_fresh")).otherwise(F.col("newest")).alias("newest"),
+                                F.when(there, F.col("_last")).otherwise(F.col("before")).alias("before"), F.when(there, F.lit(number)).otherwise(F.col("batch")).alias("batch"))
+        _replace(materialize(state.withColumn("bucket", bucket)), newest_path, "bucket")
     return merge
 
 

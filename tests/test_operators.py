@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 from collections import deque
 
 import numpy as np
@@ -7,7 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+
 from meteorium.operators import counts, density, drought, flood, grids, quantiles, seasons, series, trends, windows
+from meteorium.plans import grids as grid_plans
 
 CUM = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
 
@@ -311,6 +314,73 @@ def test_interpolation(spark):
     assert {r.at: r.o for r in series.lookup_piecewise(req, df, ["g"], "y", "at", {"o": "v"}).collect()} == {2010.0: 10, 2022.5: 15, 2040.0: 0, 2025.0: 20}
 
 
+def test_piecewise_lookup_of_several_values_over_many_ranges(spark):
+    rng = random.Random(4)
+    knots = [(g, x, rng.random(), rng.random()) for g in ("hot", "cold", "one") for x in sorted(rng.sample(range(200), {"hot": 90, "cold": 4, "one": 1}[g]))]
+    asks = [("hot", rng.choice([rng.uniform(-5, 205), float(rng.randrange(200))])) for _ in range(700)] + [(g, float(x)) for g in ("cold", "one", "none") for x in (-1, 0, 50, 77.5, 300)]
+    asks += [("hot", None), (None, 3.0), ("hot", 50.0), ("hot", 50.0)]
+    k = spark.createDataFrame(knots, "g string, x int, a double, b double").repartition(5)
+    r = spark.createDataFrame(asks, "g string, at double").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = series.lookup_piecewise(r, k, ["g"], "x", "at", {"va": "a", "vb": "b"})
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.columns == ["g", "at", "va", "vb"] and len(got) == len(asks)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    for row in got:
+        own = [t for t in knots if t[0] == row.g]
+        if row.at is None or not own:
+            assert row.va is None and row.vb is None
+            continue
+        xs = [t[1] for t in own]
+        assert row.va == pytest.approx(np.interp(row.at, xs, [t[2] for t in own])) and row.vb == pytest.approx(np.interp(row.at, xs, [t[3] for t in own]))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 9, 40])
+def test_banded_spline_equals_the_dense_system(n):
+    y = np.random.default_rng(n).normal(size=(n, 3))
+    at = np.linspace(0, n - 1, 7 * n)
+    got = grids.not_a_knot_spline(y, at)
+    if n < 4:
+        want = np.stack([np.polyval(np.polyfit(np.arange(n), c, n - 1), at) for c in y.T], axis=1)
+    else:  # all cubic pieces at once: values, two derivatives at inner knots, third derivatives at the two outer ones
+        m, rhs = [], []
+        power = lambda t, d: [0.0 if k < d else np.prod(range(k - d + 1, k + 1)) * t ** (k - d) for k in range(4)]
+        def row(parts, value):
+            line = np.zeros(4 * (n - 1))
+            for piece, coefs in parts:
+                line[4 * piece:4 * piece + 4] += coefs
+            m.append(line)
+            rhs.append(value)
+        for p in range(n - 1):
+            row([(p, power(0.0, 0))], y[p])
+            row([(p, power(1.0, 0))], y[p + 1])
+        for p in range(n - 2):
+            for d in (1, 2):
+                row([(p, power(1.0, d)), (p + 1, [-c for c in power(0.0, d)])], np.zeros(3))
+        for p in (0, n - 3):
+            row([(p, power(1.0, 3)), (p + 1, [-c for c in power(0.0, 3)])], np.zeros(3))
+        c = np.linalg.solve(np.array(m), np.array(rhs)).reshape(n - 1, 4, 3)
+        i = np.clip(at.astype(int), 0, n - 2)
+        want = sum(c[i, k] * ((at - i) ** k)[:, None] for k in range(4))
+    assert np.allclose(got, want)
+
+
+def test_model_map_closes_the_circle(spark):
+    cells = [("v", year, x, y, 273.15 + x + 10 * y) for year in range(1850, 1862) for x in range(8) for y in range(5)]
+    df = spark.createDataFrame(cells, "variable string, year int, x int, y int, value double")
+    from meteorium.functions import geo
+    made = grid_plans.model_map(df, 1850, geo.Box(-91, 91, -181, 181), 2, ["v"], around=8, step=45.0, south=-90.0).collect()
+    assert len(made) == len({(r.latitude, r.longitude) for r in made}) == 15 * 9
+    assert {(r.latitude, r.longitude): r.v for r in made}[0.0, 0.0] == pytest.approx(20.0) and {r.year_start for r in made} == {1850}
+    assert {(r.latitude, r.longitude): r.v for r in made}[-67.5, 22.5] == pytest.approx(5.5)
+
+
 def test_gaps_and_order(spark):
     d = lambda k: dt.date(2000, 1, k)
     df = spark.createDataFrame([("a", 0, d(1)), ("a", 1, d(2)), ("a", 2, d(2)), ("a", 3, d(6)), ("a", 4, d(5))], "e string, q long, d date")

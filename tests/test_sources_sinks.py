@@ -2,9 +2,11 @@ import datetime as dt
 import hashlib
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from meteorium import session
+from meteorium.functions import text
 from meteorium.operators import change, quality
 from meteorium.plans import emissions
 from meteorium.sources import readers, sinks
@@ -93,20 +95,56 @@ def test_ascii_grid_files(spark, tmp_path):
 def test_csv_export_writes_empty_nulls_and_json(spark, tmp_path):
     df = spark.createDataFrame([("a", None, 1.005, [1, 2]), ("b", "x", None, [])], "k string, s string, v double, a array<int>").coalesce(1)
     sinks.write_csv(df, str(tmp_path / "out"), digits=2)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.csv")))
-    assert text.splitlines()[0] == "k,s,v,a" and 'a,,1.01,"[1,2]"' in text
-    assert "b,x,,[]" in text
+    made = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.csv")))
+    assert made.splitlines()[0] == "k,s,v,a" and 'a,,1.01,"[1,2]"' in made
+    assert "b,x,,[]" in made
 
 
 def test_publish_is_gated(spark, tmp_path):
     df = spark.createDataFrame([("A", f"2000-01-{d:02d}", float(d)) for d in range(1, 29)], "era5_name string, date string, v double")
     clean = quality.unique_key(df, "daily", ["era5_name", "date"])
     sinks.publish({"daily": df}, lambda staged: clean, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "daily")).filter("date = '2000-01-05'").first().v == 5.0
+    assert sinks.published(spark, str(tmp_path))["daily"].filter("date = '2000-01-05'").first().v == 5.0
     twice = df.unionByName(df)
     with pytest.raises(quality.QualityError, match="28 violation"):
         sinks.publish({"daily": twice}, lambda staged: quality.unique_key(staged["daily"], "daily", ["era5_name", "date"]), str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "daily")).count() == 28
+    assert sinks.published(spark, str(tmp_path))["daily"].count() == 28
+
+
+def test_a_write_that_fails_half_way_leaves_all_old_tables(spark, tmp_path):
+    names = [f"t{k}" for k in range(10)]
+    root, clean = str(tmp_path / "p"), lambda staged: quality.missing_tables(spark, names, names)
+    with pytest.raises(LookupError):
+        sinks.published(spark, root)
+    tables = lambda v: {n: spark.range(5).withColumn("v", F.lit(v)) for n in names}
+    assert sinks.publish(tables(1), clean, root) == 1
+    written = []
+
+    class Breaks(Exception):
+        pass
+
+    def breaking(staged):
+        real = DataFrameWriter.parquet
+
+        def parquet(writer, path, *rest, **options):
+            if "/versions/" in path:
+                if len(written) == 5:
+                    raise Breaks
+                written.append(path)
+            return real(writer, path, *rest, **options)
+        patch.setattr(DataFrameWriter, "parquet", parquet)
+        return clean(staged)
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(Breaks):
+        sinks.publish(tables(2), breaking, root)
+    assert len(written) == 5
+    assert {n: df.first().v for n, df in sinks.published(spark, root).items()} == dict.fromkeys(names, 1)
+    assert sinks.publish(tables(3), clean, root) == 2
+    assert {df.first().v for df in sinks.published(spark, root).values()} == {3}
+    assert {df.first().v for df in sinks.published(spark, root, 1).values()} == {1}
+    assert sinks.retire(spark, root, keep=1) == [sinks.versions(spark, root).filter("number = 1").first().folder]
+    assert not list((tmp_path / "p" / "versions").glob("00000001-*/t3")) and sinks.published(spark, root)["t3"].first().v == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.published(spark, root, 1)
 
 
 def test_documentation(spark):
@@ -147,6 +185,26 @@ def test_manifest_round_trip(spark, tmp_path):
     assert {r.status for r in change.compare_manifests(made, change.read_manifest(spark, str(tmp_path / "m"))).collect()} == {"ok"}
 
 
+def test_json_differences_of_lists_nested_values_and_others(spark):
+    cases = [('{"b": {"y": 2, "x": [1, 2]}, "a": 1}', '{"a":1,"b":{"x":[1,2],"y":2}}', None), ("[1, 2, 3]", "[1, 2]", "length 3 vs 2"), ("[1, 2]", "[1, 9]", "[1]: 2 vs 9"),
+             ('[{"k": [1, {"m": null}]}]', '[{"k": [1, {"m": false}]}]', "[0].k[1].m: null vs false"), ('{"a": null}', "{}", None), ('{"a": 1}', '{"a": "1"}', 'a: 1 vs "1"'),
+             ('{"a": {"b": 1}}', '{"a": [1]}', 'a: {"b":1} vs [1]'), ("1", "2", None), ("[1]", '{"0": 1}', None), ("no", "{}", None), (None, "{}", None), ("[]", "[]", None),
+             ('{"a": {"b": {"c": {"d": {"e": 1}}}}}', '{"a": {"b": {"c": {"d": {"e": 2}}}}}', 'a.b.c.d: {"e":1} vs {"e":2}'),
+             (str(list(range(12))), str([*range(11), 0]), "[11]: 11 vs 0"), ('{"": 1}', '{"": 2}', ": 1 vs 2")]
+    df = spark.createDataFrame(cases, "x string, y string, want string")
+    got = [(r.x, r.y, r.difference) for r in change.first_json_difference(df, "x", "y").collect()]
+    assert got[:-1] == cases[:-1] and got[-1][2].endswith("1 vs 2")
+
+
+def test_a_json_column_that_fails_names_itself(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": [2]}'), (2, None), (3, "null"), (4, "{broken"), (5, "[1]")], "k int, trend_json string")
+    read = lambda k: df.filter(F.col("k") == k).select(text.json_column("trend_json", "struct<a:int,b:array<int>>").alias("v")).first().v
+    assert read(1) == (1, [2]) and read(2) is None and read(3) is None
+    for k, why in ((4, "column trend_json: no JSON: .broken"), (5, "column trend_json: not struct")):
+        with pytest.raises(Exception, match=why):
+            read(k)
+
+
 def test_first_json_difference(spark):
     df = spark.createDataFrame([('{"a":1,"b":2}', '{"b":3,"a":1}'), ('{"a":1}', '{"a":1}'), ('{"a":1}', '{"a":1,"c":2}')], "x string, y string")
     assert [r.difference for r in change.first_json_difference(df, "x", "y").collect()] == ["b: 2 vs 3", None, "c: null vs 2"]
@@ -155,7 +213,16 @@ def test_first_json_difference(spark):
 def test_projection_block(spark):
     cells = [(r, c, str(float(r * 100 + c))) for r in range(23, 44) for c in range(20, 67)]
     out = emissions.projections(spark.createDataFrame(cells, "row int, col int, raw string"))
-    rows = {r.year: r for r in out["current"].collect()}
+    rows = {r.year: r for r in out.filter("scenario = 'current'").collect()}
     assert sorted(rows) == list(range(2020, 2051))
     assert rows[2020].transport == 2720.0 and rows[2025].transport == 2721.0 and rows[2022].transport == pytest.approx(2720.4)
     assert rows[2020].others == 2920.0 + 3020.0
+    assert out.select("scenario").distinct().count() == 6 and "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_no_number_from_a_partial_sum(spark):
+    first, second = emissions.HISTORICAL_OTHERS
+    cells = [(2000, first, "3"), (2000, second, "NO"), (2001, first, "3"), (2001, second, "4"), (2002, second, "4"), (2003, emissions.WASTE["total"], "7")]
+    made = emissions.historical(spark.createDataFrame(cells, "year int, code int, raw string"))
+    assert {r.year: r.others for r in made["historical"].collect() if r.year < 2003} == {2000: None, 2001: 7.0, 2002: None}
+    assert [(r.year, r.total) for r in made["waste"].collect()] == [(2003, 7.0)]

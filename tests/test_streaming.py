@@ -1,6 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from meteorium.streaming import refresh, rollup
@@ -58,6 +58,32 @@ def test_stream_upsert_keeps_new_histories_and_files_late_rows(spark, tmp_path):
     assert [(r.entity, r.value, r.batch) for r in refresh.refused_rows(spark, table).collect()] == [("b", 99.0, 2)]
 
 
+def test_newest_days_stay_one_row_per_entity_and_batches_can_run_twice(spark, tmp_path):
+    d = lambda k: dt.datetime(2023, 3, 1) + dt.timedelta(days=k)
+    table = str(tmp_path / "table")
+    merge = refresh.upsert_into(table, ["entity", "day"], "day", "ts")
+    schema = "entity string, ts timestamp, day string, value double, arrival long"
+    sizes = []
+    for number in range(6):
+        rows = [(e, d(20 * number), str(d(20 * number).date()), float(number), number) for e in "abc"] + [("a", d(20 * number - 40), "old", -1.0, number)]
+        batch = spark.createDataFrame(rows, schema)
+        for _ in range(2):  # delivered twice
+            merge(batch, number)
+        newest = spark.read.parquet(f"{table}.newest")
+        assert {(r.entity, r.newest, r.batch) for r in newest.collect()} == {(e, d(20 * number), number) for e in "abc"}
+        sizes.append(newest.count())
+    assert sizes == [3] * 6
+    assert sorted(r.batch for r in refresh.refused_rows(spark, table).collect()) == [1, 2, 3, 4, 5]
+    assert spark.read.parquet(table).filter("entity = 'b'").count() == 6
+
+
+def test_trim_counts_in_the_same_pass(spark, tmp_path):
+    df = spark.createDataFrame([(dt.date(2000, 1, k),) for k in range(1, 11)] + [(None,)], "d date")
+    counts = Observation()
+    refresh.trim_range(df, "d", F.to_date(F.lit("2000-01-03")), F.to_date(F.lit("2000-01-06")), counts).write.parquet(str(tmp_path / "t"))
+    assert counts.get == {"kept": 4, "dropped": 7} and spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
 def test_a_batch_reads_only_the_partitions_it_touches(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(k, f"2023-05-{k:02d}") for k in range(1, 29)], "v int, day string").write.partitionBy("day").parquet(path)
