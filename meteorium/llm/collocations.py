@@ -1,6 +1,10 @@
 """Collocations: phrases whose words belong together, from exact counts of all phrases of up to four words.
 
-Counting is by HAT-trie.  Each task keeps, per language, a shallow trie over word ids.  A phrase window (the up to four words that start at
+A first pass counts words and pairs of neighbouring words into a fixed number of buckets by hash and keeps one bit per bucket: whether it
+holds ``least`` or more.  A phrase that frequent has frequent words and pairs only, so windows end where a bit is missing; no phrase that
+counts is lost, and a full bitmap (very large input) only means that nothing is cut.
+
+Counting itself is by HAT-trie.  Each task keeps, per language, a shallow trie over word ids.  A phrase window (the up to four words that start at
 a word and stay in its piece) is counted in a hash container below its first word; a container that grows too large bursts into a node with
 one container per next word.  When the tries hold too much, whole subtrees, the largest first, are spilled as runs sorted by their phrase.
 The sorted space of windows is cut at fences into prefix ranges; the runs of a range are merged in one stream, in which every shorter
@@ -15,10 +19,11 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from bisect import bisect_left
-from collections import _count_elements
+from collections import Counter, _count_elements
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -37,14 +42,17 @@ BURST, ROOM = 4096, 600_000
 STEP, VOCABULARY = 200_000, 800_000
 #: Bytes of text behind one prefix range, and the most ranges (beyond, ranges grow: they are merged in steps).
 RANGE_BYTES, RANGES = 6_000_000, 20_000
+#: Buckets of the first pass (as a power of two), those of one part, and different buckets that a task holds.
+BUCKETS, PART, BUCKETS_HELD = 26, 18, 1_500_000
 #: Windows that a merge step takes in before it gives away those that no later run can add to.
 HELD = 600_000
 
 #: A-Z lower-cased, the marks between pieces as line ends, the tabulator as a blank.
 _TEXT = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\x0d\x09", string.ascii_lowercase.encode() + b"\n" * 9 + b" ")
 _RUN = pa.schema([("lang", pa.string()), ("range_no", pa.int32()), ("first", pa.binary()), ("windows", pa.int64()), ("words", pa.binary()),
-                  ("word_bytes", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
-_RUN_DDL = "lang string, range_no int, first binary, windows long, words binary, word_bytes long, places binary, counts binary"
+                  ("word_bytes", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
+_RUN_DDL = "lang string, range_no int, first binary, windows long, words binary, word_bytes long, places binary, counts binary, total long"
+_BITS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
 _COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("f", pa.int64())])
 _END = (b"",) * (WORDS - 1)
 _MASK = (1 << BITS) - 1
@@ -55,17 +63,34 @@ class _Node(dict):
 
 
 class _Ids(dict):
-    """Numbers of words as they come, from 1; the empty word, which ends a piece, is 0."""
+    """Numbers of words as they come, from 1, and their hashes by number; the empty word, which ends a piece, is 0."""
 
     def __init__(self):
         super().__init__({b"": 0})
-        self.words = [b""]
+        self.words, self.hashes = [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.words)
         self.words.append(word)
+        self.hashes.append(zlib.crc32(word))
         return number
 
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return ids, np.array(self.hashes, dtype=np.uint64)[ids]
+
+
+def _bucket(key: np.ndarray, lang: str) -> np.ndarray:
+    """Bucket of 64-bit keys of one language."""
+    key = (key ^ np.uint64(zlib.crc32(lang.encode()) << 7)) * np.uint64(0x9E3779B97F4A7C15)
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return (key >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def buckets_of(hashes: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of the pairs that begin with each word but the last."""
+    return _bucket(hashes, lang), _bucket((hashes[:-1] << np.uint64(32)) | hashes[1:], lang + "+")
+
 
 def words_of(text: bytes) -> list[bytes]:
     """The words of a text; empty words end each piece, so that no window leaves it."""
@@ -81,13 +106,19 @@ def words_of(text: bytes) -> list[bytes]:
 class HatTrie:
     """Counts of phrase windows: first word id -> hash container of the other words, or a node of containers where one has burst."""
 
-    def __init__(self, burst: int = BURST):
-        self.ids, self.top, self.sizes, self.held, self.burst = _Ids(), {}, {}, 0, burst
+    def __init__(self, burst: int = BURST, lang: str = "", frequent: tuple[np.ndarray, np.ndarray] | None = None):
+        self.ids, self.top, self.sizes, self.held, self.words, self.burst, self.lang, self.frequent = _Ids(), {}, {}, 0, 0, burst, lang, frequent
 
     def add(self, words: list[bytes]) -> None:
-        """Count the windows at all places of a list of words but the last three."""
-        ids = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
-        first, rest = ids[:-3], (ids[1:-2] << 2 * BITS) | (ids[2:-1] << BITS) | ids[3:]
+        """Count the windows at all places of a list of words but the last three; they end before a pair that can't be frequent."""
+        ids, hashes = self.ids.numbers(words)
+        self.words += int(np.count_nonzero(ids[:-3]))
+        first, second, third, fourth = ids[:-3], ids[1:-2], ids[2:-1], ids[3:]
+        if self.frequent is not None:
+            word, pair = (held[at >> 3] >> (at & 7).astype(np.uint8) & 1 for held, at in zip(self.frequent, buckets_of(hashes, self.lang)))
+            first, second = first * word[:-3], second * pair[:-2]
+            third, fourth = third * (pair[:-2] & pair[1:-1]), fourth * (pair[:-2] & pair[1:-1] & pair[2:])
+        rest = (second << 2 * BITS) | (third << BITS) | fourth
         places = np.flatnonzero(first)
         places = places[np.argsort(first[places])]
         self.held += self._deal(self.top, first[places], rest[places], WORDS - 1, self.sizes)
@@ -217,7 +248,7 @@ def joined(runs: list[Run]) -> Run:
 
 def _packed(lang: str, range_no: int, run: Run) -> dict:
     codec, words = pa.Codec("zstd", 1), b"\n".join(run.words)
-    return {"lang": lang, "range_no": range_no, "first": run.phrase(0), "windows": len(run.counts), "words": codec.compress(words, asbytes=True), "word_bytes": len(words),
+    return {"total": 0, "lang": lang, "range_no": range_no, "first": run.phrase(0), "windows": len(run.counts), "words": codec.compress(words, asbytes=True), "word_bytes": len(words),
             "places": codec.compress(run.places.astype(np.uint32).tobytes(), asbytes=True), "counts": codec.compress(run.counts.tobytes(), asbytes=True)}
 
 
@@ -266,13 +297,93 @@ def _lang_fences(texts: DataFrame, range_bytes: int) -> dict[str, list[bytes]]:
     return fences
 
 
-def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], room: int = ROOM) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[str, list[bytes]]]:
+    """Language and words, at most ``step`` at once and the three that follow; texts of a language are put together."""
+    waiting: dict[str, list[bytes]] = {}
+    n_waiting = 0
+    for batch in batches:
+        for lang, body in zip(batch["lang"], batch["body"]):
+            words = words_of(body.as_py())
+            waiting.setdefault(lang.as_py(), []).extend(words)
+            n_waiting += len(words)
+            if n_waiting > step:
+                for at, held in waiting.items():
+                    for start in range(0, len(held), step):
+                        yield at, held[start:start + step + 3]
+                waiting, n_waiting = {}, 0
+    for at, held in waiting.items():
+        for start in range(0, len(held), step):
+            yield at, held[start:start + step + 3]
+
+
+def frequent_buckets(texts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of fixed size: buckets of words, and of pairs, that hold ``least`` or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, codec, n_held = _Ids(), pa.Codec("zstd", 1), 0
+        found: tuple[list, list] = ([], [])
+
+        def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            buckets, at = np.unique(np.concatenate([b for b, _ in found[kind]]), return_inverse=True)
+            return buckets, np.bincount(at, np.concatenate([n for _, n in found[kind]])).astype(np.int64)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for kind in (0, 1):
+                if found[kind]:
+                    buckets, counts = summed(kind)
+                    parts, starts = np.unique(buckets >> PART, return_index=True)
+                    for part, start, end in zip(parts.tolist(), starts, [*starts[1:], len(buckets)]):
+                        inner, few = (buckets[start:end] - (part << PART)).astype(np.uint32), np.minimum(counts[start:end], least).astype(np.uint32)
+                        yield pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "buckets": codec.compress(inner.tobytes(), asbytes=True),
+                                                           "counts": codec.compress(few.tobytes(), asbytes=True), "n": end - start}], schema=_BITS)
+                    found[kind].clear()
+
+        for lang, words in _chunks(batches, STEP):
+            if len(known) > VOCABULARY:
+                known = _Ids()
+            ids, hashes = known.numbers(words)
+            word, pair = buckets_of(hashes, lang)
+            here = ids[:-3] > 0
+            for kind, buckets in ((0, word[:-3][here]), (1, pair[:-2][here & (ids[1:-2] > 0)])):
+                some = np.unique(buckets, return_counts=True)
+                found[kind].append(some)
+                n_held += len(some[0])
+            if n_held > BUCKETS_HELD:
+                for kind in (0, 1):
+                    found[kind][:] = [summed(kind)]
+                n_held = sum(len(found[kind][0][0]) for kind in (0, 1))
+                if n_held > BUCKETS_HELD // 2:
+                    yield from handed_on()
+                    n_held = 0
+        yield from handed_on()
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for (kind, part), group in groupby(rows, lambda row: (row["kind"], row["part"])):
+            sums = np.zeros(1 << PART, dtype=np.int64)
+            for row in group:
+                buckets, counts = (np.frombuffer(codec.decompress(row[c], row["n"] * 4, asbytes=True), dtype=np.uint32) for c in ("buckets", "counts"))
+                sums[buckets] += counts
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()),
+                                              "bits": pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())})
+
+    counted = texts.mapInArrow(count, "kind int, part int, buckets binary, counts binary, n long")
+    held = (np.zeros(1 << BUCKETS - 3, dtype=np.uint8), np.zeros(1 << BUCKETS - 3, dtype=np.uint8))
+    size = 1 << PART - 3
+    for row in counted.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(bits, "kind int, part int, bits binary").toLocalIterator():
+        held[row["kind"]][row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return held
+
+
+def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], frequent: tuple[np.ndarray, np.ndarray], room: int = ROOM) -> DataFrame:
     """Spilled subtrees of all tasks: lang, range_no, the first window, and the packed words, windows and counts of each run."""
 
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # two bitmaps of 2 ** BUCKETS bits
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
-        waiting: dict[str, list[bytes]] = {}
-        n_waiting = 0
+        totals: Counter = Counter()
 
         def spill(share: float) -> Iterator[pa.RecordBatch]:
             for lang, trie in tries.items():
@@ -280,34 +391,29 @@ def sorted_runs(texts: DataFrame, fences: dict[str, list[bytes]], room: int = RO
                     for row in _cut(lang, trie.take(trie.largest(math.ceil(trie.held * share))), fences.get(lang, [])):
                         yield pa.RecordBatch.from_pylist([row], schema=_RUN)
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            for lang, words in waiting.items():
-                for start in range(0, len(words), STEP):
-                    if sum(len(t.ids) for t in tries.values()) > VOCABULARY:
-                        yield from spill(1)
-                        tries.clear()
-                    trie = tries.get(lang) or tries.setdefault(lang, HatTrie())
-                    trie.add(words[start:start + STEP + 3])
-                    if sum(t.held for t in tries.values()) > room:
-                        yield from spill(0.5)
-            waiting.clear()
-
-        for batch in batches:
-            for lang, body in zip(batch["lang"], batch["body"]):
-                words = words_of(body.as_py())
-                waiting.setdefault(lang.as_py(), []).extend(words)
-                n_waiting += len(words)
-                if n_waiting > STEP:
-                    yield from counted()
-                    n_waiting = 0
-        yield from counted()
-        yield from spill(1)
+        def emptied() -> Iterator[pa.RecordBatch]:
+            yield from spill(1)
+            for lang, trie in tries.items():
+                totals[lang] += trie.words
+            tries.clear()
+
+        for lang, words in _chunks(batches, STEP):
+            if sum(len(t.ids) for t in tries.values()) > VOCABULARY:
+                yield from emptied()
+            trie = tries.get(lang) or tries.setdefault(lang, HatTrie(BURST, lang, shared.value))
+            trie.add(words)
+            if sum(t.held for t in tries.values()) > room:
+                yield from spill(0.5)
+        yield from emptied()
+        for lang, n in totals.items():
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "range_no": 0, "first": b"", "windows": 0, "words": b"", "word_bytes": 0, "places": b"", "counts": b"", "total": n}],
+                                             schema=_RUN)
 
     return texts.mapInArrow(count, _RUN_DDL)
 
 
 def _merged(rows: Iterator[dict], most: int) -> Iterator[Run]:
-    """Parts in order of the merged runs, which come in the order of their first windows."""
+    """Parts in order of the merged runs, which come in the order of their first windows; rows without windows hold totals only."""
     held: list[Run] = []
     n = 0
     for row in rows:
@@ -326,7 +432,7 @@ def _merged(rows: Iterator[dict], most: int) -> Iterator[Run]:
 
 
 def prefix_counts(run: Run, least: int) -> Iterator[tuple[bytes, int, int]]:
-    """Phrase, words and count of the prefixes seen ``least`` times or more, of all that may go on before or after, and the number of windows."""
+    """Phrase, words and count of the prefixes seen ``least`` times or more, and of all that may go on before or after."""
     n = len(run.counts)
     changed = np.zeros(n, dtype=bool)
     changed[0] = True
@@ -340,7 +446,6 @@ def prefix_counts(run: Run, least: int) -> Iterator[tuple[bytes, int, int]]:
         wanted &= column[starts] > 0
         for k in np.flatnonzero(wanted).tolist():
             yield run.phrase(starts[k], size)[:-1], size, int(sums[k])
-    yield b"", 0, int(run.counts.sum())
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", range_bytes: int = RANGE_BYTES,
@@ -349,15 +454,22 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     texts = _texts(docs, text_col, lang_col)
     fences = _lang_fences(texts, range_bytes)
     n_ranges = sum(len(f) + 1 for f in fences.values()) or 1
-    runs = sorted_runs(texts, fences, room).repartition(n_ranges, "lang", "range_no").sortWithinPartitions("lang", "range_no", "first")
+    runs = sorted_runs(texts, fences, frequent_buckets(texts, least), room).repartition(n_ranges, "lang", "range_no").sortWithinPartitions("lang", "range_no", "first")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist())
+        def counted(lang: str, found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+            phrases, words, counts = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(words, pa.int32()),
+                                               pa.array(counts, pa.int64())], schema=_COUNT)
+
         for (lang, _), group in groupby(rows, lambda row: (row["lang"], row["range_no"])):
-            for run in _merged(group, held):
-                phrases, words, counts = zip(*prefix_counts(run, least))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(words, pa.int32()),
-                                                  pa.array(counts, pa.int64())], schema=_COUNT)
+            total = 0
+            while (row := next(group, None)) is not None and not row["windows"]:  # totals come before windows
+                total += row["total"]
+            yield counted(lang, [(b"", 0, total)] if total else [])
+            for run in _merged(chain([row] if row else [], group), held):
+                yield counted(lang, list(prefix_counts(run, least)))
 
     parts = runs.mapInArrow(merge, "lang string, phrase binary, words int, f long")
     whole = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))

@@ -1,7 +1,9 @@
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,36 @@ def test_collocations_match_brute_force(spark, sizes, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(table, 6, 40)
 
 
+def test_first_pass_keeps_every_frequent_word_and_pair(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "STEP", 50)
+    monkeypatch.setattr(collocations, "BUCKETS_HELD", 60)
+    table = texts()
+    held = collocations.frequent_buckets(collocations._texts(spark.createDataFrame(table, DOCS).repartition(3), "text", "lang"), 6)
+    want = (set(), set())
+    for lang in ("en", "fr", "und"):
+        words, pairs = Counter(), Counter()
+        for _, text, at in table:
+            if (at or "und") == lang:
+                found = collocations.words_of((text or "").encode())
+                words.update(w for w in found if w)
+                pairs.update(p for p in zip(found, found[1:]) if all(p))
+        for kind, counts in enumerate((words, pairs)):
+            for key, n in counts.items():
+                hashes = np.array([zlib.crc32(w) for w in (key if kind else (key, key))], dtype=np.uint64)
+                bucket = int(collocations.buckets_of(hashes, lang)[kind][0])
+                if n >= 6:
+                    want[kind].add(bucket)
+    for kind in (0, 1):
+        assert set(np.flatnonzero(np.unpackbits(held[kind], bitorder="little")).tolist()) == want[kind] and want[kind]
+
+
+def test_few_buckets_only_cut_less(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BUCKETS", 4)
+    monkeypatch.setattr(collocations, "PART", 3)
+    table = texts()
+    assert set(rows(collocations.collocations(spark.createDataFrame(table, DOCS), least=6, top=40))) == brute(table, 6, 40)
+
+
 def test_counts_of_prefixes_that_fences_cut(spark):
     table = texts()
     df = spark.createDataFrame(table, DOCS).repartition(4)
