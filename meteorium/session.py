@@ -44,9 +44,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Paths in the shared folder that were handed out and not released.
+_in_use: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _in_use.append(path)
+    return path
+
+
+def scratch_paths() -> list[str]:
+    """Paths in use, in the order in which they were handed out."""
+    return list(_in_use)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -64,7 +75,18 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path  # for release
+    return out
+
+
+def release(spark: SparkSession, *written: str | DataFrame) -> None:
+    """Delete intermediate results that no plan will read again: paths, or results of ``materialize``."""
+    for one in written:
+        path = one if isinstance(one, str) else one.scratch
+        if path in _in_use:
+            _in_use.remove(path)
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
