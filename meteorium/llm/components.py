@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -33,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = seen
-        now = materialize(_star(_star(now, True), False))
+        before, now = now, materialize(_star(_star(now, True), False))
+        release(now.sparkSession, before)

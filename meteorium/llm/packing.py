@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import shard_count, text_batches
+from .common import free_name, shard_count, text_batches
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 8
@@ -127,7 +127,8 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
 def packed(parts: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
     """The pieces with their place: group_no, bin, position in the bin, first token in the sequence, and the sequence's length and fill."""
     lengths = tuple(sorted(lengths))
-    parts = materialize(parts)
+    salt = free_name(parts, "salt")
+    parts = materialize(parts.withColumn(salt, F.monotonically_increasing_id()))  # tells rows of equal id and piece apart
     groups = shard_count(parts.count(), group)
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +142,7 @@ def packed(parts: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int =
         return one
 
     kind = parts.schema["id"].dataType.simpleString()
-    return (parts.withColumn("group_no", F.pmod(F.xxhash64("id", "piece"), F.lit(groups))).groupBy("group_no")
+    return (parts.withColumn("group_no", F.pmod(F.xxhash64("id", "piece", salt), F.lit(groups))).drop(salt).groupBy("group_no")
             .applyInPandas(run, f"id {kind}, piece long, tokens long, char_start long, char_end long, group_no long, bin long, position long, token_start long, length long, filled long"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .common import text_batches
 
 CHUNK_WORDS = 400_000
@@ -146,12 +146,12 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     they would stand in the phrase at some start.
     """
     spark, kind = index.sparkSession, items.schema[id_col].dataType.simpleString()
-    asked = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("binary").alias("text"))
+    asked = materialize(items.select(F.col(id_col).alias("item"), F.col(text_col).cast("binary").alias("text")).distinct())
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     out = None
     for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         windows = windows_of([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.toLocalIterator()], width)
         found = _search_block(spark, index, windows, kind, slop)
         out = found if out is None else out.unionByName(found)

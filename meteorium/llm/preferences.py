@@ -62,7 +62,7 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame | None = None, **names:
     """
     talks = conversations(turns, **names)
     if pairs is None:
-        side = talks.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("first"), "conv_id", "turns")
+        side = talks.select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"), (F.col("conv_id").cast("long").bitwiseAND(1) == 0).alias("first"), "conv_id", "turns")
     else:
         sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("chosen_id").alias("conv_id")),
                                                           F.struct(F.lit(False).alias("first"), F.col("rejected_id").alias("conv_id")))).alias("s"))

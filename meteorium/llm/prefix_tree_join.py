@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ..session import materialize
+from ..session import materialize, release
 from .common import text_batches
 from .components import components
 from .words import by_size
@@ -339,11 +339,15 @@ def _tile_links(tiles: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach, itself included) of every document."""
-    table = materialize(shingled(docs, id_col, text_col, words, percent))
+    spark = docs.sparkSession
+    with_keys = materialize(shingled(docs, id_col, text_col, words, percent))
+    table = materialize(with_keys.select("id", "n", "digest").distinct())
     classes = materialize(table.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id")))
-    keys = table.join(classes, ["id", "digest"], "left_semi").select("id", F.explode("keys").alias("key"))
+    keys = with_keys.join(classes, ["id", "digest"], "left_semi").select("id", F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"))
     members = materialize(keys.join(shared.hint("shuffle_hash"), "key"))
+    release(spark, with_keys, shared)
+    first_members = members
     wanted = members.select("id").distinct().join(classes, "id")
     texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id"))
     same_id = classes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("id")
@@ -352,15 +356,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = (members.distinct().join(sizes, "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
                .filter(F.coalesce((F.col("n") - F.col("own")) * 100 >= percent * F.col("n"), F.lit(True))))
     members = materialize(members)
-    members = materialize(members.join(_blocks(members), "key").drop("size"))
+    release(spark, first_members, own)
+    alone, members = members, materialize(members.join(_blocks(members), "key").drop("size"))
+    release(spark, alone)
     pairs = materialize(members.filter((F.col("id") != F.col("hub")) & _may_link(_side("hub_"), _side(""), percent)).select("hub", F.col("id").alias("other")).distinct())
     parts = materialize(components(_walks(pairs, texts, words, percent)))
+    release(spark, pairs)
     opened = materialize(_open_members(members, parts))
     if not opened.isEmpty():
         fresh = _tile_links(_tiles(opened), texts, words, percent)
         parts = materialize(components(fresh.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+    release(spark, texts, members, opened)
     reps = classes.withColumnRenamed("id", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    per_row = table.select("id", "n", "digest").distinct().join(reps, "digest", "left")
+    per_row = table.join(reps, "digest", "left")
     return per_row.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

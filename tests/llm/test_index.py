@@ -72,3 +72,16 @@ def test_empty_tables(spark):
     one, item = spark.createDataFrame([(1, "a b")], docs.schema), spark.createDataFrame([(1, "a b")], items.schema)
     assert index.decontaminate(docs, item).count() == 0
     assert rows(index.decontaminate(one, items).select("id", "n_words", "n_hit")) == [(1, 2, 0)]
+
+
+def test_items_without_id_or_with_one_id_lie_in_many_blocks(spark, tmp_path, monkeypatch):
+    words = [" ".join(f"t{k}x{j}" for j in range(12)) for k in range(200)]
+    items = [(None, w) for w in words[:100]] + [(5, w) for w in words[100:]] + [(5, words[100])] * 50
+    docs = [(k, f"before {words[k]} after") for k in range(0, 200, 7)] + [(900, "nothing of this")]
+    made = index.build_index(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "i"))
+    sizes, real = [], index.windows_of
+    monkeypatch.setattr(index, "windows_of", lambda rows, width: sizes.append(sum(len(t) for _, t in rows)) or real(rows, width))
+    found = index.search(made, spark.createDataFrame(items, "item_id long, text string"), block_bytes=2000)
+    hit = {i for i, _, h, _ in rows(index.contamination(made, found)) if h}
+    assert hit == {i for i, _ in docs if i < 900}
+    assert len(sizes) > 5 and max(sizes) < 5000

@@ -62,6 +62,46 @@ def test_nothing_to_learn_from(spark):
     assert language.predict(docs.limit(0), language.fit(docs.limit(0))).count() == 0
 
 
+def test_a_bound_takes_words_not_labels_of_words(spark):
+    text = lambda word, n: " ".join([word] * n)
+    train = [(1, text("aa", 9), "x"), (2, text("aa", 3), "y"), (3, text("bbb", 5), "y"), (4, text("ccc", 2), "x")]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model, whole = language.fit(df, max_words=1), language.fit(df, max_words=None, max_grams=None)
+    assert list(model.known) == [b"aa"] and set(whole.known) == {b"aa", b"bbb", b"ccc"}
+    logs = np.log([(9 + 0.1) / (11 + 0.1), (3 + 0.1) / (8 + 0.1)])  # out of all words of each language
+    assert np.allclose(model.words[0, :2], logs - logs.mean())
+
+
+def test_backoff_matches_brute_force(spark):
+    """Unseen words letter by letter: the longest known n-gram that begins at a letter speaks."""
+    rng = random.Random(6)
+    train = [(i, written(rng, lang, 25), lang) for i, lang in enumerate(list(PARTS) * 4)]
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), max_words=None, max_grams=None)
+    counts = {}
+    for _, text, lang in train:
+        for word in language.lowered(text, language.LETTER_BYTES):
+            spelled = f"<{word.decode('utf-8', 'replace')}>"
+            for n in language.ORDERS:
+                for p in range(len(spelled) - n + 1):
+                    counts.setdefault(n, {}).setdefault(spelled[p:p + n], dict.fromkeys(sorted(PARTS), 0))[lang] += 1
+    said = {}
+    for n, held in counts.items():
+        whole = {lang: sum(c[lang] for c in held.values()) for lang in PARTS}
+        for gram, c in held.items():
+            logs = np.array([np.log((c[lang] + 0.1) / (whole[lang] + 0.1 * len(held))) for lang in sorted(PARTS)])
+            said[gram] = logs - logs.mean()
+    for word in ("kalomix", "schungx", "qqq", "ciónandoz", "ü", "xyzlos"):
+        spelled, votes, telling = f"<{word}>", [], False
+        for p in range(len(spelled)):
+            for n in reversed(language.ORDERS):
+                if spelled[p:p + n] in said and len(spelled[p:p + n]) == n:
+                    votes.append(said[spelled[p:p + n]])
+                    telling |= n >= 3
+                    break
+        got = model.unseen([word.encode()])[0]
+        assert np.allclose(got[:3], np.mean(votes, axis=0) if votes else np.zeros(3), atol=1e-5) and got[3] == float(telling)
+
+
 def test_language_query_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     got = q_models.op6_language(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")

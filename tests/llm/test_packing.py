@@ -88,3 +88,10 @@ def test_waste_is_small_on_documents(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_id_or_with_one_id_spread_over_groups(spark):
+    docs = [(None, f"w{k} x y")  for k in range(300)] + [(7, f"v{k} x") for k in range(300)]
+    plan = packing.packed(packing.pieces(spark.createDataFrame(docs, "doc_id long, text string"), most=16), (8, 16), group=50)
+    sizes = [r["count"] for r in plan.groupBy("group_no").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 90

@@ -39,6 +39,27 @@ def test_each_stage_matches_brute_force(spark, tmp_path):
         docs = after
 
 
+def test_language_stage_goes_by_evidence(spark):
+    known = [(k, "the old house stands near the river and the mill", "en") for k in range(20)]
+    odd = [(100, "чужой язык совсем другой", None), (101, "12 34", None), (102, None, None), (103, "house чужой", None), (104, "the mills", None)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(known + odd, schema)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, FOLDER).collect()} == {*range(20), 103, 104}
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t, _ in known + odd], schema)
+    assert corpus_pipeline.language_id(spark, unlabelled, FOLDER).count() == 25  # nothing can be told, so all stay
+
+
+def test_stages_leave_no_files_behind(spark, monkeypatch, tmp_path):
+    import os
+
+    from meteorium import session
+    before = set(session.scratch_paths())
+    result = corpus_pipeline.run(spark, FOLDER)
+    assert result.count() > 0
+    left = [p for p in session.scratch_paths() if p not in before]
+    assert len(left) == 1 and all(os.path.exists(p.removeprefix("file:")) for p in left)  # the last stage's result
+
+
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
@@ -50,4 +71,4 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

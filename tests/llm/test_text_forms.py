@@ -59,3 +59,10 @@ def test_preferences_match_brute_force(spark):
     pairs = spark.createDataFrame([("z", 13, 10)], "pair_id string, chosen_id long, rejected_id long")
     assert tuple(preferences.preference_pairs(df, pairs).first())[3:] == brute(talks[13], talks[10])
     assert rows(preferences.preference_pairs(df.limit(0))) == []
+
+
+def test_pairs_of_large_and_negative_ids(spark):
+    ids = [2**60, 2**60 + 1, 2**60 + 2, 2**60 + 3, -4, -3, -2**62, -2**62 + 1, 0, 1]
+    turns = spark.createDataFrame([(i, 0, "user", "same") for i in ids] + [(i, 1, "assistant", str(i)) for i in ids], "conv_id long, turn int, role string, text string")
+    got = {(r.chosen_id, r.rejected_id, r.n_common) for r in preferences.preference_pairs(turns).collect()}
+    assert got == {(i, i + 1, 1) for i in ids if i % 2 == 0}
