@@ -15,7 +15,7 @@ from .inputs import OBS, observations, table
 # roundings agree between engines even on ties.
 RATE = 1 / 128
 SETTINGS = Settings(baseline=(1996, 1999), drought_baseline=(1995, 1999), trend_start=1995, projection_end=2050, min_years_percentiles=5,
-                    min_samples_window=50, min_years_trend=5, min_series_years=5)
+                    min_samples_window=50, min_years_trend=5, min_series_years=5, min_count_years=5, min_count_nonzero=5)
 
 
 def stations(spark: SparkSession, d: str) -> DataFrame:

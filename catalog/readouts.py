@@ -12,8 +12,10 @@ from meteorium.plans import serve
 from . import tables
 from .aggregates import THRESHOLD_SQL, threshold_days
 from .curves import SEG
+from .fits import count_fit_sql
 from .inputs import DAILY, daily, day_text, observations
-from .trends import SERIES, _fits, p_sql
+from .polynomials import p_sql
+from .trends import SERIES, _fits
 
 
 def _daily(spark, d):
@@ -97,24 +99,26 @@ def trend_milestones(spark, d):
 
 
 def count_series(spark, d):
-    """Threshold-day series; without a fit every series shows the empty trend's defaults."""
+    """Threshold-day series with their trends; a series without a fit shows the empty trend's defaults."""
     c = threshold_days(spark, d)
     packed = (c.groupBy("entity", "kind", "threshold", "streak").agg(F.sort_array(F.collect_list(F.struct("year", "count"))).alias("s"))
               .select(F.col("entity").alias("era5_name"), "kind", "threshold", "streak", F.transform("s", lambda p: p["year"]).alias("years"),
                       F.transform("s", lambda p: p["count"].cast("int")).alias("counts"), F.size(F.filter("s", lambda p: p["count"] > 0)).alias("nonzero_count")))
-    s = serve.count_series(counts.count_trend(packed, 2001))
+    s = serve.count_series(counts.count_trend(packed, 2001, 5, 5))
     return s.select("era5_name", "kind", "threshold", "streak", F.size("years").alias("n_years"), F.aggregate("counts", F.lit(0), lambda a, b: a + b).alias("days"),
-                    F.col("has_trend").cast("int").alias("has_trend"), "p_value", "fit_year_max")
+                    F.col("has_trend").cast("int").alias("has_trend"), "rate_per_year", "days_per_decade", "p_value", "fit_year_max", "alpha", "aic", F.size("y_line").alias("line"))
 
 
 def drought_by_station(spark, d):
-    """Drought series nested per station."""
-    s = serve.drought_by_station(tables.station_drought(spark, d))
-    return s.select("era5_name", F.size("series").alias("n_series"), "year_min", "year_max", F.to_json("series").alias("series"))
+    """Drought series nested per station, read back series by series."""
+    s = serve.drought_by_station(tables.drought_rows(spark, d))
+    one = s.select("era5_name", F.size("series").alias("n_series"), "year_min", "year_max", F.explode("series").alias("series", "v"))
+    return one.select("era5_name", "n_series", "year_min", "year_max", "series", F.size("v.years").alias("n_years"), F.aggregate("v.spei", F.lit(0.0), lambda a, b: a + b).alias("total"),
+                      F.col("v.trend.mk_trend").alias("mk_trend"))
 
 
 def drought_lines(spark, d):
-    return serve.drought_lines(tables.station_drought(spark, d))
+    return serve.drought_lines(tables.drought_rows(spark, d))
 
 
 def seasonal_scatter(spark, d):
@@ -182,10 +186,15 @@ QUERIES = {
       CASE WHEN slope * 10 >= 0.3 THEN 'catastrophic' WHEN slope * 10 >= 0.2 THEN 'extreme' WHEN slope * 10 >= 0.1 THEN 'bad' WHEN slope * 10 >= 0.05 THEN 'moderate' ELSE 'baseline' END AS band,
       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS mark, '°C' AS unit FROM pv"""),
     "trend_milestones": (trend_milestones, FIT + f", m AS (SELECT *, unnest([2030, 2040, 2050]) AS year FROM fr) SELECT entity AS era5_name, {MD}, year::INTEGER AS year, slope * year + intercept AS value FROM m"),
-    "count_series": (count_series, f"""SELECT entity AS era5_name, kind, threshold, streak, count(*)::INTEGER AS n_years, sum(count)::INTEGER AS days, 0 AS has_trend, 1.0::DOUBLE AS p_value,
-      max(year)::INTEGER AS fit_year_max FROM ({THRESHOLD_SQL}) GROUP BY ALL"""),
-    "drought_by_station": (drought_by_station, None),
-    "drought_lines": (drought_lines, None),
+    "count_series": (count_series, f"""WITH RECURSIVE tc AS (SELECT * FROM ({THRESHOLD_SQL})), {count_fit_sql("tc", ["entity", "kind", "threshold", "streak"], 5, 5, "year = 2001")},
+      g AS (SELECT entity, kind, threshold, streak, count(*) AS n, sum(count) AS days, max(year) AS last, max(year) FILTER (WHERE year <> 2001) AS fitted FROM tc GROUP BY ALL)
+      SELECT entity AS era5_name, kind, threshold, streak, n::INTEGER AS n_years, days::INTEGER AS days, coalesce(fit_ok, false)::INTEGER AS has_trend, coalesce(rate, 0) AS rate_per_year,
+        coalesce(per_decade, 0) AS days_per_decade, coalesce(p_value, 1) AS p_value, CASE WHEN fit_ok THEN fitted ELSE last END::INTEGER AS fit_year_max, coalesce(alpha, 0) AS alpha, coalesce(aic, 0) AS aic,
+        CASE WHEN fit_ok THEN n ELSE 0 END::INTEGER AS line FROM g LEFT JOIN fits USING (entity, kind, threshold, streak)"""),
+    "drought_by_station": (drought_by_station, f"""{tables.DRY_SERIES} SELECT era5_name, (count(DISTINCT series) OVER (PARTITION BY era5_name))::INTEGER AS n_series, min(min(year)) OVER (PARTITION BY era5_name) AS year_min,
+      max(max(year)) OVER (PARTITION BY era5_name) AS year_max, series, count(*)::INTEGER AS n_years, sum(spei) AS total, any_value(mk_trend) AS mk_trend FROM sv GROUP BY era5_name, series"""),
+    "drought_lines": (drought_lines, f"""{tables.DRY_SERIES} SELECT era5_name, series, min(year) AS x0, max(year) AS x1, any_value(intercept) + any_value(slope_per_decade) / 10 * min(year) AS y0,
+      any_value(intercept) + any_value(slope_per_decade) / 10 * max(year) AS y1 FROM sv WHERE slope_per_decade IS NOT NULL GROUP BY era5_name, series"""),
     "seasonal_scatter": (seasonal_scatter, f"""WITH {DAILY}, w AS (SELECT entity, year(day) AS x, v_max AS y FROM daily WHERE strftime(day, '%m-%d') BETWEEN '07-08' AND '07-22'),
       q AS (SELECT entity, quantile_cont(y, 0.5) AS med, quantile_cont(y, 0.05) AS p05, quantile_cont(y, 0.95) AS p95 FROM w GROUP BY entity)
       SELECT w.entity, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, 100 * regr_slope(y, x) AS per_century, min(y - med) AS low, max(y - med) AS high,

@@ -13,7 +13,7 @@ from meteorium.operators import change, trends, windows
 from meteorium.plans import emissions
 
 from .inputs import DAILY, OBS, daily, observations, table, window_sql
-from .trends import cdf_sql
+from .polynomials import cdf_sql
 
 
 def normal_cdf(spark, d):

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meteorium import session
+from meteorium.functions import categories
 from meteorium.operators import quality
 from meteorium.plans import climatology as plan
 from meteorium.plans import validation
 from meteorium.sources import sinks
 
 from . import network
+from .fits import count_fit_sql, drought_sql
 from .inputs import WINDOW_JOIN, slot_sql
 from .network import NETWORK, SETTINGS
-from .trends import SERIES, ZYW, p_sql
+from .polynomials import p_sql
+from .trends import SERIES, ZYW
 
 
 def station_daily(spark, d):
@@ -54,8 +57,12 @@ def station_threshold_days(spark, d):
 
 
 def station_threshold_trends(spark, d):
+    """Every published number of the count trends, one row per year of the drawn lines; one row without numbers where there is no trend."""
     t = plan.tropical(network.days(spark, d), network.stations(spark, d), SETTINGS, 2001)
-    return t.select("era5_name", "station_id", "kind", "threshold", "streak", "nonzero_count", "fit_ok", F.to_json("trend").alias("trend"))
+    lines = F.arrays_zip(*[F.col(f"trend.{c}") for c in ("x_line", "y_line", "ci_low", "ci_high", "pi_low", "pi_high")])
+    one = ["model_used", "rate_per_year", "days_per_decade", "p_value", "alpha", "aic", "fit_year_max"]
+    rows = t.select("era5_name", "station_id", "kind", "threshold", "streak", "nonzero_count", "fit_ok", *[F.col(f"trend.{c}").alias(c) for c in one], F.explode_outer(lines).alias("z"))
+    return rows.select("era5_name", "station_id", "kind", "threshold", "streak", "nonzero_count", "fit_ok", *one, "z.*")
 
 
 def network_drought(spark, d):
@@ -66,10 +73,16 @@ def network_drought_balance(spark, d):
     return plan.drought_heatmap(network.days(spark, d), SETTINGS).select("x", "y", "balance", "rank", "total", "season", "n_days")
 
 
-def station_drought(spark, d):
+def drought_rows(spark, d):
     return plan.drought_series(network.days(spark, d), network.stations(spark, d), SETTINGS)
 
 
+def station_drought(spark, d):
+    """Every index series with its trend, one row per year."""
+    t = drought_rows(spark, d).withColumn("z", F.explode(F.arrays_zip(F.col("years").alias("year"), F.col("spei").alias("index"))))
+    return t.select("era5_name", "station_id", "series", "z.year", F.col("z.index").alias("spei"), "trend.*")
+
+
 def _ten(spark, d):
     return plan.all_tables(network.data(spark, d), network.stations(spark, d), SETTINGS, 2001)
 
@@ -203,14 +216,11 @@ QUERIES = {
         LEFT JOIN ag ON ag.location = sp.location AND ag.kind = g.kind AND ag.threshold = g.threshold AND ag.yr = sp.yr)
       SELECT location AS era5_name, kind, threshold::INTEGER AS threshold, streak::INTEGER AS streak, (count(*) FILTER (WHERE count > 0) OVER (PARTITION BY location, kind, threshold, streak))::INTEGER AS nonzero_count,
       yr::INTEGER AS year, count::INTEGER AS count FROM f"""),
-    "station_threshold_trends": (station_threshold_trends, None),
     "network_drought_balance": (network_drought_balance, f"""WITH {NETWORK}, dd AS (SELECT day, avg(p) - avg(e) AS b FROM stn GROUP BY day),
       k AS (SELECT *, floor((month(day) % 12) / 3)::INTEGER AS x, (year(day) + CASE WHEN month(day) = 12 THEN 1 ELSE 0 END)::INTEGER AS y FROM dd),
       s AS (SELECT x, y, {r('sum(b)', 1)} AS balance, count(*) AS n_days FROM k GROUP BY x, y HAVING count(*) >= 30),
       c AS (SELECT * FROM s WHERE last_day(make_date(y, x * 3 + 2, 1)) <= (SELECT max(day) FROM dd))
       SELECT x, y, balance, rank() OVER (PARTITION BY x ORDER BY balance)::INTEGER AS rank, count(*) OVER (PARTITION BY x) AS total, list_value('Winter','Spring','Summer','Autumn')[x + 1] AS season, n_days FROM c"""),
-    "network_drought": (network_drought, None),
-    "station_drought": (station_drought, None),
     "published_tables": (published_tables, f"""WITH {_win(45)} {SPANS}, y AS (SELECT station_id, target FROM win WHERE station_id IS NOT NULL AND abs(((slot - target + 547) % 365) - 182) <= 7 GROUP BY ALL HAVING count(DISTINCT wy) >= 5),
       w AS (SELECT location, target FROM win WHERE abs(((slot - target + 547) % 365) - 182) <= 7 GROUP BY ALL HAVING count(*) >= 50),
       k AS (SELECT *, floor((month(day) % 12) / 3)::INTEGER AS x, (year(day) + CASE WHEN month(day) = 12 THEN 1 ELSE 0 END)::INTEGER AS y FROM stn),
@@ -223,6 +233,42 @@ QUERIES = {
       UNION ALL SELECT 'season_heatmap', count(*) FROM s JOIN last USING (location) WHERE last_day(make_date(y, x * 3 + 2, 1)) <= l) SELECT *, 2::BIGINT AS version FROM c"""),
     "raw_report": (raw_report, RAW_REPORT),
 }
+NATIONAL = f"""WITH RECURSIVE {NETWORK}, dd AS (SELECT day, avg(p) - avg(e) AS b FROM stn GROUP BY day),
+  k AS (SELECT *, floor((month(day) % 12) / 3)::INTEGER AS x, (year(day) + CASE WHEN month(day) = 12 THEN 1 ELSE 0 END)::INTEGER AS y FROM dd),
+  s AS (SELECT x, y, {r('sum(b)', 1)} AS balance, count(*) AS n_days FROM k GROUP BY x, y HAVING count(*) >= 30),
+  c AS (SELECT * FROM s WHERE last_day(make_date(y, x * 3 + 2, 1)) <= (SELECT max(day) FROM dd)), {drought_sql("c", ["x"], "balance", "y BETWEEN 1995 AND 1999")},
+  ct AS (SELECT *, CASE WHEN spei < -1.5 THEN 'extreme_dry' WHEN spei < -1 THEN 'dry' WHEN spei < 1 THEN 'normal' WHEN spei < 1.5 THEN 'wet' ELSE 'extreme_wet' END AS cat FROM dry)"""
+QUERIES["network_drought"] = (network_drought, f"""{NATIONAL} SELECT x, y, {r('spei', 2)} AS spei, balance, cat, rank() OVER (PARTITION BY x ORDER BY balance)::INTEGER AS rank, count(*) OVER (PARTITION BY x) AS total,
+  CASE cat {" ".join(f"WHEN '{c}' THEN '{v}'" for c, v in categories.DROUGHT_COLORS.items())} END AS color, list_value('Winter','Spring','Summer','Autumn')[x + 1] AS season, n_days FROM ct""")
+
+# Index series of the stations and their trends, by the trend CTEs of catalog.trends.
+DRY_SERIES = f"""WITH RECURSIVE {NETWORK}, mo AS (SELECT location, year(day)::INTEGER AS yr, month(day) AS m, count(*) AS n, coalesce(sum(p - e), 0) AS bal FROM stn GROUP BY ALL), fin AS (SELECT max(day) AS l FROM stn),
+  one AS (SELECT location, strftime(make_date(2001, m, 1), '%b') AS series, yr AS y, n, bal, 20 AS least, last_day(make_date(yr, m, 1)) AS fin_day FROM mo
+    UNION ALL SELECT location, list_value('Winter','Spring','Summer','Autumn')[floor((m % 12) / 3)::INTEGER + 1], yr + CASE WHEN m = 12 THEN 1 ELSE 0 END, n, bal, 30,
+      last_day(make_date(yr + CASE WHEN m = 12 THEN 1 ELSE 0 END, floor((m % 12) / 3)::INTEGER * 3 + 2, 1)) FROM mo),
+  yrs AS (SELECT location, series, y, sum(bal) AS balance FROM one GROUP BY location, series, y, least, fin_day HAVING sum(n) >= least AND fin_day <= (SELECT l FROM fin)),
+  kept AS (SELECT * FROM yrs QUALIFY count(*) OVER (PARTITION BY location, series) >= 5), {drought_sql("kept", ["location", "series"], "balance", "y BETWEEN 1995 AND 1999")},
+  rd AS (SELECT location, series, y, {r('spei', 2)} AS spei FROM dry),
+  vals AS (SELECT * FROM rd UNION ALL SELECT location, 'Annual', y, floor(sum(round_even(spei * 100, 0)) / count(*) + 0.5) / 100 FROM rd WHERE series IN ('Winter', 'Spring', 'Summer', 'Autumn') GROUP BY location, y HAVING count(spei) >= 2),
+  ser AS (SELECT location AS entity, series AS slot, y AS x, spei AS y FROM vals), {SERIES[SERIES.index("idx AS (SELECT"):]},
+  tr AS (SELECT entity AS location, slot AS series, {r('slope * 10', 3)} AS slope_per_decade, {r(p_sql('z_mk'), 3)} AS p_value,
+    CASE WHEN {p_sql('z_mk')} < 0.05 AND z_mk > 0 THEN 'increasing' WHEN {p_sql('z_mk')} < 0.05 AND z_mk < 0 THEN 'decreasing' ELSE 'no trend' END AS mk_trend, {r('intercept', 3)} AS intercept FROM ci),
+  ids AS (SELECT DISTINCT location, station_id FROM stn),
+  sv AS (SELECT vals.location AS era5_name, station_id, vals.series, y::INTEGER AS year, spei, slope_per_decade, p_value, mk_trend, intercept FROM vals JOIN ids ON ids.location = vals.location
+    LEFT JOIN tr ON tr.location = vals.location AND tr.series = vals.series)"""
+QUERIES["station_drought"] = (station_drought, f"{DRY_SERIES} SELECT * FROM sv")
+
+COUNTS = QUERIES["station_threshold_days"][1]
+QUERIES["station_threshold_trends"] = (station_threshold_trends, f"""WITH RECURSIVE tc AS ({COUNTS}), {count_fit_sql("tc", ["era5_name", "kind", "threshold", "streak"], 5, 5, "year = 2001")},
+  ids AS (SELECT n_name AS era5_name, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END AS station_id FROM nation),
+  g AS (SELECT era5_name, kind, threshold, streak, any_value(nonzero_count) AS nonzero_count, min(year) FILTER (WHERE year <> 2001) AS t0, max(year) FILTER (WHERE year <> 2001) AS last, list(year ORDER BY year) AS years FROM tc GROUP BY ALL),
+  j AS (SELECT g.*, coalesce(fit_ok, true) AS ok, fits.* EXCLUDE (era5_name, kind, threshold, streak, fit_ok), coalesce(fit_ok, false) AS has FROM g LEFT JOIN fits USING (era5_name, kind, threshold, streak)),
+  ln AS (SELECT *, unnest(CASE WHEN has THEN years ELSE [NULL] END) AS yr FROM j),
+  mu AS (SELECT *, exp(a + b * (yr - t0)) AS mu, 1.959963984540054::DOUBLE * sqrt(v00 + 2 * (yr - t0) * v01 + (yr - t0) * (yr - t0) * v11) AS half FROM ln),
+  bd AS (SELECT *, 1.96::DOUBLE * sqrt(mu + mu * mu * alpha) AS band FROM mu)
+  SELECT bd.era5_name, station_id, kind, threshold, streak, nonzero_count, ok AS fit_ok, CASE WHEN has THEN 'nb' END AS model_used, rate AS rate_per_year, per_decade AS days_per_decade, p_value, alpha, aic,
+    CASE WHEN has THEN last END AS fit_year_max, yr::DOUBLE AS x_line, round_even(mu * 100, 0) / 100 AS y_line, round_even(mu * exp(-half) * 100, 0) / 100 AS ci_low, round_even(mu * exp(half) * 100, 0) / 100 AS ci_high,
+    CASE WHEN has THEN round_even(greatest(0, mu - band) * 100, 0) / 100 END AS pi_low, round_even((mu + band) * 100, 0) / 100 AS pi_high FROM bd JOIN ids ON ids.era5_name = bd.era5_name""")
 QUERIES["table_report"] = (table_report, f"""{TABLE_REPORT} UNION ALL SELECT 'season_heatmap', 'in_range', 'avg', count(*) FROM ({QUERIES["station_seasons"][1]})
       WHERE "avg" NOT BETWEEN -50 AND 45 HAVING count(*) > 0
       UNION ALL {_cut_report("daily_percentiles", QUERIES["station_percentiles"][1], "station_id", plan.MEAN_CUTS)}

@@ -8,8 +8,10 @@ from meteorium.functions import categories as cat
 from meteorium.functions import numeric as num
 from meteorium.operators import counts, drought, seasons, trends, windows
 
-from .aggregates import threshold_days
-from .inputs import OBS, daily, observations, window_sql
+from .aggregates import SEASON_SQL, THRESHOLD_SQL, threshold_days
+from .fits import count_fit_sql, drought_sql
+from .inputs import DAILY, OBS, daily, observations, window_sql
+from .polynomials import p_sql
 
 
 def _series(spark, d, half=7):
@@ -66,7 +68,8 @@ def count_regression(spark, d):
 def drought_index(spark, d):
     """Seasonal drought index of each entity's water balance."""
     s = seasons.season_aggregate(daily(spark, d), ["entity"], "day", F.sum(F.col("wet") - F.col("dry")), "balance", 30)
-    return drought.standardise(s, ["entity", "x"], "balance", F.col("y").between(1995, 1999), "spei").select("entity", "x", "y", "balance", "spei")
+    return drought.standardise(s, ["entity", "x"], "balance", F.col("y").between(1995, 1999), "spei").select(
+        "entity", "x", "y", "balance", num.round_to("spei", 4).alias("spei"))
 
 
 def clipped_statistics(spark, d):
@@ -92,29 +95,6 @@ def fitted_line_ends(spark, d):
                     at("_lo", "x_max").alias("end_lo"), at("_hi", "x_max").alias("end_hi"))
 
 
-CDF_NUM, CDF_DEN = num.CDF_NUM, num.CDF_DEN
-
-
-def _poly(coefs, x):
-    out = repr(coefs[0]) + "::DOUBLE"
-    for k in coefs[1:]:
-        out = f"({out} * {x} + {k!r}::DOUBLE)"
-    return out
-
-
-def cdf_sql(x: str) -> str:
-    """Normal distribution function of an expression, as the Spark side computes it."""
-    a = f"abs({x})"
-    body = f"exp(-{a} * {a} / 2) * {_poly(CDF_NUM, a)} / {_poly(CDF_DEN, a)}"
-    tail = f"exp(-{a} * {a} / 2) / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE))))) / {num.CDF_ROOT}::DOUBLE"
-    lower = f"(CASE WHEN {a} > 37 THEN 0 WHEN {a} < {num.CDF_SPLIT}::DOUBLE THEN {body} ELSE {tail} END)"
-    return f"(CASE WHEN {x} > 0 THEN 1 - {lower} ELSE {lower} END)"
-
-
-def p_sql(z: str) -> str:
-    return f"2 * {cdf_sql(f'(-abs({z}))')}"
-
-
 SERIES = window_sql(7) + """, ser AS (SELECT entity, CAST(target AS INTEGER) AS slot, wy AS x, avg(v_mean) AS y FROM win GROUP BY ALL),
  idx AS (SELECT *, row_number() OVER (PARTITION BY entity, slot ORDER BY x) AS i, count(*) OVER (PARTITION BY entity, slot) AS n FROM ser),
  good AS (SELECT * FROM idx WHERE n >= 5),
@@ -150,8 +130,11 @@ QUERIES = {
     "least_squares": (least_squares, f"""WITH {OBS}, o AS (SELECT entity, month(day)::INTEGER AS month, year(day) AS x, value AS y FROM obs)
       SELECT entity, month, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, 100 * regr_slope(y, x) AS per_century,
       min(x)::INTEGER AS x_min, max(x)::INTEGER AS x_max FROM o GROUP BY ALL"""),
-    "count_regression": (count_regression, None),
-    "drought_index": (drought_index, None),
+    "count_regression": (count_regression, f"""WITH RECURSIVE tc AS (SELECT * FROM ({THRESHOLD_SQL})), {count_fit_sql("tc", ["entity", "kind", "threshold", "streak"], 5, 5, "year = 2001")},
+      ks AS (SELECT DISTINCT entity, kind, threshold, streak FROM tc)
+      SELECT ks.*, coalesce(fit_ok, true) AS fit_ok, rate, per_decade, p_value FROM ks LEFT JOIN fits USING (entity, kind, threshold, streak)"""),
+    "drought_index": (drought_index, f"""WITH RECURSIVE {DAILY}, {SEASON_SQL}, {drought_sql("complete", ["entity", "x"], "bal", "y BETWEEN 1995 AND 1999")}
+      SELECT entity, x, y, bal AS balance, floor(spei * 10000 + 0.5) / 10000 AS spei FROM dry"""),
     "clipped_statistics": (clipped_statistics, f"""WITH {SERIES} SELECT entity, slot, floor(least(greatest({p_sql('z_mk')}, 0.0001), 0.9999) * 1000 + 0.5) / 1000 AS p,
       floor(least(greatest(slope * 10, -50), 50) * 100 + 0.5) / 100 AS per_decade FROM sc"""),
     "trend_bands": (trend_bands, f"""WITH {SERIES}, p AS (SELECT *, {p_sql('z_mk')} AS p_mk FROM sc) SELECT entity, slot,

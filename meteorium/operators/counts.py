@@ -110,6 +110,10 @@ def nb2_loglik(theta: np.ndarray, t: np.ndarray, y: np.ndarray, ks: np.ndarray,
     return ll, grad, hess
 
 
+#: Log dispersion below which a fit is given up: the counts vary less than a Poisson count, and rounding alone would decide.
+NO_DISPERSION = -11.0
+
+
 def fit_nb2(t: np.ndarray, y: np.ndarray, max_iter: int = 200) -> tuple:
     """Maximum-likelihood NB2 regression log mu = a + b t by damped Newton steps in (a, b, log alpha).
 
@@ -152,7 +156,7 @@ def fit_nb2(t: np.ndarray, y: np.ndarray, max_iter: int = 200) -> tuple:
                 theta, (ll, g, h), moved = new, out, True
                 break
             damp = max(damp * 10, 1e-6)
-        if not moved or theta[2] < -16:
+        if not moved or theta[2] < NO_DISPERSION:
             break
     al = float(np.exp(theta[2]))
     try:

@@ -47,6 +47,8 @@ class Settings:
     min_season_days: int = 30
     min_month_days: int = 20
     min_series_years: int = 10
+    min_count_years: int = 10
+    min_count_nonzero: int = 10
 
 
 def station_table(config: DataFrame, ids: DataFrame, details: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def tropical(per_day: DataFrame, stations: DataFrame, s: Settings = Settings(),
     packed = (per_year.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("year", "count"))).alias("_s"))
               .select(*group, F.transform("_s", lambda p: p["year"]).alias("years"),
                       F.transform("_s", lambda p: p["count"].cast("int")).alias("counts")))
-    fitted = counts.count_trend(packed, exclude_year)
+    fitted = counts.count_trend(packed, exclude_year, s.min_count_years, s.min_count_nonzero)
     return (fitted.join(_ids(stations), "location", "left")
             .select(F.col("location").alias("era5_name"), "station_id", "kind", F.col("threshold").cast("int").alias("threshold"),
                     "streak", "years", "counts", F.size(F.filter("counts", lambda c: c > 0)).alias("nonzero_count"),
@@ -202,9 +204,9 @@ def drought_series(per_day: DataFrame, stations: DataFrame, s: Settings = Settin
     # a seasonal value also counts for the year's mean; every other series has one value per year
     both = F.explode(F.when(F.col("series").isin(cal.SEASONS), F.array(F.col("series"), F.lit("Annual"))).otherwise(F.array("series")))
     values = (rounded.select("location", "y", both.alias("series"), "spei").groupBy(*group, "y")
-              .agg(F.avg("spei").alias("_m"), F.count("spei").alias("_n"))
+              .agg(F.sum(F.rint(F.col("spei") * 100).cast("long")).alias("_s"), F.count("spei").alias("_n"))  # whole hundredths: no order of addition, exact ties
               .filter((F.col("series") != "Annual") | (F.col("_n") >= 2))
-              .select(*group, "y", F.when(F.col("series") == "Annual", num.round_to("_m", 2)).otherwise(F.col("_m")).alias("spei")))
+              .select(*group, "y", (F.floor(F.col("_s") / F.col("_n") + 0.5) / 100).alias("spei")))
     fitted = trends.robust_trend(trends.yearly_series(values, group, "y", "spei"), s.min_series_years, drop_short=False)
     trend = F.when(F.col("slope").isNotNull(), F.struct(
         num.round_to(F.col("slope") * 10, 3).alias("slope_per_decade"), num.round_to("p_mk", 3).alias("p_value"),
