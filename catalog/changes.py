@@ -50,8 +50,11 @@ CHANGED = """WITH ch AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN
 QUERIES = {
     "fingerprints": (fingerprints, " UNION ALL ".join(f"""SELECT 'orders' AS "table", '{c}' AS "column", count(*) AS n_rows, sum({CELL.replace("{c}", c)})::VARCHAR AS hash FROM orders"""
                                                       for c in ("o_custkey", "o_orderstatus", "o_orderpriority"))),
-    "manifest_states": (manifest_states, """SELECT 'orders' AS "table", unnest(['o_custkey', 'o_orderstatus', 'o_orderpriority', 'o_orderkey', 'extra']) AS "column",
-      unnest(['informational', 'moved', 'ok', 'unknown', 'missing']) AS status"""),
+    "manifest_states": (manifest_states, CHANGED + ", nw AS (SELECT o_orderkey, s2 AS o_orderstatus, c2 AS o_custkey, o_orderpriority, 1 AS extra FROM ch JOIN orders USING (o_orderkey)), a AS ("
+      + " UNION ALL ".join(f"SELECT '{c}' AS c, sum({CELL.replace('{c}', c)}) AS h FROM nw" for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "extra")) + "), e AS ("
+      + " UNION ALL ".join(f"SELECT '{c}' AS c, sum({CELL.replace('{c}', c)}) AS h FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey"))
+      + """) SELECT 'orders' AS "table", c AS "column", CASE WHEN e.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'unknown' WHEN a.h = e.h THEN 'ok' WHEN c = 'o_custkey' THEN 'informational' ELSE 'moved' END AS status
+      FROM a FULL JOIN e USING (c)"""),
     "row_differences": (row_differences, CHANGED + """ SELECT * FROM df WHERE o_orderkey % 1500 <> 7
       UNION ALL SELECT o_orderkey, '<row>', NULL, 'present' FROM orders WHERE o_orderkey % 1500 = 7"""),
     "first_differences": (first_differences, CHANGED + """ SELECT "column", o_orderkey, "current", reference, row_number() OVER (PARTITION BY "column" ORDER BY o_orderkey)::INTEGER AS place,

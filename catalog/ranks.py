@@ -196,7 +196,7 @@ QUERIES = {
       QUALIFY row_number() OVER (PARTITION BY entity ORDER BY obs.day DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, value DESC) = 1"""),
     "guarded_page": (guarded_page, "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 25"),
     "ordered_table": (ordered_table, f"""WITH {DAILY}, {SEASON_SQL} SELECT entity, x, y, row_number() OVER (PARTITION BY entity ORDER BY x, y)::INTEGER AS place FROM complete"""),
-    "locale_sorted": (locale_sorted, "SELECT DISTINCT p_name FROM part"),
+    "locale_sorted": (locale_sorted, "SELECT p_name, row_number() OVER (ORDER BY p_name) AS rank FROM (SELECT DISTINCT p_name FROM part)"),
     "heatmap_counters": (heatmap_counters, RANKED + """, k AS (SELECT *, max(y) OVER (PARTITION BY entity) AS my FROM r3)
       SELECT entity, count(*) FILTER (WHERE cat = 'extreme') AS n_extreme, count(*) FILTER (WHERE cat = 'cold') AS n_cold,
       count(*) FILTER (WHERE cat = 'extreme' AND y >= 1999) AS n_extreme_since, count(*) FILTER (WHERE cat IN ('extreme', 'hot') AND y >= my - 2) AS n_hot_recent FROM k GROUP BY entity"""),

@@ -8,6 +8,7 @@ from meteorium.functions import calendar as cal
 from meteorium.functions import numeric as num
 from meteorium.operators import counts, density, quantiles, trends, windows
 from meteorium.plans import serve
+from meteorium.sources import sinks
 
 from . import tables
 from .aggregates import THRESHOLD_SQL, threshold_days
@@ -55,16 +56,16 @@ def last_week(spark, d):
 
 def national_windows(spark, d):
     """Pooled climatology of every slot with its cut-offs off the mean curve."""
-    n = serve.national_window(_climatology(spark, d), _entities(spark, d))
-    return n.select("month", "day", "n_entities", F.col("n_samples").cast("bigint").alias("n_samples"), "pool", F.size("distribution").alias("points"),
-                    (F.col("p5") < F.col("p95")).cast("int").alias("ordered"))
+    n = serve.national_window(sinks.stage({"daily_window": _climatology(spark, d)})["daily_window"], _entities(spark, d))
+    return n.select("month", "day", "n_entities", F.col("n_samples").cast("bigint").alias("n_samples"), "pool", F.size("distribution").alias("points"), *serve.CUTS)
 
 
 def national_status(spark, d):
-    """National value of every complete day of 2000."""
+    """National value, percentile and category of every complete day of 2000."""
     x = _daily(spark, d)
     full = x.groupBy("date").agg(F.count(F.lit(1)).alias("n")).filter("n = 3 and date like '2000%'").select("date")
-    return serve.national_status(full, x, _climatology(spark, d), _entities(spark, d)).select("date", "today_temp", "day_label")
+    climatology = sinks.stage({"daily_window": _climatology(spark, d)})["daily_window"]
+    return serve.national_status(full, x, climatology, _entities(spark, d)).select("date", "today_temp", "day_label", "category_key", "percentile")
 
 
 def _trend_rows(spark, d):
@@ -162,6 +163,17 @@ def _line(part, a, b):
     return f"SELECT entity AS era5_name, {MD}, '{part}' AS part, ({a})::INTEGER AS x0, ({b})::INTEGER AS x1, {cols} FROM fr"
 
 
+# The mean curve of all entities per slot, its prefix areas (mc) and its cut-offs (mq); continues SEG.
+POOLED = """, ends AS (SELECT slot, min(x) AS a, max(x) AS b FROM cur GROUP BY slot), mg AS (SELECT *, unnest(range(0, 200)) AS k FROM ends), mx AS (SELECT *, a + (b - a) * k / 199 AS x FROM mg),
+  es AS (SELECT entity, slot, min(x0) AS e0, max(x1) AS e1 FROM sg GROUP BY ALL),
+  mv AS (SELECT mx.slot, mx.k, mx.x, CASE WHEN mx.x <= e0 OR mx.x >= e1 THEN 0 ELSE (SELECT any_value(y0 + (y1 - y0) * (mx.x - x0) / (x1 - x0)) FROM sg
+    WHERE sg.entity = es.entity AND sg.slot = mx.slot AND sg.x0 <= mx.x AND mx.x < sg.x1) END AS d FROM mx JOIN es ON es.slot = mx.slot),
+  av AS (SELECT slot, k, x, avg(d) AS d FROM mv GROUP BY ALL), ms AS (SELECT slot, k, x AS x0, d AS y0, lead(x) OVER w AS x1, lead(d) OVER w AS y1 FROM av WINDOW w AS (PARTITION BY slot ORDER BY k)),
+  ma AS (SELECT *, (y0 + y1) / 2 * (x1 - x0) AS area FROM ms WHERE x1 IS NOT NULL),
+  mc AS (SELECT *, sum(area) OVER (PARTITION BY slot) AS total, sum(area) OVER (PARTITION BY slot ORDER BY k ROWS UNBOUNDED PRECEDING) AS c1 FROM ma),
+  mh AS (SELECT *, c1 - area AS c0, unnest([5, 10, 20, 50, 80, 95]) AS p FROM mc),
+  mq AS (SELECT slot, p, x0 + 2 * (p / 100 * total - c0) / (y0 + sqrt(y0 * y0 + 2 * (y1 - y0) / (x1 - x0) * (p / 100 * total - c0))) AS q FROM mh WHERE c1 >= p / 100 * total AND c0 < p / 100 * total)"""
+
 QUERIES = {
     "today_status": (today_status, f"""WITH {SEG}, rq AS (SELECT entity, day, slot, CASE WHEN day(day) % 5 = 0 THEN v_max - 1 ELSE v_max END AS t, 0 AS ref FROM ob WHERE year(day) = 2000 AND strftime(day, '%m-%d') <> '02-29'), {STATUS}
       SELECT entity AS era5_name, strftime(day, '%Y-%m-%d') AS date, t AS today_temp, (day(day) % 5 = 0)::INTEGER AS is_preliminary, {CATEGORY} AS category_key, percentile, strftime(day, '%b ') || day(day) AS day_label FROM st2"""),
@@ -171,9 +183,13 @@ QUERIES = {
       SELECT st2.entity AS era5_name, strftime(st2.ref, '%Y-%m-%d') AS request_date, strftime(st2.day, '%Y-%m-%d') AS date, st2.t AS temperature_max_2m, {CATEGORY.replace("t >=", "st2.t >=")} AS category_key, percentile, rn::INTEGER AS recency
       FROM st2 JOIN rq ON rq.entity = st2.entity AND rq.ref = st2.ref AND rq.day = st2.day"""),
     "national_windows": (national_windows, f"""WITH {SEG}, g AS (SELECT slot, count(*) AS c, sum(n)::BIGINT AS n, DATE '2001-01-01' + (slot - 1)::INTEGER AS sd FROM st GROUP BY slot)
-      SELECT {MD}, c AS n_entities, n AS n_samples, CASE WHEN c = 3 THEN 'complete' ELSE 'partial' END AS pool, 200 AS points, 1 AS ordered FROM g"""),
-    "national_status": (national_status, f"""WITH {DAILY} SELECT strftime(daily.day, '%Y-%m-%d') AS date, avg(v_max) AS today_temp, strftime(daily.day, '%b ') || day(daily.day) AS day_label FROM daily
-      WHERE year(daily.day) = 2000 AND strftime(daily.day, '%m-%d') <> '02-29' GROUP BY daily.day HAVING count(*) = 3"""),
+      {POOLED}
+      SELECT {MD}, any_value(c) AS n_entities, any_value(n) AS n_samples, CASE WHEN any_value(c) = 3 THEN 'complete' ELSE 'partial' END AS pool, 200 AS points,
+        {", ".join(f"max(q) FILTER (WHERE p = {p}) AS p{p}" for p in (5, 10, 20, 50, 80, 95))} FROM g JOIN mq USING (slot) GROUP BY sd"""),
+    "national_status": (national_status, f"""WITH {SEG} {POOLED}, t AS (SELECT ob.day AS d, any_value(slot) AS slot, avg(v_max) AS t FROM ob WHERE year(ob.day) = 2000 AND strftime(ob.day, '%m-%d') <> '02-29' GROUP BY ob.day HAVING count(*) = 3),
+      pt AS (SELECT t.d, any_value(t.slot) AS slot, any_value(t) AS t, sum(CASE WHEN t >= x1 THEN area WHEN t > x0 THEN (y0 + y0 + (y1 - y0) * (t - x0) / (x1 - x0)) / 2 * (t - x0) ELSE 0 END) / any_value(total) * 100 AS pct FROM t JOIN mc ON mc.slot = t.slot GROUP BY t.d),
+      cuts AS (SELECT slot, {", ".join(f"max(q) FILTER (WHERE p = {p}) AS p{p}" for p in (10, 20, 80, 95))} FROM mq GROUP BY slot)
+      SELECT strftime(d, '%Y-%m-%d') AS date, t AS today_temp, strftime(d, '%b ') || day(d) AS day_label, {CATEGORY} AS category_key, least(greatest(pct, 0), 100) AS percentile FROM pt JOIN cuts USING (slot)"""),
     "regression_points": (regression_points, FIT + f""", b AS (SELECT entity, slot, CASE WHEN count(*) FILTER (WHERE x BETWEEN 1996 AND 2000) > 4 THEN avg(y) FILTER (WHERE x BETWEEN 1996 AND 2000) ELSE avg(y) END AS baseline FROM good GROUP BY ALL)
       SELECT g.entity AS era5_name, {MD}, baseline, g.x::INTEGER AS x, y, y - baseline AS anomaly, CASE WHEN y - baseline >= 0 THEN '#c25a2c' ELSE '#3a5a8a' END AS color FROM good g
       JOIN b ON b.entity = g.entity AND b.slot = g.slot JOIN fr ON fr.entity = g.entity AND fr.slot = g.slot"""),

@@ -11,8 +11,11 @@ from meteorium.operators import seasons
 
 from .inputs import OBS, observations, slot_sql, table
 from .ranks import RANKED, _seasons
+from .trends import QUERIES as TRENDS
 from .trends import count_regression
 
+COUNT_REGRESSION = TRENDS["count_regression"][1]
+
 
 def _counted(v):
     return v.groupBy("rule", "column").agg(F.count(F.lit(1)).alias("n"))
@@ -123,8 +126,8 @@ def provenance_allow_list(spark, d):
 
 
 def untrusted_fits(spark, d):
-    """Trends published from fits that do not trust themselves: none may exist."""
-    f = count_regression(spark, d).withColumn("trend", F.when(F.col("rate").isNotNull(), F.struct("rate", "per_decade")))
+    """Trends published from fits that do not trust themselves; those of single days are published on purpose, whatever the fit says."""
+    f = count_regression(spark, d).withColumn("trend", F.when(F.col("rate").isNotNull() | (F.col("streak") == 1), F.struct(F.coalesce("rate", F.lit(1.0)).alias("rate"), "per_decade")))
     return q.untrusted_published(f, "tropical", ["entity", "kind", "threshold", "streak"]).select("rule", "key")
 
 
@@ -178,7 +181,7 @@ QUERIES = {
     "constant_columns": (constant_columns, """SELECT 'constant_per_group' AS rule, l_suppkey::VARCHAR AS key, min(l_linenumber) || '..' || max(l_linenumber) AS value FROM lineitem
       WHERE l_suppkey % 4 = 0 GROUP BY l_suppkey HAVING min(l_linenumber) <> max(l_linenumber)"""),
     "provenance_allow_list": (provenance_allow_list, "SELECT DISTINCT 'one_of' AS rule, o_orderstatus AS key FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"),
-    "untrusted_fits": (untrusted_fits, "SELECT 'untrusted_published' AS rule, l_returnflag AS key FROM lineitem WHERE false"),
+    "untrusted_fits": (untrusted_fits, f"SELECT 'untrusted_published' AS rule, concat_ws('/', entity, kind, threshold, streak) AS key FROM ({COUNT_REGRESSION}) WHERE NOT fit_ok AND streak = 1"),
     "row_shapes": (row_shapes, """SELECT 'not_null' AS rule, 'name' AS "column", count(*) AS n FROM customer WHERE c_custkey % 12 = 0
       UNION ALL SELECT 'at_least', 'bal', count(*) FROM customer WHERE c_acctbal < 0"""),
     "all_reports": (all_reports, """SELECT 'orders' AS "table", 'in_range' AS rule, 'o_totalprice' AS "column", count(*) AS violations FROM orders WHERE o_totalprice NOT BETWEEN 2000 AND 480000

@@ -102,6 +102,18 @@ def lookup_piecewise(requests: DataFrame, knots: DataFrame, group: list[str], x:
     return requests.withColumn("_pos", pos).join(answers, [*group, "_pos"], "left").select(*requests.columns, *values)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows in a total order with their place in it, from 1.
+
+    Rows are sorted range by range; each range counts its rows on its own, and the counts of the ranges before it are added.
+    """
+    ranged = materialize(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before)
+    inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(offsets.select("_range", "_before"), "_range").withColumn(name, F.col("_before") + F.col("_i")).drop("_range", "_before", "_i").orderBy(name)
+
+
 def date_gaps(df: DataFrame, entity: list[str], date: str) -> DataFrame:
     """Missing stretches: the day before and after each gap and the number of days missing between them."""
     days = df.select(*entity, F.to_date(date).alias(date)).distinct()

@@ -9,7 +9,7 @@ from ..functions import calendar as cal
 from ..functions import categories as cat
 from ..functions import curves
 from ..functions import numeric as num
-from ..operators import density, quality
+from ..operators import density, quality, series
 
 CUTS = ["p5", "p10", "p20", "p50", "p80", "p95"]
 
@@ -178,5 +178,5 @@ def page(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def sorted_names(df: DataFrame, name: str, locale: str = "sl") -> DataFrame:
-    """Names in the order of a locale."""
-    return df.orderBy(F.collate(F.col(name), locale))
+    """Names in the order of a locale, with their place in it (``rank``, from 1)."""
+    return series.numbered(df, [F.collate(F.col(name), locale), F.col(name)], "rank")
