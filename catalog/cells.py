@@ -131,6 +131,23 @@ COUNTRY = f"""WITH {OBS}, m AS (SELECT year(day) AS year, month(day) AS month, l
   country AS (SELECT year, avg(value) AS a FROM yr GROUP BY year),
   rc AS (SELECT x, y, year, avg(value) OVER w AS running, count(*) OVER w AS n FROM yr WINDOW w AS (PARTITION BY x, y ORDER BY year ROWS 2 PRECEDING))"""
 
+def _spline(n: str, source: str, key: str, pos: str) -> str:
+    """CTEs that end in ``n``: lines of ``source`` (key, pos, v) with the second derivatives of their not-a-knot splines, by elimination from one end and back."""
+    return f"""{n}_l AS (SELECT {key}, list(v ORDER BY {pos}) AS y FROM {source} GROUP BY {key}),
+      {n}_b AS (SELECT *, list_transform(range(1, len(y) + 1), lambda i: CASE WHEN i = 1 OR i = len(y) THEN 0 ELSE 6 * (y[i + 1] - 2 * y[i] + y[i - 1]) END) AS b FROM {n}_l),
+      {n}_f AS (SELECT {key}, y, b, [0::DOUBLE, b[2] / 6] AS m, [0::DOUBLE, 0::DOUBLE] AS f, 2 AS k FROM {n}_b
+        UNION ALL SELECT {key}, y, b, list_append(m, (b[k + 1] - m[k]) / (4 - f[k])), list_append(f, 1 / (4 - f[k])), k + 1 FROM {n}_f WHERE k + 1 <= len(y) - 2),
+      {n}_r AS (SELECT {key}, y, b, m, f, [b[len(y) - 1] / 6] AS s, len(y) - 1 AS k FROM {n}_f WHERE k = len(y) - 2
+        UNION ALL SELECT {key}, y, b, m, f, list_prepend(m[k - 1] - f[k - 1] * s[1], s), k - 1 FROM {n}_r WHERE k - 1 >= 3),
+      {n} AS (SELECT {key}, y, list_concat([2 * m[2] - s[1], m[2]], s, [2 * s[len(s)] - s[len(s) - 1]]) AS s FROM {n}_r WHERE k = 3)"""
+
+
+def _halved(n: str, key: str, out: str) -> str:
+    """Knots and middles of the lines of ``n``."""
+    return f"""SELECT {key}, i AS {out}, CASE WHEN i % 2 = 0 THEN y[i // 2 + 1] ELSE (y[i // 2 + 1] + y[i // 2 + 2]) / 2 - (s[i // 2 + 1] + s[i // 2 + 2]) / 16 END AS v
+      FROM (SELECT *, unnest(range(0, 2 * len(y) - 1)) AS i FROM {n})"""
+
+
 QUERIES = {
     "long_grid": (long_grid, "SELECT vec_id AS y, len(embedding)::INTEGER AS cells, embedding[8]::DOUBLE AS eighth, list_max(embedding)::DOUBLE AS high FROM embeddings"),
     "closed_longitude": (closed_longitude, f"""WITH {CELLS}, c AS (SELECT x * 5.625::DOUBLE AS lon, elevation FROM cells UNION ALL SELECT 360.0, elevation FROM cells WHERE x = 0)
@@ -141,7 +158,9 @@ QUERIES = {
       UNION ALL SELECT 2 * a.x + 1, 2 * a.y + 1, (a.elevation + b.elevation + c.elevation + e.elevation) / 4 FROM cells a JOIN cells b ON b.y = a.y AND b.x = a.x + 1
         JOIN cells c ON c.x = a.x AND c.y = a.y + 1 JOIN cells e ON e.x = a.x + 1 AND e.y = a.y + 1)
       SELECT fx, count(*) AS n, sum(v) AS total, max(v) AS high FROM f GROUP BY fx"""),
-    "bicubic_grid": (bicubic_grid, None),
+    "bicubic_grid": (bicubic_grid, f"""WITH RECURSIVE {CELLS}, src AS (SELECT x, y AS row_no, elevation AS v FROM cells), {_spline("h", "src", "row_no", "x")},
+      fine AS ({_halved("h", "row_no", "fx")}), {_spline("w", "fine", "fx", "row_no")}, done AS ({_halved("w", "fx", "fy")})
+      SELECT fx, count(*) AS n, avg(v) AS mean FROM done GROUP BY fx"""),
     "flood_extent": (flood_extent, _reach([5]) + " SELECT x, y FROM reach"),
     "flood_levels": (flood_levels, _reach(LEVELS) + " SELECT lv.cm::INTEGER AS level_cm, count(x) AS px FROM lv LEFT JOIN reach ON reach.cm = lv.cm GROUP BY ALL"),
     "newly_flooded": (newly_flooded, _reach([1, 10]) + " SELECT x, count(*) AS n FROM reach a WHERE cm = 10 AND NOT EXISTS (SELECT 1 FROM reach b WHERE b.cm = 1 AND b.x = a.x AND b.y = a.y) GROUP BY x"),

@@ -12,6 +12,7 @@ from meteorium.functions import text as txt
 from meteorium.operators import grids
 from meteorium.plans import emissions
 from meteorium.sources import readers
+from meteorium.streaming import rollup
 
 from .inputs import DAILY, OBS, daily, day_text, observations, table
 
@@ -101,7 +102,7 @@ def valid_records(spark, d):
     """Finite values in years 1996 to 2000; some values are broken on purpose."""
     v = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).when(F.col("l_linenumber") == 4, F.lit(None)).otherwise(F.col("value"))
     o = observations(spark, d).select("entity", F.year("day").alias("year"), v.alias("value"))
-    good = o.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("year").between(1996, 2000))
+    good = rollup.valid_records(o, "year", "value", (1996, 2000))
     return good.groupBy("entity", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
@@ -116,8 +117,7 @@ def map_variable(spark, d):
     """One variable of the wide map for one period."""
     wide = daily(spark, d).groupBy("entity", F.year("day").alias("year")).agg(
         F.max("v_max").alias("ensmean"), F.min("v_min").alias("perc10"), F.max("wet").alias("perc90"))
-    long = wide.unpivot(["entity", "year"], ["ensmean", "perc10", "perc90"], "variable", "value")
-    return long.filter((F.col("year") == 1998) & F.col("variable").isin("ensmean", "perc10"))
+    return grids.map_variables(wide, ["entity"], ["ensmean", "perc10", "perc90"], ["ensmean", "perc10"], "year", 1998)
 
 
 def variable_units(spark, d):

@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 
 from meteorium import session
 from meteorium.functions import geo
-from meteorium.operators import change
+from meteorium.operators import change, grids
 from meteorium.sources import readers, sinks
+from meteorium.streaming import rollup
 
 from .inputs import DAILY, OBS, daily, day_text, observations, table
 
@@ -83,7 +84,7 @@ def ascii_grids(spark, d):
 
 def cube_cells(spark, d):
     """Cube slices to long cells."""
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("x", "v"))
+    e = grids.cells_from_rows(table(spark, d, "embeddings"), ["label"], "embedding", "v")
     return e.groupBy("label", "x").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("v").cast("double")).alias("high"))
 
 
@@ -158,10 +159,15 @@ def changed_inputs(spark, d):
 
 
 def measurement_rows(spark, d):
-    """Sub-hourly measurements read with a declared schema."""
-    s = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType())])
-    e = spark.read.schema(s).parquet(f"{d}/events.parquet")
-    return e.groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("high"))
+    """Sub-hourly measurements in their nine declared columns; events stand for readings, users for stations."""
+    ts, value = F.col("ts"), F.col("value")
+    named = {"station_id": F.col("user_id") % 40, "timestamp": ts, "year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "temperature_interval_2m": value,
+             "temperature_average_2m": value / 2, "temperature_min_2m": value / 4, "temperature_max_2m": value * 2}
+    m = rollup.read_measurements(spark, f"{d}/events.parquet", named)
+    assert m.schema.names == rollup.MEASUREMENTS.names
+    return m.groupBy("station_id", F.hour("timestamp").alias("hour"), "month").agg(
+        F.count(F.lit(1)).alias("n"), F.max("temperature_max_2m").alias("high"), F.min("temperature_min_2m").alias("low"), F.max("temperature_average_2m").alias("mean"),
+        F.max("temperature_interval_2m").alias("interval"), F.min("day").alias("first_day"), F.max("year").alias("year"))
 
 
 def fixed_decimals(spark, d):
@@ -230,7 +236,8 @@ QUERIES = {
     "file_patterns": (file_patterns, """SELECT year(o_orderdate)::VARCHAR AS year, count(*) AS n FROM orders
       WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 GROUP BY ALL"""),
     "changed_inputs": (changed_inputs, """SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id % 3 = 0 GROUP BY source"""),
-    "measurement_rows": (measurement_rows, """SELECT event_type, hour(ts)::INTEGER AS hour, count(*) AS n, max(value) AS high FROM events GROUP BY ALL"""),
+    "measurement_rows": (measurement_rows, """SELECT (user_id % 40)::INTEGER AS station_id, hour(ts)::INTEGER AS hour, month(ts)::DOUBLE AS month, count(*) AS n, max(value * 2) AS high,
+      min(value / 4) AS low, max(value / 2) AS mean, max(value) AS interval, min(day(ts))::DOUBLE AS first_day, max(year(ts))::DOUBLE AS year FROM events GROUP BY ALL"""),
     "fixed_decimals": (fixed_decimals, """SELECT o_custkey, printf('%.2f', max(o_totalprice)) AS high, printf('%.2f', min(o_totalprice)) AS low
       FROM orders GROUP BY o_custkey"""),
     "inventory": (inventory, " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n_rows FROM {n}"

@@ -8,6 +8,7 @@ from meteorium.functions import calendar as cal
 from meteorium.functions import categories as cat
 from meteorium.operators import quality as q
 from meteorium.operators import seasons
+from meteorium.plans import validation
 
 from .inputs import OBS, observations, slot_sql, table
 from .ranks import RANKED, _seasons
@@ -131,6 +132,40 @@ def untrusted_fits(spark, d):
     return q.untrusted_published(f, "tropical", ["entity", "kind", "threshold", "streak"]).select("rule", "key")
 
 
+def served_shapes(spark, d):
+    """Served rows and records that lack their shape: station rows, percentile rows and live records made of suppliers and customers, some of them broken."""
+    s = table(spark, d, "supplier")
+    text = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    num = lambda c: F.col(c).cast("string")
+    key = F.col("s_suppkey")
+    station = F.concat_ws(",", num("s_suppkey"), text("s_name"), text("s_name"), F.when(key % 5 == 0, F.lit("null")).otherwise(text("s_name")),
+                          F.when(key % 7 == 0, text("s_name")).otherwise(num("s_nationkey")), F.lit('"x"'), num("s_nationkey"), F.lit("14.5"), F.when(key % 11 != 0, F.lit("46")))
+    live = F.concat(F.lit('{"station": {"id": "a", "name": '), text("s_name"), F.lit(', "coordinate": {"latitude": 46, "longitude": 14.5, "altitude": '),
+                    F.when(key % 3 == 0, F.lit('"high"')).otherwise(F.lit("300")), F.lit('}}, "condition": {"timestamp": "t", "temperature": 1.5}, "statistics": {"timestamp": "t", '),
+                    F.when(key % 4 == 0, F.lit("")).otherwise(F.lit('"temperature_average_24h": 1, ')),
+                    F.lit('"temperature_min_24h": 0, "temperature_max_24h": 2.5, "timestamp_temperature_min_24h": "t", "timestamp_temperature_max_24h": "t"}}'))
+    c = table(spark, d, "customer")
+    cuts = F.concat_ws(",", F.col("c_custkey").cast("string"), F.lit("3"), F.when(F.col("c_custkey") % 6 == 0, F.lit("20230101")).otherwise(F.lit('"2023-01-01"')),
+                       *[F.lit(str(k)) for k in range(8)], F.when(F.col("c_custkey") % 10 == 0, F.lit("null")).otherwise(F.col("c_acctbal").cast("string")))
+    wrap = lambda x: F.concat(F.lit("["), x, F.lit("]"))
+    rows = q.row_violations(s.select("s_suppkey", wrap(station).alias("station"), live.alias("live")), "served", ["s_suppkey"],
+                            [q.row_shape("station", q.STATION_ROW), q.record_shape("live", q.LIVE_STATION)])
+    return rows.unionByName(q.row_violations(c.select("c_custkey", wrap(cuts).alias("cuts")), "percentiles", ["c_custkey"], [q.row_shape("cuts", q.PERCENTILE_ROW)])).select("rule", "key", "column")
+
+
+def text_tables(spark, d):
+    """A derived table as text, with numbers that are none, are not whole or are missing: what its declared types and rules report."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    daily = o.select(F.concat(F.lit("S"), (F.col("o_custkey") % 3).cast("string")).alias("era5_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+                     F.when(k % 97 == 0, "nineteen").otherwise(F.year("o_orderdate").cast("string")).alias("year"), F.when(k % 89 == 0, "2.5").otherwise(F.concat(F.month("o_orderdate").cast("string"), F.lit(".0"))).alias("month"),
+                     F.dayofmonth("o_orderdate").cast("string").alias("day"), F.when(k % 83 == 0, F.lit(None)).otherwise(F.lit("5.5")).alias("temperature_max_2m"),
+                     F.when(k % 79 == 0, "").otherwise(F.lit("4")).alias("temperature_average_2m"), F.when(k % 73 == 0, "6").otherwise(F.lit("-3e0")).alias("temperature_min_2m"))
+    config = spark.createDataFrame([], "era5_name string, lat double, lon double, elevation int, elevation_era5_m int")
+    found = validation.table_violations({"daily": daily}, config, ["S0", "S1", "S2"], (1900, 2100))
+    return found.filter("rule IN ('castable', 'not_null', 'non_decreasing')").groupBy("rule", "column").agg(F.count(F.lit(1)).alias("n"))
+
+
 def row_shapes(spark, d):
     """Rows with all fields present and of the right kind."""
     c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 12 != 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("bal"))
@@ -182,6 +217,12 @@ QUERIES = {
       WHERE l_suppkey % 4 = 0 GROUP BY l_suppkey HAVING min(l_linenumber) <> max(l_linenumber)"""),
     "provenance_allow_list": (provenance_allow_list, "SELECT DISTINCT 'one_of' AS rule, o_orderstatus AS key FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"),
     "untrusted_fits": (untrusted_fits, f"SELECT 'untrusted_published' AS rule, concat_ws('/', entity, kind, threshold, streak) AS key FROM ({COUNT_REGRESSION}) WHERE NOT fit_ok AND streak = 1"),
+    "served_shapes": (served_shapes, """SELECT 'row_shape' AS rule, s_suppkey::VARCHAR AS key, 'station' AS "column" FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0
+      UNION ALL SELECT 'record_shape', s_suppkey::VARCHAR, 'live' FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 0
+      UNION ALL SELECT 'row_shape', c_custkey::VARCHAR, 'cuts' FROM customer WHERE c_custkey % 6 = 0 OR c_custkey % 10 = 0"""),
+    "text_tables": (text_tables, """SELECT 'castable' AS rule, 'year' AS "column", count(*) AS n FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT 'castable', 'month', count(*) FROM orders WHERE o_orderkey % 89 = 0
+      UNION ALL SELECT 'castable', 'temperature_average_2m', count(*) FROM orders WHERE o_orderkey % 79 = 0 UNION ALL SELECT 'not_null', 'temperature_max_2m', count(*) FROM orders WHERE o_orderkey % 83 = 0
+      UNION ALL SELECT 'non_decreasing', 'temperature_min_2m,temperature_average_2m,temperature_max_2m', count(*) FROM orders WHERE o_orderkey % 73 = 0 AND o_orderkey % 79 <> 0"""),
     "row_shapes": (row_shapes, """SELECT 'not_null' AS rule, 'name' AS "column", count(*) AS n FROM customer WHERE c_custkey % 12 = 0
       UNION ALL SELECT 'at_least', 'bal', count(*) FROM customer WHERE c_acctbal < 0"""),
     "all_reports": (all_reports, """SELECT 'orders' AS "table", 'in_range' AS rule, 'o_totalprice' AS "column", count(*) AS violations FROM orders WHERE o_totalprice NOT BETWEEN 2000 AND 480000

@@ -155,6 +155,11 @@ def regrid_bicubic(df: DataFrame, group: list[str], x: str, y: str, value: str,
     return _spline_axis(rows, [*group, "fx"], y, value, factor, "fy")
 
 
+def map_variables(wide: DataFrame, key: list[str], variables: list[str], wanted: list[str], year: str, value: int) -> DataFrame:
+    """The wanted variables of a wide map for one period, as long cells; the period is filtered before anything is unfolded."""
+    return wide.filter(F.col(year) == value).unpivot([*key, year], [v for v in variables if v in wanted], "variable", "value")
+
+
 def cells_from_rows(df: DataFrame, key: list[str], array: str, value: str = "value", x: str = "x") -> DataFrame:
     """Array rows to long cells."""
     return df.select(*key, F.posexplode(array).alias(x, value))

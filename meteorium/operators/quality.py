@@ -104,6 +104,36 @@ def holds(name: str, column: str, good: Column, needs: tuple[str, ...] = ()) ->
     return RowRule(name, column, ~good, needs)
 
 
+# The kinds of the fields of served rows, by place, and of a live station's record, by path.
+STATION_ROW = ["number", "string", "string", "string", "number", "string", "number", "number", "number"]
+PERCENTILE_ROW = ["number", "number", "string", *["number"] * 9]
+LIVE_STATION = {
+    "$.station.id": "string", "$.station.name": "string", "$.station.coordinate.latitude": "number", "$.station.coordinate.longitude": "number",
+    "$.station.coordinate.altitude": "number", "$.condition.timestamp": "string", "$.condition.temperature": "number", "$.statistics.timestamp": "string",
+    "$.statistics.temperature_average_24h": "number", "$.statistics.temperature_min_24h": "number", "$.statistics.temperature_max_24h": "number",
+    "$.statistics.timestamp_temperature_min_24h": "string", "$.statistics.timestamp_temperature_max_24h": "string"}
+KINDS = {"number": r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)", "string": "^STRING", "boolean": "^BOOLEAN", "list": "^ARRAY", "object": "^OBJECT"}
+
+
+def _is_kind(value: Column, kind: str) -> Column:
+    """Whether a VARIANT value is there and of a kind (a number is a number, not its text)."""
+    return F.coalesce(F.schema_of_variant(value).rlike(KINDS[kind]), F.lit(False))
+
+
+def row_shape(column: str, kinds: list[str]) -> RowRule:
+    """JSON text must be a list of exactly these kinds; null is no list."""
+    items = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "array<variant>")
+    fields = [_is_kind(F.get(items, F.lit(k)), kind) for k, kind in enumerate(kinds)]
+    return RowRule("row_shape", column, ~F.coalesce((F.size(items) == len(kinds)) & reduce(lambda a, b: a & b, fields), F.lit(False)))
+
+
+def record_shape(column: str, paths: dict[str, str]) -> RowRule:
+    """JSON text must be a record that has a value of the given kind at each path; other fields may be there."""
+    record = F.try_parse_json(F.col(column))
+    fields = [_is_kind(F.try_variant_get(record, path, "variant"), kind) for path, kind in paths.items()]
+    return RowRule("record_shape", column, ~F.coalesce(reduce(lambda a, b: a & b, fields), F.lit(False)))
+
+
 def positive_count_matches(column: str, array_json: str) -> RowRule:
     """The count column equals the number of positive entries of a JSON integer array."""
     n = F.size(F.filter(F.from_json(F.col(array_json), "array<int>"), lambda v: v > 0))

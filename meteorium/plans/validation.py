@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import calendar as cal
 from ..functions import categories as cat
+from ..functions import text as txt
 from ..operators import quality as q
 from .climatology import VARIABLES
 
@@ -23,12 +25,48 @@ TABLES = ["stations", "daily", "daily_percentiles", "daily_window", "annual_tren
           "season_heatmap", "tropical", "spei", "spei_station"]
 
 
+# The number columns of the raw rows and of the derived tables, as declared.
+RAW_TYPES = {**dict.fromkeys(["latitude", "longitude", "elevation_era5_m", "elevation_diff_m", "temperature_max", "temperature_min", "temperature_mean", "precipitation_sum",
+                              "et0_evapotranspiration"], "double"), "elevation_station_m": "int"}
+WHOLE = ["station_id", "year", "month", "day", "n_samples", "year_min", "year_max", "n_years", "proj_end_year", "window", "x", "y", "rank", "total", "n_days", "threshold", "streak",
+         "nonzero_count", "elevation", "elevation_era5_m"]
+REAL = ["lat", "lon", "temperature_max_2m", "temperature_average_2m", "temperature_min_2m", "p05", "p5", "p10", "p20", "p40", "p50", "p60", "p80", "p95", "trend10", "p_val", "tau", "slope", "intercept",
+        "slope_hi", "intercept_hi", "slope_lo", "intercept_lo", "avg", "percentile", "balance", "spei"]
+TABLE_TYPES = {**dict.fromkeys(WHOLE, "int"), **dict.fromkeys(REAL, "double")}
+
+
+def _as_type(text: Column, dtype: str) -> Column:
+    """Text as a number, null where it is none; a whole number may be written with a fraction of zero."""
+    number = text.try_cast("double")
+    return F.when(number == F.floor(number), number.cast("int")) if dtype == "int" else number
+
+
+def typed(df: DataFrame, table: str, key: list[str], declared: dict[str, str]) -> tuple[DataFrame, DataFrame | None]:
+    """The table with its text columns as declared, the texts beside them, and the texts that are not of their declared type as violations."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and declared.get(f.name, "string") != "string"]
+    if not texts:
+        return df, None
+    rules = [q.RowRule("castable", c, F.col(c).isNotNull() & _as_type(F.col(c), declared[c]).isNull()) for c in texts]
+    out = df.withColumns({f"{TEXT}{c}": F.col(c) for c in texts}).withColumns({c: _as_type(F.col(c), declared[c]) for c in texts})
+    return out, q.row_violations(df, table, key, rules)
+
+
+def _on_text(df: DataFrame, rules: list[q.RowRule]) -> list[q.RowRule]:
+    """Null rules look at the text where there is one, so that a text that is no number is reported once, as such."""
+    return [q.RowRule(r.name, r.column, F.col(f"{TEXT}{r.column}").isNull(), (f"{TEXT}{r.column}",)) if r.name == "not_null" and f"{TEXT}{r.column}" in df.columns else r for r in rules]
+
+
+TEXT = "_text_"
+
+
 def raw_violations(raw: DataFrame, config: DataFrame, declared: list[str] | None = None) -> DataFrame:
     """Every rule of the raw station rows.  ``raw`` has one ``sequence`` number per row in file order.
 
     Where ``raw`` has a ``file_name``, its stem must be the location of every row of the file.
     """
     t = "raw"
+    given = raw
+    raw, untyped = typed(raw, t, ["location", "date"], RAW_TYPES)
     temps = ["temperature_max", "temperature_min", "temperature_mean"]
     rules = [*[q.not_null(c) for c in RAW_COLUMNS if c != "date"], q.parseable_date("date"),
              q.in_range("latitude", *LATITUDE), q.in_range("longitude", *LONGITUDE),
@@ -42,7 +80,7 @@ def raw_violations(raw: DataFrame, config: DataFrame, declared: list[str] | None
     have = raw.groupBy("location").agg(F.min("elevation_diff_m").alias("elevation_diff_m"), F.max("elevation_diff_m").alias("_high"))
     off = have.join(want.withColumnRenamed("elevation_diff_m", "_w"), "location").filter(
         (F.abs(F.col("elevation_diff_m") - F.col("_w")) > 1e-6) | (F.abs(F.col("_high") - F.col("_w")) > 1e-6))
-    reports = [q.row_violations(raw, t, ["location", "date"], rules),
+    reports = [q.row_violations(raw, t, ["location", "date"], _on_text(raw, rules)), *([untyped] if untyped is not None else []),
                q.expected_entities(raw, t, "location", want, "location"),
                q.daily_continuity(dated, t, ["location"], "date"),
                q.increasing_dates(dated, t, ["location"], "sequence", "date"),
@@ -52,7 +90,7 @@ def raw_violations(raw: DataFrame, config: DataFrame, declared: list[str] | None
         stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
         reports.append(q.row_violations(raw, t, ["file_name", "sequence"], [
             q.RowRule("location_is_file", "location", ~F.col("location").eqNullSafe(stem), ("file_name",))]))
-    reports.append(q.column_set(raw.drop("sequence", "file_name"), t, RAW_COLUMNS if declared is None else declared))
+    reports.append(q.column_set(given.drop("sequence", "file_name"), t, RAW_COLUMNS if declared is None else declared))
     return q.all_of(reports)
 
 
@@ -103,22 +141,31 @@ UNIQUE = ["stations", "daily_window", "annual_trend", "annual_trend_windows"]
 
 def table_violations(tables: dict[str, DataFrame], config: DataFrame, names: list[str], years: tuple[int, int],
                      declared: dict[str, list[str]] | None = None) -> DataFrame:
-    """Every rule of the derived tables, in one report.  ``names`` are the configured entities."""
+    """Every rule of the derived tables, in one report.  ``names`` are the configured entities.
+
+    Tables may come as text (as read from CSV): number columns are then read as declared, and what is no number is reported.  Where both
+    the stations and the config have a ``position``, the order of the stations is compared too.
+    """
     spark = config.sparkSession
     reports = [q.missing_tables(spark, list(tables), TABLES)]
     rules = _rules(names, years)
-    for name, df in tables.items():
-        filled = [q.not_null(c) for c in df.columns if c not in NULLABLE and not any(r.name == "not_null" and r.column == c for r in rules[name])]
-        reports.append(q.row_violations(df, name, KEYS[name], [*rules[name], *filled]))
+    tables, given = dict(tables), tables
+    for name, df in given.items():
+        df, untyped = typed(df, name, [c for c in KEYS[name] if c in df.columns], TABLE_TYPES)
+        tables[name] = df
+        reports += [untyped] if untyped is not None else []
+        filled = [q.not_null(c) for c in given[name].columns if c not in NULLABLE and not any(r.name == "not_null" and r.column == c for r in rules[name])]
+        shown = [q.holds("display_name", "name", F.col("name") == txt.display_name("era5_name"), ("era5_name",))] if name == "stations" and "name" in df.columns else []
+        reports.append(q.row_violations(df, name, KEYS[name], _on_text(df, [*rules[name], *filled, *shown])))
         if declared is not None:
-            reports.append(q.column_set(df, name, declared[name]))
+            reports.append(q.column_set(given[name], name, declared[name]))
         if name in UNIQUE and set(KEYS[name]) <= set(df.columns):
             reports.append(q.unique_key(df, name, KEYS[name]))
     has = lambda name, *columns: name in tables and set(columns) <= set(tables[name].columns)  # noqa: E731  a lost column is reported above
     t = tables
     if has("stations", "era5_name", "lat", "lon", "elevation", "elevation_era5_m"):
         reports.append(q.equals_config(t["stations"], "stations", "era5_name", config,
-                                       ["lat", "lon", "elevation", "elevation_era5_m"]))
+                                       ["lat", "lon", "elevation", "elevation_era5_m", *(["position"] if has("stations", "position") and "position" in config.columns else [])]))
     if has("daily", "era5_name", "date"):
         dated = t["daily"].withColumn("date", F.to_date("date"))
         reports += [q.entity_count(dated, "daily", "era5_name", len(names)), q.daily_continuity(dated, "daily", ["era5_name"], "date")]

@@ -5,7 +5,7 @@ Every function works on a batch or a streaming DataFrame; tests run both and com
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,24 @@ from ..functions import calendar as cal
 from ..functions import categories as cat
 from ..functions import curves
 
-MEASUREMENTS = T.StructType([
-    T.StructField("station_id", T.IntegerType()), T.StructField("time", T.TimestampType()),
-    T.StructField("temperature", T.DoubleType())])
+# The declared columns of the sub-hourly measurements.
+MEASUREMENTS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("timestamp", T.TimestampType())] + [
+    T.StructField(c, T.DoubleType()) for c in ("year", "month", "day", "temperature_interval_2m", "temperature_average_2m", "temperature_min_2m", "temperature_max_2m")])
+
+
+def read_measurements(spark: SparkSession, path: str, columns: dict[str, Column] | None = None) -> DataFrame:
+    """Measurements in their declared columns and types; ``columns`` says how to find a column that the files name otherwise.
+
+    A declared column that is not there, or has another type than declared and can't be cast, fails the query.
+    """
+    rows = spark.read.parquet(path)
+    return rows.select(*[(columns or {}).get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in MEASUREMENTS.fields])
+
+
+def valid_records(rows: DataFrame, year: str, value: str, years: tuple[int, int] = (1800, 2100)) -> DataFrame:
+    """Rows with a finite value in a year inside bounds."""
+    v = F.col(value)
+    return rows.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col(year).between(*years))
 
 
 def daily_extremes(rows: DataFrame, entity: list[str], ts: str, value: str, zone: str = "UTC",

@@ -93,6 +93,50 @@ def test_a_lost_column_does_not_silence_the_other_rules(network, config):
     assert {("missing_column", "n_days"), ("not_null", "percentile"), ("rank_total", "rank"), ("maps_to", "color"), ("one_of", "season")} <= found
 
 
+def test_tables_read_as_text_pass_and_broken_numbers_are_named_once(network, config):
+    text = {n: df.select(*[F.col(c).cast("string").alias(c) if t in ("int", "bigint", "double") else F.col(c) for c, t in df.dtypes]) for n, df in network.items()}
+    assert validation.table_violations(text, config, ["Koper", "Celje"], (1950, 2031)).collect() == []
+    broken = text["season_heatmap"].withColumns({"avg": F.lit("warm"), "rank": F.lit("1.5"), "y": F.concat("y", F.lit(".0"))}).limit(1)
+    found = [(r.rule, r.column, r.value) for r in validation.table_violations({"season_heatmap": broken}, config, ["Koper", "Celje"], (1950, 2031)).filter("table = 'season_heatmap'").collect()]
+    assert sorted(found) == [("castable", "avg", "warm"), ("castable", "rank", "1.5")]
+
+
+def test_raw_rows_read_as_text(spark, config):
+    df = spark.createDataFrame([tuple(r) for r in _raw()], RAW)
+    text = df.select(*[F.col(c).cast("string").alias(c) if t in ("int", "double") and c != "sequence" else F.col(c) for c, t in df.dtypes])
+    assert validation.raw_violations(text, config).collect() == []
+    odd = text.withColumn("temperature_max", F.when(F.col("sequence") == 3, "n/a").otherwise(F.col("temperature_max")))
+    assert {(r.rule, r.column, r.value) for r in validation.raw_violations(odd, config).collect()} == {("castable", "temperature_max", "n/a")}
+
+
+def test_order_and_display_names_of_stations(network, config):
+    names, years = ["Koper", "Celje"], (1950, 2031)
+    ordered = config.withColumn("position", F.when(F.col("era5_name") == "Koper", 0).otherwise(1))
+    stations = network["stations"].join(ordered.select("era5_name", "position"), "era5_name")
+    found = lambda s: {(r.rule, r.column) for r in validation.table_violations({"stations": s}, ordered, names, years).filter("table = 'stations' and rule <> 'missing_table'").collect()}
+    assert found(stations) == set()
+    assert found(stations.withColumn("position", 1 - F.col("position"))) == {("equals_config", "position")}
+    assert found(stations.withColumn("name", F.lit("Elsewhere"))) == {("display_name", "name")}
+
+
+def test_shapes_of_served_rows(spark):
+    good = '[1, "a", "b", "c", 2, "x", 300, 14.5, 46]'
+    rows = [good, good[:-1] + ", 1]", "[1]", None, "{}", "no", good.replace("300", '"300"'), good.replace('"a"', "null"), good.replace("46", "true")]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, r string")
+    assert {r.key for r in q.row_violations(df, "t", ["k"], [q.row_shape("r", q.STATION_ROW)]).collect()} == {str(k) for k in range(1, len(rows))}
+    live = {"station": {"id": "1", "name": "n", "coordinate": {"latitude": 1, "longitude": 2.5, "altitude": 3}, "more": []}, "condition": {"timestamp": "t", "temperature": -1},
+            "statistics": {"timestamp": "t", "temperature_average_24h": 1, "temperature_min_24h": 1, "temperature_max_24h": 1, "timestamp_temperature_min_24h": "t", "timestamp_temperature_max_24h": "t"}}
+    import copy
+    import json
+    cases = [live]
+    for part, field, value in (("station", "id", 5), ("condition", "temperature", "warm"), ("statistics", "timestamp", None)):
+        cases.append(copy.deepcopy(live))
+        cases[-1][part][field] = value
+    del (lost := copy.deepcopy(live))["station"]["coordinate"]["altitude"]
+    df = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate([*cases, lost])], "k int, r string")
+    assert {r.key for r in q.row_violations(df, "t", ["k"], [q.record_shape("r", q.LIVE_STATION)]).collect()} == {"1", "2", "3", "4"}
+
+
 def test_totals_cover_all_violations(spark):
     rows = spark.createDataFrame([(f"t{k % 120}", "r", str(k), "c", None) for k in range(600)], q.REPORT)
     with pytest.raises(q.QualityError, match=r"600 violation\(s\) in 120 rule"):
