@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Settings the library is tuned for.  Parallelism is left to the cluster: AQE coalesces small shuffles and splits
 #: skewed ones, so the initial partition number only has to be large enough.
@@ -80,6 +82,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes up to which ``small`` lets a side of a join be sent to all executors.
+SMALL_BYTES = 16 << 20
+
+
+def small(written: DataFrame, bytes_of_text: int = 64) -> DataFrame:
+    """A written result, marked for broadcast if its rows fit ``SMALL_BYTES`` (counted, at eight bytes a number and the given ones a text).
+
+    For joins whose other side holds whole texts: below the bound these need not be shuffled, beyond it both sides are.
+    """
+    width = sum(16 + (8 if isinstance(f.dataType, T.NumericType | T.BooleanType) else bytes_of_text) for f in written.schema.fields)
+    return F.broadcast(written) if written.count() * width <= SMALL_BYTES else written
+
+
 def release(spark: SparkSession, *written: str | DataFrame) -> None:
     """Delete intermediate results that no plan will read again: paths, or results of ``materialize``."""
     for one in written:
