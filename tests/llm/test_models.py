@@ -131,6 +131,43 @@ def test_toxic_words_and_their_misspellings(spark):
     assert got[5000] > 0.3 and got[5001] > 0.3
 
 
+def test_passages_match_brute_force():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.25, (1.5, -0.5, -0.3, 0.1))
+    for n in range(0, 14):
+        words = [f"w{k}x{k * k}".encode() for k in range(n)]
+        scores = model.unseen(words) if n else np.zeros(0)
+        for k, word in enumerate(words):  # a word is the mean of its subwords
+            buckets, _ = toxicity.subwords([word])
+            assert np.isclose(scores[k], np.mean(model.weights[buckets]))
+        half = toxicity.HALF
+        passages = [scores[k:k + 2 * half] for k in range(0, max(1, n - half), half)] if n else []
+        worst = max((p.mean() for p in passages), default=0.0) + 0.25
+        want = (worst, (scores.mean() if n else 0.0) + 0.25, np.log(len(passages)) if n else 0.0, 1.0)
+        got = model.features(scores)
+        assert np.allclose(got, want)
+        assert abs(model.probability(got) - 1 / (1 + np.exp(-(1.5 * want[0] - 0.5 * want[1] - 0.3 * want[2] + 0.1)))) < 1e-12
+
+
+def test_gradient_steps_lower_the_loss_of_averaged_bags():
+    texts = [b"alpha beta gamma delta".split(), b"alpha beta vile delta beta gamma".split(), b"gamma".split(), []]
+    labels = np.array([0, 1, 0, 0])
+    model = toxicity._embed(texts, labels, rounds=80, warm=10)
+    worst = [model.features(model.unseen(t) if t else np.zeros(0))[0] for t in texts]
+    assert worst[1] > 1 and max(worst[0], worst[2], worst[3]) < 0
+
+
+def test_long_clean_texts_stay_clean(spark):
+    rng = random.Random(9)
+    train = toxic_texts(rng, 1200)
+    df = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    clean = [t for _, t, k in toxic_texts(rng, 300, 5000) if not k]
+    long = [(n * 10 + k, " ".join(rng.choices(clean, k=n))) for n in (1, 10, 50, 200, 800) for k in range(4)]
+    got = rows(toxicity.score(spark.createDataFrame(long, "doc_id long, text string"), model, keep=[F.col("doc_id")]))
+    assert max(s for _, s in got) < 0.3
+
+
 def test_one_label_or_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     for label, want in ((0, 0.0), (1, 1.0), (None, 0.0), (7, 0.0)):
