@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, small
 from . import fuse
 from .common import free_name, shard_count
 
@@ -102,7 +102,7 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str, suspects: DataFrame, on
     """id, digest and text of the rows that the suspects name; an id that is null names the rows without one."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("body")).withColumn("digest", digest(F.col("body")))
     same = reduce(Column.__and__, (rows[c].eqNullSafe(suspects[c]) for c in on))
-    return rows.join(suspects, same, "left_semi")
+    return rows.join(small(suspects), same, "left_semi")
 
 
 def _equal_bytes(docs: DataFrame, id_col: str, text_col: str, suspects: DataFrame, digest, every_row: bool) -> DataFrame:
@@ -123,7 +123,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, batches: list[Column
         shared += [mine.filter("copies > 1").select("digest"), *(known(mine, s).select("digest") for s in snapshots)]
         snapshots.append(write_snapshot(mine, f"{store}/{k}") if k < len(batches) else None)
     repeated = materialize(reduce(DataFrame.unionByName, shared).distinct())
-    bytes_ = materialize(_equal_bytes(docs, id_col, text_col, rows.select("id", "digest").join(repeated, "digest", "left_semi"), digest, every_row))
+    suspects = materialize(rows.select("id", "digest").join(repeated, "digest", "left_semi"))
+    bytes_ = materialize(_equal_bytes(docs, id_col, text_col, suspects, digest, every_row))
     by_digest = bytes_.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("texts"))
     out = rows.join(by_digest, "digest", "left").select("id", "digest", "times", "keep_id", "copies")
     clash = materialize(by_digest.filter("texts > 1").select("digest"))
@@ -157,7 +158,8 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def beside(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
         return rows.join(pairs, rows[id_col].eqNullSafe(pairs["id"]) & (rows[name] == pairs["digest"]), how)
-    out, again = beside(marked, found.filter(~stays), "left_anti"), found.filter(stays & (F.col("times") > 1))
+    goes = materialize(found.filter(~stays).select("id", "digest"))
+    out, again = beside(marked, small(goes), "left_anti"), found.filter(stays & (F.col("times") > 1))
     if not again.isEmpty():  # rows that repeat both id and text
         out = beside(out, again, "left_anti").unionByName(beside(out, again, "left_semi").dropDuplicates([id_col, name]))
     return out.drop(name)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, small
 from .common import text_batches
 
 CHUNK_WORDS = 400_000
@@ -222,5 +222,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no window of any item occurs, with all their columns; ids are taken as unique here."""
-    hit = decontaminate(docs, items, id_col, text_col).filter("n_hit > 0").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti")
+    hit = materialize(decontaminate(docs, items, id_col, text_col).filter("n_hit > 0").select(F.col("id").alias(id_col)).distinct())
+    return docs.join(small(hit), id_col, "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ..session import materialize, release
+from ..session import materialize, release, small
 from .common import text_batches
 from .components import components
 from .words import by_size
@@ -197,9 +197,10 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 def _walks(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) among pairs (hub, other), found by walks of each hub through trees of its others."""
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
-    dealt = pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("trees")).alias("tree"), "other")
-    asked = dealt.select("hub", "tree").distinct().join(texts, F.col("hub") == F.col("id")).select("hub", "tree", F.lit(0).alias("kind"), "id", "digest", "text")
-    stored = dealt.join(texts, F.col("other") == F.col("id")).select("hub", "tree", F.lit(1).alias("kind"), "id", "digest", "text")
+    dealt = materialize(pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("trees")).alias("tree"), "other"))
+    hubs = materialize(dealt.select("hub", "tree").distinct())
+    asked = small(hubs).join(texts, F.col("hub") == F.col("id")).select("hub", "tree", F.lit(0).alias("kind"), "id", "digest", "text")
+    stored = small(dealt).join(texts, F.col("other") == F.col("id")).select("hub", "tree", F.lit(1).alias("kind"), "id", "digest", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
     def walk(hub, hubs: list[np.ndarray], others: list[tuple]) -> list[tuple]:
@@ -348,8 +349,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(keys.join(shared.hint("shuffle_hash"), "key"))
     release(spark, with_keys, shared)
     first_members = members
-    wanted = members.select("id").distinct().join(classes, "id")
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id"))
+    wanted = materialize(members.select("id").distinct().join(classes, "id"))
+    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(small(wanted, 16), "id"))
     same_id = classes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("id")
     own = materialize(_own_ngrams(texts, words).join(same_id, "id", "left_anti"))  # counts of several sets under one id would add up
     sizes = table.join(classes, ["id", "digest"], "left_semi").groupBy("id").agg(F.when(F.min("digest") == F.max("digest"), F.max("n")).alias("n"))
@@ -374,5 +375,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, of each component the one with the smallest id; ids are taken as unique here."""
-    gone = near_components(docs, id_col, text_col, words, percent).filter("id != component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
+    gone = materialize(near_components(docs, id_col, text_col, words, percent).filter("id != component_id").select(F.col("id").alias(id_col)).distinct())
+    return docs.filter(F.col(id_col).isNotNull()).join(small(gone), id_col, "left_anti")
