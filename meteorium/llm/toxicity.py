@@ -194,8 +194,8 @@ def train(texts: list[str | None], labels: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 2_500,
-        max_chars: int = 40_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1_500,
+        max_chars: int = 8_000_000) -> Model:
     """Learn from the labelled documents; the chosen ids are at most a few thousand, so documents are filtered where they stand."""
     named = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_label"))
     chosen = [even_sample(named.filter(F.col("_label") == k), id_col, max_each) for k in (0, 1)]
