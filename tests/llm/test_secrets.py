@@ -44,6 +44,14 @@ def test_query_on_documents(spark):
         assert set(map(tuple, (s.split(":") for s in listed(base).split(",") if s))) <= set(map(tuple, (s.split(":") for s in r["spans"].split(",") if s)))
 
 
+def test_counts_by_kind_in_any_order(spark, tmp_path):
+    kinds = {"assign": "token=abcdefgh", "access": "AKIA" + "B" * 12, "hex": "0" * 32}
+    texts = [" ".join(kinds[k] for k in order) for order in (["hex"], ["access"], ["hex", "hex", "access"], ["access", "assign", "assign", "assign"], ["assign", "hex", "access", "hex"])]
+    spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in q_secrets.op7_secrets(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0, 1), 1: (0, 1, 0), 2: (0, 1, 2), 3: (3, 1, 0), 4: (1, 1, 2), 9: (0, 0, 0)}
+
+
 def test_battery_tells_random_from_written_strings(spark):
     rng = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
