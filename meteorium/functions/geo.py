@@ -29,8 +29,13 @@ def tile_x(lon, zoom: int) -> Column:
     return F.floor((_c(lon) + 180) / 360 * float(2 ** zoom))
 
 
+def _asinh(x: Column) -> Column:
+    """By the size of x and its sign: Spark's works out log(x + sqrt(x * x + 1)), which loses digits below 0 and is infinite from about -1e8 down."""
+    return F.signum(x) * F.asinh(F.abs(x))
+
+
 def tile_y(lat, zoom: int) -> Column:
-    return F.floor((1 - F.asinh(F.tan(F.radians(_c(lat)))) / math.pi) / 2 * float(2 ** zoom))
+    return F.floor((1 - _asinh(F.tan(F.radians(_c(lat)))) / math.pi) / 2 * float(2 ** zoom))
 
 
 def tile_lon(x, zoom: int) -> Column:
@@ -40,7 +45,7 @@ def tile_lon(x, zoom: int) -> Column:
 
 def tile_lat(y, zoom: int) -> Column:
     """Northern edge of a tile."""
-    return F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * _c(y) / float(2 ** zoom)))))
+    return F.degrees(F.atan(F.sinh(math.pi * (1 - 2.0 * _c(y) / float(2 ** zoom)))))
 
 
 def terrain_metres(r, g, b) -> Column:

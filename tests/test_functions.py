@@ -131,6 +131,20 @@ def test_tiles(spark):
         assert r.w <= r.lon and r.n >= r.lat
 
 
+def test_tiles_near_the_poles_and_beyond(spark):
+    lats = [-89.999999, -90.0, 90.0, -90 + 1e-7, 89.999999, 270.0, 90.25, 450.0, -0.0]
+    df = spark.createDataFrame([(x,) for x in lats], "lat double").withColumn("y", geo.tile_y("lat", 10))
+    got = {r.lat: (r.y, r.n) for r in df.withColumn("n", geo.tile_lat("y", 10)).collect()}
+    for x in lats:
+        y = math.floor((1 - math.asinh(math.tan(math.radians(x))) / math.pi) / 2 * 1024)
+        assert got[x][0] == y and got[x][1] == pytest.approx(math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / 1024)))))
+
+
+def test_northern_edge_of_a_far_tile(spark):
+    df = spark.createDataFrame([(2 ** 63 - 1,), (-2 ** 63,)], "y long")
+    assert [r.n for r in df.select(geo.tile_lat("y", 10).alias("n")).collect()] == [-90.0, 90.0]
+
+
 def test_snap_and_terrain(spark):
     df = spark.createDataFrame([(3.0,), (14.9,), (15.0,), (999.0,)], "v double")
     assert [r.x for r in df.select(geo.snap_level("v").alias("x")).collect()] == [10, 10, 20, 250]
