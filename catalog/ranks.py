@@ -87,10 +87,12 @@ def continuity(spark, d):
 
 
 def order_inversions(spark, d):
-    """Places where the ship date falls against the arrival order."""
+    """Places where the ship date falls against the arrival order; the sum of their numbers is exact, a decimal where it passes 64 bits."""
     o = observations(spark, d).withColumn("seq", F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 8 + F.col("l_linenumber"))
     o = o.groupBy("entity", "seq").agg(F.max("day").alias("day"))
-    return series.order_inversions(o, ["entity"], "seq", "day", block=4_000_000_000).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+    found = series.order_inversions(o, ["entity"], "seq", "day", block=4_000_000_000).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("seq").cast("decimal(20,0)")).alias("seqs"))
+    return series.bigint_where_it_fits(found, "seqs")
 
 
 def monotone_check(spark, d):

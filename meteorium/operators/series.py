@@ -151,6 +151,14 @@ def order_inversions(df: DataFrame, entity: list[str], sequence: str, date: str,
     return inner.unionByName(edge)
 
 
+def bigint_where_it_fits(df: DataFrame, column: str) -> DataFrame:
+    """A whole decimal column as bigint, or as it is where a value passes 64 bits.  The rows are written first, to look at them."""
+    written = materialize(df)
+    low, high = written.agg(F.min(column), F.max(column)).first()
+    fits = low is None or (-(1 << 63) <= low and high < 1 << 63)
+    return written.withColumn(column, F.col(column).cast("bigint")) if fits else written
+
+
 def local_daily_range(df: DataFrame, start: str, end: str, interval: str, offset: str, date: str) -> DataFrame:
     """One row per local calendar date of each request."""
     return df.withColumn(date, F.explode(cal.local_dates(start, end, interval, offset)))

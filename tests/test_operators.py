@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from catalog import ranks
 from meteorium.operators import counts, density, drought, flood, grids, quantiles, seasons, series, trends, windows
 from meteorium.plans import grids as grid_plans
 from meteorium.plans import serve
@@ -399,3 +400,14 @@ def test_gaps_and_order(spark):
     assert [(str(r.d), r.missing) for r in series.date_gaps(df, ["e"], "d").collect()] == [("2000-01-05", 2)]
     for block in (1, 2, 4, 100):
         assert [r.q for r in series.order_inversions(df, ["e"], "q", "d", block).collect()] == [4]
+
+
+def test_sum_of_inversions_beyond_64_bits(spark, tmp_path):
+    columns = ("l_returnflag string, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_discount double, l_suppkey long, l_orderkey long, "
+               "l_linenumber int, l_partkey long")
+    for name, key, kind in (("small", 10, "bigint"), ("large", 9_000_000_000_000, "decimal(30,0)")):
+        rows = [("A", dt.datetime(2000, 1, 9 - k), 1.0, 1.0, 0.0, 1, key + k, 1, 2) for k in range(4)]
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        got = ranks.order_inversions(spark, str(tmp_path / name))
+        assert dict(got.dtypes) == {"entity": "string", "n": "bigint", "seqs": kind}
+        assert [(r.entity, r.n, int(r.seqs)) for r in got.collect()] == [("A", 3, sum((key + k) * 1_000_000 + 17 for k in (1, 2, 3)))]
