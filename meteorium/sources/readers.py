@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,27 @@ def schema_from_descriptor(text: str) -> dict[str, T.StructType]:
     return out
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file and head, the first line of each file that has one.
+
+    A task reads a file's first block in one go, from its begin, so the head is the row where the file changes.  An aggregate by file would
+    sort all lines of the block, each with its path, since a text is no fixed-width buffer.
+    """
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            runs = batch.column(0).to_numpy(zero_copy_only=False)
+            begins = [0, *((runs[1:] != runs[:-1]).nonzero()[0] + 1).tolist()] if len(runs) else []
+            if begins and runs[0] == last:
+                del begins[0]
+            if begins:
+                yield batch.take(pa.array(begins))
+            last = runs[-1] if len(runs) else last
+
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"))
+    return lines.mapInArrow(heads, "file string, head string")
+
+
 def read_station_files(spark: SparkSession, path: str, schema: T.StructType, default_source: str = "era5",
                        strict: bool = True) -> DataFrame:
     """Union of daily CSV files with their file name; columns are found by the names in each file's header line.
@@ -35,8 +59,7 @@ def read_station_files(spark: SparkSession, path: str, schema: T.StructType, def
     and the whole line stands in ``corrupt``, for ``corrupt_rows``.
     """
     names = schema.fieldNames()
-    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    heads = first_lines(spark, path).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
     frames = []
     for r in heads:
         columns = [c.strip().strip('"').removeprefix("\ufeff") for c in (r["head"] or "").split(",")]

@@ -226,3 +226,21 @@ def test_no_number_from_a_partial_sum(spark):
     made = emissions.historical(spark.createDataFrame(cells, "year int, code int, raw string"))
     assert {r.year: r.others for r in made["historical"].collect() if r.year < 2003} == {2000: None, 2001: 7.0, 2002: None}
     assert [(r.year, r.total) for r in made["waste"].collect()] == [(2003, 7.0)]
+
+
+def test_first_lines_come_without_a_sort_of_all_lines(spark, tmp_path):
+    texts = {"a": "x,y\n" + "1,2\n" * 50, "b": "", "c": "\nz\n1\n", "d": "only", "e": "x,y\n3,4\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size in ("1", "7", before):
+        spark.conf.set(key, size)
+        try:
+            heads = readers.first_lines(spark, str(tmp_path))
+            got = [(r["file"].rsplit("/", 1)[1], r["head"]) for r in heads.collect()]
+        finally:
+            spark.conf.set(key, before)
+        assert sorted(got) == [("a.csv", "x,y"), ("c.csv", ""), ("d.csv", "only"), ("e.csv", "x,y")]
+        plan = heads._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Exchange" not in plan
