@@ -12,7 +12,7 @@ label are not learned from; rows that repeat count as often as they stand; other
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +55,22 @@ def word_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
             .groupBy("label", "word").agg(F.sum("n").alias("n")))
 
 
+class Counts:
+    """Sorted rows of label, word and number, held as an Arrow table and turned into tuples some at a time."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by([(c, "ascending") for c in table.column_names])
+
+    def __iter__(self) -> Iterator[tuple[str, bytes, int]]:
+        for batch in self.table.to_batches(max_chunksize=10_000):
+            yield from zip(*(column.to_pylist() for column in batch.columns))
+
+
 class Model:
     """Languages, log share of each, rows of known words, and hashes and rows of known n-grams by order."""
 
-    def __init__(self, counts: list[tuple[str, bytes, int]], docs: dict[str, int], max_grams: int | None, alpha: float = 0.1, words: dict[str, int] | None = None):
-        """``counts`` has every label's count of each known word; ``words`` the number of all words of a label (by default of the known ones)."""
+    def __init__(self, counts: Iterable[tuple[str, bytes, int]], docs: dict[str, int], max_grams: int | None, alpha: float = 0.1, words: dict[str, int] | None = None):
+        """``counts`` (gone through twice) has every label's count of each known word; ``words`` the number of all words of a label (by default of the known ones)."""
         self.languages = sorted(docs)
         number = {x: k for k, x in enumerate(self.languages)}
         share = np.array([docs[x] for x in self.languages], dtype=float)
@@ -119,7 +130,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     known = counts
     if max_words is not None:  # words by their count in all languages, each with all its counts
         known = counts.join(counts.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(max_words), "word")
-    found = sorted((r["label"], bytes(r["word"]), r["n"]) for r in known.select("label", "word", "n").collect())
+    found = Counts(known.select("label", "word", "n").toArrow())
     words = dict.fromkeys(docs, 0) | {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     return Model(found, docs, max_grams, words=words)
 

@@ -180,3 +180,17 @@ def test_toxicity_query_has_a_row_per_document(spark):
     got = q_models.op9_toxicity(spark, FOLDER)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     assert got.filter("predicted != cast(score >= 0.3 as int)").count() == 0 and got.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_language_counts_travel_in_arrow(spark, monkeypatch):
+    """The driver gets the counts as an Arrow table, not as a list of rows, and learns the same from them."""
+    seen, build = [], language.Model.__init__
+    monkeypatch.setattr(language.Model, "__init__", lambda self, counts, *args, **named: (seen.append((counts, args, named)), build(self, counts, *args, **named))[0])
+    table = spark.createDataFrame([(1, "the cat the dog", "en"), (2, "der hund der žar", "de"), (3, "the žar", "en"), (4, None, "en"), (5, "ohne", None)], "doc_id long, text string, lang string")
+    model = language.fit(table)
+    counts, args, named = seen[0]
+    assert not isinstance(counts, list)
+    assert list(counts) == [("de", b"der", 2), ("de", b"hund", 1), ("de", "žar".encode(), 1), ("en", b"cat", 1), ("en", b"dog", 1), ("en", b"the", 3), ("en", "žar".encode(), 1)]
+    plain = language.Model(list(counts), *args, **named)
+    assert model.known == plain.known and np.array_equal(model.words, plain.words)
+    assert all(np.array_equal(a, b) for n in plain.grams for a, b in zip(model.grams[n], plain.grams[n]))
