@@ -198,9 +198,9 @@ def _walks(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     """Links (u, v) among pairs (hub, other), found by walks of each hub through trees of its others."""
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
     dealt = materialize(pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("trees")).alias("tree"), "other"))
-    hubs = materialize(dealt.select("hub", "tree").distinct())
-    asked = small(hubs).join(texts, F.col("hub") == F.col("id")).select("hub", "tree", F.lit(0).alias("kind"), "id", "digest", "text")
-    stored = small(dealt).join(texts, F.col("other") == F.col("id")).select("hub", "tree", F.lit(1).alias("kind"), "id", "digest", "text")
+    hubs = dealt.select("hub", "tree", F.lit(0).alias("kind"), F.col("hub").alias("id")).distinct()
+    roles = materialize(hubs.unionByName(dealt.select("hub", "tree", F.lit(1).alias("kind"), F.col("other").alias("id"))))
+    held = small(roles).join(texts, "id").select("hub", "tree", "kind", "id", "digest", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
     def walk(hub, hubs: list[np.ndarray], others: list[tuple]) -> list[tuple]:
@@ -231,8 +231,7 @@ def _walks(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
         if last:
             yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in last])
 
-    return (asked.unionByName(stored).repartition("hub", "tree").sortWithinPartitions("hub", "tree", "kind")
-            .mapInArrow(run, f"u {kind}, v {kind}"))
+    return held.repartition("hub", "tree").sortWithinPartitions("hub", "tree", "kind").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def _own_ngrams(texts: DataFrame, words: int) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meteorium import session
 from meteorium.llm import prefix_tree_join as join
 from meteorium.llm.components import components
 
@@ -70,6 +71,21 @@ def test_tiles_find_links_that_hubs_miss(spark, monkeypatch):
     assert got == brute(table, 3, 90)
 
 
+def test_hub_walks_send_one_side_and_only_a_small_one(spark):
+    def plan(n):
+        texts = session.materialize(spark.range(n).select("id", F.lit(b"a b").alias("text"), F.lit(b"").alias("digest")))
+        pairs = session.materialize(spark.range(n).select((F.col("id") - F.col("id") % 2).alias("hub"), F.col("id").alias("other")))
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            return join._walks(pairs, texts, 5, 80)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    few, many = plan(1000), plan(200_000)
+    assert few.count("BroadcastExchange") == 1 and few.count("FileScan") == 2
+    assert "BroadcastExchange" not in many and many.count("SortMergeJoin") == 1
+
+
 def test_linked_sets_share_a_block():
     rng = np.random.default_rng(3)
     for percent in (80, 90):
